@@ -45,22 +45,23 @@ def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number"
     Distributed: range-sorted partitions are checkpointed to the shared
     checkpoint folder, counted, and offset by the counts of earlier partitions.
     """
+    pid, mid, n, first, before = "__rn_pid", "__rn_mid", "__rn_n", "__rn_first", "__rn_before"
     sorted_df = (
         df.orderBy(*order)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
+        .withColumn(pid, F.spark_partition_id())
+        .withColumn(mid, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
-    counts = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    counts = sorted_df.groupBy(pid).agg(F.count(F.lit(1)).alias(n), F.min(mid).alias(first))
     # One row per partition: a bounded frame, fine for an unpartitioned window.
     offsets = counts.select(
-        "_pid", "_first",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_before"),
+        pid, first,
+        (F.sum(n).over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1))).alias(before),
     )
     return (
-        sorted_df.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, (F.coalesce(F.col("_before"), F.lit(0)) + F.col("_mid") - F.col("_first") + 1).cast("long"))
-        .drop("_pid", "_mid", "_first", "_before")
+        sorted_df.join(F.broadcast(offsets), pid)
+        .withColumn(name, (F.coalesce(F.col(before), F.lit(0)) + F.col(mid) - F.col(first) + 1).cast("long"))
+        .drop(pid, mid, first, before)
     )
 
 

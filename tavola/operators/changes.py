@@ -72,8 +72,13 @@ def _verdict(df: DataFrame, cols: list[str], reason: Column) -> DataFrame:
 
 
 def _blank(c: Column) -> Column:
-    """JS falsy for text and numbers: NULL, '' (after trim) or 0."""
-    return c.isNull() | (F.trim(c.cast("string")) == "") | (c.cast("string") == "0")
+    """JS falsy text: NULL or '' (a blank string of spaces is truthy)."""
+    return c.isNull() | (c.cast("string") == "")
+
+
+def _blank_num(c: Column) -> Column:
+    """JS falsy number: NULL or 0."""
+    return c.isNull() | (c == 0)
 
 
 def _as_of(as_of) -> Column:
@@ -185,7 +190,8 @@ def apply_assignments(t: Tables, requests: DataFrame, as_of=None, refresh_totals
     delivery ``D###`` (next keys in request order) and move the order to
     Processing (the order's current status is not checked, as in the source).
     """
-    e = t["employee"].select(F.col("employee_id").alias("delivery_person_id"), F.col("role").alias("_role"))
+    e = t["employee"].select(F.col("employee_id").alias("delivery_person_id"), F.col("role").alias("_role"),
+                             F.lit(True).alias("_emp"))
     courier = (t["delivery"].groupBy("employee_id").agg(F.min("delivery_id").alias("_courier"))
                .withColumnRenamed("employee_id", "delivery_person_id"))
     busy = (t["deliveries"].filter(F.col("delivery_status") == "Out for Delivery")
@@ -194,7 +200,8 @@ def apply_assignments(t: Tables, requests: DataFrame, as_of=None, refresh_totals
     r = (requests.select("request_seq", "order_id", "delivery_person_id")
          .join(e, "delivery_person_id", "left").join(courier, "delivery_person_id", "left")
          .join(busy, "_courier", "left").join(known, "order_id", "left"))
-    checks = [(F.col("_role").isNull(), "employee_not_found"), (F.col("_role") != "Delivery", "not_delivery_person"),
+    checks = [(F.col("_emp").isNull(), "employee_not_found"),
+              (F.col("_role").isNull() | (F.col("_role") != "Delivery"), "not_delivery_person"),
               (F.col("_courier").isNull(), "no_courier_record"), (F.col("_busy").isNotNull(), "courier_busy"),
               (F.col("_known").isNull(), "order_not_found")]
     r = r.withColumn("_why", _reason(*checks))
@@ -450,7 +457,8 @@ def apply_feedback(t: Tables, requests: DataFrame) -> BatchResult:
     owned = t["orders"].select("order_id", "customer_id").withColumn("_own", F.lit(True))
     r = requests.select(*cols).join(owned, ["order_id", "customer_id"], "left")
     why = _reason(
-        (_blank(F.col("order_id")) | _blank(F.col("rating_score")) | _blank(F.col("feedback_text")), "missing_fields"),
+        (_blank(F.col("order_id")) | _blank_num(F.col("rating_score")) | _blank(F.col("feedback_text")),
+         "missing_fields"),
         ((F.col("rating_score") < 1) | (F.col("rating_score") > 5), "rating_out_of_range"),
         (F.length("feedback_text") > 500, "text_too_long"),
         (F.col("_own").isNull(), "order_not_found"))

@@ -42,7 +42,9 @@ ORDERS_PER_CUSTOMER_SQL = "(select customer_id, count(*) as order_count from r_o
 MEAN = "(sum({0})::double / count({0})::double)"
 CART_LINES_SQL = """cart_lines AS (select l_orderkey as request_seq, 'C'||o_custkey as customer_id, l_linenumber as line_no,
  case when l_linenumber=7 then p_brand else p_name end as item_name, cast(l_quantity as int) as quantity,
- cast(p_retailprice as decimal(10,2)) as price from lineitem join orders on l_orderkey=o_orderkey join part on l_partkey=p_partkey)
+ cast(p_retailprice as decimal(10,2)) as price, case o_orderpriority when '1-URGENT' then 'Credit Card' when '2-HIGH' then 'Debit Card'
+ when '3-MEDIUM' then 'UPI' else 'Cash' end as payment_method
+ from lineitem join orders on l_orderkey=o_orderkey join part on l_partkey=p_partkey)
 """
 
 

@@ -107,7 +107,7 @@ def delivery_status_requests(spark: SparkSession, sf_dir: str, deliveries: DataF
 
 def feedback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feedback submissions: order from the event id, the order's customer for
-    two of three events, score and text from value and props."""
+    two of three events, score 0.0-6.0 from the event id, text from props."""
     ev = _raw(spark, sf_dir, "events")
     o = _raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (ev.join(o, ev.event_id == o.o_orderkey, "left")
@@ -115,7 +115,8 @@ def feedback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.concat(F.lit("O"), F.col("event_id").cast("string")).alias("order_id"),
                     F.concat(F.lit("C"), F.when(F.col("event_id") % 3 == 0, F.col("user_id"))
                              .otherwise(F.col("o_custkey")).cast("string")).alias("customer_id"),
-                    (F.col("value") % 6).cast("decimal(2,1)").alias("rating_score"),
+                    ((F.col("event_id") % 61).cast("decimal(2,0)") * F.lit(0.1).cast("decimal(1,1)"))
+                    .cast("decimal(2,1)").alias("rating_score"),
                     F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
                     .otherwise(F.col("props")).alias("feedback_text")))
 
@@ -137,13 +138,69 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def menu_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Menu ids to delete: every part whose key is a multiple of 7 (some unknown)."""
+    """Menu ids to delete: each part key times 7 (many unknown, some ordered)."""
     p = _raw(spark, sf_dir, "part")
-    return p.select((F.col("p_partkey") * 7).alias("k")).select(
-        F.concat(F.lit("M"), F.col("k").cast("string")).alias("menu_id"))
+    return p.select(F.col("p_partkey").alias("request_seq"),
+                    F.concat(F.lit("M"), (F.col("p_partkey") * 7).cast("string")).alias("menu_id"))
 
 
 def customer_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer ids to delete: every customer key doubled (some unknown)."""
+    """Customer ids to delete: each customer key doubled (some unknown)."""
     c = _raw(spark, sf_dir, "customer")
-    return c.select(F.concat(F.lit("C"), (F.col("c_custkey") * 2).cast("string")).alias("customer_id"))
+    return c.select(F.col("c_custkey").alias("request_seq"),
+                    F.concat(F.lit("C"), (F.col("c_custkey") * 2).cast("string")).alias("customer_id"))
+
+
+def profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile edits: customer from the user id; e-mails cycle over 200 values
+    (so different customers collide in the batch); the phone is the user's
+    own stored number except for error events, which take another's."""
+    ev = _raw(spark, sf_dir, "events")
+    return ev.select(F.col("event_id").alias("request_seq"),
+                     F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("customer_id"),
+                     F.concat(F.lit("Guest "), F.col("user_id").cast("string")).alias("name"),
+                     F.concat(F.lit("user"), (F.col("event_id") % 200).cast("string"), F.lit("@example.com"))
+                     .alias("email"),
+                     (F.lit(7000000000) + F.col("user_id") + F.when(F.col("event_type") == "error", 1).otherwise(0))
+                     .cast("string").alias("phone_number"),
+                     F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("props")).alias("address"))
+
+
+def menu_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Menu edits from parts: ids wrap at 1000 (several edits per id, some ids
+    unknown at small scale); price, category and availability sometimes
+    break the schema's checks."""
+    from tavola.schema import CATEGORIES
+    p = _raw(spark, sf_dir, "part")
+    cats = F.array(*[F.lit(c) for c in CATEGORIES], F.lit("Snacks"))
+    return p.select(F.col("p_partkey").alias("request_seq"),
+                    F.concat(F.lit("M"), (F.col("p_partkey") % 1000).cast("string")).alias("menu_id"),
+                    F.upper(F.col("p_name")).alias("name"),
+                    F.col("p_type").alias("description"),
+                    (F.col("p_retailprice").cast("decimal(10,2)") - 1000).cast("decimal(10,2)").alias("price"),
+                    F.element_at(cats, (F.col("p_size") % 8 + 1).cast("int")).alias("category"),
+                    F.when(F.col("p_size") % 3 == 0, "Available").when(F.col("p_size") % 3 == 1, "Not Available")
+                    .otherwise("Sold out").alias("availability_status"))
+
+
+def employee_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Employee changes from suppliers: inserts, updates and deletes by key
+    residue; some roles, phones and salaries break the rules."""
+    s = _raw(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey")
+    op = F.when(k % 4 == 0, "insert").when(k % 4 == 1, "update").when(k % 4 == 2, "delete").otherwise("update")
+    role = F.when(k % 5 == 0, "Delivery").when(k % 5 == 1, "Chef").when(k % 5 == 2, "Manager").when(k % 5 == 3, "Waiter") \
+        .otherwise("Delivery")
+    return s.select((k * 10).alias("request_seq"), op.alias("op"),
+                    F.concat(F.lit("E"), (k * 2).cast("string")).alias("employee_id"),
+                    F.concat(F.lit("Staff "), k.cast("string")).alias("name"), role.alias("role"),
+                    (F.lit(6100000000) + k % 50).cast("decimal(10,0)").alias("phone_number"),
+                    (F.col("s_acctbal")).cast("decimal(18,2)").alias("salary"))
+
+
+def basket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Basket additions: each test order's cart added again to the order's own
+    basket id (quantities add to existing lines)."""
+    c = carts(spark, sf_dir)
+    return c.select("request_seq", F.concat(F.lit("I"), F.col("request_seq").cast("string")).alias("item_id"), "items")
+
