@@ -82,7 +82,10 @@ def _blank_num(c: Column) -> Column:
 
 
 def _as_of(as_of) -> Column:
-    return F.lit(as_of or DEFAULT_AS_OF).cast("timestamp")
+    """The batch's clock (replaces SYSDATE) as a zone-less timestamp."""
+    v = as_of or DEFAULT_AS_OF
+    text = v.strftime("%Y-%m-%d %H:%M:%S.%f") if isinstance(v, dt.datetime) else str(v)
+    return F.lit(text).cast("timestamp_ntz")
 
 
 def _max_key_scalar(df: DataFrame, col: str, default: int = 0, suffix: bool = False) -> Column:

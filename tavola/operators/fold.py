@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tavola.functions.keys import with_row_number
+from tavola.schema import OTHER
 
 
 def _compose(acc: Column, f: Column) -> Column:
@@ -69,7 +70,7 @@ def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initi
     requests move the state. Returns the requests with ``state_before``,
     ``state_after`` and ``accepted``.
     """
-    names = list(states) + ["__other__"]
+    names = list(states) + [OTHER]
     n = len(names)
     idx = {s: i for i, s in enumerate(names)}
     allowed: dict[int, list[int]] = {}

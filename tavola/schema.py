@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 S = T.StringType()
-TS = T.TimestampType()
+TS = T.TimestampNTZType()  # DATE/TIMESTAMP of the source carry no zone
 MONEY = T.DecimalType(18, 2)
 MENU_PRICE = T.DecimalType(10, 2)
 RATING = T.DecimalType(2, 1)
@@ -94,16 +94,21 @@ NOT_NULL: dict[str, tuple[str, ...]] = {
 # Order state machine. Fixed values: (from, to) pairs allowed by the admin
 # server (lenient) and by the admin order page (strict, terminal states).
 # Server rule: Processing only from Pending; Completed only from Processing;
-# Cancelled from anything but Completed; Pending from anything.
+# Cancelled from anything but Completed; Pending from anything. OTHER stands
+# for a stored status outside the four known ones.
+OTHER = "__other__"
 LENIENT_TRANSITIONS = (
+    (OTHER, "Pending"), (OTHER, "Cancelled"),
     ("Pending", "Pending"), ("Processing", "Pending"), ("Completed", "Pending"), ("Cancelled", "Pending"),
     ("Pending", "Processing"),
     ("Processing", "Completed"),
     ("Pending", "Cancelled"), ("Processing", "Cancelled"), ("Cancelled", "Cancelled"),
 )
 # Page rule: Pending -> Processing/Cancelled, Processing -> Completed/Cancelled,
-# Completed and Cancelled are terminal.
+# Completed and Cancelled are terminal; an unknown status may go anywhere the
+# server allows.
 STRICT_TRANSITIONS = (
+    (OTHER, "Pending"), (OTHER, "Cancelled"),
     ("Pending", "Processing"), ("Pending", "Cancelled"),
     ("Processing", "Completed"), ("Processing", "Cancelled"),
 )
