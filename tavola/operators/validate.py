@@ -101,47 +101,69 @@ def key_violations(t: Tables) -> list[DataFrame]:
     return out
 
 
-def reference_violations(t: Tables) -> list[DataFrame]:
-    """Foreign keys, orphan baskets, orders without a basket."""
+def _fk(child: DataFrame, table: str, col: str, parent: DataFrame, pcol: str) -> DataFrame:
+    p = parent.select(F.col(pcol).alias("_p"))
+    return (child.filter(F.col(col).isNotNull()).join(p, F.col(col) == F.col("_p"), "left_anti")
+            .select(F.lit(table).alias("table_name"), row_key(table).alias("row_key"),
+                    F.lit(rule_name("fk", col)).alias("rule")))
+
+
+def _hits(df: DataFrame, table: str, key: Column, checks: list[tuple[Column, str]]) -> DataFrame:
+    """Rows of ``df`` with every failing check's rule name, one row per hit."""
+    arr = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in checks]), lambda x: x.isNotNull())
+    return (df.select(key.alias("row_key"), arr.alias("_h")).filter(F.size("_h") > 0)
+            .select(F.lit(table).alias("table_name"), "row_key", F.explode("_h").alias("rule")))
+
+
+def join_violations(t: Tables) -> list[DataFrame]:
+    """V11 foreign keys, orphan baskets and orders without basket, V12 derived
+    values and V14 state; rules that read the same pair of tables share one
+    join."""
     out = []
-    for child, col, parent, pcol in FOREIGN_KEYS:
-        p = t[parent].select(F.col(pcol).alias("_p"))
-        out.append(t[child].filter(F.col(col).isNotNull()).join(p, F.col(col) == F.col("_p"), "left_anti")
-                   .select(F.lit(child).alias("table_name"), row_key(child).alias("row_key"),
-                           F.lit(rule_name("fk", col)).alias("rule")))
-    baskets_used = t["orders"].select("item_id").filter(F.col("item_id").isNotNull())
-    out.append(t["items"].select("item_id").distinct().join(baskets_used, "item_id", "left_anti")
-               .select(F.lit("items").alias("table_name"), F.col("item_id").alias("row_key"),
+    # items -> menu: foreign key and frozen line price in one left join.
+    m = t["menu"].select("menu_id", F.col("price").alias("_mp"), F.lit(True).alias("_m"))
+    im = t["items"].join(m, "menu_id", "left")
+    out.append(_hits(im, "items", row_key("items"), [
+        (F.col("menu_id").isNotNull() & F.col("_m").isNull(), rule_name("fk", "menu_id")),
+        (F.coalesce(F.col("_m"), F.lit(False))
+         & ~F.col("price").eqNullSafe((F.col("_mp") * F.col("quantity")).cast("decimal(18,2)")),
+         "line_price_changed")]))
+    # orders <-> baskets: one full outer join of orders with per-basket sums
+    # (the sums are already partitioned by basket id, so only orders move).
+    sums = (t["items"].groupBy("item_id").agg(F.sum("price").cast("decimal(18,2)").alias("_sum"))
+            .select(F.col("item_id").alias("_bid"), "_sum", F.lit(True).alias("_b")))
+    ords = t["orders"].select("order_id", "item_id", "total_price", F.lit(True).alias("_o"))
+    ob = ords.join(sums, F.col("item_id") == F.col("_bid"), "full_outer")
+    out.append(ob.filter(F.col("_b") & F.col("_o").isNull())
+               .select(F.lit("items").alias("table_name"), F.col("_bid").alias("row_key"),
                        F.lit("orphan_basket").alias("rule")))
-    out.append(t["orders"].join(t["items"].select("item_id"), "item_id", "left_anti")
-               .select(F.lit("orders").alias("table_name"), F.col("order_id").alias("row_key"),
-                       F.lit("order_without_basket").alias("rule")))
+    out.append(_hits(ob.filter(F.col("_o")), "orders", F.col("order_id"), [
+        (F.col("_b").isNull(), "order_without_basket"),
+        (~F.col("total_price").eqNullSafe(F.col("_sum")), "total_mismatch")]))
+    # orders -> customer.
+    out.append(_fk(t["orders"], "orders", "customer_id", t["customer"], "customer_id"))
+    # payment -> orders: foreign key and amount in one left join.
+    o = t["orders"].select("order_id", F.col("total_price").alias("_tot"), F.lit(True).alias("_o"))
+    po = t["payment"].join(o, "order_id", "left")
+    out.append(_hits(po, "payment", F.col("payment_id"), [
+        (F.col("order_id").isNotNull() & F.col("_o").isNull(), rule_name("fk", "order_id")),
+        (~F.col("amount").eqNullSafe(F.col("_tot").cast("decimal(18,2)")), "amount_mismatch")]))
+    # deliveries -> orders: foreign key and V14 state in one left join.
+    os_ = t["orders"].select("order_id", "order_status", F.lit(True).alias("_o"))
+    do = t["deliveries"].join(os_, "order_id", "left")
+    o_st, d_st = F.col("order_status"), F.col("delivery_status")
+    bad = (((o_st == "Completed") & (d_st != "Delivered")) | ((d_st == "Delivered") & (o_st != "Completed"))
+           | ((o_st == "Cancelled") & (d_st != "Cancelled")) | ((d_st == "Cancelled") & (o_st != "Cancelled")))
+    out.append(_hits(do, "deliveries", row_key("deliveries"), [
+        (F.col("order_id").isNotNull() & F.col("_o").isNull(), rule_name("fk", "order_id")),
+        (F.coalesce(F.col("_o"), F.lit(False)) & F.coalesce(bad, F.lit(False)), "state_mismatch")]))
+    out.append(_fk(t["deliveries"], "deliveries", "delivery_person_id", t["delivery"], "delivery_id"))
+    out.append(_fk(t["delivery"], "delivery", "employee_id", t["employee"], "employee_id"))
+    out.append(_fk(t["feedback"], "feedback", "order_id", t["orders"], "order_id"))
+    out.append(_fk(t["feedback"], "feedback", "customer_id", t["customer"], "customer_id"))
     return out
 
 
-def derived_violations(t: Tables) -> list[DataFrame]:
-    """Stored derived values disagree with the trigger rules.
-
-    Line prices are frozen at write time, so ``line_price_changed`` is a
-    report of menu price changes rather than an error."""
-    m = t["menu"].select("menu_id", F.col("price").alias("_mp"))
-    lines = (t["items"].join(m, "menu_id")
-             .filter(~F.col("price").eqNullSafe((F.col("_mp") * F.col("quantity")).cast("decimal(18,2)")))
-             .select(F.lit("items").alias("table_name"), row_key("items").alias("row_key"),
-                     F.lit("line_price_changed").alias("rule")))
-    sums = t["items"].groupBy("item_id").agg(F.sum("price").cast("decimal(18,2)").alias("_sum"))
-    totals = (t["orders"].join(sums, "item_id", "left")
-              .filter(~F.col("total_price").eqNullSafe(F.col("_sum")))
-              .select(F.lit("orders").alias("table_name"), F.col("order_id").alias("row_key"),
-                      F.lit("total_mismatch").alias("rule")))
-    o = t["orders"].select("order_id", F.col("total_price").alias("_tot"))
-    amounts = (t["payment"].join(o, "order_id", "left")
-               .filter(~F.col("amount").eqNullSafe(F.col("_tot").cast("decimal(18,2)")))
-               .select(F.lit("payment").alias("table_name"), F.col("payment_id").alias("row_key"),
-                       F.lit("amount_mismatch").alias("rule")))
-    return [lines, totals, amounts]
-
-
 def order_rule_violations(t: Tables) -> list[DataFrame]:
     """V5 item unavailable on a Pending order; V6 the same customer has two
     Pending orders containing the same item."""
@@ -158,24 +180,10 @@ def order_rule_violations(t: Tables) -> list[DataFrame]:
     return [unavailable, dup]
 
 
-def state_violations(t: Tables) -> DataFrame:
-    """Order and delivery states disagree (Completed <-> Delivered,
-    Cancelled <-> Cancelled)."""
-    o = t["orders"].select("order_id", "order_status")
-    d = t["deliveries"].select("delivery_id", "order_id", "delivery_status")
-    os_, ds = F.col("order_status"), F.col("delivery_status")
-    bad = (((os_ == "Completed") & (ds != "Delivered")) | ((ds == "Delivered") & (os_ != "Completed"))
-           | ((os_ == "Cancelled") & (ds != "Cancelled")) | ((ds == "Cancelled") & (os_ != "Cancelled")))
-    return (d.join(o, "order_id").filter(bad)
-            .select(F.lit("deliveries").alias("table_name"), F.col("delivery_id").alias("row_key"),
-                    F.lit("state_mismatch").alias("rule")))
-
-
 def validate(t: Tables) -> DataFrame:
     """Every violation of V1-V12 and V14 in one frame."""
     parts = [p for p in (row_violations(t, n) for n in PRIMARY_KEYS) if p is not None]
-    parts += key_violations(t) + reference_violations(t) + derived_violations(t) + order_rule_violations(t)
-    parts.append(state_violations(t))
+    parts += key_violations(t) + join_violations(t) + order_rule_violations(t)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

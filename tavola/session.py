@@ -15,9 +15,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
-    "spark.sql.shuffle.partitions": "8",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -36,11 +36,26 @@ def get_spark(master: str | None = None, app: str = "tavola", conf: dict | None
     for k, v in {**DEFAULT_CONF, **(conf or {})}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    _size_shuffles(spark, conf or {})
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark
 
 
+def _size_shuffles(spark: SparkSession, conf: dict) -> None:
+    """Shuffle width: a few partitions per core locally; on a cluster keep the
+    launcher's setting, else start wide and let AQE coalesce small partitions
+    towards the advisory size (so large stages never run with too few tasks)."""
+    if "spark.sql.shuffle.partitions" in conf:
+        return
+    master = spark.sparkContext.master or ""
+    if master.startswith("local"):
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(8, 2 * spark.sparkContext.defaultParallelism)))
+    elif spark.conf.get("spark.sql.shuffle.partitions", "200") == "200":
+        spark.conf.set("spark.sql.shuffle.partitions", "8192")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024 * 1024))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 

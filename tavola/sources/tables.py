@@ -49,118 +49,180 @@ def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+class LazyTables(dict):
+    """A table dict whose frames are built on first access (each query only
+    pays plan construction for the tables it reads)."""
+
+    def __init__(self, builders: dict):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, name):
+        if name not in self._builders:
+            raise KeyError(name)
+        df = self._builders[name]()
+        self[name] = df
+        return df
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+    def __contains__(self, name):
+        return name in self._builders
+
+    def keys(self):
+        return self._builders.keys()
+
+    def items(self):
+        return [(k, self[k]) for k in self._builders]
+
+    def values(self):
+        return [self[k] for k in self._builders]
+
+    def copy(self):
+        return {k: self[k] for k in self._builders}
+
+
 def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """Restaurant tables mapped from the TPC-H-style tables in ``sf_dir``.
 
     All mapping rules (id prefixes, category by part type, status by order
     status, the modulo rules that pick deliveries, payments and feedback)
-    are the fixture rules of FIXTURES.md B, unchanged.
+    are the fixture rules of FIXTURES.md B, unchanged. Frames are built
+    lazily, per table.
     """
-    customer = _raw(spark, sf_dir, "customer")
-    nation = _raw(spark, sf_dir, "nation")
-    supplier = _raw(spark, sf_dir, "supplier")
-    part = _raw(spark, sf_dir, "part")
-    lineitem = _raw(spark, sf_dir, "lineitem")
-    orders = _raw(spark, sf_dir, "orders")
-
-    # nation has 25 rows by definition of the benchmark schema: a proven bound.
-    r_customer = (
-        customer.join(F.broadcast(nation.select("n_nationkey", "n_name")),
-                      customer.c_nationkey == F.col("n_nationkey"))
-        .select(
-            F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("customer_id"),
-            F.col("c_name").alias("name"),
-            F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
-            (F.lit(7000000000) + F.col("c_custkey")).cast("string").alias("phone_number"),
-            F.concat(F.col("n_name"), F.lit("-"), F.col("c_mktsegment")).alias("address"),
+    raw = {}
+
+    def r(name):
+        if name not in raw:
+            raw[name] = _raw(spark, sf_dir, name)
+        return raw[name]
+
+    def customer():
+        c, nation = r("customer"), r("nation")
+        # nation has 25 rows by definition of the benchmark schema: a proven bound.
+        return (
+            c.join(F.broadcast(nation.select("n_nationkey", "n_name")), c.c_nationkey == F.col("n_nationkey"))
+            .select(
+                F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("customer_id"),
+                F.col("c_name").alias("name"),
+                F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
+                .alias("email"),
+                (F.lit(7000000000) + F.col("c_custkey")).cast("string").alias("phone_number"),
+                F.concat(F.col("n_name"), F.lit("-"), F.col("c_mktsegment")).alias("address"),
+            )
         )
-    )
+
     sk = F.col("s_suppkey")
-    r_employee = supplier.select(
-        F.concat(F.lit("E"), sk.cast("string")).alias("employee_id"),
-        F.col("s_name").alias("name"),
-        F.when(sk % 3 == 0, "Delivery").when(sk % 3 == 1, "Chef").otherwise("Manager").alias("role"),
-        (F.lit(6000000000) + sk).cast("decimal(10,0)").alias("phone_number"),
-        F.greatest(F.col("s_acctbal"), F.lit(1.0)).cast("decimal(18,2)").alias("salary"),
-    )
-    pk = F.col("p_partkey")
-    pt = F.col("p_type")
-    r_menu = part.select(
-        F.concat(F.lit("M"), pk.cast("string")).alias("menu_id"),
-        F.col("p_name").alias("item_name"),
-        F.when(pt == "ECONOMY", "Veg Starter").when(pt == "SMALL", "Non-Veg Starter")
-        .when(pt == "MEDIUM", "Veg Main Course").when(pt == "PROMO", "Non-Veg Main Course")
-        .when(pt == "STANDARD", "Desserts").otherwise("Drinks").alias("category"),
-        F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
-        F.concat(F.col("p_brand"), F.lit(" "), pt).alias("description"),
-        F.when(pk % 10 == 9, "Not Available").otherwise("Available").alias("availability_status"),
-        F.concat(F.lit("images/m"), pk.cast("string"), F.lit(".png")).alias("image_link"),
-    )
-    # One basket line per (order, part): the key of the items table.
-    r_items = (
-        lineitem.groupBy("l_orderkey", "l_partkey")
-        .agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("quantity"),
-             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("price"))
-        .select(F.concat(F.lit("I"), F.col("l_orderkey").cast("string")).alias("item_id"),
-                F.concat(F.lit("M"), F.col("l_partkey").cast("string")).alias("menu_id"),
-                "quantity", "price")
-    )
+
+    def employee():
+        return r("supplier").select(
+            F.concat(F.lit("E"), sk.cast("string")).alias("employee_id"),
+            F.col("s_name").alias("name"),
+            F.when(sk % 3 == 0, "Delivery").when(sk % 3 == 1, "Chef").otherwise("Manager").alias("role"),
+            (F.lit(6000000000) + sk).cast("decimal(10,0)").alias("phone_number"),
+            F.greatest(F.col("s_acctbal"), F.lit(1.0)).cast("decimal(18,2)").alias("salary"),
+        )
+
+    def menu():
+        pk, pt = F.col("p_partkey"), F.col("p_type")
+        return r("part").select(
+            F.concat(F.lit("M"), pk.cast("string")).alias("menu_id"),
+            F.col("p_name").alias("item_name"),
+            F.when(pt == "ECONOMY", "Veg Starter").when(pt == "SMALL", "Non-Veg Starter")
+            .when(pt == "MEDIUM", "Veg Main Course").when(pt == "PROMO", "Non-Veg Main Course")
+            .when(pt == "STANDARD", "Desserts").otherwise("Drinks").alias("category"),
+            F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
+            F.concat(F.col("p_brand"), F.lit(" "), pt).alias("description"),
+            F.when(pk % 10 == 9, "Not Available").otherwise("Available").alias("availability_status"),
+            F.concat(F.lit("images/m"), pk.cast("string"), F.lit(".png")).alias("image_link"),
+        )
+
+    def items():
+        # One basket line per (order, part): the key of the items table.
+        return (
+            r("lineitem").groupBy("l_orderkey", "l_partkey")
+            .agg(F.sum(F.col("l_quantity").cast("int")).cast("int").alias("quantity"),
+                 F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("decimal(18,2)").alias("price"))
+            .select(F.concat(F.lit("I"), F.col("l_orderkey").cast("string")).alias("item_id"),
+                    F.concat(F.lit("M"), F.col("l_partkey").cast("string")).alias("menu_id"),
+                    "quantity", "price")
+        )
+
     ok = F.col("o_orderkey")
-    o = orders.select(
-        ok,
-        F.concat(F.lit("O"), ok.cast("string")).alias("order_id"),
-        F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("customer_id"),
-        F.concat(F.lit("I"), ok.cast("string")).alias("item_id"),
-        F.col("o_totalprice").cast("decimal(18,2)").alias("total_price"),
-        F.when(ok % 20 == 0, "Cancelled").when(F.col("o_orderstatus") == "P", "Pending")
-        .when(F.col("o_orderstatus") == "O", "Processing").otherwise("Completed").alias("order_status"),
-        F.col("o_orderdate").alias("order_date"),
-        F.col("o_orderpriority"),
-    )
-    r_orders = o.select("order_id", "customer_id", "item_id", "total_price", "order_status", "order_date")
-    couriers = supplier.filter(sk % 3 == 0)
-    r_delivery = couriers.select(
-        F.concat(F.lit("D"), sk.cast("string")).alias("delivery_id"),
-        F.concat(F.lit("E"), sk.cast("string")).alias("employee_id"),
-        (F.lit(1) + (sk % 41) * F.lit(Decimal("0.1"))).cast("decimal(2,1)").alias("rating"),
-    )
-    # Courier count as a scalar subquery (evaluated once, no join).
-    n_couriers = couriers.select(F.count(F.lit(1))).scalar()
     st = F.col("order_status")
-    r_deliveries = (
-        o.filter((st == "Completed") | ((st == "Cancelled") & (ok % 40 == 0))
-                 | ((st == "Processing") & (ok % 499).isin(2, 5)))
-        .select(
-            F.concat(F.lit("D"), ok.cast("string")).alias("delivery_id"),
+
+    def o():
+        if "_o" not in raw:
+            raw["_o"] = r("orders").select(
+                ok,
+                F.concat(F.lit("O"), ok.cast("string")).alias("order_id"),
+                F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("customer_id"),
+                F.concat(F.lit("I"), ok.cast("string")).alias("item_id"),
+                F.col("o_totalprice").cast("decimal(18,2)").alias("total_price"),
+                F.when(ok % 20 == 0, "Cancelled").when(F.col("o_orderstatus") == "P", "Pending")
+                .when(F.col("o_orderstatus") == "O", "Processing").otherwise("Completed").alias("order_status"),
+                F.col("o_orderdate").alias("order_date"),
+                F.col("o_orderpriority"),
+            )
+        return raw["_o"]
+
+    def orders():
+        return o().select("order_id", "customer_id", "item_id", "total_price", "order_status", "order_date")
+
+    def couriers():
+        return r("supplier").filter(sk % 3 == 0)
+
+    def delivery():
+        return couriers().select(
+            F.concat(F.lit("D"), sk.cast("string")).alias("delivery_id"),
+            F.concat(F.lit("E"), sk.cast("string")).alias("employee_id"),
+            (F.lit(1) + (sk % 41) * F.lit(Decimal("0.1"))).cast("decimal(2,1)").alias("rating"),
+        )
+
+    def deliveries():
+        # Courier count as a scalar subquery (evaluated once, no join).
+        n_couriers = couriers().select(F.count(F.lit(1))).scalar()
+        return (
+            o().filter((st == "Completed") | ((st == "Cancelled") & (ok % 40 == 0))
+                       | ((st == "Processing") & (ok % 499).isin(2, 5)))
+            .select(
+                F.concat(F.lit("D"), ok.cast("string")).alias("delivery_id"),
+                "order_id",
+                F.concat(F.lit("D"), (F.lit(3) * (ok % n_couriers)).cast("string")).alias("delivery_person_id"),
+                F.when(st == "Completed", "Delivered").when(st == "Cancelled", "Cancelled")
+                .otherwise("Out for Delivery").alias("delivery_status"),
+                F.when(st == "Completed", F.col("order_date") + F.expr("INTERVAL 2 HOURS")).alias("delivery_time"),
+            )
+        )
+
+    def payment():
+        pr = F.col("o_orderpriority")
+        return o().filter(ok % 10 != 0).select(
+            F.concat(F.lit("P"), ok.cast("string")).alias("payment_id"),
             "order_id",
-            F.concat(F.lit("D"), (F.lit(3) * (ok % n_couriers)).cast("string")).alias("delivery_person_id"),
-            F.when(st == "Completed", "Delivered").when(st == "Cancelled", "Cancelled")
-            .otherwise("Out for Delivery").alias("delivery_status"),
-            F.when(st == "Completed", F.col("order_date") + F.expr("INTERVAL 2 HOURS")).alias("delivery_time"),
+            F.col("total_price").cast("decimal(18,2)").alias("amount"),
+            F.when(pr.isin("4-NOT SPECIFIED", "5-LOW"), "Pending").otherwise("Completed").alias("payment_status"),
+            F.when(pr == "1-URGENT", "Credit Card").when(pr == "2-HIGH", "Debit Card").when(pr == "3-MEDIUM", "UPI")
+            .otherwise("Cash").alias("payment_method"),
+            F.col("order_date").alias("transaction_date"),
         )
-    )
-    pr = F.col("o_orderpriority")
-    r_payment = o.filter(ok % 10 != 0).select(
-        F.concat(F.lit("P"), ok.cast("string")).alias("payment_id"),
-        "order_id",
-        F.col("total_price").cast("decimal(18,2)").alias("amount"),
-        F.when(pr.isin("4-NOT SPECIFIED", "5-LOW"), "Pending").otherwise("Completed").alias("payment_status"),
-        F.when(pr == "1-URGENT", "Credit Card").when(pr == "2-HIGH", "Debit Card").when(pr == "3-MEDIUM", "UPI")
-        .otherwise("Cash").alias("payment_method"),
-        F.col("order_date").alias("transaction_date"),
-    )
-    r_feedback = o.filter((st == "Completed") & (ok % 3 == 0)).select(
-        F.concat(F.lit("F"), ok.cast("string")).alias("rating_id"),
-        "order_id",
-        "customer_id",
-        (F.lit(1) + (ok % 41) * F.lit(Decimal("0.1"))).cast("decimal(2,1)").alias("rating_score"),
-        F.when(ok % 6 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("score for "), F.col("order_id"))).alias("feedback_text"),
-    )
-    return {
-        "customer": r_customer, "employee": r_employee, "menu": r_menu, "items": r_items, "orders": r_orders,
-        "delivery": r_delivery, "deliveries": r_deliveries, "payment": r_payment, "feedback": r_feedback,
-    }
+
+    def feedback():
+        return o().filter((st == "Completed") & (ok % 3 == 0)).select(
+            F.concat(F.lit("F"), ok.cast("string")).alias("rating_id"),
+            "order_id",
+            "customer_id",
+            (F.lit(1) + (ok % 41) * F.lit(Decimal("0.1"))).cast("decimal(2,1)").alias("rating_score"),
+            F.when(ok % 6 == 0, F.lit(None).cast("string"))
+            .otherwise(F.concat(F.lit("score for "), F.col("order_id"))).alias("feedback_text"),
+        )
+
+    return LazyTables({"customer": customer, "employee": employee, "menu": menu, "items": items, "orders": orders,
+                       "delivery": delivery, "deliveries": deliveries, "payment": payment, "feedback": feedback})
 
 
 # The adapter as SQL CTEs (FIXTURES.md B), for engines that see the raw tables.
