@@ -99,7 +99,8 @@ def menu_search_terms(t: Tables, terms: DataFrame) -> DataFrame:
     """
     m = t["menu"].filter(F.col("availability_status") == "Available")
     pat = F.concat(F.lit("(?i)"), F.col("term"))
-    cond = F.col("item_name").rlike(pat) | F.col("category").rlike(pat) | F.col("description").rlike(pat)
+    cond = (F.regexp_like(F.col("item_name"), pat) | F.regexp_like(F.col("category"), pat)
+            | F.regexp_like(F.col("description"), pat))
     return (m.join(broadcast_if_small(terms.select("term_id", "term")), cond, "inner")
             .select("term_id", "term", *[c.alias(n) for c, n in zip(
                 [F.col("menu_id"), F.col("item_name"), F.col("category"), F.col("price"), F.col("description"),

@@ -409,3 +409,41 @@ def q_courier_index(spark, d):
  join r_menu m on i.menu_id=m.menu_id group by o.order_id) l on o.order_id=l.order_id""")
 def q_order_labels(spark, d):
     return R.order_labels(tables(spark, d))
+
+
+# Nested replies and parameter variants ------------------------------------------------
+@register("order_details_nested", None)
+def q_order_details_nested(spark, d):
+    """J1 nested: one row per order with its lines as an array of structs."""
+    return R.order_details_nested(tables(spark, d))
+
+
+@register("all_orders_nested", None)
+def q_all_orders_nested(spark, d):
+    """J2 nested: orders without lines keep an empty array."""
+    return R.all_orders_nested(tables(spark, d))
+
+
+@register("customer_orders_nested", None)
+def q_customer_orders_nested(spark, d):
+    """J3 nested: order history with payment defaults and lines."""
+    return R.customer_orders_nested(tables(spark, d))
+
+
+@register("courier_profile_role", """select e.name, e.phone_number, d.delivery_id, e.employee_id
+ from r_delivery d join r_employee e on e.employee_id=d.employee_id where e.role='Delivery'""")
+def q_courier_profile_role(spark, d):
+    return R.courier_profile(tables(spark, d), require_role=True)
+
+
+@register("menu_search_terms", """, terms AS (select distinct lower(p_type) as term_id, lower(p_type) as term from part)
+select t.term_id, t.term, m.menu_id as id, m.item_name as name, m.category, m.price, m.description,
+ m.availability_status, m.image_link as image from r_menu m join terms t on m.availability_status='Available'
+ and (regexp_matches(m.item_name, t.term, 'i') or regexp_matches(m.category, t.term, 'i')
+ or regexp_matches(m.description, t.term, 'i'))""")
+def q_menu_search_terms(spark, d):
+    """P3 batch: every distinct part type (lower case) as a search term."""
+    from pyspark.sql import functions as F
+    p = spark.read.parquet(f"{d.rstrip('/')}/part.parquet")
+    terms = p.select(F.lower("p_type").alias("term")).distinct().select(F.col("term"), F.col("term").alias("term_id"))
+    return R.menu_search_terms(tables(spark, d), terms)

@@ -326,3 +326,14 @@ def q_order_codes(spark, d):
     coded = random_order_code(tables(spark, d)["orders"].select("order_id"), "order_id", seed=7)
     dup = coded.groupBy("order_code").agg(F.count(F.lit(1)).alias("code_uses"))
     return coded.join(dup, "order_code")
+
+
+@register("customer_codes", None)
+def q_customer_codes(spark, d):
+    """K2 (initials form): first letters of the two name parts and three drawn digits."""
+    from tavola.functions.keys import initials_code
+    c = tables(spark, d)["customer"].select("customer_id", F.split("name", "#").alias("_p"))
+    c = c.select("customer_id", F.col("_p")[0].alias("first_name"), F.col("_p")[1].alias("last_name"))
+    coded = initials_code(c, "first_name", "last_name", "customer_id", seed=11, name="customer_code")
+    dup = coded.groupBy("customer_code").agg(F.count(F.lit(1)).alias("code_uses"))
+    return coded.join(dup, "customer_code")
