@@ -33,7 +33,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.functions.exprs import payment_status_for
+from tavola.functions.exprs import broadcast_if_small, payment_status_for
 from tavola.functions.keys import allocate_keys, key_number, key_suffix_number, pad_key, seeded_draw, with_row_number
 from tavola.operators.derive import basket_sums
 from tavola.operators.fold import fold_transitions
@@ -634,4 +634,7 @@ def random_assignment(t: Tables, orders: DataFrame, seed: int = 1) -> DataFrame:
     couriers = courier_index(t)
     n = t["delivery"].select(F.count(F.lit(1))).scalar()
     pick = orders.select("order_id", (seeded_draw(seed, n, F.col("order_id")) + 1).alias("courier_no"))
-    return pick.join(couriers, "courier_no", "left").select("order_id", "courier_no", "delivery_id", "employee_id")
+    # Few couriers means few distinct join keys: broadcast them when the size
+    # estimate allows, so the orders side is never funnelled into n partitions.
+    return (pick.join(broadcast_if_small(couriers), "courier_no", "left")
+            .select("order_id", "courier_no", "delivery_id", "employee_id"))

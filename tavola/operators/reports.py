@@ -144,16 +144,25 @@ def orders_text_search(df: DataFrame, term: str) -> DataFrame:
 def customers_text_search(t: Tables, term: str) -> DataFrame:
     """Numbered customer list rows whose shown text contains ``term``
     (the shown row number counts too)."""
-    listed = with_row_number(customers_with_order_count(t), [_o("name"), _o("customer_id")], "row_no")
+    listed = with_row_number(_customer_counts(t), [_o("name"), _o("customer_id")], "row_no")
     text = F.lower(F.concat_ws(" ", F.col("row_no").cast("string"), "name", "email", "phone_number",
                                F.col("order_count").cast("string"), F.lit("Delete")))
     return listed.filter(text.contains(F.lower(F.lit(term or ""))))
 
 
 def orders_by_status(df: DataFrame, status: str | None) -> DataFrame:
-    """Case-insensitive status filter; blank means all."""
+    """Case-insensitive status filter; blank means all.
+
+    Stored statuses are limited to the four schema values, so a known status
+    becomes a plain equality the Parquet scan can push down; any other text
+    falls back to comparing lower-case values.
+    """
     if not status:
         return df
+    from tavola.schema import ORDER_STATUSES
+    canon = {s.lower(): s for s in ORDER_STATUSES}.get(status.lower())
+    if canon is not None:
+        return df.filter(F.col("order_status") == canon)
     return df.filter(F.lower(F.col("order_status")) == status.lower())
 
 
@@ -226,6 +235,10 @@ def order_details_nested(t: Tables, order_ids: DataFrame | None = None) -> DataF
 def all_orders(t: Tables) -> DataFrame:
     """J2 (flat): orders left-joined to customer, basket lines and menu, DISTINCT,
     newest first. Orders with no line keep one row of NULL line columns."""
+    return _all_order_rows(t).orderBy(_o("order_date", DESC), _o("order_id"), _o("menu_id"))
+
+
+def _all_order_rows(t: Tables) -> DataFrame:
     c = t["customer"].select("customer_id", F.col("name").alias("customer_name"),
                              F.col("email").alias("customer_email"))
     i = t["items"].select("item_id", "menu_id", "quantity", F.col("price").alias("item_price"))
@@ -233,14 +246,13 @@ def all_orders(t: Tables) -> DataFrame:
     return (t["orders"].join(c, "customer_id", "left").join(i, "item_id", "left").join(m, "menu_id", "left")
             .select("order_id", "customer_id", "total_price", "order_status", "order_date", "customer_name",
                     "customer_email", "menu_id", "quantity", "item_price", "item_name", "description", "category")
-            .dropDuplicates()
-            .orderBy(_o("order_date", DESC), _o("order_id"), _o("menu_id")))
+            .dropDuplicates())
 
 
 def all_orders_nested(t: Tables) -> DataFrame:
     """J2 (nested): lines with both a menu id and a name are collected; an order
     without such lines has an empty array."""
-    flat = all_orders(t)
+    flat = _all_order_rows(t)
     line = F.when(F.col("menu_id").isNotNull() & F.col("item_name").isNotNull(),
                   F.struct("menu_id", "item_name", "category", "quantity", F.col("item_price").alias("price"),
                            "description"))
@@ -260,6 +272,10 @@ def first_payment(payment: DataFrame) -> DataFrame:
 def customer_orders(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     """J3 (flat): a customer's basket lines with the *frozen* line price and the
     order's payment (first by id; 'Not specified' / 'Pending' when none)."""
+    return _customer_order_rows(t, customers).orderBy(_o("order_date", DESC), _o("order_id"), _o("item_name"))
+
+
+def _customer_order_rows(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     o = _restrict(t["orders"], customers, "customer_id")
     i = t["items"].select("item_id", "menu_id", "quantity", F.col("price").alias("item_price"))
     m = t["menu"].select("menu_id", "item_name")
@@ -268,13 +284,12 @@ def customer_orders(t: Tables, customers: DataFrame | None = None) -> DataFrame:
             .select("order_id", "customer_id", "order_date", "order_status", "total_price", "item_name", "quantity",
                     "item_price",
                     F.coalesce(F.nullif(F.col("payment_method"), F.lit("")), F.lit("Not specified")).alias("payment_method"),
-                    F.coalesce(F.nullif(F.col("payment_status"), F.lit("")), F.lit("Pending")).alias("payment_status"))
-            .orderBy(_o("order_date", DESC), _o("order_id"), _o("item_name")))
+                    F.coalesce(F.nullif(F.col("payment_status"), F.lit("")), F.lit("Pending")).alias("payment_status")))
 
 
 def customer_orders_nested(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     """J3 (nested): one row per order with its lines."""
-    flat = customer_orders(t, customers)
+    flat = _customer_order_rows(t, customers)
     return (flat.groupBy("order_id", "customer_id", "order_date", "order_status", "total_price", "payment_method",
                          "payment_status")
             .agg(F.array_sort(F.collect_list(F.struct("item_name", "quantity", F.col("item_price").alias("price"))))
@@ -536,10 +551,13 @@ CUSTOMER_COLS = ("customer_id", "name", "email", "phone_number", "address")
 
 def customers_with_order_count(t: Tables) -> DataFrame:
     """A10: every customer with the number of orders (0 when none), by name."""
+    return _customer_counts(t).orderBy(_o("name"), _o("customer_id"))
+
+
+def _customer_counts(t: Tables) -> DataFrame:
     per = _orders_per_customer(t["orders"])
     return (t["customer"].select(*CUSTOMER_COLS).join(per, "customer_id", "left")
-            .withColumn("order_count", F.coalesce(F.col("order_count"), F.lit(0)).cast("long"))
-            .orderBy(_o("name"), _o("customer_id")))
+            .withColumn("order_count", F.coalesce(F.col("order_count"), F.lit(0)).cast("long")))
 
 
 def customer_profile(t: Tables, customers: DataFrame | None = None) -> DataFrame:
@@ -631,7 +649,7 @@ def max_suffix_key(df: DataFrame, col: str, default: int = 0) -> DataFrame:
 
 def numbered_customers(t: Tables) -> DataFrame:
     """The customer list as shown, with its 1-based row number."""
-    return with_row_number(customers_with_order_count(t), [_o("name"), _o("customer_id")], "row_no")
+    return with_row_number(_customer_counts(t), [_o("name"), _o("customer_id")], "row_no")
 
 
 def courier_index(t: Tables) -> DataFrame:

@@ -233,3 +233,61 @@ def test_random_assignment_is_repeatable(spark, seed):
     b = rows(C.random_assignment(seed, seed["orders"], seed=3))
     assert a == b and all(r[2] is not None for r in a)
     assert {r[1] for r in a} <= {1, 2, 3, 4}
+
+
+# The expected transition tables (from, to) -> accepted.
+LENIENT_OK = {("Pending", "Pending"), ("Processing", "Pending"), ("Completed", "Pending"), ("Cancelled", "Pending"),
+              ("Pending", "Processing"), ("Processing", "Completed"), ("Pending", "Cancelled"),
+              ("Processing", "Cancelled"), ("Cancelled", "Cancelled")}
+STRICT_OK = {("Pending", "Processing"), ("Pending", "Cancelled"), ("Processing", "Completed"),
+             ("Processing", "Cancelled")}
+
+
+@pytest.mark.parametrize("mode,ok", [("lenient", LENIENT_OK), ("strict", STRICT_OK)])
+def test_all_transitions(spark, seed, mode, ok):
+    current = {f"O{i}{j}": a for i, a in enumerate(STATUSES) for j in range(4)}
+    reqs = [(n, f"O{i}{j}", b) for n, (i, j, b) in enumerate(
+        (i, j, STATUSES[j]) for i in range(4) for j in range(4))]
+    t = dict(seed)
+    t["orders"] = _orders_frame(spark, seed, current)
+    df = spark.createDataFrame(reqs, "request_seq long, order_id string, status string")
+    res = C.apply_order_status(t, df, mode=mode, refresh_totals=False)
+    got = {(current[r.order_id], r.status): r.accepted for r in res.verdicts.collect()}
+    assert got == {(a, b): (a, b) in ok for a in STATUSES for b in STATUSES}
+
+
+def test_verdicts_cover_every_request(spark):
+    """accepted + rejected = requests, for every batch built from sf0.001."""
+    from conftest import SF001
+    from tavola.sources import requests as Q
+    from tavola.sources.tables import star_tables
+    t = star_tables(spark, SF001)
+    cases = [
+        (C.apply_order_status(t, Q.status_requests(spark, SF001)).verdicts, Q.status_requests(spark, SF001)),
+        (C.apply_assignments(t, Q.assignment_requests(spark, SF001)).verdicts, Q.assignment_requests(spark, SF001)),
+        (C.apply_registrations(t, Q.registration_requests(spark, SF001)).verdicts,
+         Q.registration_requests(spark, SF001)),
+        (C.apply_profile_updates(t, Q.profile_requests(spark, SF001)).verdicts, Q.profile_requests(spark, SF001)),
+        (C.apply_feedback(t, Q.feedback_requests(spark, SF001)).verdicts, Q.feedback_requests(spark, SF001)),
+        (C.apply_menu_updates(t, Q.menu_update_requests(spark, SF001)).verdicts, Q.menu_update_requests(spark, SF001)),
+        (C.apply_employee_changes(t, Q.employee_requests(spark, SF001)).verdicts, Q.employee_requests(spark, SF001)),
+        (C.place_orders(t, Q.carts(spark, SF001)).verdicts, Q.carts(spark, SF001)),
+    ]
+    for verdicts, reqs in cases:
+        seqs = [r.request_seq for r in verdicts.select("request_seq").collect()]
+        assert sorted(seqs) == sorted(r.request_seq for r in reqs.select("request_seq").collect())
+        assert verdicts.filter("accepted and reason is not null or not accepted and reason is null").count() == 0
+
+
+def test_second_application_is_rejected(spark, seed):
+    req = spark.createDataFrame([(1, "D", "d@x.com", "7222222222", "x")],
+                                "request_seq long, name string, email string, phone_number string, address string")
+    first = C.apply_registrations(seed, req)
+    t2 = dict(seed)
+    t2["customer"] = first.tables["customer"]
+    assert [r.reason for r in C.apply_registrations(t2, req).verdicts.collect()] == ["email_registered"]
+    asg = spark.createDataFrame([(1, "O002", "E004")], "request_seq long, order_id string, delivery_person_id string")
+    a1 = C.apply_assignments(seed, asg)
+    t3 = dict(seed)
+    t3["deliveries"] = a1.tables["deliveries"]
+    assert [r.reason for r in C.apply_assignments(t3, asg).verdicts.collect()] == ["courier_busy"]
