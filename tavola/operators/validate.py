@@ -81,10 +81,7 @@ def row_violations(t: Tables, table: str) -> DataFrame | None:
     rules = [(rule_name(k, c), _violates(k, c, a)) for tb, k, c, a in ROW_RULES if tb == table]
     if not rules:
         return None
-    hits = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]), lambda x: x.isNotNull())
-    return (t[table].select(row_key(table).alias("row_key"), hits.alias("_hits"))
-            .filter(F.size("_hits") > 0)
-            .select(F.lit(table).alias("table_name"), "row_key", F.explode("_hits").alias("rule")))
+    return _hits(t[table], table, row_key(table), [(cond, name) for name, cond in rules])
 
 
 def key_violations(t: Tables) -> list[DataFrame]:
@@ -109,9 +106,16 @@ def _fk(child: DataFrame, table: str, col: str, parent: DataFrame, pcol: str) ->
 
 
 def _hits(df: DataFrame, table: str, key: Column, checks: list[tuple[Column, str]]) -> DataFrame:
-    """Rows of ``df`` with every failing check's rule name, one row per hit."""
-    arr = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in checks]), lambda x: x.isNotNull())
-    return (df.select(key.alias("row_key"), arr.alias("_h")).filter(F.size("_h") > 0)
+    """Rows of ``df`` with every failing check's rule name, one row per hit.
+
+    A plain OR of the checks (whole-stage codegen) drops valid rows first;
+    only failing rows build the array of rule names."""
+    any_bad = None
+    for c, _ in checks:
+        c = F.coalesce(c, F.lit(False))
+        any_bad = c if any_bad is None else (any_bad | c)
+    arr = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in checks]))
+    return (df.filter(any_bad).select(key.alias("row_key"), arr.alias("_h"))
             .select(F.lit(table).alias("table_name"), "row_key", F.explode("_h").alias("rule")))
 
 
@@ -197,9 +201,7 @@ def violation_counts(t: Tables) -> DataFrame:
 def validate_cart_lines(lines: DataFrame) -> DataFrame:
     """A cart line needs an item name and a numeric price, quantity parsed."""
     price_ok = F.col("price").cast("string").try_cast("double").isNotNull()
-    hits = F.filter(F.array(F.when(F.col("item_name").isNull() | (F.trim("item_name") == ""), F.lit("missing_name")),
-                            F.when(~price_ok, F.lit("bad_price")),
-                            F.when(F.col("quantity").cast("string").try_cast("int").isNull(), F.lit("bad_quantity"))),
-                    lambda x: x.isNotNull())
-    return (lines.select("request_seq", "line_no", hits.alias("_h")).filter(F.size("_h") > 0)
-            .select("request_seq", "line_no", F.explode("_h").alias("rule")))
+    checks = [(F.col("item_name").isNull() | (F.trim("item_name") == ""), "missing_name"), (~price_ok, "bad_price"),
+              (F.col("quantity").cast("string").try_cast("int").isNull(), "bad_quantity")]
+    return _hits(lines, "cart_lines", F.struct("request_seq", "line_no"), checks).select(
+        "row_key.request_seq", "row_key.line_no", "rule")
