@@ -370,6 +370,7 @@ def apply_basket_lines(t: Tables, requests: DataFrame) -> BatchResult:
     the current menu price.
     """
     from tavola.operators.reports import menu_ids_by_name
+    requests = requests.select("request_seq", "item_id", "items").checkpoint(eager=True)
     names = menu_ids_by_name(t["menu"])
     lines = _merged_lines(requests.select("request_seq", "item_id", "items"), ["request_seq", "item_id"]) \
         .join(names, "item_name", "left")
@@ -405,6 +406,9 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     payment amount are derived; cash is paid Pending, other methods Completed.
     """
     from tavola.operators.reports import menu_ids_by_name
+    # The batch feeds the verdicts, the key numbering and the new rows: write
+    # it once to the shared checkpoint folder instead of recomputing upstream.
+    carts = carts.select("request_seq", "customer_id", "items", "payment_method").checkpoint(eager=True)
     names = menu_ids_by_name(t["menu"])
     lines = _merged_lines(carts.select("request_seq", "items"), ["request_seq"]).join(names, "item_name", "left")
     stats = (lines.groupBy("request_seq")
