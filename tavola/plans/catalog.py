@@ -20,11 +20,12 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[QueryFn, str | None]] = {}
 
 
-def register(name: str, sql: str | None):
+def register(name: str, sql: str | None, recursive: bool = False):
     def deco(fn: QueryFn) -> QueryFn:
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = (fn, None if sql is None else ADAPTER_SQL + sql)
+        prefix = ADAPTER_SQL.replace("WITH\n", "WITH RECURSIVE\n", 1) if recursive else ADAPTER_SQL
+        REGISTRY[name] = (fn, None if sql is None else prefix + sql)
         return fn
     return deco
 

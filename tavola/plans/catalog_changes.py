@@ -179,7 +179,11 @@ def q_profile_update_batch(spark, d):
     return C.apply_profile_updates(tables(spark, d), Q.profile_requests(spark, d)).verdicts
 
 
-@register("profile_change_audit", None)
+@register("profile_change_audit", PROFILE_SQL + """, last AS (select customer_id, arg_max(email, request_seq) as e
+ from fin where reason is null group by customer_id)
+select c.customer_id, """ + AS_OF_SQL + """ as change_date, 'email' as column_name, c.email as old_value,
+ l.e as new_value, cast(null as varchar) as reason from r_customer c join last l on l.customer_id=c.customer_id
+ where c.email is distinct from l.e""")
 def q_profile_change_audit(spark, d):
     """E-mail changes made by the profile batch (old and new value per customer)."""
     t = tables(spark, d)
@@ -188,22 +192,36 @@ def q_profile_change_audit(spark, d):
 
 
 # C11 ----------------------------------------------------------------------------------
-@register("feedback_batch", """, req AS (select e.event_id as request_seq, 'O'||e.event_id as order_id,
+FEEDBACK_SQL = """, req AS (select e.event_id as request_seq, 'O'||e.event_id as order_id,
  'C'||(case when e.event_id%3=0 then e.user_id else o.o_custkey end) as customer_id,
  cast(cast(e.event_id % 61 as decimal(2,0)) * cast(0.1 as decimal(1,1)) as decimal(2,1)) as rating_score,
  case when e.event_type='error' then null else e.props end as feedback_text
- from events e left join orders o on e.event_id=o.o_orderkey)
-select request_seq, order_id, customer_id, rating_score, feedback_text, reason is null as accepted, reason from (select r.*,
+ from events e left join orders o on e.event_id=o.o_orderkey),
+fb AS (select r.*,
  case when """ + _blank("r.order_id") + " or r.rating_score is null or r.rating_score=0 or " + _blank("r.feedback_text") + """
  then 'missing_fields' when r.rating_score<1 or r.rating_score>5 then 'rating_out_of_range'
  when length(r.feedback_text)>500 then 'text_too_long'
  when not exists (select 1 from r_orders o where o.order_id=r.order_id and o.customer_id=r.customer_id) then 'order_not_found'
- end as reason from req r) x""")
+ end as reason from req r)
+"""
+
+
+@register("feedback_batch", FEEDBACK_SQL + "select request_seq, order_id, customer_id, rating_score, feedback_text, "
+          "reason is null as accepted, reason from fb")
 def q_feedback_batch(spark, d):
     return C.apply_feedback(tables(spark, d), Q.feedback_requests(spark, d)).verdicts
 
 
-@register("feedback_after_batch", None)
+@register("feedback_after_batch", FEEDBACK_SQL + """, acc AS (select * from fb where reason is null),
+last AS (select order_id, arg_max(rating_score, request_seq) as sc, arg_max(feedback_text, request_seq) as tx,
+ arg_min(customer_id, request_seq) as c, min(request_seq) as first from acc group by order_id),
+mx AS (select coalesce(max(try_cast(substr(rating_id, 2) as bigint)), 0) as m from r_feedback),
+fresh AS (select l.*, mx.m + row_number() over (order by l.first) as n from last l, mx
+ where not exists (select 1 from r_feedback f where f.order_id=l.order_id))
+select f.rating_id, f.order_id, f.customer_id, coalesce(l.sc, f.rating_score) as rating_score,
+ case when l.order_id is not null then l.tx else f.feedback_text end as feedback_text
+from r_feedback f left join last l on l.order_id=f.order_id
+union all select """ + _pad("F", "n") + """, order_id, c, sc, tx from fresh""")
 def q_feedback_after_batch(spark, d):
     """C11's new feedback table (updates applied, new rows keyed)."""
     return C.apply_feedback(tables(spark, d), Q.feedback_requests(spark, d)).tables["feedback"]
@@ -279,30 +297,94 @@ def q_basket_lines_items(spark, d):
     return C.apply_basket_lines(tables(spark, d), Q.basket_requests(spark, d)).tables["items"]
 
 
-# C8 (sequential; brute-force tested) -------------------------------------------------------
-@register("order_status_batch", None)
+# The sequential state machine, replayed in SQL by a recursive CTE per order ----------
+def _status_sql(mode: str) -> str:
+    from tavola.schema import ORDER_STATUSES, OTHER, transitions
+    pairs = ", ".join(f"('{a}', '{b}')" for a, b in transitions(mode))
+    known = _in(ORDER_STATUSES)
+    return f""", req AS (select event_id as request_seq, 'O'||(event_id // 3) as order_id,
+ case when value < 1 then 'Unknown' else case event_type when 'signup' then 'Pending' when 'view' then 'Processing'
+ when 'click' then 'Completed' when 'purchase' then 'Completed' else 'Cancelled' end end as status from events),
+pre AS (select r.*, case when r.status is null or r.status not in {known} then 'invalid_status'
+ when o.order_id is null then 'order_not_found' end as why from req r left join r_orders o on o.order_id=r.order_id),
+cand AS (select request_seq, order_id, status, row_number() over (partition by order_id order by request_seq) as rn
+ from pre where why is null),
+allowed(f, t) AS (VALUES {pairs}),
+walk(order_id, rn, state) AS (
+ select o.order_id, cast(0 as bigint), o.order_status from r_orders o where o.order_id in (select order_id from cand)
+ union all
+ select c.order_id, c.rn, case when a.f is not null then c.status else w.state end
+ from walk w join cand c on c.order_id=w.order_id and c.rn=w.rn+1
+ left join allowed a on a.f=(case when w.state in {known} then w.state else '{OTHER}' end) and a.t=c.status),
+folded AS (select c.request_seq, c.order_id, c.status, exists (select 1 from allowed a
+ where a.f=(case when w.state in {known} then w.state else '{OTHER}' end) and a.t=c.status) as accepted
+ from cand c join walk w on w.order_id=c.order_id and w.rn=c.rn-1),
+verdicts AS (select request_seq, order_id, status, false as accepted, why as reason from pre where why is not null
+ union all select request_seq, order_id, status, accepted,
+ case when not accepted then 'invalid_transition' end as reason from folded)
+"""
+
+
+@register("order_status_batch", _status_sql("lenient") + "select * from verdicts", recursive=True)
 def q_order_status_batch(spark, d):
     return C.apply_order_status(tables(spark, d), Q.status_requests(spark, d)).verdicts
 
 
-@register("order_status_strict_batch", None)
+@register("order_status_strict_batch", _status_sql("strict") + "select * from verdicts", recursive=True)
 def q_order_status_strict_batch(spark, d):
     return C.apply_order_status(tables(spark, d), Q.status_requests(spark, d), mode="strict").verdicts
 
 
-@register("order_status_deliveries", None)
+@register("order_status_deliveries", _status_sql("lenient") + """, last AS (select order_id, arg_max(status, request_seq) as s
+ from verdicts where accepted and status in ('Completed','Cancelled') group by order_id)
+select d.delivery_id, d.order_id, d.delivery_person_id, case l.s when 'Completed' then 'Delivered'
+ when 'Cancelled' then 'Cancelled' else d.delivery_status end as delivery_status, d.delivery_time
+from r_deliveries d left join last l on l.order_id=d.order_id""", recursive=True)
 def q_order_status_deliveries(spark, d):
     """C8's new deliveries table (Completed/Cancelled orders propagate)."""
     return C.apply_order_status(tables(spark, d), Q.status_requests(spark, d)).tables["deliveries"]
 
 
 # C14 / C15 -------------------------------------------------------------------------------
-@register("employee_batch", None)
+EMP_SQL = """, req AS (select s_suppkey*10 as request_seq, case s_suppkey%4 when 0 then 'insert' when 1 then 'update'
+ when 2 then 'delete' else 'update' end as op, 'E'||(s_suppkey*2) as employee_id, 'Staff '||s_suppkey as name,
+ case s_suppkey%5 when 0 then 'Delivery' when 1 then 'Chef' when 2 then 'Manager' when 3 then 'Waiter' else 'Delivery' end
+ as role, cast(6100000000 + s_suppkey%50 as decimal(10,0)) as phone_number, cast(s_acctbal as decimal(18,2)) as salary
+ from supplier),
+chk AS (select r.*, (select min(e.employee_id) from r_employee e where e.phone_number=r.phone_number) as ph_owner,
+ exists (select 1 from r_employee e where e.employee_id=r.employee_id) as known,
+ exists (select 1 from r_delivery d join r_deliveries x on x.delivery_person_id=d.delivery_id
+   and x.delivery_status='Out for Delivery' where d.employee_id=r.employee_id) as active,
+ exists (select 1 from r_delivery d where d.employee_id=r.employee_id) as has_courier from req r),
+why AS (select chk.*, case
+ when op in ('insert','update') and (role is null or role not in ('Delivery','Chef','Manager')) then 'invalid_role'
+ when op in ('insert','update') and (name is null or trim(name)='') then 'missing_name'
+ when op in ('insert','update') and phone_number is null then 'missing_phone'
+ when op in ('insert','update') and salary <= 0 then 'invalid_salary'
+ when op='insert' and ph_owner is not null then 'duplicate_phone'
+ when op='update' and not known then 'not_found'
+ when op='update' and ph_owner is not null and ph_owner<>employee_id then 'duplicate_phone'
+ when op='delete' and active then 'active_deliveries'
+ when op='delete' and not known then 'not_found'
+ when op='delete' and has_courier then 'referenced'
+ when op not in ('insert','update','delete') or op is null then 'invalid_op' end as w from chk),
+fin AS (select *, coalesce(w, case when op='insert' and request_seq <> min(case when op='insert' and w is null
+ then request_seq end) over (partition by phone_number) then 'duplicate_phone' end) as reason from why)
+"""
+
+
+@register("employee_batch", EMP_SQL + "select request_seq, op, employee_id, name, role, phone_number, salary, "
+          "reason is null as accepted, reason from fin")
 def q_employee_batch(spark, d):
     return C.apply_employee_changes(tables(spark, d), Q.employee_requests(spark, d)).verdicts
 
 
-@register("new_employee_routes", None)
+@register("new_employee_routes", EMP_SQL + """, mx AS (select coalesce(max(try_cast(substr(employee_id, 2) as bigint)), 0) as m
+ from r_employee), ins AS (select fin.*, mx.m + row_number() over (order by request_seq) as n from fin, mx
+ where op='insert' and reason is null)
+select 'delivery' as target, """ + _pad("E", "n") + " as employee_id, " + _pad("D", "n") + """ as new_id from ins
+ where role='Delivery'
+union all select 'chef', """ + _pad("E", "n") + ", " + _pad("E", "n") + """ from ins where role='Chef'""")
 def q_new_employee_routes(spark, d):
     """Courier and chef rows for the employees the batch inserted."""
     res = C.apply_employee_changes(tables(spark, d), Q.employee_requests(spark, d))
