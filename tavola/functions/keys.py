@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tavola.session import reliable_checkpoint
+
 # Fixed value: letters drawn by the random order code.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -50,7 +52,7 @@ def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number"
         df.orderBy(*order)
         .withColumn(pid, F.spark_partition_id())
         .withColumn(mid, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .transform(reliable_checkpoint)
     )
     counts = sorted_df.groupBy(pid).agg(F.count(F.lit(1)).alias(n), F.min(mid).alias(first))
     # One row per partition: a bounded frame, fine for an unpartitioned window.

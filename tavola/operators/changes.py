@@ -33,6 +33,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.session import reliable_checkpoint
+
 from tavola.functions.exprs import broadcast_if_small, payment_status_for
 from tavola.functions.keys import allocate_keys, key_number, key_suffix_number, pad_key, seeded_draw, with_row_number
 from tavola.operators.derive import basket_sums
@@ -370,7 +372,7 @@ def apply_basket_lines(t: Tables, requests: DataFrame) -> BatchResult:
     the current menu price.
     """
     from tavola.operators.reports import menu_ids_by_name
-    requests = requests.select("request_seq", "item_id", "items").checkpoint(eager=True)
+    requests = requests.select("request_seq", "item_id", "items").transform(reliable_checkpoint)
     names = menu_ids_by_name(t["menu"])
     lines = _merged_lines(requests.select("request_seq", "item_id", "items"), ["request_seq", "item_id"]) \
         .join(names, "item_name", "left")
@@ -408,7 +410,7 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     from tavola.operators.reports import menu_ids_by_name
     # The batch feeds the verdicts, the key numbering and the new rows: write
     # it once to the shared checkpoint folder instead of recomputing upstream.
-    carts = carts.select("request_seq", "customer_id", "items", "payment_method").checkpoint(eager=True)
+    carts = carts.select("request_seq", "customer_id", "items", "payment_method").transform(reliable_checkpoint)
     names = menu_ids_by_name(t["menu"])
     lines = _merged_lines(carts.select("request_seq", "items"), ["request_seq"]).join(names, "item_name", "left")
     stats = (lines.groupBy("request_seq")

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tavola.session import reliable_checkpoint
+
 from tavola.functions.keys import with_row_number
 from tavola.schema import OTHER
 
@@ -100,7 +102,7 @@ def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initi
                        .alias("_m"))
                   .select("_k", "_e", F.aggregate("_m", F.sequence(F.lit(0), F.lit(n - 1)),
                                                   lambda acc, m: _compose(acc, m["f"])).alias("_f"))
-                  .checkpoint(eager=True))
+                  .transform(reliable_checkpoint))
         ups.append(parent)
 
     # Down-sweep: top node starts from the key's current state.
@@ -121,7 +123,7 @@ def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initi
                           .alias("_z"))
                   .select("_k", F.explode("_z").alias("_z"))
                   .select("_k", F.col("_z._m.e").alias("_e"), F.col("_z.st").alias("_s"))
-                  .checkpoint(eager=True))
+                  .transform(reliable_checkpoint))
     # Leaves: requests of each first-level node, with their full rows.
     leaves = (lvl0.withColumn("_pe", (F.col("_e") / width).cast("long"))
               .groupBy("_k", "_pe")

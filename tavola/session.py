@@ -80,3 +80,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written intermediates."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def reliable_checkpoint(df):
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage
+    (survives executor loss, unlike a local checkpoint)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
