@@ -16,7 +16,9 @@ becomes a parallel prefix scan:
   members.
 
 No group ever holds more than ``width`` rows, so a key that owns a third of
-all requests is spread over many tasks instead of one.
+all requests is spread over many tasks instead of one. Keys with at most
+``width`` requests (the usual case) skip the scan: they are folded directly,
+one bounded group per key.
 """
 
 from __future__ import annotations
@@ -61,23 +63,80 @@ def _prefix_starts(members: Column, start: Column, fn_field: str) -> Column:
     return folded["out"]
 
 
+def _allowed_index(states: list[str], allowed_pairs):
+    names = list(states) + [OTHER]
+    n = len(names)
+    idx = {s: i for i, s in enumerate(names)}
+    allowed: dict[int, list[int]] = {}
+    for a, b in allowed_pairs:
+        allowed.setdefault(idx.get(a, n - 1), []).append(idx[b])
+    return names, n, idx, allowed
+
+
 def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initial: DataFrame,
                      states: list[str], allowed_pairs, width: int = 512) -> DataFrame:
     """Apply ``requests`` (key, seq, target, ...) in ``seq`` order per key.
 
+    Keys with at most ``width`` requests are folded directly, one bounded
+    group per key. Only when some key has more (a hot key) do those keys go
+    through the parallel scan (``_scan_transitions``); one small job decides.
+    Returns the requests with ``state_before``, ``state_after``, ``accepted``.
+    """
+    counts = requests.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") > width).select(key)
+    if hot.limit(1).count() == 0:
+        return _direct_transitions(requests, key, seq, target, initial, states, allowed_pairs)
+    small = requests.join(counts.filter(F.col("_n") <= width).select(key), key, "left_semi")
+    big = requests.join(hot, key, "left_semi")
+    return _direct_transitions(small, key, seq, target, initial, states, allowed_pairs).unionByName(
+        _scan_transitions(big, key, seq, target, initial, states, allowed_pairs, width))
+
+
+def _direct_transitions(requests: DataFrame, key: str, seq: str, target: str, initial: DataFrame,
+                        states: list[str], allowed_pairs) -> DataFrame:
+    """Per-key fold for keys whose request count is known to be bounded."""
+    names, n, idx, allowed = _allowed_index(states, allowed_pairs)
+    name_of = F.array(*[F.lit(s) for s in names])
+    index_map = F.create_map(*[x for s in states for x in (F.lit(s), F.lit(idx[s]))])
+    req_cols = requests.columns
+    tgt = F.when(F.col(target).isNotNull(), F.try_element_at(index_map, F.col(target)))
+    init = initial.select(F.col(initial.columns[0]).alias("_k"),
+                          F.coalesce(F.when(F.col(initial.columns[1]).isNotNull(),
+                                            F.try_element_at(index_map, F.col(initial.columns[1]))),
+                                     F.lit(n - 1)).alias("_s"))
+    groups = (requests.select(F.col(key).alias("_k"), F.struct(F.col(seq).alias("e"),
+                                                                _state_function(tgt, n, allowed).alias("f"),
+                                                                F.struct(*[F.col(c) for c in req_cols]).alias("row"))
+                              .alias("_m"))
+              .groupBy("_k").agg(F.array_sort(F.collect_list("_m")).alias("_m"))
+              .join(init, "_k", "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(n - 1))))
+    out = (groups.select(F.explode(F.arrays_zip(F.col("_m"), _prefix_starts(F.col("_m"), F.col("_s"), "f")
+                                                .alias("st"))).alias("_z"))
+           .select("_z._m.row.*", F.col("_z.st").alias("_before"), F.col("_z._m.f").alias("_f")))
+    return _finish(out, req_cols, target, n, allowed, name_of, index_map)
+
+
+def _finish(out: DataFrame, req_cols, target: str, n: int, allowed, name_of, index_map) -> DataFrame:
+    tgt = F.when(F.col(target).isNotNull(), F.try_element_at(index_map, F.col(target)))
+    after = F.element_at(F.col("_f"), F.col("_before") + 1)
+    accepted = F.coalesce(F.array_contains(F.element_at(_allowed_map(n, allowed), F.col("_before")), tgt), F.lit(False))
+    return out.select(*req_cols,
+                      F.element_at(name_of, F.col("_before") + 1).alias("state_before"),
+                      F.element_at(name_of, after + 1).alias("state_after"),
+                      accepted.alias("accepted"))
+
+
+def _scan_transitions(requests: DataFrame, key: str, seq: str, target: str, initial: DataFrame,
+                      states: list[str], allowed_pairs, width: int = 512) -> DataFrame:
+    """Parallel prefix scan over global positions (for hot keys).
+
     ``initial`` gives (key, state) before the batch; ``states`` lists the
     state names (an unknown current state maps to an extra "other" index);
     ``allowed_pairs`` is the set of (from, to) names that are accepted. A
     request is accepted when (state before it, target) is allowed; accepted
-    requests move the state. Returns the requests with ``state_before``,
-    ``state_after`` and ``accepted``.
+    requests move the state.
     """
-    names = list(states) + [OTHER]
-    n = len(names)
-    idx = {s: i for i, s in enumerate(names)}
-    allowed: dict[int, list[int]] = {}
-    for a, b in allowed_pairs:
-        allowed.setdefault(idx.get(a, n - 1), []).append(idx[b])
+    names, n, idx, allowed = _allowed_index(states, allowed_pairs)
     name_of = F.array(*[F.lit(s) for s in names])
     index_map = F.create_map(*[x for s in states for x in (F.lit(s), F.lit(idx[s]))])
 
@@ -133,9 +192,4 @@ def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initi
            .select(F.explode(F.arrays_zip(F.col("_m"), _prefix_starts(F.col("_m"), F.col("_s"), "f").alias("st")))
                    .alias("_z"))
            .select("_z._m.row.*", F.col("_z.st").alias("_before"), F.col("_z._m.f").alias("_f")))
-    after = F.element_at(F.col("_f"), F.col("_before") + 1)
-    accepted = F.coalesce(F.array_contains(F.element_at(_allowed_map(n, allowed), F.col("_before")), tgt), F.lit(False))
-    return out.select(*req_cols,
-                      F.element_at(name_of, F.col("_before") + 1).alias("state_before"),
-                      F.element_at(name_of, after + 1).alias("state_after"),
-                      accepted.alias("accepted"))
+    return _finish(out, req_cols, target, n, allowed, name_of, index_map)

@@ -41,7 +41,7 @@ def _orders_frame(spark, seed, current):
     return spark.createDataFrame(data, seed["orders"].schema)
 
 
-@pytest.mark.parametrize("mode,width", [("lenient", 2), ("strict", 3), ("lenient", 512)])
+@pytest.mark.parametrize("mode,width", [("lenient", 2), ("strict", 3), ("lenient", 8), ("strict", 512)])
 def test_order_status_matches_sequential(spark, seed, mode, width):
     rnd = random.Random(7 + width)
     current = {f"O{i:03d}": rnd.choice(STATUSES + ["Paid"]) for i in range(12)}
