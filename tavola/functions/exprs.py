@@ -93,3 +93,9 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> Data
     if size is not None and size <= max_bytes:
         return F.broadcast(df)
     return df
+
+
+def db_timestamp(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """``TO_TIMESTAMP(text, 'YYYY-MM-DD HH24:MI:SS')`` / ``TO_DATE`` as a
+    zone-less timestamp; text that does not parse gives NULL."""
+    return F.try_to_timestamp(_c(text), F.lit(fmt)).cast("timestamp_ntz")

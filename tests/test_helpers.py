@@ -59,3 +59,20 @@ def test_cart_line_checks(spark):
                                   "request_seq long, line_no int, item_name string, price string, quantity int")
     got = rows(V.validate_cart_lines(lines))
     assert got == [(1, 1, "missing_name"), (1, 2, "bad_price"), (2, 1, "bad_quantity")]
+
+
+def test_db_timestamp_and_text_helpers(spark):
+    import datetime as dt
+    from tavola.functions.exprs import clamp_quantity, db_timestamp, full_stars, js_or, payment_status_for, slug
+    df = spark.createDataFrame([("2024-03-25 14:30:00", "x", "Cash", 0, 4.2), ("bad", "12", "UPI", 5, None)],
+                               "t string, q string, m string, a int, s double")
+    got = df.select(db_timestamp("t").alias("ts"), db_timestamp(F.substring("t", 1, 10), "yyyy-MM-dd").alias("d"),
+                    clamp_quantity("q").alias("q"), payment_status_for("m").alias("p"), js_or("a", F.lit(9)).alias("a"),
+                    full_stars("s").alias("s"), slug(F.lit("  Veg  Starter ")).alias("g")).collect()
+    assert got[0].ts == dt.datetime(2024, 3, 25, 14, 30) and got[0].d == dt.datetime(2024, 3, 25)
+    assert got[1].ts is None
+    assert (got[0].q, got[1].q) == (1, 12)
+    assert (got[0].p, got[1].p) == ("Pending", "Completed")
+    assert (got[0].a, got[1].a) == (9, 5)
+    assert (got[0].s, got[1].s) == (5, 0)  # no score: no full star, as on the page
+    assert got[0].g == "veg-starter"
