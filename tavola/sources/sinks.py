@@ -88,3 +88,24 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", proper
     """Write a table through JDBC (batched inserts per partition)."""
     props = {"batchsize": str(batch_size), **(properties or {})}
     df.write.jdbc(url, table, mode=mode, properties=props)
+
+
+def latest_version(spark: SparkSession, out_dir: str) -> int | None:
+    """Highest committed version number (one scalar; None when nothing is committed)."""
+    try:
+        row = committed_versions(spark, out_dir).agg(F.max("version").alias("v")).first()
+    except Exception:  # noqa: BLE001  (no marker written yet)
+        return None
+    return None if row is None else row.v
+
+
+def publish_batch(base: Tables, result, out_dir: str, version: int) -> str:
+    """S6 for a change batch: the touched tables from ``result.tables``, the
+    untouched ones from ``base`` and the verdicts, written as one version
+    (verdicts and tables first, the commit marker last). Apart from the
+    checkpoints some operators take, this write is what executes the batch;
+    ``base`` is read from an older version, so no path is overwritten."""
+    tables = {n: result.tables.get(n, base[n]) for n in SCHEMAS}
+    base_dir = f"{out_dir.rstrip('/')}/v={version}"
+    result.verdicts.write.mode("errorifexists").parquet(f"{base_dir}/_verdicts.parquet")
+    return write_snapshot(tables, out_dir, version)  # commit marker last

@@ -89,3 +89,19 @@ def test_jdbc_roundtrip_in_memory(spark, seed):
     back = S.read_jdbc(spark, url, "MENU_COPY", properties=props)
     got = {r[0]: r[2] for r in back.collect()}
     assert got["M001"] == Decimal("199.00") and len(got) == 9
+
+
+def test_publish_change_batch(spark, seed, tmp_path):
+    from tavola.operators import changes as C
+    out = str(tmp_path / "versions")
+    assert S.latest_version(spark, out) is None
+    S.write_snapshot(seed, out, 1)
+    req = spark.createDataFrame([(1, "O002", "E004")], "request_seq long, order_id string, delivery_person_id string")
+    base = S.read_snapshot(spark, out, 1)
+    res = C.apply_assignments(base, req)
+    S.publish_batch(base, res, out, 2)
+    assert S.latest_version(spark, out) == 2
+    v2 = S.read_snapshot(spark, out, 2)
+    assert v2["deliveries"].count() == 5 and v2["menu"].count() == 9
+    assert dict(rows(v2["orders"], "order_id", "order_status"))["O002"] == "Processing"
+    assert spark.read.parquet(f"{out}/v=2/_verdicts.parquet").filter("accepted").count() == 1
