@@ -96,9 +96,11 @@ def _max_key_scalar(df: DataFrame, col: str, default: int = 0, suffix: bool = Fa
 
 
 def _refresh_totals(orders: DataFrame, items: DataFrame, touched: DataFrame) -> DataFrame:
-    """D2 for the touched order ids only (the trigger fires on update)."""
+    """D2 for the touched order ids only (the trigger fires on update): only
+    the baskets of touched orders are summed, not the whole items table."""
     t = touched.select("order_id").distinct().withColumn("_touch", F.lit(True))
-    sums = basket_sums(items)
+    baskets = orders.join(t, "order_id").select("item_id").distinct()
+    sums = basket_sums(items.join(baskets, "item_id", "left_semi"))
     return (orders.join(t, "order_id", "left").join(sums, "item_id", "left")
             .select("order_id", "customer_id", "item_id",
                     F.when(F.col("_touch"), F.col("_basket_total")).otherwise(F.col("total_price"))

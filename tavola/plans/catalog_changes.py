@@ -2,9 +2,9 @@
 
 Request batches are derived from the test tables (``sources.requests``);
 each query returns the operator's verdicts or one of its new tables. SQL
-cross-checks are given where the rule is a set rule; the sequential order
-state machine (C8) and the hash-based draws (C17, K2) are checked against
-brute force in the tests instead.
+cross-checks are given for all of them except the hash-based draws (C17,
+K2), which are checked in the tests; the sequential order state machine
+(C8) is replayed in SQL with a recursive CTE per order.
 """
 
 from __future__ import annotations
