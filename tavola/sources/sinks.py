@@ -109,3 +109,10 @@ def publish_batch(base: Tables, result, out_dir: str, version: int) -> str:
     base_dir = f"{out_dir.rstrip('/')}/v={version}"
     result.verdicts.write.mode("errorifexists").parquet(f"{base_dir}/_verdicts.parquet")
     return write_snapshot(tables, out_dir, version)  # commit marker last
+
+
+def carts_from_json_text(df: DataFrame, col: str = "payload") -> DataFrame:
+    """cart payloads held as JSON text in a column, parsed with the cart
+    schema (``from_json``; malformed text gives NULL fields)."""
+    parsed = F.from_json(F.col(col), CART_SCHEMA)
+    return df.select(parsed.alias("_c")).select("_c.*")

@@ -105,3 +105,14 @@ def test_publish_change_batch(spark, seed, tmp_path):
     assert v2["deliveries"].count() == 5 and v2["menu"].count() == 9
     assert dict(rows(v2["orders"], "order_id", "order_status"))["O002"] == "Processing"
     assert spark.read.parquet(f"{out}/v=2/_verdicts.parquet").filter("accepted").count() == 1
+
+
+def test_carts_from_json_text(spark):
+    carts = spark.createDataFrame([(7, "C002", [("Tiramisu", 1)], "Cash")],
+                                  "request_seq long, customer_id string, "
+                                  "items array<struct<item_name:string,quantity:int>>, payment_method string")
+    text = S.report_json_text(carts, "payload")
+    back = S.carts_from_json_text(text.unionByName(spark.createDataFrame([("{not json",)], "payload string")))
+    got = sorted(back.collect(), key=lambda r: (r.request_seq is None, r.request_seq))
+    assert (got[0].request_seq, got[0].customer_id, got[0].items[0].item_name) == (7, "C002", "Tiramisu")
+    assert got[1].request_seq is None
