@@ -226,10 +226,18 @@ def order_details_nested(t: Tables, order_ids: DataFrame | None = None) -> DataF
     each array is bounded by the menu size.
     """
     flat = order_details(t, order_ids)
-    head = ["order_id", "customer_id", "customer_name", "customer_email", "phone_number", "address", "total_price",
+    head = ["customer_id", "customer_name", "customer_email", "phone_number", "address", "total_price",
             "order_status", "order_date"]
-    return flat.groupBy(*head).agg(F.array_sort(F.collect_list(
-        F.struct("item_name", "item_id", "quantity", "price", "description"))).alias("items"))
+    return _nest(flat, head, F.struct("item_name", "item_id", "quantity", "price", "description"))
+
+
+def _nest(flat: DataFrame, head: list[str], line: Column) -> DataFrame:
+    """One row per order id (as the source groups its replies): the header is
+    the smallest header struct of the order (all equal when the keys hold),
+    the lines a sorted array (NULL lines skipped)."""
+    return (flat.groupBy("order_id")
+            .agg(F.min(F.struct(*head)).alias("_h"), F.array_sort(F.collect_list(line)).alias("items"))
+            .select("order_id", *[F.col(f"_h.{c}").alias(c) for c in head], "items"))
 
 
 def all_orders(t: Tables) -> DataFrame:
@@ -256,9 +264,8 @@ def all_orders_nested(t: Tables) -> DataFrame:
     line = F.when(F.col("menu_id").isNotNull() & F.col("item_name").isNotNull(),
                   F.struct("menu_id", "item_name", "category", "quantity", F.col("item_price").alias("price"),
                            "description"))
-    return (flat.groupBy("order_id", "customer_id", "customer_name", "customer_email", "total_price",
-                         "order_status", "order_date")
-            .agg(F.array_sort(F.collect_list(line)).alias("items")))
+    return _nest(flat, ["customer_id", "customer_name", "customer_email", "total_price", "order_status", "order_date"],
+                 line)
 
 
 def first_payment(payment: DataFrame) -> DataFrame:
@@ -290,10 +297,8 @@ def _customer_order_rows(t: Tables, customers: DataFrame | None = None) -> DataF
 def customer_orders_nested(t: Tables, customers: DataFrame | None = None) -> DataFrame:
     """J3 (nested): one row per order with its lines."""
     flat = _customer_order_rows(t, customers)
-    return (flat.groupBy("order_id", "customer_id", "order_date", "order_status", "total_price", "payment_method",
-                         "payment_status")
-            .agg(F.array_sort(F.collect_list(F.struct("item_name", "quantity", F.col("item_price").alias("price"))))
-                 .alias("items")))
+    return _nest(flat, ["customer_id", "order_date", "order_status", "total_price", "payment_method", "payment_status"],
+                 F.struct("item_name", "quantity", F.col("item_price").alias("price")))
 
 
 def active_deliveries(t: Tables) -> DataFrame:

@@ -117,3 +117,22 @@ def test_pending_ratings_empty_on_seed(seed):
 def test_courier_mean_rating(seed):
     got = {r.delivery_person_id: r.mean_rating for r in R.courier_mean_rating(seed).collect()}
     assert got == {"D001": 4.8, "D002": 4.5, "D003": 4.7}
+
+
+def test_nested_replies(spark, seed):
+    import datetime as dt
+    t = dict(seed)
+    t["orders"] = t["orders"].unionByName(spark.createDataFrame(
+        [("O008", "C008", "I404", None, "Pending", dt.datetime(2024, 4, 1))], t["orders"].schema))
+    t["payment"] = t["payment"].unionByName(spark.createDataFrame(
+        [("P000", "O001", Decimal("1.00"), "Failed", "UPI", dt.datetime(2024, 3, 25))], t["payment"].schema))
+    t["items"] = t["items"].unionByName(spark.createDataFrame(
+        [("I001", "M009", 1, Decimal("79.00"))], t["items"].schema))
+    allo = {r.order_id: r for r in R.all_orders_nested(t).collect()}
+    assert allo["O008"].items == [] and allo["O008"].customer_name == "Tanvi Bhat"
+    assert [x.item_name for x in allo["O001"].items] == ["Gulab Jamun", "Veggie Delight Pizza"]
+    cust = {r.order_id: r for r in R.customer_orders_nested(t).collect()}
+    assert cust["O001"].payment_method == "UPI" and cust["O001"].payment_status == "Failed"  # lowest payment id
+    assert len(cust["O001"].items) == 2 and "O008" not in cust
+    det = {r.order_id: r for r in R.order_details_nested(t).collect()}
+    assert [x.price for x in det["O001"].items] == [Decimal("79.00"), Decimal("199.00")]  # current menu price
