@@ -78,7 +78,8 @@ def plan_size_bytes(df: DataFrame) -> int | None:
     """Catalyst's size estimate of ``df`` (an upper bound for scans, filters and
     projections; no job is run)."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        return int(size if isinstance(size, int) else str(size))
     except Exception:  # pragma: no cover - estimate unavailable
         return None
 

@@ -76,3 +76,17 @@ def test_db_timestamp_and_text_helpers(spark):
     assert (got[0].a, got[1].a) == (9, 5)
     assert (got[0].s, got[1].s) == (5, 0)  # no score: no full star, as on the page
     assert got[0].g == "veg-starter"
+
+
+def test_broadcast_only_when_estimate_is_small(spark):
+    from tavola.functions.exprs import broadcast_if_small, plan_size_bytes
+    small = spark.range(0, 2).withColumnRenamed("id", "k")
+    big = spark.range(0, 10 ** 9).withColumnRenamed("id", "k")
+    unknown = spark.createDataFrame([(1,), (2,)], "k int")  # no size estimate: never broadcast
+
+    def hinted(df):
+        return "broadcast" in df._jdf.queryExecution().analyzed().toString().lower()
+    assert plan_size_bytes(small) < 1024
+    assert hinted(broadcast_if_small(small))
+    assert not hinted(broadcast_if_small(big, max_bytes=1024))
+    assert not hinted(broadcast_if_small(unknown))
