@@ -51,31 +51,34 @@ def _size_shuffles(spark: SparkSession, conf: dict) -> None:
     """Shuffle width: a few partitions per core locally; on a cluster keep the
     launcher's setting, else start wide and let AQE coalesce small partitions
     towards the advisory size (so large stages never run with too few tasks)."""
-    if "spark.sql.shuffle.partitions" in conf:
+    if "spark.sql.shuffle.partitions" in conf or spark.sparkContext.getConf().contains("spark.sql.shuffle.partitions"):
         return
     master = spark.sparkContext.master or ""
     if master.startswith("local"):
         spark.conf.set("spark.sql.shuffle.partitions", str(max(8, 2 * spark.sparkContext.defaultParallelism)))
-    elif spark.conf.get("spark.sql.shuffle.partitions", "200") == "200":
+    else:
         spark.conf.set("spark.sql.shuffle.partitions", "8192")
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(256 * 1024 * 1024))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder, registered with the session once.
 
-    The cluster's setting always wins. Only when the session has none (a local
-    run or a test) is a fresh scratch folder created and registered.
+    ``spark.checkpoint.dir`` wins; without it the folder the launcher registered
+    is used as it is. Only a local session with neither gets a scratch folder;
+    on a cluster that would be a machine-local folder, so it is an error there.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="tavola-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return spark.conf.get("spark.checkpoint.dir", d) or d
+    sc = spark.sparkContext
+    registered = sc._jsc.sc().getCheckpointDir()
+    registered = registered.get() if registered.isDefined() else None
+    folder = spark.conf.get("spark.checkpoint.dir", None) or registered
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tavola-ckpt-")
+    if registered is None:
+        sc.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
