@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from tavola.llm import token_counts
+from tavola.llm import line_spread, source_mix, token_counts, token_files
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
+    "op2_token_files": token_files.op2_token_files,
+    "op6_line_spread": line_spread.op6_line_spread,
+    "op9_source_mix": source_mix.op9_source_mix,
+}
+SQL: dict[str, str] = {
+    "op6_line_spread": line_spread.OP6_SQL,
+    "op9_source_mix": source_mix.OP9_SQL,
 }
-SQL: dict[str, str] = {}
