@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tavola.llm import line_spread, source_mix, token_counts, token_files, va_search
+from tavola.llm import adaptive_scan, line_spread, source_mix, token_counts, token_files, va_search
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_token_files": token_files.op2_token_files,
     "op3_exact_search": va_search.op3_exact_search,
+    "op5_adaptive_scan": adaptive_scan.op5_adaptive_scan,
     "op6_line_spread": line_spread.op6_line_spread,
     "op9_source_mix": source_mix.op9_source_mix,
 }
