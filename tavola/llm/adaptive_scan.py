@@ -132,13 +132,10 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     share = min(1.0, 1.2 * SAMPLE / n)  # about as many rows as needed reach the ordered limit
     sample = (rows.filter(F.pmod(picked, F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(picked, "id")
               .limit(SAMPLE).select("v").collect())
-    index = Index(np.array([r["v"] for r in sample]), k)
+    ix = Index(np.array([r["v"] for r in sample]), k)  # travels with the functions below: LISTS * dim numbers
     spark = df.sparkSession
-    held = spark.sparkContext.broadcast(index)  # bounded by LISTS * dim numbers
 
     def assign():
-        ix = held.value
-
         def each(cols):
             ids, ties, vecs = cols
             v = np.array(vecs)
@@ -154,7 +151,6 @@ def nearest(df: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id",
     chunks = {c: max(1, math.ceil(s / ROWS)) for c, s in sizes.items()}
 
     def probe():
-        ix = held.value
         size = np.array([sizes.get(c, 0) for c in range(len(ix.centroids))])
 
         def each(cols):

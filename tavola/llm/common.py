@@ -53,6 +53,18 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
     return df.mapInArrow(run, types)
 
 
+def per_worker(key: tuple, make: Callable):
+    """An object (vocabulary, bounded cache) that a Python worker keeps from task
+    to task; a worker holds one, a new key replaces it."""
+    import sys
+
+    held = sys.__dict__.setdefault("_tavola_worker", {})
+    if key not in held:
+        held.clear()
+        held[key] = make()
+    return held[key]
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows per Arrow batch for whole texts: texts may be long, so a batch is
     kept to few rows (a batch also ends at Spark's byte limit)."""

@@ -16,7 +16,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm.common import map_rows, small_batches, table
+from tavola.llm.common import map_rows, per_worker, small_batches, table
 
 # Characters for which Python's Unicode tables and the tokenizer library's are
 # known to agree (every code point below the limit was compared); a text with
@@ -25,7 +25,7 @@ from tavola.llm.common import map_rows, small_batches, table
 ODD = re.compile("[^\\x00-\\x1b\\x20-\\x84\\x86-\\u052f]")
 # Fixed value: the split pattern of the vocabulary file.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_ROWS = 400_000
+CACHE_ROWS = 1_000_000
 
 
 def byte_chars() -> list[str]:
@@ -144,7 +144,7 @@ def count_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     small_batches(df.sparkSession)
 
     def make():
-        count = TextCounter(vocabulary)
+        count = per_worker(("count", vocabulary), lambda: TextCounter(vocabulary))
 
         def each(cols):
             ids, texts = cols

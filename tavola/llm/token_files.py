@@ -18,6 +18,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
+from tavola.llm.common import map_rows, per_worker, small_batches, stored, table, text_or_empty
 
 BLOCK, LANES, PERCENTILE = 128, 2, 0.9
 MAGIC = b"PFR1"
@@ -133,7 +134,9 @@ class Payload:
 # run, so each stretch has the same ids alone as in the text.
 STRETCH = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
-CACHE_ROWS, LONGEST = 400_000, 48
+# Nothing but single blanks and line ends between stretches: plain splitting will do.
+UNEVEN = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x00]")
+CACHE_ROWS, LONGEST = 800_000, 48
 
 
 class TextIds:
@@ -154,8 +157,18 @@ class TextIds:
         self.seen: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes()
-                for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        ids = [e.ids for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(ids), dtype="<u4").tobytes()
+        ends = list(accumulate(map(len, ids)))
+        return [data[4 * a: 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    @staticmethod
+    def stretches(text: str) -> list[str]:
+        if UNEVEN.search(text):
+            return STRETCH.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         seen, out, split, whole = self.seen, [b""] * len(texts), [], []
@@ -165,7 +178,7 @@ class TextIds:
             if OTHER_SPACE.search(t) or self.special and self.special.search(t):
                 whole.append(i)
             else:
-                split.append((i, STRETCH.findall(t)))
+                split.append((i, self.stretches(t)))
         for i, x in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = x
         new = list({p for _, ps in split for p in ps} - seen.keys())
@@ -206,7 +219,8 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = TextIds(vocabulary), TaskContext.get().partitionId()
+        encode = per_worker(("ids", vocabulary), lambda: TextIds(vocabulary))
+        part = TaskContext.get().partitionId()
         ids, lengths, parts, held, before, segment = [], [], [], 0, 0, 0
 
         def close():
