@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tavola.llm import adaptive_scan, line_spread, source_mix, token_counts, token_files, va_search, weak_toxicity
+from tavola.llm import adaptive_scan, line_spread, parity_join, source_mix, token_counts, token_files, va_search, weak_toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_exact_search": va_search.op3_exact_search,
     "op5_adaptive_scan": adaptive_scan.op5_adaptive_scan,
     "op6_line_spread": line_spread.op6_line_spread,
+    "op8_parity_join": parity_join.op8_parity_join,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_weak_toxicity": weak_toxicity.op10_weak_toxicity,
 }
 SQL: dict[str, str] = {
     "op3_exact_search": va_search.OP3_SQL,
     "op6_line_spread": line_spread.OP6_SQL,
+    "op8_parity_join": parity_join.OP8_SQL,
     "op9_source_mix": source_mix.OP9_SQL,
 }
