@@ -47,8 +47,9 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
         for batch in batches:
             if batch.num_rows:
                 for out in each([c.to_pylist() for c in batch.columns]):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
+                    yield pa.RecordBatch.from_arrays([
+                        out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else
+                        pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, types)
 

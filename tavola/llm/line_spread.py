@@ -64,7 +64,7 @@ def without_lines(text: pd.Series, drop: pd.Series) -> pd.Series:
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
                         site_col: str = "source") -> DataFrame:
     """``docs`` with boilerplate lines removed and two added columns,
-    ``n_lines`` and ``n_removed`` (of lines that are not blank).
+    ``__n_lines`` and ``__n_removed`` (of lines that are not blank).
 
     A line is boilerplate when it occurs on at least ``min_sites`` sites. Its
     first occurrence (smallest id, then text hash, then position) stays, so no
@@ -94,16 +94,32 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     n_lines = F.coalesce(F.size(F.filter(F.split(text, "\n"), lambda x: line_key(x) != "")), F.lit(0))
     cut = F.when(F.col("__ls_drop").isNull(), text).otherwise(
         without_lines(F.when(F.col("__ls_drop").isNotNull(), text), F.col("__ls_drop")))
-    kept = [cut.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return out.select(*kept, n_lines.cast("long").alias("n_lines"),
-                      F.coalesce(F.size("__ls_drop"), F.lit(0)).cast("long").alias("n_removed"))
+    kept = [cut.alias(c) if c == text_col else out[c] for c in docs.columns]
+    return out.select(*kept, n_lines.cast("long").alias("__n_lines"),
+                      F.coalesce(F.size("__ls_drop"), F.lit(0)).cast("long").alias("__n_removed"))
+
+
+def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
+                        site_col: str = "source", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with shortened texts (and ``length_col``, if there, kept true).
+
+    Rows of which no line is left go: all their content stays where it occurs
+    first. Rows that had no lines before are kept.
+    """
+    out = remove_spread_lines(docs, min_sites, id_col, text_col, site_col)
+    out = out.filter((F.col("__n_removed") == 0) | (F.col("__n_removed") < F.col("__n_lines")))
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        out = out.withColumn(length_col, F.when(F.col("__n_removed") > 0, F.length(text_col).cast(kind))
+                             .otherwise(F.col(length_col)))
+    return out.drop("__n_lines", "__n_removed")
 
 
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines it keeps, as a digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     out = remove_spread_lines(docs)
-    return out.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"),
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.md5("text").alias("text_md5"),
                       F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"))
 
 

@@ -277,6 +277,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, t: int = 80, id_col: str
         F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, words: int = 5, t: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the row
+    with the smallest id (then text hash) stays; null ids come last. Rows
+    without words link with nothing and stay; rows repeated with the same id and
+    text stay once.
+    """
+    rows = jaccard_classes(docs, words, t, id_col, text_col)
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th"))
+    linked = rows.filter("comp IS NOT NULL").groupBy("comp").agg(first.alias("x")).select("x.id", "x.th")
+    keep = stored(linked.unionByName(rows.filter("comp IS NULL").select("id", "th").distinct()), "parity-keep")
+    keep = keep.select(F.col("id").alias("__pj_id"), F.col("th").alias("__pj_th"))
+    out = docs.withColumn("__pj_hash", F.xxhash64(text_or_empty(text_col)))
+    out = out.join(keep, out[id_col].eqNullSafe(F.col("__pj_id")) & (out["__pj_hash"] == F.col("__pj_th")), "left_semi")
+    return out.dropDuplicates([id_col, "__pj_hash"]).drop("__pj_hash")
+
+
 def op8_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents with 4-word shingles at a similarity of 0.85."""
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, t=85)

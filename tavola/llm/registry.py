@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tavola.llm import adaptive_scan, line_spread, parity_join, source_mix, token_counts, token_files, va_search, weak_toxicity
+from tavola.llm import adaptive_scan, disclosure, line_spread, parity_join, piece_viterbi, source_mix, token_counts, token_files, va_search, weak_toxicity
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_token_files": token_files.op2_token_files,
     "op3_exact_search": va_search.op3_exact_search,
+    "op4_disclosure": disclosure.op4_disclosure,
     "op5_adaptive_scan": adaptive_scan.op5_adaptive_scan,
     "op6_line_spread": line_spread.op6_line_spread,
+    "op7_piece_codec": piece_viterbi.op7_piece_codec,
     "op8_parity_join": parity_join.op8_parity_join,
     "op9_source_mix": source_mix.op9_source_mix,
     "op10_weak_toxicity": weak_toxicity.op10_weak_toxicity,

@@ -107,6 +107,23 @@ def mix(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str =
                          .cast("long").alias("taken"), "tie")
 
 
+def mixed(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source") -> DataFrame:
+    """The rows the mix takes, each as often as it takes it, with the columns of
+    ``docs``. Rows repeated with the same id, source and text are put out
+    together (other columns from one of them)."""
+    taken = mix(docs, seed, id_col, text_col, source_col).filter("taken > 0")
+    taken = taken.groupBy(F.col(id_col).alias("__mx_id"), F.col(source_col).alias("__mx_source"), F.col("tie").alias("__mx_tie")).agg(
+        F.sum(F.col("taken") / F.col("size")).cast("int").alias("__mx_times"))
+    taken = stored(taken, "mix-taken")
+    out = docs.withColumn("__mx_hash", F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit("")))
+    out = out.join(taken, out[id_col].eqNullSafe(F.col("__mx_id")) & (out["__mx_hash"] == F.col("__mx_tie"))
+                   & out[source_col].cast("string").eqNullSafe(F.col("__mx_source")))
+    out = out.dropDuplicates([id_col, source_col, "__mx_hash"])
+    out = out.withColumn("__mx_turn", F.explode(F.sequence(F.lit(1), F.col("__mx_times"))))
+    return out.drop("__mx_hash", "__mx_id", "__mx_source", "__mx_tie", "__mx_times", "__mx_turn")
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes of every document."""
     return mix(table(spark, sf_dir, "documents")).drop("tie")

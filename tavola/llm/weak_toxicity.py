@@ -347,6 +347,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return docs.withColumn("__tox_score", score(F.col(text_col).cast("string")))
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``DECISION``, with its columns."""
+    return score_toxicity(docs, labels, id_col, text_col).filter(F.col("__tox_score") < DECISION).drop("__tox_score")
+
+
 def op10_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     out = score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
