@@ -136,7 +136,7 @@ STRETCH = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 # Nothing but single blanks and line ends between stretches: plain splitting will do.
 UNEVEN = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x00]")
-CACHE_ROWS, LONGEST = 800_000, 48
+CACHE_ROWS, LONGEST = 1_400_000, 48
 
 
 class TextIds:
@@ -181,14 +181,19 @@ class TextIds:
                 split.append((i, self.stretches(t)))
         for i, x in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = x
-        new = list({p for _, ps in split for p in ps} - seen.keys())
-        made = dict(zip(new, self.encode(new), strict=True))
-        seen.update(made)
+        # One look-up for each stretch; only texts with unknown ones are looked at again.
+        get, open_ = seen.get, []
         for i, ps in split:
-            out[i] = b"".join(map(seen.__getitem__, ps))
-        for p in new:
-            if len(p) > LONGEST:
-                del seen[p]
+            xs = list(map(get, ps))
+            if None in xs:
+                open_.append((i, ps, xs))
+            else:
+                out[i] = b"".join(xs)
+        new = list({p for _, ps, xs in open_ for p, x in zip(ps, xs, strict=True) if x is None})
+        made = dict(zip(new, self.encode(new), strict=True))
+        for i, ps, xs in open_:
+            out[i] = b"".join([made[p] if x is None else x for p, x in zip(ps, xs, strict=True)])
+        seen.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
         return out
 
 
