@@ -10,6 +10,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tavola.llm.common import stored, table
 
@@ -50,7 +51,7 @@ def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
     return candidates.filter(F.col("sites") > F.lit(high)).select("h", "h2").unionByName(exact)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_lines(text: pd.Series, drop: pd.Series) -> pd.Series:
     """The text without the lines at the (sorted) positions in ``drop``."""
     def cut(t, d):

@@ -141,43 +141,22 @@ def bits_of(masks: np.ndarray) -> np.ndarray:
     return (masks[:, None] >> np.arange(N_VOTERS) & 1).astype(np.float64)
 
 
-def fit_linear(rows: list[list[str]], target: np.ndarray, turns: int = 200, rate: float = 0.3, l2: float = 0.5):
-    """Logistic regression on the terms a text has: ``({term: weight}, bias)``.
-
-    Only terms whose share of toxic rows differs clearly from the sample's (G
-    squared of at least twice the log of the terms tried, at most ``FEATURES``
-    of them) become features.
-    """
-    seen: dict[str, list[float]] = {}
-    for r, y in zip(rows, target.tolist(), strict=True):
-        for t in set(r):
-            c = seen.setdefault(t, [0, 0.0])
-            c[0] += 1
-            c[1] += y
-    terms = sorted(t for t, c in seen.items() if c[0] >= SUPPORT)
-    n, y = (np.array([seen[t][i] for t in terms], dtype=float) for i in (0, 1))
+def fit_linear(rows: list[np.ndarray], m: int, target: np.ndarray, turns: int = 200, rate: float = 0.3, l2: float = 0.5):
+    """Logistic regression on the features (of ``m``) that a row has: ``(weights, bias)``."""
     base = float(np.clip(target.mean(), 1e-6, 1 - 1e-6)) if len(target) else 0.5
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = 2 * (np.nan_to_num(y * np.log(y / (n * base))) + np.nan_to_num((n - y) * np.log((n - y) / (n * (1 - base)))))
-    best = np.lexsort((np.arange(len(terms)), -gain))[:FEATURES]
-    place = {terms[i]: j for j, i in enumerate(best) if gain[i] >= 2 * math.log(max(2, len(terms)))}
-    index, owner = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, r in enumerate(rows):
-        own = [place[t] for t in set(r) if t in place]
-        index.append(np.array(own, dtype=np.int64))
-        owner.append(np.full(len(own), i, dtype=np.int64))
-    index, owner = np.concatenate(index), np.concatenate(owner)
-    w, b = np.zeros(len(place)), math.log(base / (1 - base))
-    gw, gb = np.full(len(place), 1e-8), 1e-8
+    index = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    w, b = np.zeros(m), math.log(base / (1 - base))
+    gw, gb = np.full(m, 1e-8), 1e-8
     for _ in range(turns):  # AdaGrad on the whole sample
         z = np.bincount(owner, weights=w[index], minlength=len(rows)) + b
         e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        g = np.bincount(index, weights=e[owner], minlength=len(place)) + l2 * w
+        g = np.bincount(index, weights=e[owner], minlength=m) + l2 * w
         gw += g * g
         gb += float(e.sum()) ** 2
         w -= rate * g / np.sqrt(gw)
         b -= rate * float(e.sum()) / math.sqrt(gb)
-    return {t: float(w[i]) for t, i in place.items() if w[i]}, b
+    return w, b
 
 
 def decision_point(z: np.ndarray, y: np.ndarray) -> float:
@@ -296,21 +275,54 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def sampled():
         mask = mask_of()
-        memo = PerToken(terms_of)
 
         def each(cols):
-            yield {"mask": [mask(t) for t in cols[0]],
-                   "terms": ["\n".join(sorted({t for w in set(x.split()) for t in memo[w]})) for x in cols[0]]}
+            post = model.posterior(bits_of(np.array([mask(t) for t in cols[0]], dtype=np.int64)))
+            yield {"post": np.rint(post * 1e6).astype(np.int64), "text": cols[0]}
         return each
 
     pick = F.xxhash64(F.lit(2), "id", "text")
-    count = sums[0]["n"]
-    share = min(1.0, 1.5 * TRAINED / max(1, count))
+    share = min(1.0, 1.5 * TRAINED / max(1, sums[0]["n"]))
     some = (rows.filter(~held_out(F.col("id"))).filter(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
             .orderBy(pick, "id").limit(TRAINED).select("text"))
-    got = map_rows(some, "mask long, terms string", sampled).toPandas()
-    target = model.posterior(bits_of(got["mask"].to_numpy(np.int64)))
-    weights, bias = fit_linear([t.split("\n") if t else [] for t in got["terms"]], target)
+    some = stored(map_rows(some, "post long, text string", sampled), "tox-sample")
+
+    def sample_terms():
+        memo = PerToken(terms_of)
+
+        def each(cols):
+            out = {}
+            for post, text in zip(*cols, strict=True):
+                for t in {t for w in set(text.split()) for t in memo[w]}:
+                    c = out.setdefault(t, [0, 0])
+                    c[0] += 1
+                    c[1] += post
+            yield {"term": list(out), "n": [c[0] for c in out.values()], "post": [c[1] for c in out.values()]}
+        return each
+
+    # Features: terms whose share of posterior labels differs clearly from the sample's.
+    counts = map_rows(some, "term string, n long, post long", sample_terms).groupBy("term").agg(
+        F.sum("n").alias("n"), F.sum("post").alias("post")).filter(F.col("n") >= SUPPORT)
+    counts = stored(counts, "tox-sample-terms")
+    mean = some.agg(F.avg("post")).first()[0]
+    base = min(1 - 1e-6, max(1e-6, (mean or 0) / 1e6))
+    gain = F.abs(gain_of(F.col("post") / 1e6, F.col("n") - F.col("post") / 1e6, base))
+    terms = [r["term"] for r in counts.filter(gain >= 2 * math.log(max(2, counts.count())))
+             .orderBy(F.desc(gain), "term").limit(FEATURES).select("term").collect()]
+    place = {t: i for i, t in enumerate(terms)}
+
+    def vectors():
+        get = place.get
+        memo = PerToken(lambda raw: tuple(i for i in map(get, terms_of(raw)) if i is not None))
+
+        def each(cols):
+            yield {"post": cols[0], "has": [np.array(sorted({i for w in set(x.split()) for i in memo[w]}), dtype=np.int32)
+                                            .tobytes() for x in cols[1]]}
+        return each
+
+    got = map_rows(some, "post long, has binary", vectors).toPandas()
+    w, bias = fit_linear([np.frombuffer(x, np.int32) for x in got["has"]], len(terms), got["post"].to_numpy(float) / 1e6)
+    weights = {t: float(w[i]) for t, i in place.items()}
     scorer = Scorer(weights, bias, 0.0, 1.0)
     held = scorer.broadcast(docs.sparkSession)
 
