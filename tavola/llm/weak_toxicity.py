@@ -23,7 +23,7 @@ from tavola.llm.common import map_rows, small_batches, stored, table, text_or_em
 
 LABELLED, TRAINED = 40_000, 12_000      # most rows that lexicons and classifier are fitted on
 TERMS, VOTERS, SUPPORT, PURITY = 4_000, 24, 4, 0.8
-FEATURES = 20_000                       # most terms of the classifier
+FEATURES = 400                          # terms of the classifier, those that tell most
 DECISION = 0.7
 CACHE = 400_000
 STRIP = ".,;:!?\"'()[]{}<>*_-–—…¡¿«»“”"
