@@ -29,7 +29,7 @@ from tavola.llm.common import map_rows, per_worker, small_batches, table, text_o
 
 SPACE = "▁"
 NORMAL, CONTROL, BYTE = 1, 3, 6          # fixed values: piece types of the model format
-CACHE_ROWS, LONGEST = 600_000, 48
+CACHE_ROWS, LONGEST = 1_200_000, 40
 UNIT = re.compile(f"({SPACE}*)([^{SPACE}]*)")
 
 
@@ -69,7 +69,7 @@ class PieceModel:
         with open(path, "rb") as f:
             data = f.read()
         self.ids: dict[str, int] = {}
-        self.score: dict[str, float] = {}
+        score: dict[str, float] = {}
         self.byte = [0] * 256
         self.text: list[bytes] = []
         rules = {}
@@ -81,7 +81,7 @@ class PieceModel:
                 self.text.append(b"" if kind == CONTROL else piece.replace(SPACE, " ").encode())
                 if kind == NORMAL:
                     self.ids[piece] = i
-                    self.score[piece] = struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0]
+                    score[piece] = struct.unpack("<f", p.get(2, b"\0\0\0\0"))[0]
                 elif kind == BYTE:
                     b = int(piece[1:-1], 16)
                     self.byte[b] = i
@@ -94,22 +94,29 @@ class PieceModel:
         if any(SPACE in p[1:] for p in self.ids if p not in blanks):
             raise ValueError("a piece goes over a word boundary")
         self.longest = max(map(len, self.ids))
+        # Beginnings of pieces: True for a whole piece.
+        self.starts = {p[:k]: False for p in self.ids for k in range(1, len(p))} | dict.fromkeys(self.ids, True)
         self.blank = self.ids[SPACE]
         self.seen: dict[str, bytes] = {}
         self.runs: dict[int, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.alone: dict[str, bool] = {}
-
-    def merged(self, text: str) -> list[str]:
-        """Pieces by merging the pair of highest score (then leftmost) until none is left."""
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        # Equal scores (runs of blanks) have one rank.
+        place = {x: i for i, x in enumerate(sorted(set(score.values()), reverse=True))}
+        self.rank = {p: place[x] for p, x in score.items()}
+        self.widest = 0
+
+    def merged(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """Pieces by merging the pair of highest score (then leftmost) until none
+        is left, and the last pair merged."""
         sym: list[str | None] = list(text)
-        n, score, heap = len(sym), self.score, []
+        n, rank, heap, pair = len(sym), self.rank, [], None
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
 
         def push(i, j):
-            s = score.get(sym[i] + sym[j])
-            if s is not None:
-                heapq.heappush(heap, (-s, i, sym[i], sym[j]))
+            r = rank.get(sym[i] + sym[j])
+            if r is not None:
+                heapq.heappush(heap, (r, i, sym[i], sym[j]))
         for i in range(n - 1):
             push(i, i + 1)
         while heap:
@@ -117,6 +124,7 @@ class PieceModel:
             j = right[i]
             if sym[i] != a or j >= n or sym[j] != b:
                 continue
+            pair = (a, b)
             sym[i], sym[j] = a + b, None
             right[i] = right[j]
             if right[i] < n:
@@ -124,54 +132,87 @@ class PieceModel:
                 push(i, right[i])
             if left[i] >= 0:
                 push(left[i], i)
-        return [s for s in sym if s is not None]
-
-    def follows(self, p: str | None, t: str) -> bool:
-        """Whether ``t`` may stand after ``p`` (None: at the start)."""
-        if p is None:
-            ok = self.alone.get(t)
-            if ok is None:
-                ok = self.alone[t] = self.merged(t) == [t]
-            return ok
-        ok = self.pairs.get((p, t))
-        if ok is None:
-            if len(self.pairs) > CACHE_ROWS:
-                self.pairs.clear()
-            ok = self.pairs[p, t] = self.merged(p + t) == [p, t]
-        return ok
-
-    def viterbi(self, chars: Iterator[str]) -> Iterator[str]:
-        """Pieces of a stream of characters, committed as early as possible."""
-        longest, ids = self.longest, self.ids
-        window = ""                  # characters from position ``base`` on
-        base = at = 0
+        return [s for s in sym if s is not None], pair
+
+    def halves(self, t: str) -> tuple[str, str] | None:
+        """The two pieces that merge into ``t`` last; None if ``t`` does not come
+        about by merging or its parts are ranked after it."""
+        h = self.parts.get(t, 0)
+        if h == 0:
+            whole, h = self.merged(t)
+            if whole != [t] or h is None or max(self.rank.get(h[0], -1), self.rank.get(h[1], -1)) >= self.rank[t] \
+                    or any(len(x) > 1 and self.halves(x) is None for x in h):
+                h = None
+            self.parts[t] = h
+        return h
+
+    def alone(self, t: str) -> bool:
+        """Whether the characters of ``t`` merge into ``t``."""
+        return len(t) == 1 or self.halves(t) is not None or self.merged(t)[0] == [t]
+
+    def follows(self, p: str, t: str) -> bool:
+        """Whether ``p + t`` merges into ``p, t``.
+
+        The two pieces are taken apart in the reverse of the order in which
+        merging forms them. Whenever two parts stand at the boundary, they must
+        not merge before the next part on either side does (of equal ranks the
+        left one goes first).
+        """
+        rank, halves = self.rank, self.halves
+        if len(p) > 1 and halves(p) is None or len(t) > 1 and halves(t) is None:
+            return self.merged(p + t)[0] == [p, t]
+        until_p = until_t = 1 << 60
+        while True:
+            m = rank.get(p + t)
+            if m is not None and m < until_p and m <= until_t:
+                return False
+            rp, rt = rank[p] if len(p) > 1 else -1, rank[t] if len(t) > 1 else -1
+            if rp < 0 and rt < 0:
+                return True
+            if rp > rt:
+                until_p, p = rp, self.parts[p][1]
+            else:
+                until_t, t = rt, self.parts[t][0]
+
+    def viterbi(self, text: str) -> Iterator[str]:
+        """Pieces of a text, committed as early as possible; the state covers the
+        positions from the last committed boundary on."""
+        longest, starts, pairs, n = self.longest, self.starts, self.pairs, len(text)
+        base = 0
         last: dict[int, str | None] = {0: None}   # position -> last piece; its length points back
-        for c in chars:
-            window += c
-            at += 1
-            for n in range(min(longest, at - base), 0, -1):
-                t = window[-n:]
-                if at - n not in last or not (t in ids or n == 1):
-                    continue
-                p = last[at - n]
-                if t not in ids or p is not None and p not in ids:
-                    break  # a character without a piece merges with nothing
-                if self.follows(None, t) and (p is None or self.follows(p, t)):
+        for at in range(n):
+            # ``last[at]`` is final: try every piece that starts here.
+            p = last[at]
+            for end in range(at + 1, min(n, at + longest) + 1):
+                t = text[at:end]
+                kind = starts.get(t)
+                if kind is None:
+                    if end == at + 1:
+                        last[end] = t  # a character without a piece merges with nothing
                     break
-            last[at] = window[-n:]
+                if kind and end not in last:
+                    ok = pairs.get((p, t))
+                    if ok is None:
+                        if len(pairs) > CACHE_ROWS:
+                            pairs.clear()
+                        ok = pairs[p, t] = self.alone(t) and (p not in self.ids or self.follows(p, t))
+                    if ok:
+                        last[end] = t
             if at - base >= 4 * longest:
-                live = set(range(at - longest + 1, at + 1))
-                while len(live) > 1:  # go back from the latest until one boundary is left
+                # Positions that can still be reached or continued, back to one boundary.
+                live = {x for x in last if x > at}
+                live |= set(range(at + 1 - longest, at + 1))
+                while len(live) > 1:
                     x = max(live)
                     live.remove(x)
                     live.add(x - len(last[x]))
                 done = live.pop()
                 if done > base:
                     yield from self.back(last, base, done)
-                    window = window[done - base:]
-                    last = {x: p for x, p in last.items() if x >= done}
+                    last = {x: q for x, q in last.items() if x >= done}
                     base = done
-        yield from self.back(last, base, at)
+                self.widest = max(self.widest, len(last))
+        yield from self.back(last, base, len(text))
 
     @staticmethod
     def back(last: dict, start: int, end: int) -> list[str]:
@@ -190,7 +231,7 @@ class PieceModel:
 
     def word(self, w: str) -> bytes:
         """Ids of one blank and a stretch without blanks."""
-        x = self.id_bytes(self.viterbi(iter(SPACE + w)))
+        x = self.id_bytes(self.viterbi(SPACE + w))
         if len(w) <= LONGEST:
             if len(self.seen) > CACHE_ROWS:
                 self.seen.clear()
@@ -201,7 +242,7 @@ class PieceModel:
         """Ids of ``k`` blanks alone (their merges all have one score, the leftmost first)."""
         x = self.runs.get(k)
         if x is None:
-            x = self.id_bytes(self.merged(SPACE * k))
+            x = self.id_bytes(self.merged(SPACE * k)[0])
             if k <= 256:
                 self.runs[k] = x
         return x
