@@ -71,29 +71,41 @@ def case_insensitive_match(col, term: str, literal: bool = False) -> Column:
     """``REGEXP_LIKE(col, term, 'i')``; ``literal`` quotes the term."""
     import re
     pattern = re.escape(term) if literal else term
-    return _c(col).rlike("(?i)" + pattern)
+    return _c(col).rlike("(?iu)" + pattern)
 
 
 def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (an upper bound for scans, filters and
-    projections; no job is run)."""
-    try:
-        size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-        return int(size if isinstance(size, int) else str(size))
-    except Exception:  # pragma: no cover - estimate unavailable
+    """An upper bound of the size of ``df``, or None when there is none.
+
+    Only plans of stored tables, local rows, ranges, filters and projections have one
+    (the leaf sizes; a stored table counts eight times its file size, for
+    compression). Anything that can make rows (joins, generators, unions) or
+    whose size is only guessed gives None. No job is run.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        generators = [e for e in ("explode", "posexplode", "inline", "stack") if f"{e}(" in plan.simpleString(25).lower()]
+        if generators:
+            return None
+        plan = plan.children().apply(0)
+    name = plan.nodeName()
+    if name in ("LocalRelation", "Range"):
+        factor = 1
+    elif name == "LogicalRelation" or name.startswith("Relation"):
+        factor = 8
+    else:
         return None
+    return factor * int(str(plan.stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:
-    """Broadcast ``df`` only when its estimated size is proven under ``max_bytes``.
+    """Broadcast ``df`` only when an upper bound of its size is under ``max_bytes``.
 
-    Otherwise the frame is returned as is and Spark keeps a shuffle join
-    (AQE may still switch to a broadcast from measured runtime sizes).
+    Otherwise the frame is returned as is: Spark joins by shuffle, or broadcasts
+    it after AQE has measured its size.
     """
     size = plan_size_bytes(df)
-    if size is not None and size <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if size is not None and size <= max_bytes else df
 
 
 def db_timestamp(text, fmt: str = "yyyy-MM-dd HH:mm:ss") -> Column:

@@ -3,11 +3,13 @@
 Every write path of the ordering system is "check some rows, reject with a
 reason, else insert/update/delete". Here one DataFrame of requests goes in and
 a ``BatchResult`` comes out: new snapshots of the touched tables and one
-verdict frame (request columns + ``accepted`` + ``reason``). Nothing is
-executed until the caller writes or reads a frame.
+verdict frame (request columns + ``accepted`` + ``reason``). Batches that number
+new rows (C1, C7, C10, C11, C14) run the sort and checkpoint that the numbering
+needs when they are built; everything else runs when a frame is read.
 
 In-batch ordering follows ``request_seq``, because the source applies requests
-one after another. Rules per operator:
+one after another; a request without a number, or sharing one with another, is
+rejected (``missing_request_seq``, ``repeated_request_seq``). Rules per operator:
 
 * order status (C8): exact sequential state machine via ``fold_transitions``
   (parallel scan, skew-safe);
@@ -65,10 +67,27 @@ def _reason(*checks: tuple[Column, str]) -> Column:
     """First failing check's reason (NULL when all pass)."""
     expr = None
     for cond, reason in reversed(checks):
-        expr = F.when(cond, F.lit(reason)) if expr is None else F.when(cond, F.lit(reason)).otherwise(expr)
+        value = reason if isinstance(reason, Column) else F.lit(reason)
+        expr = F.when(cond, value) if expr is None else F.when(cond, value).otherwise(expr)
     return expr if expr is not None else F.lit(None).cast("string")
 
 
+def _sequenced(requests: DataFrame, *cols: str) -> DataFrame:
+    """The request columns with ``_seq_why``: requests are applied in
+    ``request_seq`` order, so one without a number, or several with the same
+    one, have no place in it and are rejected."""
+    r = requests.select(*cols)
+    again = (r.filter(F.col("request_seq").isNotNull()).groupBy("request_seq").agg(F.count(F.lit(1)).alias("_n"))
+             .filter("_n > 1").select("request_seq", F.lit(True).alias("_again")))
+    return r.join(again, "request_seq", "left").withColumn(
+        "_seq_why", _reason((F.col("request_seq").isNull(), "missing_request_seq"),
+                            (F.col("_again").isNotNull(), "repeated_request_seq"))).drop("_again")
+
+
+def _seq_check() -> tuple[Column, Column]:
+    return F.col("_seq_why").isNotNull(), F.col("_seq_why")
+
+
 def _verdict(df: DataFrame, cols: list[str], reason: Column) -> DataFrame:
     return df.select(*cols, reason.isNull().alias("accepted"), reason.alias("reason"))
 
@@ -121,8 +140,8 @@ def apply_order_status(t: Tables, requests: DataFrame, mode: str = "lenient", re
     Delivered, a cancelled order's deliveries Cancelled.
     """
     cur = t["orders"].select("order_id", F.col("order_status").alias("_cur"))
-    r = requests.select("request_seq", "order_id", "status").join(cur, "order_id", "left")
-    pre = _reason((~F.col("status").isin(*ORDER_STATUSES) | F.col("status").isNull(), "invalid_status"),
+    r = _sequenced(requests, "request_seq", "order_id", "status").join(cur, "order_id", "left")
+    pre = _reason(_seq_check(), (~F.col("status").isin(*ORDER_STATUSES) | F.col("status").isNull(), "invalid_status"),
                   (F.col("_cur").isNull(), "order_not_found"))
     early = r.withColumn("_why", pre)
     rejected_early = _verdict(early.filter(F.col("_why").isNotNull()), ["request_seq", "order_id", "status"],
@@ -163,9 +182,9 @@ def apply_delivery_status(t: Tables, requests: DataFrame, as_of=None, refresh_to
     the order (Cancelled leaves the order as it is).
     """
     own = t["deliveries"].select("order_id", "delivery_person_id").distinct().withColumn("_own", F.lit(True))
-    r = requests.select("request_seq", "order_id", "delivery_person_id", "status").join(
+    r = _sequenced(requests, "request_seq", "order_id", "delivery_person_id", "status").join(
         own, ["order_id", "delivery_person_id"], "left")
-    why = _reason((F.col("_own").isNull(), "not_found_or_unauthorized"),
+    why = _reason(_seq_check(), (F.col("_own").isNull(), "not_found_or_unauthorized"),
                   (~F.col("status").isin(*DELIVERY_STATUSES) | F.col("status").isNull(), "invalid_status"))
     verdicts = _verdict(r, ["request_seq", "order_id", "delivery_person_id", "status"], why)
     acc = verdicts.filter("accepted")
@@ -204,18 +223,22 @@ def apply_assignments(t: Tables, requests: DataFrame, as_of=None, refresh_totals
     busy = (t["deliveries"].filter(F.col("delivery_status") == "Out for Delivery")
             .select(F.col("delivery_person_id").alias("_courier")).distinct().withColumn("_busy", F.lit(True)))
     known = t["orders"].select("order_id").withColumn("_known", F.lit(True))
-    r = (requests.select("request_seq", "order_id", "delivery_person_id")
+    # Busy flags are joined to the couriers (one row each), not to the requests:
+    # requests without a courier would all meet in one NULL key.
+    courier = courier.join(busy, "_courier", "left")
+    r = (_sequenced(requests, "request_seq", "order_id", "delivery_person_id")
          .join(e, "delivery_person_id", "left").join(courier, "delivery_person_id", "left")
-         .join(busy, "_courier", "left").join(known, "order_id", "left"))
-    checks = [(F.col("_emp").isNull(), "employee_not_found"),
+         .join(known, "order_id", "left"))
+    checks = [_seq_check(), (F.col("_emp").isNull(), "employee_not_found"),
               (F.col("_role").isNull() | (F.col("_role") != "Delivery"), "not_delivery_person"),
               (F.col("_courier").isNull(), "no_courier_record"), (F.col("_busy").isNotNull(), "courier_busy"),
               (F.col("_known").isNull(), "order_not_found")]
     r = r.withColumn("_why", _reason(*checks))
-    first = (r.filter(F.col("_why").isNull()).groupBy("_courier")
-             .agg(F.min("request_seq").alias("_first")))
-    r = r.join(first, "_courier", "left").withColumn(
-        "_why", F.coalesce(F.col("_why"), F.when(F.col("request_seq") != F.col("_first"), F.lit("courier_busy"))))
+    ok = r.filter(F.col("_why").isNull())
+    first = ok.groupBy("_courier").agg(F.min("request_seq").alias("_first"))
+    ok = ok.join(first, "_courier").withColumn(
+        "_why", F.when(F.col("request_seq") != F.col("_first"), F.lit("courier_busy"))).drop("_first")
+    r = r.filter(F.col("_why").isNotNull()).unionByName(ok)
     verdicts = _verdict(r, ["request_seq", "order_id", "delivery_person_id", "_courier"], F.col("_why")) \
         .withColumnRenamed("_courier", "courier_id")
     acc = verdicts.filter("accepted")
@@ -254,9 +277,9 @@ def apply_registrations(t: Tables, requests: DataFrame) -> BatchResult:
     emails = cust.select("email").distinct().withColumn("_e_taken", F.lit(True))
     phones = cust.select("phone_number").distinct().withColumn("_p_taken", F.lit(True))
     cols = ["request_seq", "name", "email", "phone_number", "address"]
-    r = requests.select(*cols).join(emails, "email", "left").join(phones, "phone_number", "left")
+    r = _sequenced(requests, *cols).join(emails, "email", "left").join(phones, "phone_number", "left")
     r = r.withColumn("_why", _reason(
-        (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
+        _seq_check(), (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
          "missing_fields"),
         (F.col("_e_taken").isNotNull(), "email_registered"), (F.col("_p_taken").isNotNull(), "phone_registered"),
         (~F.col("phone_number").rlike(PHONE_PATTERN), "invalid_phone"),
@@ -288,14 +311,14 @@ def apply_profile_updates(t: Tables, requests: DataFrame) -> BatchResult:
     p_owner = cust.groupBy("phone_number").agg(F.min("customer_id").alias("_p_owner"),
                                                F.max("customer_id").alias("_p_owner2"))
     known = cust.select("customer_id").withColumn("_known", F.lit(True))
-    r = (requests.select(*cols).join(e_owner, "email", "left").join(p_owner, "phone_number", "left")
+    r = (_sequenced(requests, *cols).join(e_owner, "email", "left").join(p_owner, "phone_number", "left")
          .join(known, "customer_id", "left"))
     other_e = F.col("_e_owner").isNotNull() & ((F.col("_e_owner") != F.col("customer_id"))
                                                | (F.col("_e_owner2") != F.col("customer_id")))
     other_p = F.col("_p_owner").isNotNull() & ((F.col("_p_owner") != F.col("customer_id"))
                                                | (F.col("_p_owner2") != F.col("customer_id")))
     r = r.withColumn("_why", _reason(
-        (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
+        _seq_check(), (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
          "missing_fields"),
         (other_e, "email_in_use"), (other_p, "phone_in_use"), (F.col("_known").isNull(), "not_found"),
         (~F.col("phone_number").rlike(PHONE_PATTERN), "invalid_phone"),
@@ -361,15 +384,21 @@ def apply_active_order_guard(t: Tables, ids: DataFrame, statuses=("Pending", "Pr
 def _merged_lines(requests: DataFrame, key_cols: list[str]) -> DataFrame:
     """Explode ``items`` and add quantities of the same name per request."""
     lines = requests.select(*key_cols, F.explode_outer("items").alias("_it")).select(
-        *key_cols, F.col("_it.item_name").alias("item_name"), F.col("_it.quantity").alias("quantity"))
-    return lines.groupBy(*key_cols, "item_name").agg(F.sum("quantity").cast("long").alias("quantity"))
+        *key_cols, "_it", F.col("_it.item_name").alias("item_name"), F.col("_it.quantity").alias("quantity"))
+    # A line without an item name or with a quantity below 1 faults its request.
+    real = F.col("_it").isNotNull()
+    lines = lines.withColumn("_faulty", real & (F.col("quantity").isNull() | (F.col("quantity") < 1)))
+    lines = lines.withColumn("_nameless", real & F.col("item_name").isNull()).drop("_it")
+    return lines.groupBy(*key_cols, "item_name").agg(
+        F.sum("quantity").cast("long").alias("quantity"), F.max("_faulty").alias("_faulty"),
+        F.max("_nameless").alias("_nameless"))
 
 
 def apply_basket_lines(t: Tables, requests: DataFrame) -> BatchResult:
     """Requests (request_seq, item_id, items array<struct<item_name, quantity>>).
 
     Names are resolved to menu ids (lowest id per name); a request naming an
-    unknown item is rejected whole. Accepted quantities are added to the
+    unknown item, or with a quantity missing or below 1, is rejected whole. Accepted quantities are added to the
     basket line (inserted when new) and the touched lines are re-priced at
     the current menu price.
     """
@@ -379,12 +408,12 @@ def apply_basket_lines(t: Tables, requests: DataFrame) -> BatchResult:
     lines = _merged_lines(requests.select("request_seq", "item_id", "items"), ["request_seq", "item_id"]) \
         .join(names, "item_name", "left")
     bad = (lines.groupBy("request_seq", "item_id")
-           .agg(F.max(F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
-                F.count("item_name").alias("_n")))
-    r = requests.select("request_seq", "item_id").join(bad, ["request_seq", "item_id"], "left")
+           .agg(F.max(F.col("_nameless") | F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
+                F.max("_faulty").alias("_faulty"), F.count("item_name").alias("_n")))
+    r = _sequenced(requests, "request_seq", "item_id").join(bad, ["request_seq", "item_id"], "left")
     verdicts = _verdict(r, ["request_seq", "item_id"], _reason(
-        (_blank(F.col("item_id")), "missing_item_id"), (F.col("_unknown"), "unknown_item"),
-        (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_basket")))
+        _seq_check(), (_blank(F.col("item_id")), "missing_item_id"), (F.col("_unknown"), "unknown_item"),
+        (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_basket"), (F.col("_faulty"), "bad_quantity")))
     acc = lines.join(verdicts.filter("accepted").select("request_seq", "item_id"), ["request_seq", "item_id"],
                      "left_semi")
     add = acc.groupBy("item_id", "menu_id").agg(F.sum("quantity").alias("_add"))
@@ -403,8 +432,9 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     """Carts (request_seq, customer_id, items, payment_method) -> new basket
     lines, orders and payments.
 
-    A cart is rejected when empty, when it names an unknown item, when the
-    customer does not exist or when the payment method is not allowed. Each
+    A cart is rejected when empty, when it names an unknown item, when a
+    quantity is missing or below 1, when the total is missing or not above 0,
+    when the customer does not exist or when the payment method is not allowed. Each
     accepted cart takes the next basket, order and payment keys (request
     order); line prices, the order total (Pending, dated ``as_of``) and the
     payment amount are derived; cash is paid Pending, other methods Completed.
@@ -414,18 +444,26 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     # it once to the shared checkpoint folder instead of recomputing upstream.
     carts = carts.select("request_seq", "customer_id", "items", "payment_method").transform(reliable_checkpoint)
     names = menu_ids_by_name(t["menu"])
-    lines = _merged_lines(carts.select("request_seq", "items"), ["request_seq"]).join(names, "item_name", "left")
+    menu_price = t["menu"].select("menu_id", F.col("price").alias("_mp"))
+    lines = (_merged_lines(carts.select("request_seq", "items"), ["request_seq"]).join(names, "item_name", "left")
+             .join(menu_price, "menu_id", "left"))
     stats = (lines.groupBy("request_seq")
-             .agg(F.max(F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
-                  F.count("item_name").alias("_n")))
+             .agg(F.max(F.col("_nameless") | F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
+                  F.max("_faulty").alias("_faulty"), F.count("item_name").alias("_n"),
+                  F.sum(F.col("_mp") * F.col("quantity")).alias("_total"),
+                  F.max(F.col("menu_id").isNotNull() & F.col("_mp").isNull()).alias("_priceless")))
     known = t["customer"].select("customer_id").withColumn("_known", F.lit(True))
     cols = ["request_seq", "customer_id", "payment_method"]
-    r = carts.select(*cols).join(stats, "request_seq", "left").join(known, "customer_id", "left")
+    r = _sequenced(carts, *cols).join(stats, "request_seq", "left").join(known, "customer_id", "left")
     verdicts = _verdict(r, cols, _reason(
-        (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_cart"), (F.col("_unknown"), "unknown_item"),
+        _seq_check(), (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_cart"), (F.col("_unknown"), "unknown_item"),
+        (F.col("_faulty"), "bad_quantity"),
+        (F.coalesce(F.col("_priceless"), F.lit(False)) | F.col("_total").isNull() | (F.col("_total") <= 0), "invalid_total"),
         (F.col("_known").isNull(), "customer_not_found"),
         (~F.col("payment_method").isin(*PAYMENT_METHODS) | F.col("payment_method").isNull(),
          "invalid_payment_method")))
+    # Verdicts feed the numbering, the new rows and the output: write them once.
+    verdicts = reliable_checkpoint(verdicts)
     acc = verdicts.filter("accepted")
     numbered = with_row_number(acc, [F.col("request_seq").asc()], "_pos")
     i0 = _max_key_scalar(t["items"], "item_id", 0)
@@ -435,8 +473,7 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
                             pad_key("I", i0 + F.col("_pos")).alias("item_id"),
                             pad_key("O", o0 + F.col("_pos")).alias("order_id"),
                             pad_key("P", p0 + F.col("_pos")).alias("payment_id"))
-    menu_price = t["menu"].select("menu_id", F.col("price").alias("_mp"))
-    new_items = (lines.join(keyed.select("request_seq", "item_id"), "request_seq").join(menu_price, "menu_id")
+    new_items = (lines.join(keyed.select("request_seq", "item_id"), "request_seq").filter(F.col("menu_id").isNotNull())
                  .select("item_id", "menu_id", F.col("quantity").cast("int").alias("quantity"),
                          (F.col("_mp") * F.col("quantity")).cast("decimal(18,2)").alias("price")))
     totals = new_items.groupBy("item_id").agg(F.sum("price").cast("decimal(18,2)").alias("total_price"))
@@ -466,9 +503,9 @@ def apply_feedback(t: Tables, requests: DataFrame) -> BatchResult:
     """
     cols = ["request_seq", "order_id", "customer_id", "rating_score", "feedback_text"]
     owned = t["orders"].select("order_id", "customer_id").withColumn("_own", F.lit(True))
-    r = requests.select(*cols).join(owned, ["order_id", "customer_id"], "left")
+    r = _sequenced(requests, *cols).join(owned, ["order_id", "customer_id"], "left")
     why = _reason(
-        (_blank(F.col("order_id")) | _blank_num(F.col("rating_score")) | _blank(F.col("feedback_text")),
+        _seq_check(), (_blank(F.col("order_id")) | _blank_num(F.col("rating_score")) | _blank(F.col("feedback_text")),
          "missing_fields"),
         ((F.col("rating_score") < 1) | (F.col("rating_score") > 5), "rating_out_of_range"),
         (F.length("feedback_text") > 500, "text_too_long"),
@@ -503,8 +540,8 @@ def apply_menu_updates(t: Tables, requests: DataFrame) -> BatchResult:
     reported (the source silently accepts them). Last request per id wins."""
     cols = ["request_seq", "menu_id", "name", "description", "price", "category", "availability_status"]
     known = t["menu"].select("menu_id").withColumn("_known", F.lit(True))
-    r = requests.select(*cols).join(known, "menu_id", "left")
-    why = _reason((F.col("name").isNull() | (F.trim(F.col("name")) == ""), "missing_name"),
+    r = _sequenced(requests, *cols).join(known, "menu_id", "left")
+    why = _reason(_seq_check(), (F.col("name").isNull() | (F.trim(F.col("name")) == ""), "missing_name"),
                   (F.col("price").isNull() | (F.col("price") <= 0), "invalid_price"),
                   (~F.col("category").isin(*CATEGORIES) | F.col("category").isNull(), "invalid_category"),
                   (~F.col("availability_status").isin(*AVAILABILITY), "invalid_availability"),
@@ -545,16 +582,17 @@ def apply_employee_changes(t: Tables, requests: DataFrame) -> BatchResult:
     name, role, phone_number, salary), checked against the pre-batch table.
 
     insert: role must be Delivery/Chef/Manager, name and phone present, phone
-    unused (table and earlier inserts), salary > 0; key ``E###`` in request
-    order. update: same value checks, the employee must exist, the phone
-    must not belong to another employee; last update wins. delete: refused
-    while one of the employee's courier ids has a delivery out (checked
+    unused, salary > 0; key ``E###`` in request order. update: same value
+    checks, the employee must exist, the phone must not belong to another
+    employee; last update wins. In the batch a phone goes to the first insert or
+    employee that takes it, and nothing passes for an employee after its first
+    accepted delete. delete: refused while one of the employee's courier ids has a delivery out (checked
     through the courier table), while a courier row still references the
     employee, or when the id is unknown.
     """
     emp = t["employee"]
     cols = ["request_seq", "op", "employee_id", "name", "role", "phone_number", "salary"]
-    r = requests.select(*cols)
+    r = _sequenced(requests, *cols)
     known = emp.select("employee_id").withColumn("_known", F.lit(True))
     phone_owner = emp.groupBy("phone_number").agg(F.min("employee_id").alias("_ph_owner"))
     couriers = t["delivery"].select("employee_id", F.col("delivery_id").alias("_cid"))
@@ -566,24 +604,33 @@ def apply_employee_changes(t: Tables, requests: DataFrame) -> BatchResult:
     r = (r.join(known, "employee_id", "left").join(phone_owner, "phone_number", "left")
          .join(active_emp, "employee_id", "left").join(has_courier, "employee_id", "left"))
     op = F.col("op")
-    values_bad = [(~F.col("role").isin(*ROLES) | F.col("role").isNull(), "invalid_role"),
+    values_bad = [_seq_check(), (~F.col("role").isin(*ROLES) | F.col("role").isNull(), "invalid_role"),
                   (F.col("name").isNull() | (F.trim(F.col("name")) == ""), "missing_name"),
                   (F.col("phone_number").isNull(), "missing_phone"),
                   (F.col("salary") <= 0, "invalid_salary")]
     ins_why = _reason(*values_bad, (F.col("_ph_owner").isNotNull(), "duplicate_phone"))
     upd_why = _reason(*values_bad, (F.col("_known").isNull(), "not_found"),
                       (F.col("_ph_owner").isNotNull() & (F.col("_ph_owner") != F.col("employee_id")), "duplicate_phone"))
-    del_why = _reason((F.col("_active").isNotNull(), "active_deliveries"), (F.col("_known").isNull(), "not_found"),
+    del_why = _reason(_seq_check(), (F.col("_active").isNotNull(), "active_deliveries"), (F.col("_known").isNull(), "not_found"),
                       (F.col("_has_courier").isNotNull(), "referenced"))
     why = (F.when(op == "insert", ins_why).when(op == "update", upd_why).when(op == "delete", del_why)
-           .otherwise(F.lit("invalid_op")))
+           .otherwise(F.coalesce(F.col("_seq_why"), F.lit("invalid_op"))))
     r = r.withColumn("_why", why)
-    # An insert also conflicts with an earlier insert of the same phone in the batch.
-    ins = r.filter((op == "insert") & F.col("_why").isNull())
-    ins = _first_per(ins, "phone_number", "_fp").withColumn(
-        "_why", F.when(F.col("request_seq") != F.col("_fp"), F.lit("duplicate_phone")))
-    rest = r.filter(~((op == "insert") & F.col("_why").isNull()))
-    verdicts = _verdict(rest, cols, F.col("_why")).unionByName(_verdict(ins, cols, F.col("_why")))
+    # After an employee's first accepted delete nothing else finds the employee.
+    gone_at = (r.filter((op == "delete") & F.col("_why").isNull()).groupBy("employee_id")
+               .agg(F.min("request_seq").alias("_gone_at")))
+    r = r.join(gone_at, "employee_id", "left").withColumn("_why", F.coalesce(F.col("_why"), F.when(
+        op.isin("update", "delete") & (F.col("request_seq") > F.col("_gone_at")), F.lit("not_found"))))
+    # A phone belongs to the first request of the batch that takes it: an insert,
+    # or an update's employee (who may take it again).
+    takes = op.isin("insert", "update") & F.col("_why").isNull()
+    taker = F.when(op == "update", F.concat(F.lit("u"), "employee_id")).otherwise(
+        F.concat(F.lit("i"), F.col("request_seq").cast("string")))
+    claims = r.filter(takes).withColumn("_taker", taker)
+    first = claims.groupBy("phone_number").agg(F.min_by("_taker", "request_seq").alias("_first_taker"))
+    claims = claims.join(first, "phone_number").withColumn(
+        "_why", F.when(F.col("_taker") != F.col("_first_taker"), F.lit("duplicate_phone")))
+    verdicts = _verdict(r.filter(~takes), cols, F.col("_why")).unionByName(_verdict(claims, cols, F.col("_why")))
     acc = verdicts.filter("accepted")
     start = _max_key_scalar(emp, "employee_id", 0, suffix=True)
     new_rows = (allocate_keys(acc.filter(F.col("op") == "insert").drop("employee_id"), "E", start,

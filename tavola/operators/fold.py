@@ -86,12 +86,18 @@ def fold_transitions(requests: DataFrame, key: str, seq: str, target: str, initi
     hot = counts.filter(F.col("_n") > width).select(key)
     if hot.limit(1).count() == 0:
         return _direct_transitions(requests, key, seq, target, initial, states, allowed_pairs)
-    small = requests.join(counts.filter(F.col("_n") <= width).select(key), key, "left_semi")
-    big = requests.join(hot, key, "left_semi")
+    cols = requests.columns  # the row order below depends on the order of columns
+    small = requests.join(counts.filter(F.col("_n") <= width).select(key), key, "left_semi").select(*cols)
+    big = requests.join(hot, key, "left_semi").select(*cols)
     return _direct_transitions(small, key, seq, target, initial, states, allowed_pairs).unionByName(
         _scan_transitions(big, key, seq, target, initial, states, allowed_pairs, width))
 
 
+def _order(seq: str, req_cols) -> list:
+    """One total order for both ways of folding: ``seq`` (NULL last), then the row."""
+    return [F.col(seq).isNull().alias("z"), F.col(seq).alias("e"), F.struct(*[F.col(c) for c in req_cols]).alias("row")]
+
+
 def _direct_transitions(requests: DataFrame, key: str, seq: str, target: str, initial: DataFrame,
                         states: list[str], allowed_pairs) -> DataFrame:
     """Per-key fold for keys whose request count is known to be bounded."""
@@ -104,9 +110,8 @@ def _direct_transitions(requests: DataFrame, key: str, seq: str, target: str, in
                           F.coalesce(F.when(F.col(initial.columns[1]).isNotNull(),
                                             F.try_element_at(index_map, F.col(initial.columns[1]))),
                                      F.lit(n - 1)).alias("_s"))
-    groups = (requests.select(F.col(key).alias("_k"), F.struct(F.col(seq).alias("e"),
-                                                                _state_function(tgt, n, allowed).alias("f"),
-                                                                F.struct(*[F.col(c) for c in req_cols]).alias("row"))
+    groups = (requests.select(F.col(key).alias("_k"), F.struct(*_order(seq, req_cols),
+                                                                _state_function(tgt, n, allowed).alias("f"))
                               .alias("_m"))
               .groupBy("_k").agg(F.array_sort(F.collect_list("_m")).alias("_m"))
               .join(init, "_k", "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(n - 1))))
@@ -141,7 +146,7 @@ def _scan_transitions(requests: DataFrame, key: str, seq: str, target: str, init
     index_map = F.create_map(*[x for s in states for x in (F.lit(s), F.lit(idx[s]))])
 
     req_cols = requests.columns
-    numbered = with_row_number(requests, [F.col(seq).asc_nulls_last()], "_pos")
+    numbered = with_row_number(requests, _order(seq, req_cols), "_pos")
     total = numbered.agg(F.max("_pos")).first()[0] or 0
     levels = 1
     while width ** levels < total:

@@ -98,7 +98,7 @@ def menu_search_terms(t: Tables, terms: DataFrame) -> DataFrame:
     batch is broadcast only when its size estimate is small.
     """
     m = t["menu"].filter(F.col("availability_status") == "Available")
-    pat = F.concat(F.lit("(?i)"), F.col("term"))
+    pat = F.concat(F.lit("(?iu)"), F.col("term"))
     cond = (F.regexp_like(F.col("item_name"), pat) | F.regexp_like(F.col("category"), pat)
             | F.regexp_like(F.col("description"), pat))
     return (m.join(broadcast_if_small(terms.select("term_id", "term")), cond, "inner")
@@ -151,19 +151,11 @@ def customers_text_search(t: Tables, term: str) -> DataFrame:
 
 
 def orders_by_status(df: DataFrame, status: str | None) -> DataFrame:
-    """Case-insensitive status filter; blank means all.
-
-    Stored statuses are limited to the four schema values, so a known status
-    becomes a plain equality the Parquet scan can push down; any other text
-    falls back to comparing lower-case values.
-    """
+    """Case-insensitive status filter; blank means all. Stored text may
+    have any case (V7 reports such rows), so the comparison always ignores it."""
     if not status:
         return df
-    from tavola.schema import ORDER_STATUSES
-    canon = {s.lower(): s for s in ORDER_STATUSES}.get(status.lower())
-    if canon is not None:
-        return df.filter(F.col("order_status") == canon)
-    return df.filter(F.lower(F.col("order_status")) == status.lower())
+    return df.filter(F.lower(F.col("order_status")) == F.lower(F.lit(status)))
 
 
 def menu_by_category(t: Tables, category: str) -> DataFrame:

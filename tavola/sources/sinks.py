@@ -8,6 +8,9 @@ overwritten.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,25 +52,51 @@ def report_json_text(df: DataFrame, name: str = "json") -> DataFrame:
 def write_snapshot(t: Tables, out_dir: str, version: int) -> str:
     """Write ``t`` as version ``version`` of a snapshot folder.
 
-    Each table goes to ``<out_dir>/v=<version>/<name>.parquet``; the marker is
-    written after all tables. Existing versions are never overwritten.
+    The tables go to a folder of this attempt, ``<out_dir>/v=<version>/<attempt>``;
+    the marker written after all tables names it. A crashed attempt leaves no
+    marker and does not block the next one; a committed version stays as it is.
     """
     base = f"{out_dir.rstrip('/')}/v={version}"
-    for name, df in t.items():
-        df.write.mode("errorifexists").parquet(f"{base}/{name}.parquet")
     spark = next(iter(t.values())).sparkSession
-    spark.createDataFrame([(version,)], "version long").coalesce(1).write.mode("errorifexists").json(f"{base}/_COMMITTED")
-    return base
+    if _attempt(spark, out_dir, version) is not None:
+        raise FileExistsError(f"version {version} is committed")
+    attempt = uuid.uuid4().hex
+    for name, df in t.items():
+        df.write.mode("errorifexists").parquet(f"{base}/{attempt}/{name}.parquet")
+    spark.createDataFrame([(version, attempt)], MARKER).coalesce(1).write.mode("errorifexists").json(f"{base}/_COMMITTED")
+    return f"{base}/{attempt}"
+
+
+MARKER = "version long, attempt string"
 
 
 def committed_versions(spark: SparkSession, out_dir: str) -> DataFrame:
     """Versions whose commit marker exists (read as data, not listed on the driver)."""
-    return spark.read.schema("version long").json(f"{out_dir.rstrip('/')}/v=*/_COMMITTED")
+    return spark.read.schema(MARKER).json(f"{out_dir.rstrip('/')}/v=*/_COMMITTED")
+
+
+def _first_or_none(df_of):
+    """The first row of a frame; None when its path does not exist yet."""
+    try:
+        return df_of().first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _attempt(spark: SparkSession, out_dir: str, version: int) -> str | None:
+    marker = f"{out_dir.rstrip('/')}/v={version}/_COMMITTED"
+    row = _first_or_none(lambda: spark.read.schema(MARKER).json(marker))
+    return None if row is None else row["attempt"]
 
 
 def read_snapshot(spark: SparkSession, out_dir: str, version: int, names=None) -> Tables:
-    """Tables of one committed version."""
-    base = f"{out_dir.rstrip('/')}/v={version}"
+    """Tables of one committed version; a version without a marker is refused."""
+    attempt = _attempt(spark, out_dir, version)
+    if attempt is None:
+        raise FileNotFoundError(f"version {version} is not committed in {out_dir}")
+    base = f"{out_dir.rstrip('/')}/v={version}/{attempt}"
     return {n: spark.read.schema(SCHEMAS[n]).parquet(f"{base}/{n}.parquet") for n in (names or SCHEMAS)}
 
 
@@ -92,23 +121,17 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", proper
 
 def latest_version(spark: SparkSession, out_dir: str) -> int | None:
     """Highest committed version number (one scalar; None when nothing is committed)."""
-    try:
-        row = committed_versions(spark, out_dir).agg(F.max("version").alias("v")).first()
-    except Exception:  # noqa: BLE001  (no marker written yet)
-        return None
-    return None if row is None else row.v
+    row = _first_or_none(lambda: committed_versions(spark, out_dir).agg(F.max("version").alias("v")))
+    return None if row is None else row["v"]
 
 
 def publish_batch(base: Tables, result, out_dir: str, version: int) -> str:
     """S6 for a change batch: the touched tables from ``result.tables``, the
     untouched ones from ``base`` and the verdicts, written as one version
-    (verdicts and tables first, the commit marker last). Apart from the
-    checkpoints some operators take, this write is what executes the batch;
+    (verdicts and tables first, the commit marker last) to the returned folder.
     ``base`` is read from an older version, so no path is overwritten."""
     tables = {n: result.tables.get(n, base[n]) for n in SCHEMAS}
-    base_dir = f"{out_dir.rstrip('/')}/v={version}"
-    result.verdicts.write.mode("errorifexists").parquet(f"{base_dir}/_verdicts.parquet")
-    return write_snapshot(tables, out_dir, version)  # commit marker last
+    return write_snapshot({"_verdicts": result.verdicts, **tables}, out_dir, version)  # commit marker last
 
 
 def carts_from_json_text(df: DataFrame, col: str = "payload") -> DataFrame:

@@ -42,12 +42,19 @@ def live_order_board(stream: DataFrame, key: str = "order_id", status: str = "st
 
 
 def stream_order_bill(stream: DataFrame, key: str = "order_id", line: str = "line_id", amount: str = "amount",
-                      ts: str = "ts", watermark: str = "1 day") -> DataFrame:
-    """Running bill per key; re-sent lines (same ``line`` id) count once
-    within the watermark."""
-    # Watermarks need a zoned timestamp; zone-less event times are read as UTC.
-    timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
-    deduped = timed.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([line])
+                      ts: str = "ts", watermark: str | None = None) -> DataFrame:
+    """Running bill per key; re-sent lines (same ``line`` id) count once.
+
+    By default every line counts, however late; the state keeps the ids of all
+    lines. With ``watermark`` (such as "30 days") ids are forgotten that long
+    after their event time, and later lines are dropped.
+    """
+    if watermark is None:
+        deduped = stream.dropDuplicates([line])
+    else:
+        # Watermarks need a zoned timestamp; zone-less event times are read as UTC.
+        timed = stream.withColumn("_event_time", F.col(ts).cast("timestamp"))
+        deduped = timed.withWatermark("_event_time", watermark).dropDuplicatesWithinWatermark([line])
     return deduped.groupBy(key).agg(F.sum(F.col(amount).cast("decimal(18,2)")).cast("decimal(38,2)").alias("bill"),
                                     F.count(F.lit(1)).alias("n_lines"))
 

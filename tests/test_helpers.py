@@ -90,3 +90,36 @@ def test_broadcast_only_when_estimate_is_small(spark):
     assert hinted(broadcast_if_small(small))
     assert not hinted(broadcast_if_small(big, max_bytes=1024))
     assert not hinted(broadcast_if_small(unknown))
+
+
+def test_no_bound_for_plans_that_make_rows(spark, tmp_path):
+    from tavola.functions.exprs import plan_size_bytes
+    small = spark.createDataFrame([(1,)], "k int").coalesce(1)
+    small.write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    assert plan_size_bytes(stored.select("k").filter("k > 0")) is not None
+    many = F.explode(F.sequence(F.lit(1), F.lit(100000)))
+    assert plan_size_bytes(stored.select(many.alias("k"))) is None
+    assert plan_size_bytes(spark.range(3).select(many.alias("k"))) is None
+    assert plan_size_bytes(stored.join(stored.withColumnRenamed("k", "j"))) is None
+
+
+def test_search_folds_letters_beyond_ascii(spark):
+    from tavola.functions.exprs import case_insensitive_match
+    df = spark.createDataFrame([("CRÈME",), ("Brûlée",), ("tea",)], "name string")
+    assert df.filter(case_insensitive_match("name", "crème")).count() == 1
+
+
+def test_status_filter_ignores_case(spark, seed):
+    from tavola.operators.reports import orders_by_status
+    o = seed["orders"]
+    n = o.filter("order_status = 'Processing'").count()
+    mixed = o.withColumn("order_status", F.upper("order_status"))
+    assert orders_by_status(o.unionByName(mixed), "Processing").count() == 2 * n
+
+
+def test_checkpoint_folder_is_registered_once(spark):
+    from tavola.session import checkpoint_dir
+    a = checkpoint_dir(spark)
+    before = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    assert checkpoint_dir(spark) == a and spark.sparkContext._jsc.sc().getCheckpointDir().get() == before

@@ -68,6 +68,29 @@ def test_snapshot_roundtrip(spark, seed, tmp_path):
         S.write_snapshot(seed, out, 1)  # a version is never overwritten
 
 
+def test_uncommitted_versions_are_not_read_and_do_not_block(spark, seed, tmp_path):
+    out = str(tmp_path / "snap")
+    seed["orders"].write.parquet(f"{out}/v=1/crashed/orders.parquet")  # an attempt that never got its marker
+    assert S.latest_version(spark, out) is None
+    with pytest.raises(FileNotFoundError):
+        S.read_snapshot(spark, out, 1)
+    S.write_snapshot(seed, out, 1)
+    assert S.latest_version(spark, out) == 1 and S.read_snapshot(spark, out, 1)["orders"].count() == seed["orders"].count()
+
+
+def test_bill_counts_late_and_repeated_lines_over_files(spark, tmp_path):
+    from tavola.streaming.views import run_to_completion, stream_order_bill
+    schema = "line_id long, order_id long, amount decimal(18,2), ts timestamp"
+    for i, batch in enumerate(([(1, 1, "10.00", "2024-01-20 00:00:00"), (2, 1, "5.00", "2024-01-20 01:00:00")],
+                               [(3, 1, "7.00", "2024-01-01 00:00:00"), (1, 1, "10.00", "2024-01-20 00:00:00")])):
+        df = spark.createDataFrame(batch, "line_id long, order_id long, amount string, ts string")
+        df.select("line_id", "order_id", F.col("amount").cast("decimal(18,2)"), F.col("ts").cast("timestamp")).coalesce(1) \
+            .write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = run_to_completion(spark, stream_order_bill(stream), "order_id", "late")
+    assert [(r["order_id"], str(r["bill"]), r["n_lines"]) for r in got.collect()] == [(1, "22.00", 3)]
+
+
 def test_carts_json(spark, tmp_path):
     carts = spark.createDataFrame([(1, "C001", [("Tiramisu", 2), ("Tiramisu", 1)], "UPI")],
                                   "request_seq long, customer_id string, "
@@ -99,12 +122,12 @@ def test_publish_change_batch(spark, seed, tmp_path):
     req = spark.createDataFrame([(1, "O002", "E004")], "request_seq long, order_id string, delivery_person_id string")
     base = S.read_snapshot(spark, out, 1)
     res = C.apply_assignments(base, req)
-    S.publish_batch(base, res, out, 2)
+    where = S.publish_batch(base, res, out, 2)
     assert S.latest_version(spark, out) == 2
     v2 = S.read_snapshot(spark, out, 2)
     assert v2["deliveries"].count() == 5 and v2["menu"].count() == 9
     assert dict(rows(v2["orders"], "order_id", "order_status"))["O002"] == "Processing"
-    assert spark.read.parquet(f"{out}/v=2/_verdicts.parquet").filter("accepted").count() == 1
+    assert spark.read.parquet(f"{where}/_verdicts.parquet").filter("accepted").count() == 1
 
 
 def test_carts_from_json_text(spark):
