@@ -11,8 +11,6 @@ Agreeing parts give candidates, whole sketches reject, exact sets verify.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +18,8 @@ from pyspark.sql import functions as F
 from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
 from tavola.llm.components import components
 
-PART_BITS = 256
-FOLD = 8                       # longs of the whole (folded) sketch
+PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
+FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
 U = np.uint64
 
@@ -37,7 +35,6 @@ def times(a: int, b: int) -> np.uint64:
     return U(a * b & (1 << 64) - 1)
 
 
-@functools.cache
 def factors(words: int) -> np.ndarray:
     return mix(np.arange(1, words + 1, dtype=np.uint64) * U(0x9E3779B97F4A7C15)) | U(1)
 
@@ -60,14 +57,19 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(mix(s))
 
 
-@functools.cache
+STARTS: dict[int, list[int]] = {}
+SHAPES: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+
 def band_starts(t: int) -> list[int]:
     """Least sizes of the bands: a set and any set that is at least ``t`` percent
     as large lie in the same band or in neighbouring ones."""
-    out = [1]
-    while out[-1] < 1 << 40:
-        out.append(out[-1] * 100 // t + 1)
-    return out
+    if t not in STARTS:
+        out = [1]
+        while out[-1] < 1 << 40:
+            out.append(out[-1] * 100 // t + 1)
+        STARTS[t] = out
+    return STARTS[t]
 
 
 def band_of(n: int, t: int) -> int:
@@ -76,7 +78,6 @@ def band_of(n: int, t: int) -> int:
     return bisect.bisect_right(band_starts(t), n) - 1
 
 
-@functools.cache
 def band_shape(j: int, t: int) -> tuple[int, int, int]:
     """``(D, parts, skipped)`` of band ``j``.
 
@@ -86,12 +87,12 @@ def band_shape(j: int, t: int) -> tuple[int, int, int]:
     parts agree, so both sets may leave out ``skipped`` parts (their lightest,
     which say least) and still share one.
     """
-    largest = band_starts(t)[j + 1] - 1
-    d = (100 - t) * 2 * largest // (100 + t)
-    if d <= 3:
-        return d, (d + 2) // 2, 0
-    skipped = max(1, round(0.15 * (d + 1)))
-    return d, d + 1 + 2 * skipped, skipped
+    if (j, t) not in SHAPES:
+        largest = band_starts(t)[j + 1] - 1
+        d = (100 - t) * 2 * largest // (100 + t)
+        skipped = max(1, round(0.15 * (d + 1))) if d > 3 else 0
+        SHAPES[j, t] = d, d + 1 + 2 * skipped if d > 3 else (d + 2) // 2, skipped
+    return SHAPES[j, t]
 
 
 def band_keys(s: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,8 +101,9 @@ def band_keys(s: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray]:
     d, parts, skipped = band_shape(j, t)
     if d == 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)  # equal sets only: they are one class already
-    bit = (mix(s ^ U(j + 1)) >> U(32)) * U(parts * PART_BITS) >> U(32)
-    part = (bit // U(PART_BITS)).astype(np.int64)
+    h = mix(s ^ U(j + 1))
+    part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+    bit = (h & U(PART_BITS - 1)) + part.astype(np.uint64) * U(PART_BITS)
     z = mix(bit + times(j + 1, 0xD6E8FEB86659FD93))
     order = np.argsort(part, kind="stable")
     count = np.bincount(part, minlength=parts)
@@ -183,25 +185,7 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
               .filter("head IS NOT NULL AND low <> high").select("key", "sid", "whole", "head"))
     bucket = stored(bucket.dropDuplicates(["key", "sid", "whole"]), "parity-buckets")
 
-    # Exact sets of the classes that share a bucket, from one text of each class.
-    wanted = classes.join(bucket.select("sid").distinct(), "sid").select("th", F.col("sid").alias("want"))
-    wanted = stored(wanted, "parity-wanted")
-    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-
-    def sets_of():
-        seen = set()
-
-        def each(cols):
-            for text, want in zip(*cols, strict=True):
-                if want not in seen:
-                    seen.add(want)
-                    yield {"sid": [want], "bytes": [shingles(text, words).tobytes()]}
-        return each
-
-    sets = map_rows(rows.withColumn("th", F.xxhash64("text")).join(side, "th").select("text", "want"),
-                    "sid long, bytes binary", sets_of)
-    sets = stored(sets.dropDuplicates(["sid"]).join(classes.select("sid", "n", "sketch"), "sid"), "parity-sets")
-    narrow = sets.select("sid", "n", "sketch")
+    narrow = classes.select("sid", "n", "sketch")
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` whose sizes and whole sketches allow a link."""
@@ -213,9 +197,30 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
                      & (apart * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))))
         return p.select("a", "b")
 
+    def exact_sets(pairs: DataFrame) -> DataFrame:
+        """``sid, bytes`` of the classes in ``pairs``, from one text of each."""
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        wanted = stored(classes.join(sids, "sid").select("th", F.col("sid").alias("want")), "parity-wanted")
+        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+
+        def sets_of():
+            done = set()  # copies: one set a task
+
+            def each(cols):
+                for text, want in zip(*cols, strict=True):
+                    if want not in done:
+                        done.add(want)
+                        yield {"sid": [want], "bytes": [shingles(text, words).tobytes()]}
+            return each
+
+        out = map_rows(rows.withColumn("th", F.xxhash64("text")).join(side, "th").select("text", "want"),
+                       "sid long, bytes binary", sets_of)
+        return stored(out.dropDuplicates(["sid"]), "parity-sets")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """Pairs whose exact sets are linked."""
-        p = close(pairs)
+        p = stored(close(pairs), "parity-close")
+        sets = exact_sets(p)
         p = p.join(sets.select(F.col("sid").alias("a"), F.col("bytes").alias("sa")), "a")
         p = p.join(sets.select(F.col("sid").alias("b"), F.col("bytes").alias("sb")), "b")
 
