@@ -80,9 +80,12 @@ def allocate_keys(df: DataFrame, prefix: str, start: Column | int, order: list[C
 
 
 def seeded_draw(seed: int, n: Column | int, *cols) -> Column:
-    """a repeatable draw in ``[0, n)`` from a hash of ``cols`` and ``seed``."""
+    """a repeatable draw in ``[0, n)`` from 48 bits of an md5 of ``seed`` and
+    ``cols`` (NULL counts as an empty text), the same in any engine with md5."""
     nn = n if isinstance(n, Column) else F.lit(n)
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), nn.cast("long"))
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")).cast("string")
+                                                for c in cols])
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long"), nn.cast("long"))
 
 
 def random_order_code(df: DataFrame, key: str, seed: int = 0, name: str = "order_code") -> DataFrame:

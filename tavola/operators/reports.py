@@ -636,11 +636,6 @@ def max_keys(t: Tables) -> DataFrame:
     return out
 
 
-def max_suffix_key(df: DataFrame, col: str, default: int = 0) -> DataFrame:
-    """F1 form of A18: ``MAX(TO_NUMBER(SUBSTR(id, 2)))``."""
-    return df.agg(F.coalesce(F.max(key_suffix_number(col)), F.lit(default)).cast("long").alias("max_key"))
-
-
 # ---------------------------------------------------------------------------
 # W: windows
 

@@ -395,14 +395,26 @@ def q_new_employee_routes(spark, d):
 
 
 # C17 / K2 ------------------------------------------------------------------------------
-@register("random_assignment", None)
+def _draw(seed: int, n: str, key: str) -> str:
+    return f"(('0x' || substr(md5('{seed}|' || coalesce({key}, '')), 1, 12))::bigint % {n})"
+
+
+@register("random_assignment", """, ranks AS (select delivery_id, employee_id, (select count(*) from r_delivery y
+ where y.delivery_id <= x.delivery_id) as courier_no from r_delivery x),
+ picked AS (select order_id, """ + _draw(1, "(select count(*) from r_delivery)", "order_id") + """ + 1 as courier_no
+ from r_orders where order_status='Pending')
+select order_id, courier_no, (select max(delivery_id) from ranks r where r.courier_no = p.courier_no) as delivery_id,
+ (select max(employee_id) from ranks r where r.courier_no = p.courier_no) as employee_id from picked p""")
 def q_random_assignment(spark, d):
     """C17: a courier drawn per Pending order."""
     t = tables(spark, d)
     return C.random_assignment(t, t["orders"].filter(F.col("order_status") == "Pending"), seed=1)
 
 
-@register("order_codes", None)
+@register("order_codes", ", coded AS (select order_id, " + " || ".join(
+    f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', {_draw(7 + i, '25', 'order_id')}::int + 1, 1)" for i in range(3))
+    + f" || lpad({_draw(10, '1000', 'order_id')}::varchar, 3, '0') as order_code from r_orders) "
+      "select order_id, order_code, count(*) over (partition by order_code) as code_uses from coded")
 def q_order_codes(spark, d):
     """K2: a 3-letter, 3-digit code per order with the number of orders sharing it."""
     coded = random_order_code(tables(spark, d)["orders"].select("order_id"), "order_id", seed=7)
@@ -410,7 +422,10 @@ def q_order_codes(spark, d):
     return coded.join(dup, "order_code")
 
 
-@register("customer_codes", None)
+@register("customer_codes", ", coded AS (select customer_id, split_part(name, '#', 1) as first_name, split_part(name, '#', 2) "
+          "as last_name, substr(split_part(name, '#', 1), 1, 1) || substr(split_part(name, '#', 2), 1, 1) || "
+          f"lpad({_draw(11, '1000', 'customer_id')}::varchar, 3, '0') as customer_code from r_customer) "
+          "select *, count(*) over (partition by customer_code) as code_uses from coded")
 def q_customer_codes(spark, d):
     """K2 (initials form): first letters of the two name parts and three drawn digits."""
     from tavola.functions.keys import initials_code
