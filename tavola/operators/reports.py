@@ -589,6 +589,14 @@ def cart_summary(cart_lines: DataFrame) -> DataFrame:
                  _sum_money(F.col("price") * q).alias("cart_total")))
 
 
+def cart_line_totals(cart_lines: DataFrame) -> DataFrame:
+    """A14, line by line: price times quantity (clamped to 1..99) of each cart line."""
+    from tavola.functions.exprs import clamp_quantity
+    q = clamp_quantity("quantity")
+    return cart_lines.select("request_seq", "line_no", "item_name", q.alias("quantity"), "price",
+                             (F.col("price") * q).cast("decimal(38,2)").alias("sub_total"))
+
+
 def order_items_label(t: Tables) -> DataFrame:
     """A15: "name (qty), ..." per order, names sorted (bounded by basket size)."""
     i = t["items"].select("item_id", "menu_id", "quantity")

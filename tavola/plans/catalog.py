@@ -388,6 +388,14 @@ def q_cart_summary(spark, d):
     return R.cart_summary(Q.cart_lines(spark, d))
 
 
+@register("cart_line_totals", ", " + CART_LINES_SQL + """select request_seq, line_no, item_name, cast(case when quantity is null
+ or quantity < 1 then 1 when quantity > 99 then 99 else quantity end as int) as quantity, price, cast(price * case
+ when quantity is null or quantity < 1 then 1 when quantity > 99 then 99 else quantity end as decimal(38,2)) as sub_total
+ from cart_lines""")
+def q_cart_line_totals(spark, d):
+    return R.cart_line_totals(Q.cart_lines(spark, d))
+
+
 @register("order_items_label", """select o.order_id, string_agg(m.item_name || ' (' || cast(i.quantity as varchar) || ')', ', '
  order by m.item_name, i.quantity) as items_label
  from r_orders o join r_items i on o.item_id=i.item_id join r_menu m on i.menu_id=m.menu_id group by o.order_id""")

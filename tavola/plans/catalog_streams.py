@@ -79,6 +79,18 @@ def q_carts_json_roundtrip(spark, d):
     return S.cart_lines_of(S.read_carts(spark, path)).drop("line_no")
 
 
+@register("load_customers", "select customer_id, name, email, phone_number, case when customer_id like '%7' then null "
+          "else address end as address from r_customer")
+def q_load_customers(spark, d):
+    """Customers stored with some empty addresses and loaded again (empty texts are NULL)."""
+    from tavola.sources.tables import load_tables
+    out = scratch_path(spark, f"loads/l-{uuid.uuid4().hex}")
+    c = tables(spark, d)["customer"]
+    c.withColumn("address", F.when(F.col("customer_id").endswith("7"), F.lit("")).otherwise(F.col("address"))) \
+        .write.parquet(f"{out}/customer.parquet")
+    return load_tables(spark, out, ["customer"])["customer"]
+
+
 @register("snapshot_roundtrip", "select order_id, customer_id, item_id, total_price, order_status, order_date from r_orders")
 def q_snapshot_roundtrip(spark, d):
     """All tables written as a committed snapshot version, orders read back."""

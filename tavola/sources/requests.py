@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavola.functions.exprs import full_name
+
 
 def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -129,7 +131,7 @@ def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     existing = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
     return (ev.join(c, ev.user_id == c.c_custkey, "left")
             .select(F.col("event_id").alias("request_seq"),
-                    F.concat(F.lit("Guest "), F.col("user_id").cast("string")).alias("name"),
+                    full_name(F.lit("Guest"), F.col("user_id").cast("string")).alias("name"),
                     F.when((F.col("event_type") == "error") & F.col("c_name").isNotNull(), existing)
                     .otherwise(F.concat(F.lit("guest"), F.col("user_id").cast("string"), F.lit("@example.com")))
                     .alias("email"),
@@ -158,7 +160,7 @@ def profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _raw(spark, sf_dir, "events")
     return ev.select(F.col("event_id").alias("request_seq"),
                      F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("customer_id"),
-                     F.concat(F.lit("Guest "), F.col("user_id").cast("string")).alias("name"),
+                     full_name(F.lit("Guest"), F.col("user_id").cast("string")).alias("name"),
                      F.concat(F.lit("user"), (F.col("event_id") % 200).cast("string"), F.lit("@example.com"))
                      .alias("email"),
                      (F.lit(7000000000) + F.col("user_id") + F.when(F.col("event_type") == "error", 1).otherwise(0))

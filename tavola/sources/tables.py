@@ -14,6 +14,7 @@ from decimal import Decimal
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tavola.functions.exprs import city_pin
 from tavola.schema import SCHEMAS, PRIMARY_KEYS
 
 Tables = dict[str, DataFrame]
@@ -37,11 +38,11 @@ def load_tables(spark: SparkSession, directory: str, names=None) -> Tables:
     """Read restaurant tables stored as ``<dir>/<name>.parquet`` (or folders).
 
     The schema is given, never inferred; Parquet prunes columns and takes
-    pushed filters.
+    pushed filters. Empty texts become NULL, as the source's database stores them.
     """
     out = {}
     for n in names or SCHEMAS:
-        out[n] = spark.read.schema(SCHEMAS[n]).parquet(f"{directory.rstrip('/')}/{n}.parquet")
+        out[n] = conform(spark.read.schema(SCHEMAS[n]).parquet(f"{directory.rstrip('/')}/{n}.parquet"), n)
     return out
 
 
@@ -112,7 +113,7 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
                 F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
                 .alias("email"),
                 (F.lit(7000000000) + F.col("c_custkey")).cast("string").alias("phone_number"),
-                F.concat(F.col("n_name"), F.lit("-"), F.col("c_mktsegment")).alias("address"),
+                city_pin("n_name", "c_mktsegment").alias("address"),
             )
         )
 
