@@ -19,6 +19,8 @@ from tavola.llm.common import map_rows, small_batches, stored, table, text_or_em
 from tavola.llm.components import components
 
 PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
+SPARE = 0.2                    # share of a set's parts that it may leave out
+PARTNERS = 8                   # classes that a class is compared with in the first turn
 FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
 U = np.uint64
@@ -84,13 +86,13 @@ def band_shape(j: int, t: int) -> tuple[int, int, int]:
     ``D`` is the largest symmetric difference of a linked pair of the band. Up
     to ``D = 3`` there are so few parts that one of them differs in one bit at
     most. Beyond, ``parts = D + 1 + 2 * skipped``: at least ``2 * skipped + 1``
-    parts agree, so both sets may leave out ``skipped`` parts (their lightest,
-    which say least) and still share one.
+    parts agree, so both sets may leave out any ``skipped`` of their parts (those
+    that most other sets have too, which say least) and still share one.
     """
     if (j, t) not in SHAPES:
         largest = band_starts(t)[j + 1] - 1
         d = (100 - t) * 2 * largest // (100 + t)
-        skipped = max(1, round(0.15 * (d + 1))) if d > 3 else 0
+        skipped = max(1, round(SPARE * (d + 1))) if d > 3 else 0
         SHAPES[j, t] = d, d + 1 + 2 * skipped if d > 3 else (d + 2) // 2, skipped
     return SHAPES[j, t]
 
@@ -98,7 +100,7 @@ def band_shape(j: int, t: int) -> tuple[int, int, int]:
 def band_keys(s: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of one set in band ``j``, and whether each is of a whole part (else
     of a part with one bit flipped)."""
-    d, parts, skipped = band_shape(j, t)
+    d, parts, _ = band_shape(j, t)
     if d == 0:
         return np.zeros(0, np.uint64), np.zeros(0, bool)  # equal sets only: they are one class already
     h = mix(s ^ U(j + 1))
@@ -114,8 +116,7 @@ def band_keys(s: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray]:
     if d <= 3:
         flipped = mix((xor[part] ^ z) + salt[part])
         return np.concatenate((mix(xor + salt), flipped)), np.arange(parts + len(s)) < parts
-    use = np.argsort(count, kind="stable")[skipped:]
-    return mix(xor[use] + salt[use]), np.ones(len(use), dtype=bool)
+    return mix(xor + salt), np.ones(parts, dtype=bool)
 
 
 def set_id(s: np.ndarray) -> int:
@@ -169,21 +170,33 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
                     continue
                 seen.add(sid)
                 j = band_of(len(s), t)
-                k, whole = map(np.concatenate, zip(band_keys(s, j, t), band_keys(s, j + 1, t), strict=True))
-                if len(k):
-                    yield {"key": k.view(np.int64), "v": np.int64(sid) | whole.astype(np.int64)}
+                for band in (j, j + 1):
+                    k, whole = band_keys(s, band, t)
+                    if len(k):
+                        yield {"key": k.view(np.int64), "v": np.int64(sid) | whole.astype(np.int64),
+                               "slot": np.full(len(k), band << 24 | band_shape(band, t)[2], dtype=np.int64)}
         return each
 
-    entries = map_rows(rows.select("text"), "key long, v long", keys)
-    # One shuffle by key: the least whole-part class of each bucket is its head.
+    entries = map_rows(rows.select("text"), "key long, v long, slot long", keys)
     by_key = Window.partitionBy("key")
-    sid = F.col("v").bitwiseAND(F.lit(-2))
-    whole = F.col("v").bitwiseAND(F.lit(1)) == 1
-    bucket = entries.select("key", sid.alias("sid"), whole.alias("whole"))
-    bucket = (bucket.withColumn("head", F.min(F.when(F.col("whole"), F.col("sid"))).over(by_key))
-              .withColumn("low", F.min("sid").over(by_key)).withColumn("high", F.max("sid").over(by_key))
-              .filter("head IS NOT NULL AND low <> high").select("key", "sid", "whole", "head"))
-    bucket = stored(bucket.dropDuplicates(["key", "sid", "whole"]), "parity-buckets")
+
+    def shared(e: DataFrame) -> DataFrame:
+        """Entries whose key two classes have, one of them as a whole part; the
+        least of these is the head of the bucket."""
+        return (e.withColumn("head", F.min(F.when(F.col("whole"), F.col("sid"))).over(by_key))
+                .withColumn("low", F.min("sid").over(by_key)).withColumn("high", F.max("sid").over(by_key))
+                .filter("head IS NOT NULL AND low <> high").drop("low", "high"))
+
+    # One shuffle of all entries, by key; what follows has shared keys only.
+    sid = F.col("v").bitwiseAND(F.lit(-2)).alias("sid")
+    whole = (F.col("v").bitwiseAND(F.lit(1)) == 1).alias("whole")
+    bucket = shared(entries.select("key", sid, whole, "slot").withColumn("size", F.count(F.lit(1)).over(by_key)))
+    bucket = bucket.drop("head").dropDuplicates(["key", "sid", "whole"])
+    # Each class leaves out as many of its parts as it may, those in the largest buckets.
+    spare = F.col("slot").bitwiseAND(F.lit((1 << 24) - 1))
+    by_class = Window.partitionBy("sid", "slot").orderBy(F.desc("size"), "key")
+    bucket = bucket.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") > spare)
+    bucket = stored(shared(bucket.select("key", "sid", "whole")), "parity-buckets")
 
     narrow = classes.select("sid", "n", "sketch")
 
@@ -238,11 +251,19 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
             return each
         return map_rows(p.select("a", "b", "sa", "sb"), "a long, b long", check)
 
-    # First turn: each class with the head it shares most keys with. Then only
+    # First turn: in each bucket a class meets the head and its neighbour in an
+    # order drawn for the bucket, and is compared with the ``PARTNERS`` classes it
+    # meets most often: a number of pairs linear in the classes. Then only
     # classes of a bucket that are still in different components are compared.
-    votes = bucket.filter("sid <> head").groupBy("sid", "head").count()
-    best = votes.groupBy("sid").agg(F.max(F.struct("count", (-F.col("head")).alias("less"), "head"))["head"].alias("head"))
-    first = stored(verified(best.select(F.col("sid").alias("a"), F.col("head").alias("b"))), "parity-first")
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "whole")
+    met = bucket.withColumn("near", F.lag("sid").over(drawn)).withColumn("near_whole", F.lag("whole").over(drawn))
+    met = (met.select("sid", F.col("head").alias("other"))
+           .unionByName(met.filter("whole OR near_whole").select("sid", F.col("near").alias("other"))).filter("sid <> other"))
+    votes = met.groupBy("sid", "other").count()
+    most = Window.partitionBy("sid").orderBy(F.desc("count"), F.xxhash64("sid", "other"))
+    best = votes.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= PARTNERS)
+    best = best.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
+    first = stored(verified(best), "parity-first")
     comp = components(first)
     named = bucket.join(comp, bucket["sid"] == comp["v"], "left").select(
         "key", "sid", "whole", F.coalesce("c", "sid").alias("c"))
@@ -270,9 +291,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, t: int = 80, id_col: str
     (equal sets). Null ids never name a component unless it has no other id.
     Other columns are ignored.
 
-    Equal sets are one class, so a group of copies costs no pairs. Within a
-    bucket each class meets one head first; classes meet each other only where
-    that left them in different components, so no link between different texts
+    Equal sets are one class, so a group of copies costs no pairs. Each class is
+    first compared with the few classes it shares most with; classes of a bucket
+    meet each other only where that left them in different components, so no link between different texts
     is lost and groups of near copies are not expanded.
     """
     rows = stored(jaccard_classes(docs, words, t, id_col, text_col), "parity-result")

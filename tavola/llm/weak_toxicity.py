@@ -210,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .agg(F.avg(F.col("toxic").cast("double")).alias("y")).filter("y <> 0.5 AND id IS NOT NULL"))
     known = known.filter(~held_out(F.col("id"))).withColumn("y", (F.col("y") > 0.5).cast("int"))
     known = known.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(LABELLED)
-    known = stored(rows.join(known, "id").select("y", "text"), "tox-known")
+    # At most LABELLED ids: sent to every executor, so that no text is shuffled.
+    known = stored(rows.join(F.broadcast(known), "id").select("y", "text"), "tox-known")
+    small_batches(docs.sparkSession, 4000)  # fewer partial counts; a sample of rows only
 
     def words():
         memo = PerToken(terms_of)
@@ -232,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     base = n1 / (n0 + n1)
     gain = gain_of(F.col("toxic"), F.col("clean"), base)
-    counts = stored(counts, "tox-terms")
+    counts = stored(counts.filter(F.col("toxic") >= SUPPORT), "tox-terms")
     tested = max(2, counts.count())  # the limit rises with the number of terms tried
     pure = F.col("toxic") >= F.lit(PURITY) * (F.col("toxic") + F.col("clean"))
     lexicon = [r["term"] for r in counts.filter((F.col("toxic") >= SUPPORT) & pure & (gain >= 2 * math.log(tested)))
@@ -265,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield {"n": [len(b)], "both": [(b.T @ b).astype(np.int64).ravel().tolist()]}
         return each
 
+    small_batches(docs.sparkSession)
     seen = map_rows(rows.select("text"), "n long, both array<long>", moments)
     n = F.sum("n").alias("n")
     sums = seen.select("n", F.posexplode("both").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), n).collect()
@@ -286,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     some = (rows.filter(~held_out(F.col("id"))).filter(F.pmod(pick, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
             .orderBy(pick, "id").limit(TRAINED).select("text"))
     some = stored(map_rows(some, "post long, text string", sampled), "tox-sample")
+    small_batches(docs.sparkSession, 4000)
 
     def sample_terms():
         memo = PerToken(terms_of)
