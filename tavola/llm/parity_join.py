@@ -20,7 +20,7 @@ from tavola.llm.components import components
 
 PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
 SPARE = 0.2                    # share of a set's parts that it may leave out
-PARTNERS = 8                   # classes that a class is compared with in the first turn
+PARTNERS, LARGE = 8, 64         # classes that a class is compared with in the first turn; large buckets
 FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
 U = np.uint64
@@ -196,7 +196,8 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
     spare = F.col("slot").bitwiseAND(F.lit((1 << 24) - 1))
     by_class = Window.partitionBy("sid", "slot").orderBy(F.desc("size"), "key")
     bucket = bucket.withColumn("place", F.row_number().over(by_class)).filter(F.col("place") > spare)
-    bucket = stored(shared(bucket.select("key", "sid", "whole")), "parity-buckets")
+    bucket = shared(bucket.select("key", "sid", "whole")).withColumn("size", F.count(F.lit(1)).over(by_key))
+    bucket = stored(bucket, "parity-buckets")
 
     narrow = classes.select("sid", "n", "sketch")
 
@@ -251,21 +252,28 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
             return each
         return map_rows(p.select("a", "b", "sa", "sb"), "a long, b long", check)
 
-    # First turn: in each bucket a class meets the head and its neighbour in an
-    # order drawn for the bucket, and is compared with the ``PARTNERS`` classes it
-    # meets most often: a number of pairs linear in the classes. Then only
-    # classes of a bucket that are still in different components are compared.
+    # First turn: in each bucket a class meets the hub (the class that shares most
+    # over all its buckets: of a group of near copies the one changed least), the
+    # head, and its neighbour in an order drawn for the bucket. It is compared
+    # with the ``PARTNERS`` classes it meets most often and, from buckets of at
+    # least ``LARGE`` classes, with all it meets: a number of pairs linear in the
+    # entries. Then only classes of a bucket that are still in different
+    # components are compared.
+    central = bucket.groupBy(F.col("sid").alias("c_sid")).agg(F.sum("size").alias("central"))
+    hubs = bucket.join(central, F.col("sid") == F.col("c_sid")).withColumn("hub", F.max(
+        F.when(F.col("whole"), F.struct("central", "sid"))).over(by_key)["sid"]).select("sid", F.col("hub").alias("other"), "size")
     drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "whole")
     met = bucket.withColumn("near", F.lag("sid").over(drawn)).withColumn("near_whole", F.lag("whole").over(drawn))
-    met = (met.select("sid", F.col("head").alias("other"))
-           .unionByName(met.filter("whole OR near_whole").select("sid", F.col("near").alias("other"))).filter("sid <> other"))
-    votes = met.groupBy("sid", "other").count()
+    met = (met.select("sid", F.col("head").alias("other"), "size").unionByName(hubs)
+           .unionByName(met.filter("whole OR near_whole").select("sid", F.col("near").alias("other"), "size"))
+           .filter("sid <> other"))
+    votes = met.groupBy("sid", "other").agg(F.count(F.lit(1)).alias("count"), F.max("size").alias("size"))
     most = Window.partitionBy("sid").orderBy(F.desc("count"), F.xxhash64("sid", "other"))
-    best = votes.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= PARTNERS)
+    best = votes.withColumn("place", F.row_number().over(most)).filter((F.col("place") <= PARTNERS) | (F.col("size") >= LARGE))
     best = best.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
     first = stored(verified(best), "parity-first")
     comp = components(first)
-    named = bucket.join(comp, bucket["sid"] == comp["v"], "left").select(
+    named = bucket.drop("size").join(comp, bucket["sid"] == comp["v"], "left").select(
         "key", "sid", "whole", F.coalesce("c", "sid").alias("c"))
     spread = named.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
     left = stored(spread.filter("low <> high").select("key", "sid", "whole", "c"), "parity-left")
