@@ -9,17 +9,20 @@ are generalised, the strongest are removed.
 
 from __future__ import annotations
 
+import math
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW = 8            # words on each side of an entity
-SUPPORT = 3           # documents in which term and entity stand together
+SUPPORT = 3           # texts in which term and entity stand together (all of them, if the entity has fewer)
+CHANCE = 0.05         # most that may be expected, for each entity, of terms that stand with it by accident
 REACH = 320           # and characters
+COPIED = 2_000_000                # most hashes of copied texts sent to every executor
 BROADCAST_ROWS = 500_000          # most wanted terms (64 characters each at most) sent to every executor
 GENERALISE, REMOVE = 0.75, 0.95   # share of the entity's information that the term gives
 
@@ -140,35 +143,61 @@ def found(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
 
 
 def document_frequency(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``term, df``: in how many rows each wanted term occurs, over all rows."""
-    rows = docs.select(text_or_empty(text_col).alias("text"))
+    """``term, df``: in how many different texts each wanted term occurs, over all
+    rows. Terms of single texts are summed in each batch; terms of texts with
+    copies go with the text's hash, so that each text counts once."""
+    rows = docs.select(text_or_empty(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
+    copies = stored(rows.groupBy("th").count().filter("count > 1").select("th", F.col("th").alias("copied")), "pii-copies")
+    copies = F.broadcast(copies) if copies.count() <= COPIED else copies
 
     def count():
         def each(cols):
-            seen = {}
-            for text in cols[0]:
-                for w in set(WORD.findall(text.lower())):
-                    seen[w] = seen.get(w, 0) + 1
-            yield {"term": list(seen), "df": list(seen.values())}
+            single, copied = {}, {}
+            for text, th in zip(*cols, strict=True):
+                if th in copied:
+                    continue
+                words = {w for w in WORD.findall(text.lower()) if len(w) <= 64}
+                if th is not None:
+                    copied[th] = words
+                    continue
+                for w in words:
+                    single[w] = single.get(w, 0) + 1
+            yield {"term": list(single), "th": [None] * len(single), "df": list(single.values())}
+            for th, words in copied.items():
+                yield {"term": list(words), "th": [th] * len(words), "df": [1] * len(words)}
         return each
 
-    partial = map_rows(rows, "term string, df long", count).filter(F.length("term") <= 64)
+    partial = map_rows(rows.join(copies, "th", "left").select("text", "copied"), "term string, th long, df long", count)
     wanted = stored(wanted, "pii-wanted")
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return partial.join(side, "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    each_text = partial.join(side, "term", "left_semi").groupBy("term", "th").agg(F.sum("df").alias("df"))
+    return each_text.groupBy("term").agg(F.sum(F.when(F.col("th").isNull(), F.col("df")).otherwise(1)).alias("df"))
 
 
-def disclosing(near: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
+def log_chance(n_te: Column, n_e: Column, share: Column) -> Column:
+    """Logarithm of a bound on the probability that a term that stands in this
+    share of all texts stands in ``n_te`` or more of ``n_e`` texts by accident
+    (Hoeffding; exact if it stands in all of them)."""
+    rest = n_e - n_te
+    miss = F.when(rest > 0, rest * F.ln(rest / (n_e * (1 - share)))).otherwise(0.0)
+    return F.when(n_te > n_e * share, -(n_te * F.ln(n_te / (n_e * share)) + miss)).otherwise(0.0)
+
+
+def disclosing(near: DataFrame, frequency: DataFrame, n_texts: int) -> DataFrame:
     """``entity, term, share``: terms that give at least ``GENERALISE`` of the
-    information of an entity, ``share = PMI(term, entity) / IC(entity)``."""
-    of_entity = near.select("entity", "id", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    together = near.select("entity", "term", "id", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
-    total = F.lit(float(max(n_docs, 1)))
-    pairs = together.filter(F.col("n_te") >= SUPPORT).join(of_entity, "entity").join(frequency, "term")
+    information of an entity, ``share = PMI(term, entity) / IC(entity)``, and do
+    not stand with it by accident. All counts are of different texts."""
+    of_entity = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    together = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te"))
+    tried = together.groupBy("entity").agg(F.count("*").alias("tried"))
+    total = F.lit(float(max(n_texts, 1)))
+    pairs = together.join(of_entity.join(tried, "entity"), "entity").filter(F.col("n_te") >= F.least(F.lit(SUPPORT), "n_e"))
+    pairs = pairs.join(frequency, "term").withColumn("df", F.greatest("df", "n_te"))
     content = F.log2(total / F.col("n_e"))
-    pmi = F.log2(total * F.col("n_te") / (F.col("n_e") * F.greatest("df", "n_te")))
-    return (pairs.filter(content > 0).select("entity", "term", (pmi / content).alias("share"))
-            .filter(F.col("share") >= GENERALISE))
+    pmi = F.log2(total * F.col("n_te") / (F.col("n_e") * F.col("df")))
+    chance = log_chance(F.col("n_te"), F.col("n_e"), F.col("df") / total) + F.ln("tried")
+    return (pairs.filter((content > 0) & (chance <= math.log(CHANCE)))
+            .select("entity", "term", (pmi / content).alias("share")).filter(F.col("share") >= GENERALISE))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -179,20 +208,21 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     A term near an entity of the document becomes a ``term`` span when, in the
     whole corpus, it discloses that entity: it stands near it in at least
-    ``SUPPORT`` documents and its mutual information with it reaches
-    ``GENERALISE`` of the entity's information content; from ``REMOVE`` on it is
-    removed instead of generalised. Common words occur far from the entity too
-    and stay below.
-
-    Null texts count as empty. Rows repeated with the same id and text count as
-    one in the co-occurrences. Null ids are kept; other columns are ignored.
+    ``SUPPORT`` different texts (in all texts of an entity that has fewer), more
+    often than by accident (``CHANCE``), and its mutual information with it
+    reaches ``GENERALISE`` of the entity's information content; from ``REMOVE``
+    on it is removed instead of generalised. Common words occur far from the
+    entity too and stay below.
+
+    Null texts count as empty. Copies of a text count as one text. Null ids are
+    kept; other columns are ignored.
     Only words within ``WINDOW`` words of an entity enter the statistics of
     pairs, so their number is linear in the entities; document frequencies
     are summed in each batch before they are shuffled.
     """
     base, near, wanted = found(docs, id_col, text_col)
     frequency = document_frequency(docs, wanted, text_col)
-    strong = stored(disclosing(near, frequency, base.count()), "pii-terms")
+    strong = stored(disclosing(near, frequency, base.select("th").distinct().count()), "pii-terms")
     hits = (near.join(strong, ["entity", "term"])
             .groupBy("id", "th").agg(F.collect_set(F.struct("s", "e", (F.col("share") >= REMOVE).alias("gone"))).alias("terms")))
     hits = hits.select(F.col("id").alias("h_id"), F.col("th").alias("h_th"), "terms")

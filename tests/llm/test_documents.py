@@ -121,6 +121,23 @@ def test_terms_that_disclose(spark):
     assert sanitise(frame(spark, [])).count() == 0
 
 
+def rare_case():
+    rows = [(i, f"the plain text number {i} of the rest for you", "s") for i in range(600)]
+    rows += [(700, "the qulf wrote as solo@mail.example.org for you", "s")]
+    rows += [(710 + i, f"the vimmo {i} text of duo@mail.example.org for you", "s") for i in range(2)]
+    # Five copies of a text are one text; "trab" stands in forty other texts too.
+    rows += [(720 + i, "the plain trab for copy@mail.example.org", "s") for i in range(5)]
+    return rows + [(730 + i, f"the trab {i} of the rest", "s") for i in range(40)]
+
+
+def test_terms_of_entities_of_one_and_two_texts(spark):
+    rows = rare_case()
+    out = {r["doc_id"]: r for r in sanitise(frame(spark, rows), with_text=True).collect()}
+    assert "qulf" not in out[700]["sanitised"] and "the " in out[700]["sanitised"] and "for you" in out[700]["sanitised"]
+    assert all("vimmo" not in out[710 + i]["sanitised"] and " text of " in out[710 + i]["sanitised"] for i in range(2))
+    assert all(out[720 + i]["spans"] == out[720 + i]["base_spans"] for i in range(5))
+
+
 # ---- near-duplicates
 
 def grams(text, k):
