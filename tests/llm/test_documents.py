@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from tavola.llm import line_spread, parity_join
+from tavola.llm import disclosure, line_spread, parity_join
 from tavola.llm.components import components
 from tavola.llm.disclosure import KINDS, base_spans, luhn, sanitise
 from tavola.llm.line_spread import remove_spread_lines, without_boilerplate
@@ -138,6 +138,31 @@ def test_terms_of_entities_of_one_and_two_texts(spark):
     assert all(out[720 + i]["spans"] == out[720 + i]["base_spans"] for i in range(5))
 
 
+def test_terms_far_from_the_entity_and_in_other_documents(spark):
+    rng = random.Random(6)
+    fill = lambda n: " ".join(f"w{rng.randrange(30)}" for _ in range(n))
+    rows = [(i, fill(40), "s") for i in range(600)]
+    # The name stands in the first line, the address 120 words further, the name again at the end.
+    rows += [(700 + i, f"Xandra w1\n{fill(120)}\nxan@mail.example.org {fill(60)} xandra", "s") for i in range(4)]
+    rows += [(800, "w2 xandra w3 " + fill(20), "s"), (801, "xandras " + fill(20), "s"), (None, "Xandra", "s"), (800, "XANDRA", "s")]
+    out = sanitise(frame(spark, rows), with_text=True, everywhere=True).collect()
+    assert len(out) == len(rows)
+    assert sum(r["sanitised"].lower().count("xandra") for r in out) == 1  # another word
+    assert all(r["spans"].count("term:") == (2 if r["n_email"] else 1) for r in out if r["doc_id"] in range(700, 704)
+               or r["doc_id"] in (None, 800))
+    assert all(r["spans"] == "" for r in out if r["doc_id"] in range(600))
+    here = {(r["doc_id"], r["n_email"]): r["spans"] for r in sanitise(frame(spark, rows)).collect()}
+    assert here[(801, 0)] == here[(None, 0)] == "" and all(here[(700 + i, 1)].count("term:") == 2 for i in range(4))
+
+
+def test_bounds_of_workers_change_nothing(spark, monkeypatch):
+    rows = rare_case()
+    want = sorted(map(str, sanitise(frame(spark, rows), everywhere=True).collect()))
+    for name in ("HELD", "ROUND", "COPIED", "BROADCAST_ROWS"):
+        monkeypatch.setattr(disclosure, name, 1)
+    assert sorted(map(str, sanitise(frame(spark, rows), everywhere=True).collect())) == want
+
+
 # ---- near-duplicates
 
 def grams(text, k):
