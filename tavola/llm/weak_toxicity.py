@@ -23,7 +23,7 @@ from tavola.llm.common import map_rows, small_batches, stored, table, text_or_em
 
 LABELLED, TRAINED = 40_000, 12_000      # most rows that lexicons and classifier are fitted on
 TERMS, VOTERS, SUPPORT, PURITY = 4_000, 24, 4, 0.8
-FEATURES = 400                          # terms of the classifier, those that tell most
+FEATURES = 500_000                      # terms of the classifier; far more than pass the gain test in TRAINED rows
 DECISION = 0.7
 CACHE = 400_000
 STRIP = ".,;:!?\"'()[]{}<>*_-–—…¡¿«»“”"
@@ -304,11 +304,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield {"term": list(out), "n": [c[0] for c in out.values()], "post": [c[1] for c in out.values()]}
         return each
 
-    # Features: terms whose share of posterior labels differs clearly from the sample's.
-    counts = map_rows(some, "term string, n long, post long", sample_terms).groupBy("term").agg(
+    # Features: terms whose share of posterior labels differs clearly from the
+    # sample's, counted over different texts (equal texts have equal posteriors).
+    texts = stored(some.groupBy(F.xxhash64("text").alias("th")).agg(F.first("post").alias("post"), F.first("text").alias("text"))
+                   .select("post", "text"), "tox-texts")  # at most TRAINED rows
+    counts = map_rows(texts, "term string, n long, post long", sample_terms).groupBy("term").agg(
         F.sum("n").alias("n"), F.sum("post").alias("post")).filter(F.col("n") >= SUPPORT)
     counts = stored(counts, "tox-sample-terms")
-    mean = some.agg(F.avg("post")).first()[0]
+    mean = texts.agg(F.avg("post")).first()[0]
     base = min(1 - 1e-6, max(1e-6, (mean or 0) / 1e6))
     gain = F.abs(gain_of(F.col("post") / 1e6, F.col("n") - F.col("post") / 1e6, base))
     terms = [r["term"] for r in counts.filter(gain >= 2 * math.log(max(2, counts.count())))

@@ -137,6 +137,24 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert a == b
 
 
+def test_copies_of_a_long_text_take_no_features(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(1200):  # 60 toxic words of their own, each in few rows
+        toxic = i % 4 == 0
+        text = [f"w{rng.randrange(300)}" for _ in range(25)] + [f"{k}vile" for k in rng.sample(range(60), 6)] * toxic
+        rows.append((i, " ".join(text), "s", toxic))
+        labels.append((i, 1, int(toxic)))
+    copied = " ".join(f"{k}common" for k in range(900))
+    docs = frame(spark, [r[:3] for r in rows] + [(2000 + i, copied, "s") for i in range(600)])
+    scorer = weak_toxicity.fit(docs, spark.createDataFrame(labels, LABELS))
+    assert sum(scorer.weights.get(f"w:{k}vile", 0) > 0 for k in range(60)) == 60
+    assert not any("common" in t for t in scorer.weights)
+    out = {r["doc_id"]: r["__tox_score"] for r in score_toxicity(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    h = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
+    assert sum((out[r[0]] >= 0.7) == r[3] for r in h) / len(h) > 0.97 and out[2000] < 0.7
+
+
 def test_without_labels_or_rows(spark):
     rows, labels = tox_case(30)
     docs = frame(spark, [r[:3] for r in rows])
