@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 from tavola.llm.common import stored, table
 
 MIN_SITES = 10
+LONG_WORDS, LONG_SITES = 50, 2  # lines of so many words are boilerplate from so many sites on
 LG_K = 12
 # Four standard errors of a sketch with 2**LG_K registers (1.04 / sqrt(4096)).
 BAND = 0.065
@@ -25,30 +26,35 @@ def line_key(line: Column) -> Column:
     return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """``doc, tie, site, pos, h`` of every line that is not blank; the hash is
-    128 bits wide (two independent longs)."""
+def exploded(rows: DataFrame, min_sites: int, long_sites: int | None) -> DataFrame:
+    """``doc, tie, site, pos, h, h2, need`` of every line that is not blank; the hash
+    is 128 bits wide (two independent longs), ``need`` the sites that make the line
+    boilerplate."""
     lines = rows.select("doc", "tie", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", line_key(F.col("line"))).filter("line <> ''")
+    need = F.lit(min_sites)
+    if long_sites is not None:  # a line of so many words has a blank between them
+        long = F.when(F.length("line") >= 2 * LONG_WORDS - 1, F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")) >= LONG_WORDS)
+        need = F.when(long, F.lit(min(min_sites, long_sites))).otherwise(need)
     return lines.select("doc", "tie", "site", "pos", F.xxhash64("line").alias("h"),
-                        F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"))
+                        F.xxhash64(F.lit(1), F.reverse("line")).alias("h2"), need.alias("need"))
 
 
-def spread_lines(lines: DataFrame, min_sites: int) -> DataFrame:
-    """Hashes ``h, h2`` of the lines that occur on at least ``min_sites`` sites.
+def spread_lines(lines: DataFrame) -> DataFrame:
+    """Hashes ``h, h2`` of the lines that occur on at least ``need`` sites.
 
     A null site counts as a site of its own.
     """
     site = F.coalesce(F.concat(F.lit("s"), F.col("site")), F.lit("-"))
-    sketch = lines.groupBy("h", "h2").agg(
+    sketch = lines.groupBy("h", "h2", "need").agg(
         F.hll_sketch_estimate(F.hll_sketch_agg(site, F.lit(LG_K))).alias("sites"), F.count(F.lit(1)).alias("n"))
-    low, high = min_sites * (1 - BAND), min_sites * (1 + BAND)
+    low, high = F.col("need") * (1 - BAND), F.col("need") * (1 + BAND)
     # A line with fewer occurrences than the threshold cannot reach it.
-    candidates = stored(sketch.filter((F.col("n") >= min_sites) & (F.col("sites") >= F.lit(low))), "line-sketches")
-    near = candidates.filter(F.col("sites") <= F.lit(high)).select("h", "h2")
-    exact = (lines.join(near, ["h", "h2"], "left_semi").select("h", "h2", site.alias("site")).distinct()
-             .groupBy("h", "h2").count().filter(F.col("count") >= min_sites).select("h", "h2"))
-    return candidates.filter(F.col("sites") > F.lit(high)).select("h", "h2").unionByName(exact)
+    candidates = stored(sketch.filter((F.col("n") >= F.col("need")) & (F.col("sites") >= low)), "line-sketches")
+    near = candidates.filter(F.col("sites") <= high).select("h", "h2")
+    exact = (lines.join(near, ["h", "h2"], "left_semi").select("h", "h2", "need", site.alias("site")).distinct()
+             .groupBy("h", "h2", "need").count().filter(F.col("count") >= F.col("need")).select("h", "h2"))
+    return candidates.filter(F.col("sites") > high).select("h", "h2").unionByName(exact)
 
 
 @F.pandas_udf(StringType())
@@ -63,11 +69,12 @@ def without_lines(text: pd.Series, drop: pd.Series) -> pd.Series:
 
 
 def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text",
-                        site_col: str = "source") -> DataFrame:
+                        site_col: str = "source", long_sites: int | None = LONG_SITES) -> DataFrame:
     """``docs`` with boilerplate lines removed and two added columns,
     ``__n_lines`` and ``__n_removed`` (of lines that are not blank).
 
-    A line is boilerplate when it occurs on at least ``min_sites`` sites. Its
+    A line is boilerplate when it occurs on at least ``min_sites`` sites, or
+    ``long_sites`` (None: no rule of their own) from ``LONG_WORDS`` words on. Its
     first occurrence (smallest id, then text hash, then position) stays, so no
     content is lost; every other occurrence goes. Lines are compared without
     outer blanks; blank lines are never removed. Null and empty texts stay as
@@ -78,11 +85,11 @@ def remove_spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
     tie = F.xxhash64(F.col(text_col).cast("string"))
     rows = docs.select(F.col(id_col).alias("doc"), tie.alias("tie"), F.col(site_col).cast("string").alias("site"),
                        F.col(text_col).cast("string").alias("text"))
-    lines = stored(exploded(rows), "lines")  # narrow: hashes and positions, no text
-    spread = stored(spread_lines(lines, min_sites), "spread-lines")
+    lines = stored(exploded(rows, min_sites, long_sites), "lines")  # narrow: hashes and positions, no text
+    spread = stored(spread_lines(lines), "spread-lines")
     # Hot lines: occurrences meet in one partial minimum per task before the shuffle.
     at = F.struct(F.col("doc").isNull().alias("n"), "doc", "tie", "pos")
-    found = lines.drop("site").join(spread, ["h", "h2"], "left_semi")
+    found = lines.drop("site", "need").join(spread, ["h", "h2"], "left_semi")
     found = stored(found, "spread-found")
     first = found.groupBy("h", "h2").agg(F.min(at).alias("keep"))
     drops = (found.join(first, ["h", "h2"]).filter(~F.col("keep").eqNullSafe(at))
@@ -119,7 +126,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str
 def op6_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the lines it keeps, as a digest."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = remove_spread_lines(docs)
+    out = remove_spread_lines(docs, long_sites=None)  # one threshold for all lines, as OP6_SQL has it
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.md5("text").alias("text_md5"),
                       F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"))
 

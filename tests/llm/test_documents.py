@@ -57,6 +57,19 @@ def test_near_threshold_lines_are_counted_exactly(spark, monkeypatch):
     test_spread_lines(spark)
 
 
+def test_long_lines_go_from_two_sites_on(spark):
+    line = lambda w, n: " ".join(f"{w}{i}" for i in range(n))
+    rows = [(0, line("a", 50) + "\nown 0", "s1"), (1, "own 1\n  " + line("a", 50) + "\t", "s2"), (2, line("a", 50) + "\nown 2", "s1"),
+            (3, line("b", 60) + "\nown 3", "s1"), (4, line("b", 60) + "\nown 4", "s1"),  # one site
+            (5, line("d", 70) + "\nown 5", None), (6, line("d", 70) + "\nown 6", "s1")]
+    rows += [(10 + i, line("c", 49) + f"\nown {i}", f"s{i}") for i in range(9)]  # short and below ten sites
+    out = {r["doc_id"]: r for r in without_boilerplate(frame(spark, rows)).collect()}
+    assert {i: r["text"] for i, r in out.items()} == {i: t for i, t, _ in rows} | {1: "own 1", 2: "own 2", 6: "own 6"}
+    assert out[1]["n_chars"] == 5
+    got = remove_spread_lines(frame(spark, rows), long_sites=None)
+    assert got.filter("__n_removed > 0").count() == 0
+
+
 def test_stage_keeps_content(spark):
     rows = spread_case()
     out = without_boilerplate(frame(spark, rows))
