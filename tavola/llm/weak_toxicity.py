@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
 
-LABELLED, TRAINED = 40_000, 12_000      # most rows that lexicons and classifier are fitted on
-TERMS, VOTERS, SUPPORT, PURITY = 4_000, 24, 4, 0.8
+LABELLED, TRAINED = 40_000, 12_000      # most rows that place the decision point and that fit the classifier
+SENT = 2_000_000                        # most labelled ids sent to every executor
+VOTERS, SUPPORT, PURITY = 24, 4, 0.8
 FEATURES = 500_000                      # terms of the classifier; far more than pass the gain test in TRAINED rows
 DECISION = 0.7
 CACHE = 400_000
@@ -198,9 +199,10 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer:
     """Voters, label model and classifier (see the module docstring).
 
-    Lexicons and decision point come from at most ``LABELLED`` labelled rows,
-    the classifier from at most ``TRAINED`` rows (those of smallest hash, none
-    held out); votes and their moments are taken over all documents. Labels that
+    Lexicons come from all labelled rows that are not held out, the decision
+    point from at most ``LABELLED`` of them, the classifier from at most
+    ``TRAINED`` rows (those of smallest hash, none held out); votes and their
+    moments are taken over all documents. Labels that
     are null, or of ids with contradicting labels in equal number, are ignored.
     Without labels of both classes every document scores 0.
     """
@@ -209,10 +211,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
              .agg(F.avg(F.col("toxic").cast("double")).alias("y")).filter("y <> 0.5 AND id IS NOT NULL"))
     known = known.filter(~held_out(F.col("id"))).withColumn("y", (F.col("y") > 0.5).cast("int"))
-    known = known.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(LABELLED)
+    every = stored(known, "tox-labels")
+    known = every.orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(LABELLED)
     # At most LABELLED ids: sent to every executor, so that no text is shuffled.
     known = stored(rows.join(F.broadcast(known), "id").select("y", "text"), "tox-known")
-    small_batches(docs.sparkSession, 4000)  # fewer partial counts; a sample of rows only
+    small_batches(docs.sparkSession, 4000)  # fewer partial counts
+    every = rows.join(F.broadcast(every) if every.count() <= SENT else every, "id").select("y", "text")
 
     def words():
         memo = PerToken(terms_of)
@@ -226,11 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield {"term": list(out), "clean": [c[0] for c in out.values()], "toxic": [c[1] for c in out.values()]}
         return each
 
-    total = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    total = {r["y"]: r["count"] for r in every.groupBy("y").count().collect()}
     n0, n1 = total.get(0, 0), total.get(1, 0)
     if not n0 or not n1:
         return Scorer({}, 0.0, 30.0, 1.0)
-    counts = map_rows(known.select("y", "text"), "term string, clean long, toxic long", words).groupBy("term").agg(
+    counts = map_rows(every, "term string, clean long, toxic long", words).groupBy("term").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     base = n1 / (n0 + n1)
     gain = gain_of(F.col("toxic"), F.col("clean"), base)
@@ -238,9 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     tested = max(2, counts.count())  # the limit rises with the number of terms tried
     pure = F.col("toxic") >= F.lit(PURITY) * (F.col("toxic") + F.col("clean"))
     lexicon = [r["term"] for r in counts.filter((F.col("toxic") >= SUPPORT) & pure & (gain >= 2 * math.log(tested)))
-               .orderBy(F.desc(gain), "term").limit(TERMS).select("term").collect()]
+               .select("term").collect()]
     vote = {t: 1 << voter_of(t) for t in lexicon}
-    bc = docs.sparkSession.sparkContext.broadcast(vote)  # at most TERMS entries
+    bc = docs.sparkSession.sparkContext.broadcast(vote)  # the terms that pass
 
     def mask_of():
         get = bc.value.get

@@ -155,6 +155,17 @@ def test_copies_of_a_long_text_take_no_features(spark):
     assert sum((out[r[0]] >= 0.7) == r[3] for r in h) / len(h) > 0.97 and out[2000] < 0.7
 
 
+def test_lexicons_from_all_labelled_rows(spark, monkeypatch):
+    rows, labels = tox_case()
+    docs, lab = frame(spark, [r[:3] for r in rows]), spark.createDataFrame(labels, LABELS)
+    want = weak_toxicity.fit(docs, lab).weights
+    monkeypatch.setattr(weak_toxicity, "LABELLED", 60)  # bounds the decision point alone
+    got = weak_toxicity.fit(docs, lab).weights
+    assert got == want and sum(got.get(f"w:vile{i}", 0) > 0 for i in range(8)) == 8
+    monkeypatch.setattr(weak_toxicity, "SENT", 0)
+    assert weak_toxicity.fit(docs, lab).weights == want
+
+
 def test_without_labels_or_rows(spark):
     rows, labels = tox_case(30)
     docs = frame(spark, [r[:3] for r in rows])
