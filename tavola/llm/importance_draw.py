@@ -5,8 +5,8 @@ a gain (an array of ``buckets`` numbers); a document's weight is the mean gain o
 its features. Weights plus repeatable Gumbel noise are scores, and the documents
 with the highest scores are a weighted draw without replacement. The cutoff of
 the draw is found by bisection over the persisted scores, then over the ids that
-tie there; each step is one exact count job. Nothing but ``buckets`` counts and
-one number a step reaches the driver.
+tie there, by exact count jobs of a few steps each. Nothing but ``buckets`` counts and
+those numbers reaches the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from tavola.llm.common import stored, table, text_or_empty
 
 BUCKETS = 10_000
 TEXTS = 256            # texts that are taken apart at once
+LEVELS = 6             # halvings of a bisection that one count job answers
 LAST = (1 << 63) - 1   # null ids order last
 
 # Word characters after lower-casing: 0-9, a-z and every byte of a character beyond ASCII.
@@ -136,18 +137,25 @@ def scored(docs: DataFrame, gains: np.ndarray, max_n: int = 2, seed: int = 7, id
     return out.select("__row", "id", "x.*")
 
 
-def least_where(low: int, high: int, enough: Callable[[int], bool]) -> int:
+def least_where(low: int, high: int, enough: Callable[[list[int]], list[bool]]) -> int:
     """The least number from ``low`` to ``high`` for which ``enough`` holds (it does
-    for ``high``, and for everything above one for which it does)."""
+    for ``high``, and for everything above one for which it does).
+
+    Bisection, ``LEVELS`` halvings at a time: one question covers all the numbers that the
+    next halvings could ask for."""
     while low < high:
-        mid = (low + high) // 2
-        if enough(mid):
-            high = mid
-        else:
-            low = mid + 1
+        points = list(range(low, high, -(-(high - low) // (1 << LEVELS))))
+        answers = enough(points)
+        first = answers.index(True) if True in answers else len(points)
+        low, high = points[first - 1] + 1 if first else low, points[first] if first < len(points) else high
     return low
 
 
+def counted(rows: DataFrame, conditions: list) -> list[int]:
+    """How many rows meet each condition: one exact count job for all of them."""
+    return list(rows.agg(*[F.count(F.when(c, 1)) for c in conditions]).first())
+
+
 def ranked(rows: DataFrame, k: int) -> DataFrame:
     """``rows`` with ``rank``: 1..k for the ``k`` rows with the highest ``score``, ties to
     the smaller ``key``; null for the others.
@@ -158,13 +166,20 @@ def ranked(rows: DataFrame, k: int) -> DataFrame:
     undrawn = F.lit(None).cast("long").alias("rank")
     if k <= 0:
         return rows.select("*", undrawn)
-    ends = rows.agg(F.min("score"), F.max("score")).first()
-    below = least_where(0, ends[1] - ends[0], lambda d: rows.filter(F.col("score") >= ends[1] - d).count() >= k)
-    cutoff = ends[1] - below
+    low, high = rows.agg(F.min("score"), F.max("score")).first()
+
+    def from_score(points):
+        return [n >= k for n in counted(rows, [F.col("score") >= high - d for d in points])]
+
+    cutoff = high - least_where(0, high - low, from_score)
     tied = rows.filter(F.col("score") == cutoff)
     need = k - rows.filter(F.col("score") > cutoff).count()
-    span = tied.agg(F.min("key"), F.max("key")).first()
-    last = least_where(span[0], span[1], lambda d: tied.filter(F.col("key") <= d).count() >= need)
+    low_key, high_key = tied.agg(F.min("key"), F.max("key")).first()
+
+    def to_key(points):
+        return [n >= need for n in counted(tied, [F.col("key") <= d for d in points])]
+
+    last = least_where(low_key, high_key, to_key)
     drawn = (F.col("score") > cutoff) | ((F.col("score") == cutoff) & (F.col("key") <= last))
     order = [F.desc("score"), F.asc("key"), F.asc("n_features"), F.asc("weight")]
     numbered = with_row_number(rows.filter(drawn), order, "rank")
