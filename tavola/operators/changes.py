@@ -3,9 +3,9 @@
 Every write path of the ordering system is "check some rows, reject with a
 reason, else insert/update/delete". Here one DataFrame of requests goes in and
 a ``BatchResult`` comes out: new snapshots of the touched tables and one
-verdict frame (request columns + ``accepted`` + ``reason``). Batches that number
-new rows (C1, C7, C10, C11, C14) run the sort and checkpoint that the numbering
-needs when they are built; everything else runs when a frame is read.
+verdict frame (request columns + ``accepted`` + ``reason``). Tables and new rows are
+built when they are asked for. Verdicts that need several passes over the
+batch (C1, C2, C6, C7, C8, C14) write it to the shared folder when the batch is applied.
 
 In-batch ordering follows ``request_seq``, because the source applies requests
 one after another; a request without a number, or sharing one with another, is
@@ -17,11 +17,12 @@ rejected (``missing_request_seq``, ``repeated_request_seq``). Rules per operator
   accepted request per key wins (``max_by``, a mergeable aggregate);
 * assignments (C10): the first request per courier that passes every other
   check wins (the courier is busy afterwards);
-* registrations (C1) and profile e-mail/phone (C2): the first request per
-  e-mail and per phone among those passing the table checks wins. A request
-  that lost only to a request that itself lost is rejected as well (stated
-  deviation from strictly sequential handling; resubmit in the next batch);
-* quantities add (C6), so their order does not matter.
+* registrations (C1), profile e-mail/phone (C2) and employee phones (C14): who
+  holds a value is followed request by request (``resolve_claims``: rounds over
+  the whole batch that end where the answers agree with themselves);
+* deletes: the first request that passes removes the row, later ones find nothing;
+* quantities add (C6), so their order does not matter. Requests for a line that
+  together exceed its column are all rejected.
 
 Derived columns are refreshed for touched rows only (line price, order total,
 payment amount), as the source triggers do on insert and update.
@@ -30,29 +31,49 @@ payment amount), as the source triggers do on insert and update.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tavola.session import reliable_checkpoint
+from tavola.session import reliable_checkpoint, written
 
 from tavola.functions.exprs import broadcast_if_small, payment_status_for
 from tavola.functions.keys import allocate_keys, key_number, key_suffix_number, pad_key, seeded_draw, with_row_number
+from tavola.operators.claims import resolve_claims
 from tavola.operators.derive import basket_sums
 from tavola.operators.fold import fold_transitions
 from tavola.schema import (CATEGORIES, AVAILABILITY, DELIVERY_STATUSES, EMAIL_PATTERN, ORDER_STATUSES, PAYMENT_METHODS,
-                           PHONE_PATTERN, ROLES, transitions)
+                           PHONE_PATTERN, ROLES, TEXT_LIMITS, transitions)
 from tavola.sources.tables import Tables
 
 DEFAULT_AS_OF = dt.datetime(2024, 4, 1, 12, 0, 0)
 
 
+class Frames(Mapping):
+    """Frames by name, each built when it is first asked for (some need jobs: key numbering)."""
+
+    def __init__(self, **makers: Callable[[], DataFrame]):
+        self._makers, self._built = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._makers[name]()
+        return self._built[name]
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 @dataclass
 class BatchResult:
-    tables: dict[str, DataFrame]
+    tables: Mapping[str, DataFrame]
     verdicts: DataFrame
-    extra: dict[str, DataFrame] = field(default_factory=dict)
+    extra: Mapping[str, DataFrame] = field(default_factory=dict)
 
     @property
     def accepted(self) -> DataFrame:
@@ -92,6 +113,20 @@ def _verdict(df: DataFrame, cols: list[str], reason: Column) -> DataFrame:
     return df.select(*cols, reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
+def _too_long(table: str, **fields: str) -> list[tuple[Column, str]]:
+    """Checks that the texts of a request fit the table's columns (column=request field).
+    Keys stay out: the batch's own keys are longer than the source's."""
+    return [(F.length(field) > TEXT_LIMITS[table][col], f"{field}_too_long") for col, field in fields.items()]
+
+
+def _once_per(df: DataFrame, key: str) -> DataFrame:
+    """``_why`` is ``not_found`` for every request after the first that passes for its
+    ``key`` (the row is gone by then)."""
+    first = df.filter(F.col("_why").isNull()).groupBy(key).agg(F.min("request_seq").alias("_first"))
+    return df.join(first, key, "left").withColumn("_why", F.coalesce("_why", F.when(
+        F.col("request_seq") != F.col("_first"), F.lit("not_found")))).drop("_first")
+
+
 def _blank(c: Column) -> Column:
     """JS falsy text: NULL or '' (a blank string of spaces is truthy)."""
     return c.isNull() | (c.cast("string") == "")
@@ -154,20 +189,23 @@ def apply_order_status(t: Tables, requests: DataFrame, mode: str = "lenient", re
                  F.when(~F.col("accepted"), F.lit("invalid_transition"))))
 
     acc = folded.filter("accepted")
-    final = acc.groupBy("order_id").agg(F.max_by("status", "request_seq").alias("_new"))
-    orders = (t["orders"].join(final, "order_id", "left")
-              .withColumn("order_status", F.coalesce(F.col("_new"), F.col("order_status"))).drop("_new"))
-    if refresh_totals:
-        orders = _refresh_totals(orders, t["items"], final)
-    dl = (acc.filter(F.col("status").isin("Completed", "Cancelled")).groupBy("order_id")
-          .agg(F.max_by("status", "request_seq").alias("_last")))
-    deliveries = (t["deliveries"].join(dl, "order_id", "left")
-                  .withColumn("delivery_status",
-                              F.when(F.col("_last") == "Completed", F.lit("Delivered"))
-                              .when(F.col("_last") == "Cancelled", F.lit("Cancelled"))
-                              .otherwise(F.col("delivery_status")))
-                  .select("delivery_id", "order_id", "delivery_person_id", "delivery_status", "delivery_time"))
-    return BatchResult({"orders": orders, "deliveries": deliveries}, verdicts)
+    def orders():
+        final = acc.groupBy("order_id").agg(F.max_by("status", "request_seq").alias("_new"))
+        out = (t["orders"].join(final, "order_id", "left")
+               .withColumn("order_status", F.coalesce(F.col("_new"), F.col("order_status"))).drop("_new"))
+        return _refresh_totals(out, t["items"], final) if refresh_totals else out
+
+    def deliveries():
+        dl = (acc.filter(F.col("status").isin("Completed", "Cancelled")).groupBy("order_id")
+              .agg(F.max_by("status", "request_seq").alias("_last")))
+        return (t["deliveries"].join(dl, "order_id", "left")
+                .withColumn("delivery_status",
+                            F.when(F.col("_last") == "Completed", F.lit("Delivered"))
+                            .when(F.col("_last") == "Cancelled", F.lit("Cancelled"))
+                            .otherwise(F.col("delivery_status")))
+                .select("delivery_id", "order_id", "delivery_person_id", "delivery_status", "delivery_time"))
+
+    return BatchResult(Frames(orders=orders, deliveries=deliveries), verdicts)
 
 
 # ---------------------------------------------------------------------------
@@ -242,35 +280,34 @@ def apply_assignments(t: Tables, requests: DataFrame, as_of=None, refresh_totals
     verdicts = _verdict(r, ["request_seq", "order_id", "delivery_person_id", "_courier"], F.col("_why")) \
         .withColumnRenamed("_courier", "courier_id")
     acc = verdicts.filter("accepted")
-    start = _max_key_scalar(t["deliveries"], "delivery_id", 0, suffix=True)
-    new_rows = (allocate_keys(acc, "D", start, [F.col("request_seq").asc()], "delivery_id")
+
+    def new_rows():
+        start = _max_key_scalar(t["deliveries"], "delivery_id", 0, suffix=True)
+        return (allocate_keys(acc, "D", start, [F.col("request_seq").asc()], "delivery_id")
                 .select("delivery_id", "order_id", F.col("courier_id").alias("delivery_person_id"),
                         F.lit("Out for Delivery").alias("delivery_status"), _as_of(as_of).alias("delivery_time")))
-    deliveries = t["deliveries"].unionByName(new_rows)
+
+    extra = Frames(new_deliveries=new_rows)
     moved = acc.select("order_id").distinct()
     orders = (t["orders"].join(moved.withColumn("_m", F.lit(True)), "order_id", "left")
               .withColumn("order_status", F.when(F.col("_m"), F.lit("Processing")).otherwise(F.col("order_status")))
               .drop("_m"))
     if refresh_totals:
         orders = _refresh_totals(orders, t["items"], moved)
-    return BatchResult({"deliveries": deliveries, "orders": orders}, verdicts, {"new_deliveries": new_rows})
+    return BatchResult(Frames(deliveries=lambda: t["deliveries"].unionByName(extra["new_deliveries"]), orders=lambda: orders),
+                       verdicts, extra)
 
 
 # ---------------------------------------------------------------------------
 # customers
 
-def _first_per(df: DataFrame, key: str, out: str) -> DataFrame:
-    """Attach the lowest request_seq per ``key`` (mergeable min, no window)."""
-    firsts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("request_seq").alias(out))
-    return df.join(firsts, key, "left")
-
-
 def apply_registrations(t: Tables, requests: DataFrame) -> BatchResult:
     """Requests (request_seq, name, email, phone_number, address).
 
     Rejected when a field is missing, the e-mail or phone is already
-    registered, the phone is not 10 digits or the e-mail malformed, or an
-    earlier request of the batch took the e-mail or phone. Accepted rows get
+    registered, the phone is not 10 digits or the e-mail malformed, a text does
+    not fit its column, or an earlier request of the batch that passed took the
+    e-mail or phone (``resolve_claims``). Accepted rows get
     keys ``C###`` after the current maximum (10 when the table is empty).
     """
     cust = t["customer"]
@@ -278,65 +315,69 @@ def apply_registrations(t: Tables, requests: DataFrame) -> BatchResult:
     phones = cust.select("phone_number").distinct().withColumn("_p_taken", F.lit(True))
     cols = ["request_seq", "name", "email", "phone_number", "address"]
     r = _sequenced(requests, *cols).join(emails, "email", "left").join(phones, "phone_number", "left")
-    r = r.withColumn("_why", _reason(
+    r = written(r.select(*cols, _reason(
         _seq_check(), (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
          "missing_fields"),
         (F.col("_e_taken").isNotNull(), "email_registered"), (F.col("_p_taken").isNotNull(), "phone_registered"),
         (~F.col("phone_number").rlike(PHONE_PATTERN), "invalid_phone"),
-        (~F.col("email").rlike(EMAIL_PATTERN), "invalid_email")))
+        (~F.col("email").rlike(EMAIL_PATTERN), "invalid_email"),
+        *_too_long("customer", name="name", email="email", address="address")).alias("_why")), "registrations")
     ok = r.filter(F.col("_why").isNull())
-    ok = _first_per(_first_per(ok, "email", "_fe"), "phone_number", "_fp")
-    ok_why = _reason((F.col("request_seq") != F.col("_fe"), "email_in_batch"),
-                     (F.col("request_seq") != F.col("_fp"), "phone_in_batch"))
+    answers = resolve_claims(ok.select(F.col("request_seq").alias("seq"), F.col("request_seq").cast("string").alias("actor"),
+                                       F.lit(True).alias("can"), "email", "phone_number"), ["email", "phone_number"], releases=False)
+    ok = ok.join(answers.select(F.col("seq").alias("request_seq"), "blocked_email", "blocked_phone_number"), "request_seq")
+    ok_why = _reason((F.col("blocked_email").isNotNull(), "email_in_batch"),
+                     (F.col("blocked_phone_number").isNotNull(), "phone_in_batch"))
     verdicts = _verdict(r.filter(F.col("_why").isNotNull()), cols, F.col("_why")).unionByName(
         _verdict(ok, cols, ok_why))
     acc = verdicts.filter("accepted")
-    start = _max_key_scalar(cust, "customer_id", 10, suffix=True)
-    new_rows = allocate_keys(acc, "C", start, [F.col("request_seq").asc()], "customer_id").select(
-        "customer_id", "name", "email", "phone_number", "address")
-    return BatchResult({"customer": cust.unionByName(new_rows)}, verdicts, {"new_customers": new_rows})
+
+    def new_rows():
+        start = _max_key_scalar(cust, "customer_id", 10, suffix=True)
+        return allocate_keys(acc, "C", start, [F.col("request_seq").asc()], "customer_id").select(
+            "customer_id", "name", "email", "phone_number", "address")
+
+    extra = Frames(new_customers=new_rows)
+    return BatchResult(Frames(customer=lambda: cust.unionByName(extra["new_customers"])), verdicts, extra)
 
 
 def apply_profile_updates(t: Tables, requests: DataFrame) -> BatchResult:
     """Requests (request_seq, customer_id, name, email, phone_number, address).
 
-    All four fields are required; the e-mail and phone must not belong to
-    *another* customer (pre-batch snapshot) nor be taken by an earlier
-    request of another customer in the batch; formats are checked as on
-    insert. The last accepted request per customer wins.
+    All four fields are required; the e-mail and phone must not be *another*
+    customer's at that moment: one that a customer gave up earlier in the batch is free,
+    one that a customer took is not (``resolve_claims``). Formats and lengths are
+    checked as on insert. The last accepted request per customer wins.
     """
     cust = t["customer"]
     cols = ["request_seq", "customer_id", "name", "email", "phone_number", "address"]
-    e_owner = cust.groupBy("email").agg(F.min("customer_id").alias("_e_owner"), F.max("customer_id").alias("_e_owner2"))
-    p_owner = cust.groupBy("phone_number").agg(F.min("customer_id").alias("_p_owner"),
-                                               F.max("customer_id").alias("_p_owner2"))
-    known = cust.select("customer_id").withColumn("_known", F.lit(True))
-    r = (_sequenced(requests, *cols).join(e_owner, "email", "left").join(p_owner, "phone_number", "left")
-         .join(known, "customer_id", "left"))
-    other_e = F.col("_e_owner").isNotNull() & ((F.col("_e_owner") != F.col("customer_id"))
-                                               | (F.col("_e_owner2") != F.col("customer_id")))
-    other_p = F.col("_p_owner").isNotNull() & ((F.col("_p_owner") != F.col("customer_id"))
-                                               | (F.col("_p_owner2") != F.col("customer_id")))
-    r = r.withColumn("_why", _reason(
-        _seq_check(), (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number")) | _blank(F.col("address")),
-         "missing_fields"),
-        (other_e, "email_in_use"), (other_p, "phone_in_use"), (F.col("_known").isNull(), "not_found"),
-        (~F.col("phone_number").rlike(PHONE_PATTERN), "invalid_phone"),
-        (~F.col("email").rlike(EMAIL_PATTERN), "invalid_email")))
-    ok = r.filter(F.col("_why").isNull())
-    e_first = ok.groupBy("email").agg(F.min_by("customer_id", "request_seq").alias("_e_first"))
-    p_first = ok.groupBy("phone_number").agg(F.min_by("customer_id", "request_seq").alias("_p_first"))
-    ok = ok.join(e_first, "email", "left").join(p_first, "phone_number", "left")
-    ok_why = _reason((F.col("_e_first") != F.col("customer_id"), "email_in_batch"),
-                     (F.col("_p_first") != F.col("customer_id"), "phone_in_batch"))
+    known = cust.select("customer_id").distinct().withColumn("_known", F.lit(True))
+    r = _sequenced(requests, *cols).join(known, "customer_id", "left")
+    early = _reason(_seq_check(), (_blank(F.col("name")) | _blank(F.col("email")) | _blank(F.col("phone_number"))
+                                   | _blank(F.col("address")), "missing_fields"))
+    late = _reason((F.col("_known").isNull(), "not_found"), (~F.col("phone_number").rlike(PHONE_PATTERN), "invalid_phone"),
+                   (~F.col("email").rlike(EMAIL_PATTERN), "invalid_email"),
+                   *_too_long("customer", name="name", email="email", address="address"))
+    r = written(r.select(*cols, early.alias("_why"), late.alias("_late")), "profiles")
+    asked = r.filter(F.col("_why").isNull())
+    answers = resolve_claims(
+        asked.select(F.col("request_seq").alias("seq"), F.col("customer_id").alias("actor"), F.col("_late").isNull().alias("can"),
+                     "email", "phone_number"),
+        ["email", "phone_number"], cust.select(F.col("customer_id").alias("actor"), "email", "phone_number"))
+    asked = asked.join(answers.select(F.col("seq").alias("request_seq"), "blocked_email", "blocked_phone_number"), "request_seq")
+    blocked = [(F.col(f"blocked_{k}") == how, f"{name}_{label}") for k, name in (("email", "email"), ("phone_number", "phone"))
+               for how, label in (("held", "in_use"), ("taken", "in_batch"))]
     verdicts = _verdict(r.filter(F.col("_why").isNotNull()), cols, F.col("_why")).unionByName(
-        _verdict(ok, cols, ok_why))
-    last = (verdicts.filter("accepted").groupBy("customer_id")
-            .agg(F.max_by(F.struct("name", "email", "phone_number", "address"), "request_seq").alias("_n")))
-    customer = (cust.join(last, "customer_id", "left")
+        _verdict(asked, cols, _reason(*blocked, (F.col("_late").isNotNull(), F.col("_late")))))
+
+    def customer():
+        last = (verdicts.filter("accepted").groupBy("customer_id")
+                .agg(F.max_by(F.struct("name", "email", "phone_number", "address"), "request_seq").alias("_n")))
+        return (cust.join(last, "customer_id", "left")
                 .select("customer_id", *[F.coalesce(F.col(f"_n.{c}"), F.col(c)).alias(c)
                                          for c in ("name", "email", "phone_number", "address")]))
-    return BatchResult({"customer": customer}, verdicts)
+
+    return BatchResult(Frames(customer=customer), verdicts)
 
 
 # ---------------------------------------------------------------------------
@@ -344,7 +385,7 @@ def apply_profile_updates(t: Tables, requests: DataFrame) -> BatchResult:
 
 def _customer_delete(t: Tables, ids: DataFrame, guard_statuses, guard_reason: str, fk_guard: bool) -> BatchResult:
     cols = ["request_seq", "customer_id"]
-    r = ids.select(*cols)
+    r = _sequenced(ids, *cols)
     known = t["customer"].select("customer_id").withColumn("_known", F.lit(True))
     o = t["orders"]
     guarded = (o.filter(F.col("order_status").isin(*guard_statuses)) if guard_statuses else o) \
@@ -352,13 +393,14 @@ def _customer_delete(t: Tables, ids: DataFrame, guard_statuses, guard_reason: st
     refs = (o.select("customer_id").unionByName(t["feedback"].select("customer_id")).distinct()
             .withColumn("_ref", F.lit(True)))
     r = r.join(known, "customer_id", "left").join(guarded, "customer_id", "left").join(refs, "customer_id", "left")
-    checks = [(F.col("_guard").isNotNull(), guard_reason)]
+    checks = [_seq_check(), (F.col("_guard").isNotNull(), guard_reason)]
     if fk_guard:
         checks.append((F.col("_ref").isNotNull(), "referenced"))
     checks.append((F.col("_known").isNull(), "not_found"))
-    verdicts = _verdict(r, cols, _reason(*checks))
+    r = _once_per(r.withColumn("_why", _reason(*checks)), "customer_id")
+    verdicts = _verdict(r, cols, F.col("_why"))
     gone = verdicts.filter("accepted").select("customer_id").distinct()
-    return BatchResult({"customer": t["customer"].join(gone, "customer_id", "left_anti")}, verdicts)
+    return BatchResult(Frames(customer=lambda: t["customer"].join(gone, "customer_id", "left_anti")), verdicts)
 
 
 def apply_account_deletes(t: Tables, ids: DataFrame) -> BatchResult:
@@ -398,34 +440,68 @@ def apply_basket_lines(t: Tables, requests: DataFrame) -> BatchResult:
     """Requests (request_seq, item_id, items array<struct<item_name, quantity>>).
 
     Names are resolved to menu ids (lowest id per name); a request naming an
-    unknown item, or with a quantity missing or below 1, is rejected whole. Accepted quantities are added to the
+    unknown or priceless item, or with a quantity missing or below 1, is rejected whole. Accepted quantities are added to the
     basket line (inserted when new) and the touched lines are re-priced at
-    the current menu price.
+    the current menu price. Where the requests for a line would together exceed what its
+    columns hold, all requests that name the line are rejected (``quantity_overflow``).
+
+    Only baskets that may be touched are rewritten: the hashes of touched basket ids,
+    cut to ``TOUCH_BITS`` bits, are a set of bounded size that every task gets, and lines
+    outside it pass as they are, without a shuffle.
     """
     from tavola.operators.reports import menu_ids_by_name
     requests = requests.select("request_seq", "item_id", "items").transform(reliable_checkpoint)
     names = menu_ids_by_name(t["menu"])
-    lines = _merged_lines(requests.select("request_seq", "item_id", "items"), ["request_seq", "item_id"]) \
-        .join(names, "item_name", "left")
+    menu_price = t["menu"].select("menu_id", F.col("price").alias("_mp"))
+    lines = (_merged_lines(requests, ["request_seq", "item_id"]).join(names, "item_name", "left").join(menu_price, "menu_id", "left"))
+    lines = written(lines, "basket-lines")
     bad = (lines.groupBy("request_seq", "item_id")
            .agg(F.max(F.col("_nameless") | F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
-                F.max("_faulty").alias("_faulty"), F.count("item_name").alias("_n")))
+                F.max("_faulty").alias("_faulty"), F.count("item_name").alias("_n"),
+                F.max(F.col("menu_id").isNotNull() & F.col("_mp").isNull()).alias("_priceless")))
     r = _sequenced(requests, "request_seq", "item_id").join(bad, ["request_seq", "item_id"], "left")
-    verdicts = _verdict(r, ["request_seq", "item_id"], _reason(
+    r = written(r.select("request_seq", "item_id", _reason(
         _seq_check(), (_blank(F.col("item_id")), "missing_item_id"), (F.col("_unknown"), "unknown_item"),
-        (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_basket"), (F.col("_faulty"), "bad_quantity")))
-    acc = lines.join(verdicts.filter("accepted").select("request_seq", "item_id"), ["request_seq", "item_id"],
-                     "left_semi")
-    add = acc.groupBy("item_id", "menu_id").agg(F.sum("quantity").alias("_add"))
-    menu_price = t["menu"].select("menu_id", F.col("price").alias("_mp"))
-    items = (t["items"].join(add, ["item_id", "menu_id"], "full_outer").join(menu_price, "menu_id", "left")
-             .select("item_id", "menu_id",
-                     (F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("_add"), F.lit(0))).cast("int")
-                     .alias("quantity"),
-                     F.when(F.col("_add").isNotNull(),
-                            (F.col("_mp") * (F.coalesce(F.col("quantity"), F.lit(0)) + F.col("_add"))))
-                     .otherwise(F.col("price")).cast("decimal(18,2)").alias("price")))
-    return BatchResult({"items": items}, verdicts)
+        (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_basket"), (F.col("_faulty"), "bad_quantity"),
+        (F.col("_priceless"), "priceless_item")).alias("_why")), "basket-requests")
+    whole = lines.join(r.filter(F.col("_why").isNull()).select("request_seq"), "request_seq", "left_semi")
+    line = ["item_id", "menu_id"]
+    total = (whole.groupBy(*line).agg(F.sum("quantity").alias("_add"), F.max("_mp").alias("_mp"))
+             .join(_touched_only(t["items"], whole).groupBy(*line).agg(F.sum("quantity").alias("_had")), line, "left"))
+    total = total.withColumn("_all", F.coalesce("_had", F.lit(0)) + F.col("_add"))
+    over = total.filter(_too_much(F.col("_all"), F.col("_mp"))).select(*line)
+    late = whole.join(over, line, "left_semi").select("request_seq").distinct().withColumn("_over", F.lit(True))
+    r = r.join(late, "request_seq", "left")
+    verdicts = _verdict(r, ["request_seq", "item_id"], F.coalesce("_why", F.when(F.col("_over"), F.lit("quantity_overflow"))))
+
+    def items():
+        acc = whole.join(late, "request_seq", "left_anti")
+        add = acc.groupBy(*line).agg(F.sum("quantity").alias("_add"), F.max("_mp").alias("_mp"))
+        quantity = F.coalesce(F.col("quantity"), F.lit(0)) + F.coalesce(F.col("_add"), F.lit(0))
+        rewritten = (_touched_only(t["items"], whole).join(add, line, "full_outer")
+                     .select(*line, F.when(F.col("_add").isNull(), F.col("quantity")).otherwise(quantity).cast("int").alias("quantity"),
+                             F.when(F.col("_add").isNotNull(), F.col("_mp") * quantity).otherwise(F.col("price"))
+                             .cast("decimal(18,2)").alias("price")))
+        return _touched_only(t["items"], whole, inside=False).select(*rewritten.columns).unionByName(rewritten)
+
+    return BatchResult(Frames(items=items), verdicts)
+
+
+TOUCH_BITS = 20     # a set of at most 2**20 numbers of 4 bytes goes to every task
+
+
+def _touched_only(items: DataFrame, touched: DataFrame, inside: bool = True) -> DataFrame:
+    """Lines whose basket id may be (``inside=False``: cannot be) among those of ``touched``."""
+    def slot(c: str) -> Column:
+        return F.xxhash64(c).bitwiseAND(F.lit((1 << TOUCH_BITS) - 1)).cast("int")
+
+    slots = touched.select(slot("item_id").alias("_slot")).distinct()
+    return items.join(F.broadcast(slots), slot("item_id") == F.col("_slot"), "left_semi" if inside else "left_anti")
+
+
+def _too_much(quantity: Column, price: Column) -> Column:
+    """More than a line's columns hold: an int quantity, a decimal(18,2) price."""
+    return (quantity > (1 << 31) - 1) | (price * quantity >= F.lit(10 ** 16).cast("decimal(20,0)"))
 
 
 def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
@@ -433,8 +509,8 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     lines, orders and payments.
 
     A cart is rejected when empty, when it names an unknown item, when a
-    quantity is missing or below 1, when the total is missing or not above 0,
-    when the customer does not exist or when the payment method is not allowed. Each
+    quantity is missing or below 1, when a line or the total exceeds what its column
+    holds, when the total is missing or not above 0, when the customer does not exist or when the payment method is not allowed. Each
     accepted cart takes the next basket, order and payment keys (request
     order); line prices, the order total (Pending, dated ``as_of``) and the
     payment amount are derived; cash is paid Pending, other methods Completed.
@@ -451,6 +527,7 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
              .agg(F.max(F.col("_nameless") | F.col("menu_id").isNull() & F.col("item_name").isNotNull()).alias("_unknown"),
                   F.max("_faulty").alias("_faulty"), F.count("item_name").alias("_n"),
                   F.sum(F.col("_mp") * F.col("quantity")).alias("_total"),
+                  F.max(_too_much(F.col("quantity"), F.col("_mp"))).alias("_over"),
                   F.max(F.col("menu_id").isNotNull() & F.col("_mp").isNull()).alias("_priceless")))
     known = t["customer"].select("customer_id").withColumn("_known", F.lit(True))
     cols = ["request_seq", "customer_id", "payment_method"]
@@ -458,6 +535,7 @@ def place_orders(t: Tables, carts: DataFrame, as_of=None) -> BatchResult:
     verdicts = _verdict(r, cols, _reason(
         _seq_check(), (F.coalesce(F.col("_n"), F.lit(0)) == 0, "empty_cart"), (F.col("_unknown"), "unknown_item"),
         (F.col("_faulty"), "bad_quantity"),
+        (F.coalesce(F.col("_over"), F.lit(False)) | (F.col("_total") >= F.lit(10 ** 16).cast("decimal(20,0)")), "quantity_overflow"),
         (F.coalesce(F.col("_priceless"), F.lit(False)) | F.col("_total").isNull() | (F.col("_total") <= 0), "invalid_total"),
         (F.col("_known").isNull(), "customer_not_found"),
         (~F.col("payment_method").isin(*PAYMENT_METHODS) | F.col("payment_method").isNull(),
@@ -523,11 +601,15 @@ def apply_feedback(t: Tables, requests: DataFrame) -> BatchResult:
                        F.when(F.col("_n").isNotNull(), F.col("_n.feedback_text")).otherwise(F.col("feedback_text"))
                        .alias("feedback_text")))
     fresh = last.join(existing, "order_id", "left_anti")
-    start = _max_key_scalar(fb, "rating_id", 0, suffix=True)
-    inserted = allocate_keys(fresh, "F", start, [F.col("_first").asc()], "rating_id").select(
-        "rating_id", "order_id", F.col("_c").alias("customer_id"), F.col("_n.rating_score").alias("rating_score"),
-        F.col("_n.feedback_text").alias("feedback_text"))
-    return BatchResult({"feedback": updated.unionByName(inserted)}, verdicts, {"new_feedback": inserted})
+
+    def inserted():
+        start = _max_key_scalar(fb, "rating_id", 0, suffix=True)
+        return allocate_keys(fresh, "F", start, [F.col("_first").asc()], "rating_id").select(
+            "rating_id", "order_id", F.col("_c").alias("customer_id"), F.col("_n.rating_score").alias("rating_score"),
+            F.col("_n.feedback_text").alias("feedback_text"))
+
+    extra = Frames(new_feedback=inserted)
+    return BatchResult(Frames(feedback=lambda: updated.unionByName(extra["new_feedback"])), verdicts, extra)
 
 
 # ---------------------------------------------------------------------------
@@ -536,7 +618,7 @@ def apply_feedback(t: Tables, requests: DataFrame) -> BatchResult:
 def apply_menu_updates(t: Tables, requests: DataFrame) -> BatchResult:
     """Requests (request_seq, menu_id, name, description, price, category,
     availability_status) replace five columns. Schema checks (name, price > 0,
-    category and availability values) reject a request; unknown ids are
+    category and availability values, text lengths) reject a request; unknown ids are
     reported (the source silently accepts them). Last request per id wins."""
     cols = ["request_seq", "menu_id", "name", "description", "price", "category", "availability_status"]
     known = t["menu"].select("menu_id").withColumn("_known", F.lit(True))
@@ -545,6 +627,7 @@ def apply_menu_updates(t: Tables, requests: DataFrame) -> BatchResult:
                   (F.col("price").isNull() | (F.col("price") <= 0), "invalid_price"),
                   (~F.col("category").isin(*CATEGORIES) | F.col("category").isNull(), "invalid_category"),
                   (~F.col("availability_status").isin(*AVAILABILITY), "invalid_availability"),
+                  *_too_long("menu", item_name="name", description="description"),
                   (F.col("_known").isNull(), "not_found"))
     verdicts = _verdict(r, cols, why)
     last = (verdicts.filter("accepted").groupBy("menu_id")
@@ -564,14 +647,16 @@ def apply_menu_updates(t: Tables, requests: DataFrame) -> BatchResult:
 
 
 def apply_menu_deletes(t: Tables, ids: DataFrame) -> BatchResult:
-    """Menu items are deleted unless some basket line names them."""
+    """Menu items are deleted unless some basket line names them; a second
+    request for the same item finds nothing."""
     cols = ["request_seq", "menu_id"]
     known = t["menu"].select("menu_id").withColumn("_known", F.lit(True))
     used = t["items"].select("menu_id").distinct().withColumn("_used", F.lit(True))
-    r = ids.select(*cols).join(known, "menu_id", "left").join(used, "menu_id", "left")
-    verdicts = _verdict(r, cols, _reason((F.col("_known").isNull(), "not_found"), (F.col("_used").isNotNull(), "ordered")))
+    r = _sequenced(ids, *cols).join(known, "menu_id", "left").join(used, "menu_id", "left")
+    r = r.withColumn("_why", _reason(_seq_check(), (F.col("_known").isNull(), "not_found"), (F.col("_used").isNotNull(), "ordered")))
+    verdicts = _verdict(_once_per(r, "menu_id"), cols, F.col("_why"))
     gone = verdicts.filter("accepted").select("menu_id").distinct()
-    return BatchResult({"menu": t["menu"].join(gone, "menu_id", "left_anti")}, verdicts)
+    return BatchResult(Frames(menu=lambda: t["menu"].join(gone, "menu_id", "left_anti")), verdicts)
 
 
 # ---------------------------------------------------------------------------
@@ -579,14 +664,15 @@ def apply_menu_deletes(t: Tables, ids: DataFrame) -> BatchResult:
 
 def apply_employee_changes(t: Tables, requests: DataFrame) -> BatchResult:
     """C14: requests (request_seq, op in insert/update/delete, employee_id,
-    name, role, phone_number, salary), checked against the pre-batch table.
+    name, role, phone_number, salary).
 
     insert: role must be Delivery/Chef/Manager, name and phone present, phone
     unused, salary > 0; key ``E###`` in request order. update: same value
     checks, the employee must exist, the phone must not belong to another
-    employee; last update wins. In the batch a phone goes to the first insert or
-    employee that takes it, and nothing passes for an employee after its first
-    accepted delete. delete: refused while one of the employee's courier ids has a delivery out (checked
+    employee; last update wins. Who owns a phone is followed through the batch
+    (``resolve_claims``): one given up by an update or a delete is free for the next
+    request. Nothing passes for an employee after its first accepted delete.
+    delete: refused while one of the employee's courier ids has a delivery out (checked
     through the courier table), while a courier row still references the
     employee, or when the id is unknown.
     """
@@ -594,23 +680,21 @@ def apply_employee_changes(t: Tables, requests: DataFrame) -> BatchResult:
     cols = ["request_seq", "op", "employee_id", "name", "role", "phone_number", "salary"]
     r = _sequenced(requests, *cols)
     known = emp.select("employee_id").withColumn("_known", F.lit(True))
-    phone_owner = emp.groupBy("phone_number").agg(F.min("employee_id").alias("_ph_owner"))
     couriers = t["delivery"].select("employee_id", F.col("delivery_id").alias("_cid"))
     active = (t["deliveries"].filter(F.col("delivery_status") == "Out for Delivery")
               .select(F.col("delivery_person_id").alias("_cid")).distinct())
     active_emp = couriers.join(active, "_cid", "left_semi").select("employee_id").distinct() \
         .withColumn("_active", F.lit(True))
     has_courier = couriers.select("employee_id").distinct().withColumn("_has_courier", F.lit(True))
-    r = (r.join(known, "employee_id", "left").join(phone_owner, "phone_number", "left")
-         .join(active_emp, "employee_id", "left").join(has_courier, "employee_id", "left"))
+    r = (r.join(known, "employee_id", "left").join(active_emp, "employee_id", "left")
+         .join(has_courier, "employee_id", "left"))
     op = F.col("op")
     values_bad = [_seq_check(), (~F.col("role").isin(*ROLES) | F.col("role").isNull(), "invalid_role"),
                   (F.col("name").isNull() | (F.trim(F.col("name")) == ""), "missing_name"),
-                  (F.col("phone_number").isNull(), "missing_phone"),
+                  *_too_long("employee", name="name"), (F.col("phone_number").isNull(), "missing_phone"),
                   (F.col("salary") <= 0, "invalid_salary")]
-    ins_why = _reason(*values_bad, (F.col("_ph_owner").isNotNull(), "duplicate_phone"))
-    upd_why = _reason(*values_bad, (F.col("_known").isNull(), "not_found"),
-                      (F.col("_ph_owner").isNotNull() & (F.col("_ph_owner") != F.col("employee_id")), "duplicate_phone"))
+    ins_why = _reason(*values_bad)
+    upd_why = _reason(*values_bad, (F.col("_known").isNull(), "not_found"))
     del_why = _reason(_seq_check(), (F.col("_active").isNotNull(), "active_deliveries"), (F.col("_known").isNull(), "not_found"),
                       (F.col("_has_courier").isNotNull(), "referenced"))
     why = (F.when(op == "insert", ins_why).when(op == "update", upd_why).when(op == "delete", del_why)
@@ -621,33 +705,42 @@ def apply_employee_changes(t: Tables, requests: DataFrame) -> BatchResult:
                .agg(F.min("request_seq").alias("_gone_at")))
     r = r.join(gone_at, "employee_id", "left").withColumn("_why", F.coalesce(F.col("_why"), F.when(
         op.isin("update", "delete") & (F.col("request_seq") > F.col("_gone_at")), F.lit("not_found"))))
-    # A phone belongs to the first request of the batch that takes it: an insert,
-    # or an update's employee (who may take it again).
-    takes = op.isin("insert", "update") & F.col("_why").isNull()
-    taker = F.when(op == "update", F.concat(F.lit("u"), "employee_id")).otherwise(
-        F.concat(F.lit("i"), F.col("request_seq").cast("string")))
-    claims = r.filter(takes).withColumn("_taker", taker)
-    first = claims.groupBy("phone_number").agg(F.min_by("_taker", "request_seq").alias("_first_taker"))
-    claims = claims.join(first, "phone_number").withColumn(
-        "_why", F.when(F.col("_taker") != F.col("_first_taker"), F.lit("duplicate_phone")))
-    verdicts = _verdict(r.filter(~takes), cols, F.col("_why")).unionByName(_verdict(claims, cols, F.col("_why")))
+    r = written(r.select(*cols, "_why"), "employee-changes")
+    # The timeline of every phone: who takes it, who gives it up, in request order.
+    phone = F.when(op != "delete", F.col("phone_number").cast("string")).alias("phone")
+    actor = F.when(op == "insert", F.concat(F.lit("new "), F.col("request_seq").cast("string"))).otherwise(
+        F.concat(F.lit("old "), "employee_id")).alias("actor")
+    held = emp.select(F.concat(F.lit("old "), "employee_id").alias("actor"), F.col("phone_number").cast("string").alias("phone"))
+    asked = r.filter(F.col("_why").isNull())
+    answers = resolve_claims(asked.select(F.col("request_seq").alias("seq"), actor, F.lit(True).alias("can"), phone), ["phone"], held)
+    asked = asked.join(answers.select(F.col("seq").alias("request_seq"), "blocked_phone"), "request_seq")
+    verdicts = _verdict(r.filter(F.col("_why").isNotNull()), cols, F.col("_why")).unionByName(
+        _verdict(asked, cols, F.when(F.col("blocked_phone").isNotNull(), F.lit("duplicate_phone"))))
     acc = verdicts.filter("accepted")
-    start = _max_key_scalar(emp, "employee_id", 0, suffix=True)
-    new_rows = (allocate_keys(acc.filter(F.col("op") == "insert").drop("employee_id"), "E", start,
+
+    def new_rows():
+        start = _max_key_scalar(emp, "employee_id", 0, suffix=True)
+        return (allocate_keys(acc.filter(F.col("op") == "insert").drop("employee_id"), "E", start,
                               [F.col("request_seq").asc()], "employee_id")
                 .select("employee_id", "name", "role", F.col("phone_number").cast("decimal(10,0)").alias("phone_number"),
                         F.col("salary").cast("decimal(18,2)").alias("salary")))
-    last = (acc.filter(F.col("op") == "update").groupBy("employee_id")
-            .agg(F.max_by(F.struct("name", "role", "phone_number", "salary"), "request_seq").alias("_n")))
-    gone = acc.filter(F.col("op") == "delete").select("employee_id").distinct()
-    kept = emp.join(gone, "employee_id", "left_anti").join(last, "employee_id", "left")
-    upd = F.col("_n").isNotNull()
-    employee = kept.select(
-        "employee_id", F.when(upd, F.col("_n.name")).otherwise(F.col("name")).alias("name"),
-        F.when(upd, F.col("_n.role")).otherwise(F.col("role")).alias("role"),
-        F.when(upd, F.col("_n.phone_number")).otherwise(F.col("phone_number")).cast("decimal(10,0)").alias("phone_number"),
-        F.when(upd, F.col("_n.salary")).otherwise(F.col("salary")).cast("decimal(18,2)").alias("salary"))
-    return BatchResult({"employee": employee.unionByName(new_rows)}, verdicts, {"new_employees": new_rows})
+
+    extra = Frames(new_employees=new_rows)
+
+    def employee():
+        last = (acc.filter(F.col("op") == "update").groupBy("employee_id")
+                .agg(F.max_by(F.struct("name", "role", "phone_number", "salary"), "request_seq").alias("_n")))
+        gone = acc.filter(F.col("op") == "delete").select("employee_id").distinct()
+        kept = emp.join(gone, "employee_id", "left_anti").join(last, "employee_id", "left")
+        upd = F.col("_n").isNotNull()
+        return kept.select(
+            "employee_id", F.when(upd, F.col("_n.name")).otherwise(F.col("name")).alias("name"),
+            F.when(upd, F.col("_n.role")).otherwise(F.col("role")).alias("role"),
+            F.when(upd, F.col("_n.phone_number")).otherwise(F.col("phone_number")).cast("decimal(10,0)").alias("phone_number"),
+            F.when(upd, F.col("_n.salary")).otherwise(F.col("salary")).cast("decimal(18,2)").alias("salary")) \
+            .unionByName(extra["new_employees"])
+
+    return BatchResult(Frames(employee=employee), verdicts, extra)
 
 
 def route_new_employees(new_employees: DataFrame) -> dict[str, DataFrame]:

@@ -2,8 +2,9 @@
 
 Row-level rules (formats, allowed values, ranges, NOT NULL, text length) are
 evaluated for each table in a *single scan*: every rule adds its name to an
-array when it fails, the array is filtered and exploded. Set rules (keys,
-foreign keys, derived values, cross-table state) are joins or aggregates.
+array when it fails, the array is filtered and exploded. Rules about keys (duplicates,
+foreign keys, orphans, derived values, state) share one aggregation over the
+tagged keys of all tables; only keys that may break a rule are looked at again.
 NULL passes a CHECK constraint, as in SQL.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tavola.schema import (AVAILABILITY, CATEGORIES, DELIVERY_STATUSES, EMAIL_PATTERN, NOT_NULL, ORDER_STATUSES,
                            PAYMENT_METHODS, PAYMENT_STATUSES, PHONE_PATTERN, PRIMARY_KEYS, ROLES, TEXT_LIMITS)
+from tavola.session import written
 from tavola.sources.tables import Tables
 
 # (table, kind, column, argument): the row-level rules.
@@ -76,35 +78,6 @@ def row_key(table: str) -> Column:
     return F.concat_ws("/", *[F.col(k).cast("string") for k in PRIMARY_KEYS[table]])
 
 
-def row_violations(t: Tables, table: str) -> DataFrame | None:
-    """All row-level rule failures of one table from one scan."""
-    rules = [(rule_name(k, c), _violates(k, c, a)) for tb, k, c, a in ROW_RULES if tb == table]
-    if not rules:
-        return None
-    return _hits(t[table], table, row_key(table), [(cond, name) for name, cond in rules])
-
-
-def key_violations(t: Tables) -> list[DataFrame]:
-    """Duplicate primary keys and duplicate unique columns."""
-    out = []
-    for table, pk in PRIMARY_KEYS.items():
-        out.append(t[table].groupBy(*pk).count().filter(F.col("count") > 1)
-                   .select(F.lit(table).alias("table_name"), row_key(table).alias("row_key"),
-                           F.lit("duplicate_key").alias("rule")))
-    for table, col in UNIQUE_KEYS:
-        out.append(t[table].filter(F.col(col).isNotNull()).groupBy(col).count().filter(F.col("count") > 1)
-                   .select(F.lit(table).alias("table_name"), F.col(col).cast("string").alias("row_key"),
-                           F.lit(rule_name("duplicate_unique", col)).alias("rule")))
-    return out
-
-
-def _fk(child: DataFrame, table: str, col: str, parent: DataFrame, pcol: str) -> DataFrame:
-    p = parent.select(F.col(pcol).alias("_p"))
-    return (child.filter(F.col(col).isNotNull()).join(p, F.col(col) == F.col("_p"), "left_anti")
-            .select(F.lit(table).alias("table_name"), row_key(table).alias("row_key"),
-                    F.lit(rule_name("fk", col)).alias("rule")))
-
-
 def _hits(df: DataFrame, table: str, key: Column, checks: list[tuple[Column, str]]) -> DataFrame:
     """Rows of ``df`` with every failing check's rule name, one row per hit.
 
@@ -119,55 +92,154 @@ def _hits(df: DataFrame, table: str, key: Column, checks: list[tuple[Column, str
             .select(F.lit(table).alias("table_name"), "row_key", F.explode("_h").alias("rule")))
 
 
-def join_violations(t: Tables) -> list[DataFrame]:
-    """V11 foreign keys, orphan baskets and orders without basket, V12 derived
-    values and V14 state; rules that read the same pair of tables share one
-    join."""
+# ---------------------------------------------------------------------------
+# Keys. Every table sends one row for each key it owns or names:
+# (space, key, what it is worth there). All tables meet in one aggregation of
+# mergeable measures, so a hot key costs a partial aggregate and no group is ever
+# gathered. Keys that cannot break a rule are dropped there; the others are
+# written once, and each table's own rows meet them in a second scan.
+
+BASKET, COURIER = "basket", "courier"
+# Key spaces: (owner table, owner column(s)). A key is unique in its space, but
+# for a basket, which is all lines with its id.
+SPACES: dict[str, tuple[str, tuple[str, ...]]] = {
+    **{t: (t, pk) for t, pk in PRIMARY_KEYS.items() if t not in ("delivery",)},
+    COURIER: ("delivery", PRIMARY_KEYS["delivery"]), BASKET: ("items", ("item_id",)),
+    **{f"{t}.{c}": (t, (c,)) for t, c in UNIQUE_KEYS},
+}
+# Names of a key: (child table, column, space).
+REFERENCES = [(child, col, COURIER if parent == "delivery" else parent) for child, col, parent, _ in FOREIGN_KEYS]
+REFERENCES.append(("orders", "item_id", BASKET))
+# What is compared: value of the owner, and of the row that names it. A line's
+# unit price has 13 decimal places: enough to tell any two prices of an int quantity apart.
+VALUE = "decimal(29,13)"
+OWN_VALUE = {"menu": "price", "orders": "total_price", BASKET: "price"}
+REF_VALUE = {("items", "menu"): lambda: F.try_divide(F.col("price").cast("decimal(18,2)"), F.col("quantity").cast("decimal(10,0)")),
+             ("payment", "orders"): lambda: F.col("amount"), ("orders", BASKET): lambda: F.col("total_price")}
+OPEN = "Out for Delivery"
+
+
+def _outcome(status: Column, done: str) -> Column:
+    """1 done, 2 cancelled, 0 any other known status: what orders and deliveries must agree in."""
+    return F.when(status == done, 1).when(status == "Cancelled", 2).when(status.isNotNull(), 0)
+
+
+def _tag(space: str, key: Column, key2: Column | None = None, own: int = 0, ref: int = 0, value: Column | None = None,
+         outcome: Column | None = None, is_open: Column | None = None) -> Column:
+    """One tagged row; a value's side follows from ``own``/``ref``."""
+    none = F.lit(None).cast(VALUE)
+    v = none if value is None else value.cast(VALUE)
+    gap = F.lit(0) if value is None else value.isNull().cast("int")
+    code = F.lit(None).cast("int") if outcome is None else outcome
+    return F.struct(
+        F.lit(space).alias("space"), key.cast("string").alias("key"),
+        (F.lit(None).cast("string") if key2 is None else key2.cast("string")).alias("key2"),
+        F.lit(own).alias("own"), F.lit(ref).alias("ref"),
+        (v if own else none).alias("own_value"), (v if ref else none).alias("ref_value"),
+        (gap if own else F.lit(0)).alias("own_gap"), (gap if ref else F.lit(0)).alias("ref_gap"),
+        (code if own else F.lit(None).cast("int")).alias("own_code"), (code if ref else F.lit(None).cast("int")).alias("ref_code"),
+        (F.lit(0) if is_open is None else F.coalesce(is_open.cast("int"), F.lit(0))).alias("open"))
+
+
+def _tags(table: str) -> list[Column]:
+    """The tagged rows that one row of ``table`` sends (null where it names no key)."""
     out = []
-    # items -> menu: foreign key and frozen line price in one left join.
-    m = t["menu"].select("menu_id", F.col("price").alias("_mp"), F.lit(True).alias("_m"))
-    im = t["items"].join(m, "menu_id", "left")
-    out.append(_hits(im, "items", row_key("items"), [
-        (F.col("menu_id").isNotNull() & F.col("_m").isNull(), rule_name("fk", "menu_id")),
-        (F.coalesce(F.col("_m"), F.lit(False))
-         & ~F.col("price").eqNullSafe((F.col("_mp") * F.col("quantity")).cast("decimal(18,2)")),
-         "line_price_changed")]))
-    # orders <-> baskets: one full outer join of orders with per-basket sums
-    # (the sums are already partitioned by basket id, so only orders move).
-    sums = (t["items"].groupBy("item_id").agg(F.sum("price").cast("decimal(18,2)").alias("_sum"))
-            .select(F.col("item_id").alias("_bid"), "_sum", F.lit(True).alias("_b")))
-    ords = t["orders"].select("order_id", "item_id", "total_price", F.lit(True).alias("_o"))
-    ob = ords.join(sums, F.col("item_id") == F.col("_bid"), "full_outer")
-    out.append(ob.filter(F.col("_b") & F.col("_o").isNull())
-               .select(F.lit("items").alias("table_name"), F.col("_bid").alias("row_key"),
-                       F.lit("orphan_basket").alias("rule")))
-    out.append(_hits(ob.filter(F.col("_o")), "orders", F.col("order_id"), [
-        (F.col("_b").isNull(), "order_without_basket"),
-        (~F.col("total_price").eqNullSafe(F.col("_sum")), "total_mismatch")]))
-    # orders -> customer.
-    out.append(_fk(t["orders"], "orders", "customer_id", t["customer"], "customer_id"))
-    # payment -> orders: foreign key and amount in one left join.
-    o = t["orders"].select("order_id", F.col("total_price").alias("_tot"), F.lit(True).alias("_o"))
-    po = t["payment"].join(o, "order_id", "left")
-    out.append(_hits(po, "payment", F.col("payment_id"), [
-        (F.col("order_id").isNotNull() & F.col("_o").isNull(), rule_name("fk", "order_id")),
-        (~F.col("amount").eqNullSafe(F.col("_tot").cast("decimal(18,2)")), "amount_mismatch")]))
-    # deliveries -> orders: foreign key and V14 state in one left join.
-    os_ = t["orders"].select("order_id", "order_status", F.lit(True).alias("_o"))
-    do = t["deliveries"].join(os_, "order_id", "left")
-    o_st, d_st = F.col("order_status"), F.col("delivery_status")
-    bad = (((o_st == "Completed") & (d_st != "Delivered")) | ((d_st == "Delivered") & (o_st != "Completed"))
-           | ((o_st == "Cancelled") & (d_st != "Cancelled")) | ((d_st == "Cancelled") & (o_st != "Cancelled")))
-    out.append(_hits(do, "deliveries", row_key("deliveries"), [
-        (F.col("order_id").isNotNull() & F.col("_o").isNull(), rule_name("fk", "order_id")),
-        (F.coalesce(F.col("_o"), F.lit(False)) & F.coalesce(bad, F.lit(False)), "state_mismatch")]))
-    out.append(_fk(t["deliveries"], "deliveries", "delivery_person_id", t["delivery"], "delivery_id"))
-    out.append(_fk(t["delivery"], "delivery", "employee_id", t["employee"], "employee_id"))
-    out.append(_fk(t["feedback"], "feedback", "order_id", t["orders"], "order_id"))
-    out.append(_fk(t["feedback"], "feedback", "customer_id", t["customer"], "customer_id"))
+    for space, (owner, cols) in SPACES.items():
+        if owner == table:
+            value = F.col(OWN_VALUE[space]) if space in OWN_VALUE else None
+            outcome = _outcome(F.col("order_status"), "Completed") if space == "orders" else None
+            tag = _tag(space, F.col(cols[0]), F.col(cols[1]) if len(cols) > 1 else None, own=1, value=value, outcome=outcome)
+            out.append(F.when(F.col(cols[0]).isNotNull(), tag) if "." in space else tag)
+    for child, col, space in REFERENCES:
+        if child == table:
+            value = REF_VALUE[child, space]() if (child, space) in REF_VALUE else None
+            delivers = child == "deliveries" and space == "orders"
+            outcome = _outcome(F.col("delivery_status"), "Delivered") if delivers else None
+            is_open = F.col("delivery_status") == OPEN if delivers else None
+            out.append(F.when(F.col(col).isNotNull(), _tag(space, F.col(col), ref=1, value=value, outcome=outcome, is_open=is_open)))
     return out
 
 
+def suspect_keys(t: Tables) -> DataFrame:
+    """Keys of all spaces that may break a rule, with their measures.
+
+    One scan of each table and one exchange: counts of owners and names, the
+    least and greatest values on both sides, gaps (nulls) and outcomes.
+    """
+    tagged = None
+    for table in PRIMARY_KEYS:
+        rows = t[table].select(F.explode(F.array_compact(F.array(*_tags(table)))).alias("_t")).select("_t.*")
+        tagged = rows if tagged is None else tagged.unionByName(rows)
+    keys = tagged.groupBy("space", "key", "key2").agg(
+        F.sum("own").alias("own"), F.sum("ref").alias("ref"), F.sum("own_value").alias("own_sum"),
+        *[f(c).alias(f"{n}_{c}") for c in ("own_value", "ref_value", "own_code", "ref_code") for n, f in (("min", F.min), ("max", F.max))],
+        F.max("own_gap").alias("own_gap"), F.max("ref_gap").alias("ref_gap"), F.sum("open").alias("open"))
+    basket = F.col("space") == BASKET
+    low, high = (F.when(basket, F.col("own_sum")).otherwise(F.col(f"{n}_own_value")) for n in ("min", "max"))
+    differ = ((F.col("min_ref_value") != low) | (F.col("max_ref_value") != high) | (F.col("min_ref_value") != high)
+              | (F.col("min_ref_code") != F.col("min_own_code")) | (F.col("max_ref_code") != F.col("max_own_code"))
+              | (F.col("min_own_code") != F.col("max_own_code")))
+    odd = ((F.col("own") == 0) | (~basket & (F.col("own") > 1)) | (basket & (F.col("ref") == 0))
+           | ((F.col("own_gap") + F.col("ref_gap") > 0) & (F.col("ref") > 0)) | F.coalesce(differ, F.lit(False)) | (F.col("open") > 1))
+    return keys.filter(odd)
+
+
+def key_violations(suspects: DataFrame) -> DataFrame:
+    """Rules that the key itself breaks: V10 duplicates, V11 orphan baskets, V14 an
+    order with several deliveries out."""
+    table = F.create_map(*[F.lit(x) for space, (owner, _) in SPACES.items() for x in (space, owner)])
+    rule = F.create_map(*[F.lit(x) for space, (_, cols) in SPACES.items()
+                          for x in (space, rule_name("duplicate_unique", cols[0]) if "." in space else "duplicate_key")])
+    basket, own = F.col("space") == BASKET, F.col("own")
+    found = F.array_compact(F.array(
+        F.when(~basket & (own > 1), rule[F.col("space")]), F.when(basket & (F.col("ref") == 0), F.lit("orphan_basket")),
+        F.when(F.col("open") > 1, F.lit("double_assignment"))))
+    named = suspects.select(F.explode(found).alias("rule"), "space", "key", "key2", "own")
+    owner = F.when(F.col("rule") == "double_assignment", F.lit("orders")).otherwise(table[F.col("space")])
+    return named.select(owner.alias("table_name"), F.concat_ws("/", "key", "key2").alias("row_key"), "rule")
+
+
+def _differs(value: Column, low: Column, high: Column, gap: Column) -> Column:
+    """The value is not that of every owner of its key (NULL equals NULL)."""
+    return ~value.eqNullSafe(low) | ~value.eqNullSafe(high) | ((gap > 0) & value.isNotNull())
+
+
+def row_violations(t: Tables, table: str, suspects: DataFrame) -> DataFrame | None:
+    """All failures of one table's rows: the row-level rules and, by left joins with the
+    suspect keys, foreign keys and derived values, in one scan."""
+    rules = [(_violates(k, c, a), rule_name(k, c)) for tb, k, c, a in ROW_RULES if tb == table]
+    rows = t[table]
+    for child, col, space in REFERENCES:
+        if child != table:
+            continue
+        p = f"_{space}_"
+        side = suspects.filter(F.col("space") == space).select(*[
+            F.col(c).alias(p + c) for c in ("key", "own", "own_sum", "min_own_value", "max_own_value", "own_gap", "min_own_code",
+                                            "max_own_code")])
+        rows = rows.join(side, F.col(col) == F.col(p + "key"), "left")
+        missing = F.col(p + "own") == 0
+        there, hit = F.col(p + "own") > 0, F.col(p + "own").isNotNull()
+        low, high, gap = F.col(p + "min_own_value"), F.col(p + "max_own_value"), F.col(p + "own_gap")
+        if space == BASKET:
+            lines = F.col(p + "own_sum").cast("decimal(18,2)")
+            rules += [(F.col(col).isNull() | missing, "order_without_basket"),
+                      (F.when(hit, ~F.col("total_price").eqNullSafe(lines)).when(F.col(col).isNull(), F.col("total_price").isNotNull()),
+                       "total_mismatch")]
+            continue
+        rules.append((missing, rule_name("fk", col)))
+        if table == "items":
+            line = [(v.cast("decimal(10,2)") * F.col("quantity")).cast("decimal(18,2)") for v in (low, high)]
+            rules.append((there & _differs(F.col("price"), *line, gap), "line_price_changed"))
+        if table == "payment":
+            amount = [v.cast("decimal(18,2)") for v in (low, high)]
+            rules.append((F.when(hit, _differs(F.col("amount"), *amount, gap)).when(F.col(col).isNull(), F.col("amount").isNotNull()),
+                          "amount_mismatch"))
+        if table == "deliveries" and space == "orders":
+            code = _outcome(F.col("delivery_status"), "Delivered")
+            rules.append((there & ((code != F.col(p + "min_own_code")) | (code != F.col(p + "max_own_code"))), "state_mismatch"))
+    return _hits(rows, table, row_key(table), rules) if rules else None
+
+
 def order_rule_violations(t: Tables) -> list[DataFrame]:
     """V5 item unavailable on a Pending order; V6 the same customer has two
     Pending orders containing the same item."""
@@ -185,11 +257,20 @@ def order_rule_violations(t: Tables) -> list[DataFrame]:
 
 
 def validate(t: Tables) -> DataFrame:
-    """Every violation of V1-V12 and V14 in one frame."""
-    parts = [p for p in (row_violations(t, n) for n in PRIMARY_KEYS) if p is not None]
-    parts += key_violations(t) + join_violations(t) + order_rule_violations(t)
-    out = parts[0]
-    for p in parts[1:]:
+    """Every violation of V1-V12 and V14 in one frame.
+
+    Each table is scanned twice: once to send its keys to the one exchange of
+    ``suspect_keys`` (written to the shared folder when the frame is built,
+    because every table's second scan reads it), once for all rules of its rows.
+    Pending orders and their lines are read once more for V5 and V6. A row whose
+    key has several owners is compared with all of them and reported once.
+    """
+    suspects = written(suspect_keys(t), "suspect-keys")
+    out = key_violations(suspects)
+    for table in PRIMARY_KEYS:
+        rows = row_violations(t, table, suspects)
+        out = out if rows is None else out.unionByName(rows)
+    for p in order_rule_violations(t):
         out = out.unionByName(p)
     return out
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -87,6 +88,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}"
 
 
+def written(df, name: str):
+    """``df`` as a Parquet table in the shared checkpoint folder, read back.
+
+    Cuts the lineage like a checkpoint, but the plan knows the size of what was
+    written. A checkpoint keeps the estimate of the plan that made it, and in a
+    loop with joins those estimates multiply without end."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def reliable_checkpoint(df):
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage
     (survives executor loss, unlike a local checkpoint)."""

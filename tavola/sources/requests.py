@@ -9,6 +9,8 @@ is made by the operators that consume them.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,140 +71,163 @@ def carts(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "payment_method"))
 
 
-def _event_status(et):
-    return (F.when(et == "signup", "Pending").when(et == "view", "Processing").when(et == "click", "Completed")
-            .when(et == "purchase", "Completed").otherwise("Cancelled"))
-
-
-def status_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order status changes: three requests per order, status from the event type
-    (values under 1 ask for a status that does not exist)."""
-    ev = _raw(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("request_seq"),
-                     F.concat(F.lit("O"), F.floor(F.col("event_id") / 3).cast("string")).alias("order_id"),
-                     F.when(F.col("value") < 1, F.lit("Unknown")).otherwise(_event_status(F.col("event_type")))
-                     .alias("status"))
-
-
-def assignment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Courier assignments: order from the event id, employee from the user id."""
-    ev = _raw(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("request_seq"),
-                     F.concat(F.lit("O"), F.col("event_id").cast("string")).alias("order_id"),
-                     F.concat(F.lit("E"), F.col("user_id").cast("string")).alias("delivery_person_id"))
-
-
-def delivery_status_requests(spark: SparkSession, sf_dir: str, deliveries: DataFrame) -> DataFrame:
-    """Courier status updates: even events name the order's own courier (read
-    from ``deliveries``), odd events another courier id."""
-    ev = _raw(spark, sf_dir, "events").select(
-        "event_id", "user_id", "event_type", F.concat(F.lit("O"), F.col("event_id").cast("string")).alias("order_id"))
-    own = deliveries.groupBy("order_id").agg(F.min("delivery_person_id").alias("_own"))
-    et = F.col("event_type")
-    return (ev.join(own, "order_id", "left")
-            .select(F.col("event_id").alias("request_seq"), "order_id",
-                    F.when(F.col("event_id") % 2 == 0, F.col("_own"))
-                    .otherwise(F.concat(F.lit("D"), (F.col("user_id") * 3).cast("string"))).alias("delivery_person_id"),
-                    F.when(et.isin("purchase", "click"), "Delivered").when(et == "error", "Cancelled")
-                    .otherwise("Out for Delivery").alias("status")))
-
-
-def feedback_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feedback submissions: order from the event id, the order's customer for
-    two of three events, score 0.0-6.0 from the event id, text from props."""
-    ev = _raw(spark, sf_dir, "events")
-    o = _raw(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return (ev.join(o, ev.event_id == o.o_orderkey, "left")
-            .select(F.col("event_id").alias("request_seq"),
-                    F.concat(F.lit("O"), F.col("event_id").cast("string")).alias("order_id"),
-                    F.concat(F.lit("C"), F.when(F.col("event_id") % 3 == 0, F.col("user_id"))
-                             .otherwise(F.col("o_custkey")).cast("string")).alias("customer_id"),
-                    ((F.col("event_id") % 61).cast("decimal(2,0)") * F.lit(0.1).cast("decimal(1,1)"))
-                    .cast("decimal(2,1)").alias("rating_score"),
-                    F.when(F.col("event_type") == "error", F.lit(None).cast("string"))
-                    .otherwise(F.col("props")).alias("feedback_text")))
-
-
-def registration_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sign-ups: one per event; the e-mail repeats per user (in-batch
-    duplicates) and error events reuse an existing customer's e-mail."""
-    ev = _raw(spark, sf_dir, "events")
-    c = _raw(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    existing = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("."))), F.lit("@example.com"))
-    return (ev.join(c, ev.user_id == c.c_custkey, "left")
-            .select(F.col("event_id").alias("request_seq"),
-                    full_name(F.lit("Guest"), F.col("user_id").cast("string")).alias("name"),
-                    F.when((F.col("event_type") == "error") & F.col("c_name").isNotNull(), existing)
-                    .otherwise(F.concat(F.lit("guest"), F.col("user_id").cast("string"), F.lit("@example.com")))
-                    .alias("email"),
-                    (F.lit(8000000000) + F.col("event_id") % 5000).cast("string").alias("phone_number"),
-                    F.concat(F.lit("Street "), F.col("user_id").cast("string")).alias("address")))
-
-
-def menu_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Menu ids to delete: each part key times 7 (many unknown, some ordered)."""
-    p = _raw(spark, sf_dir, "part")
-    return p.select(F.col("p_partkey").alias("request_seq"),
-                    F.concat(F.lit("M"), (F.col("p_partkey") * 7).cast("string")).alias("menu_id"))
-
-
-def customer_delete_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer ids to delete: each customer key doubled (some unknown)."""
-    c = _raw(spark, sf_dir, "customer")
-    return c.select(F.col("c_custkey").alias("request_seq"),
-                    F.concat(F.lit("C"), (F.col("c_custkey") * 2).cast("string")).alias("customer_id"))
-
-
-def profile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profile edits: customer from the user id; e-mails cycle over 200 values
-    (so different customers collide in the batch); the phone is the user's
-    own stored number except for error events, which take another's."""
-    ev = _raw(spark, sf_dir, "events")
-    return ev.select(F.col("event_id").alias("request_seq"),
-                     F.concat(F.lit("C"), F.col("user_id").cast("string")).alias("customer_id"),
-                     full_name(F.lit("Guest"), F.col("user_id").cast("string")).alias("name"),
-                     F.concat(F.lit("user"), (F.col("event_id") % 200).cast("string"), F.lit("@example.com"))
-                     .alias("email"),
-                     (F.lit(7000000000) + F.col("user_id") + F.when(F.col("event_type") == "error", 1).otherwise(0))
-                     .cast("string").alias("phone_number"),
-                     F.when(F.col("event_type") == "view", F.lit("")).otherwise(F.col("props")).alias("address"))
-
-
-def menu_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Menu edits from parts: ids wrap at 1000 (several edits per id, some ids
-    unknown at small scale); price, category and availability sometimes
-    break the schema's checks."""
-    from tavola.schema import CATEGORIES
-    p = _raw(spark, sf_dir, "part")
-    cats = F.array(*[F.lit(c) for c in CATEGORIES], F.lit("Snacks"))
-    return p.select(F.col("p_partkey").alias("request_seq"),
-                    F.concat(F.lit("M"), (F.col("p_partkey") % 1000).cast("string")).alias("menu_id"),
-                    F.upper(F.col("p_name")).alias("name"),
-                    F.col("p_type").alias("description"),
-                    (F.col("p_retailprice").cast("decimal(10,2)") - 1000).cast("decimal(10,2)").alias("price"),
-                    F.element_at(cats, (F.col("p_size") % 8 + 1).cast("int")).alias("category"),
-                    F.when(F.col("p_size") % 3 == 0, "Available").when(F.col("p_size") % 3 == 1, "Not Available")
-                    .otherwise("Sold out").alias("availability_status"))
-
-
-def employee_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Employee changes from suppliers: inserts, updates and deletes by key
-    residue; some roles, phones and salaries break the rules."""
-    s = _raw(spark, sf_dir, "supplier")
-    k = F.col("s_suppkey")
-    op = F.when(k % 4 == 0, "insert").when(k % 4 == 1, "update").when(k % 4 == 2, "delete").otherwise("update")
-    role = F.when(k % 5 == 0, "Delivery").when(k % 5 == 1, "Chef").when(k % 5 == 2, "Manager").when(k % 5 == 3, "Waiter") \
-        .otherwise("Delivery")
-    return s.select((k * 10).alias("request_seq"), op.alias("op"),
-                    F.concat(F.lit("E"), (k * 2).cast("string")).alias("employee_id"),
-                    F.concat(F.lit("Staff "), k.cast("string")).alias("name"), role.alias("role"),
-                    (F.lit(6100000000) + k % 50).cast("decimal(10,0)").alias("phone_number"),
-                    (F.col("s_acctbal")).cast("decimal(18,2)").alias("salary"))
-
-
 def basket_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Basket additions: each test order's cart added again to the order's own
     basket id (quantities add to existing lines)."""
     c = carts(spark, sf_dir)
     return c.select("request_seq", F.concat(F.lit("I"), F.col("request_seq").cast("string")).alias("item_id"), "items")
 
+
+# Requests that reach every rule. The texts run here and in the cross-checks alike:
+# they only shape rows (which key, which fault), every check is made by the operators
+# and, on the other side, by their SQL. A number that is missing or used twice, and a
+# text that is too long or malformed, come about once in about a hundred rows.
+def _seq(key: str, missing: int, twice: int) -> str:
+    return (f"case when {key} % {missing} = 5 then null when {key} % {twice} = 6 then {key} + 1 else {key} end as request_seq")
+
+
+REQUEST_SQL = {
+    # Three events in a row ask for one e-mail, two of every six for one phone: some
+    # lose to requests that lose themselves.
+    "registrations": """select """ + _seq("event_id", 211, 223) + """,
+ case when event_id % 97 = 3 then '' when event_id % 97 = 4 then 'Guest ' || repeat('x', 60)
+ else 'Guest ' || cast(user_id as string) end as name,
+ case when event_id % 89 = 7 then 'guest at home' when event_id % 89 = 8 then repeat('a', 100) || '@example.com'
+ when event_type = 'error' and event_id % 5 = 0 and c_name is not null then lower(replace(c_name, '#', '.')) || '@example.com'
+ else 'guest' || cast(cast(floor(event_id / 3) as bigint) as string) || '@example.com' end as email,
+ case when event_id % 83 = 9 then '12345' when event_id % 83 = 10 then cast(7000000000 + user_id as string)
+ else cast(8000000000 + case when event_id % 6 in (2, 3) then cast(floor(event_id / 6) as bigint) * 6 + 2 else event_id end as string)
+ end as phone_number,
+ case when event_id % 79 = 11 then '' when event_id % 79 = 12 then repeat('y', 240)
+ else 'Street ' || cast(user_id as string) end as address
+from {events} e left join {customer} c on e.user_id = c.c_custkey""",
+    # Seven events in a row are one customer's: a new e-mail, then ones that neighbours have, had or gave up.
+    "profiles": """select """ + _seq("event_id", 127, 131) + """,
+ case when event_id % 113 = 5 then 'C99999999' else 'C' || cast(c as string) end as customer_id,
+ case when event_id % 109 = 4 then repeat('n', 60) else 'Guest ' || cast(user_id as string) end as name,
+ case when event_id % 101 = 1 then '' when event_id % 107 = 3 then 'nobody'
+ when k = 0 then 'new' || cast(c as string) || '@example.com'
+ when k = 2 then 'customer.' || lpad(cast(c - 1 as string), 9, '0') || '@example.com'
+ when k = 3 then 'new' || cast(c - 1 as string) || '@example.com'
+ when k = 5 then 'customer.' || lpad(cast(c + 1 as string), 9, '0') || '@example.com'
+ else 'own' || cast(c as string) || '@example.com' end as email,
+ case when event_id % 103 = 2 then '123' when k = 4 then cast(7000000001 + c as string)
+ when k = 6 then cast(7500000000 + cast(floor(c / 2) as bigint) as string) else cast(7000000000 + c as string) end as phone_number,
+ case when event_id % 137 = 7 then repeat('z', 240) else props end as address
+from (select *, cast(floor(event_id / 7) as bigint) as c, event_id % 7 as k from {events}) x""",
+    # Fifteen customers for each supplier: a story of one employee's phone, told by residue.
+    "employees": """select case when k = 14 and e % 2 = 0 then null when k = 14 then c_custkey - 1 else c_custkey end as request_seq,
+ case when k in (0, 2, 4, 5, 8, 10) then 'update' when k in (9, 13) then 'delete' when k = 12 then 'hire' else 'insert' end as op,
+ case when k = 8 then 'E' || cast(9000000 + c_custkey as string) when k in (0, 2, 4, 5, 9, 10, 13) then 'E' || cast(e as string) end as employee_id,
+ case when k = 4 then ' ' when k = 5 then repeat('s', 40) else 'Staff ' || cast(c_custkey as string) end as name,
+ case when k = 3 then 'Waiter' when e % 3 = 0 then 'Delivery' when e % 3 = 1 then 'Chef' else 'Manager' end as role,
+ cast(case when k = 6 then null when k in (0, 11) then 6100000000 + e when k in (1, 2) then 6000000000 + e
+ else 6200000000 + c_custkey end as decimal(10,0)) as phone_number,
+ cast(case when k = 7 then -1 else 20000 + k end as decimal(18,2)) as salary
+from (select c_custkey, cast(floor(c_custkey / 15) as bigint) as e, c_custkey % 15 as k from {customer}) x""",
+    # Known customers (with orders), unknown ones, and newcomers without orders, these twice.
+    "customer_deletes": """select """ + _seq("c_custkey", 53, 59) + """, 'C' || cast(c_custkey * 2 as string) as customer_id from {customer}
+union all select 10000000 + s_suppkey, 'C' || cast(5000000 + s_suppkey as string) from {supplier}
+union all select 20000000 + s_suppkey, 'C' || cast(5000000 + s_suppkey as string) from {supplier}""",
+    "menu_deletes": """select """ + _seq("p_partkey", 53, 59) + """, 'M' || cast(p_partkey * 7 as string) as menu_id from {part}
+union all select 10000000 + s_suppkey, 'M' || cast(5000000 + s_suppkey as string) from {supplier}
+union all select 20000000 + s_suppkey, 'M' || cast(5000000 + s_suppkey as string) from {supplier}""",
+    # Ids wrap at 1000, so there are several edits of one item.
+    "menu_updates": """select """ + _seq("p_partkey", 31, 37) + """,
+ 'M' || cast(case when p_partkey % 23 = 1 then 9000000 + p_partkey else p_partkey % 1000 end as string) as menu_id,
+ case when p_partkey % 13 = 1 then ' ' when p_partkey % 17 = 1 then repeat('n', 150) else upper(p_name) end as name,
+ case when p_partkey % 19 = 1 then repeat('d', 600) else p_type end as description,
+ case when p_partkey % 11 = 1 then 0 when p_partkey % 11 = 2 then null else cast(p_retailprice as decimal(10,2)) - 500 end as price,
+ case when p_partkey % 29 = 1 then null when p_size % 8 = 7 then 'Snacks' when p_size % 4 = 0 then 'Desserts'
+ when p_size % 4 = 1 then 'Drinks' when p_size % 4 = 2 then 'Veg Starter' else 'International' end as category,
+ case when p_size % 7 = 0 then 'Sold out' when p_size % 7 = 1 then null when p_size % 7 = 2 then 'Not Available'
+ else 'Available' end as availability_status
+from {part}""",
+    # One order for each event; some couriers are new and have no courier row, some orders unknown.
+    "assignments": """select """ + _seq("event_id", 61, 67) + """,
+ 'O' || cast(case when event_id % 29 = 1 then 90000000 + event_id else event_id end as string) as order_id,
+ 'E' || cast(case when event_id % 31 = 1 then 5000000 + user_id when event_id % 37 = 1 then 9000000 else user_id end as string)
+ as delivery_person_id
+from {events}""",
+    # Three requests for each order, status from the event type.
+    "statuses": """select """ + _seq("event_id", 61, 67) + """,
+ 'O' || cast(case when event_id % 47 = 1 then 90000000 + event_id else cast(floor(event_id / 3) as bigint) end as string) as order_id,
+ case when value < 1 then 'Unknown' when event_type = 'signup' then 'Pending' when event_type = 'view' then 'Processing'
+ when event_type in ('click', 'purchase') then 'Completed' else 'Cancelled' end as status
+from {events}""",
+    # One for each event; the order's customer for two of three, score 0.0-6.0, text from props.
+    "feedbacks": """select """ + _seq("event_id", 61, 67) + """, 'O' || cast(event_id as string) as order_id,
+ 'C' || cast(case when event_id % 3 = 0 then user_id else o_custkey end as string) as customer_id,
+ cast(cast(event_id % 61 as decimal(2,0)) * cast(0.1 as decimal(1,1)) as decimal(2,1)) as rating_score,
+ case when event_type = 'error' then null when event_id % 43 = 1 then repeat('f', 600) else props end as feedback_text
+from {events} left join {orders} on event_id = o_orderkey""",
+    # Even events name the order's own courier, odd ones another; some statuses do not exist.
+    "delivery_statuses": """select """ + _seq("event_id", 61, 67) + """, 'O' || cast(event_id as string) as order_id,
+ case when event_id % 2 = 0 then o.own else 'D' || cast(user_id * 3 as string) end as delivery_person_id,
+ case when event_id % 41 = 1 or event_id % 16 = 4 then 'Lost' when event_id % 43 = 1 then null when event_type in ('purchase', 'click')
+ then 'Delivered' when event_type = 'error' then 'Cancelled' else 'Out for Delivery' end as status
+from {events} e left join (select order_id as own_order, min(delivery_person_id) as own from {deliveries} group by order_id) o
+ on o.own_order = 'O' || cast(e.event_id as string)""",
+    # Cart lines of each order: faults by order or line number.
+    "faulty_lines": """select """ + _seq("o_orderkey", 67, 71) + """, o_orderkey as cart,
+ case when o_orderkey % 89 = 1 then null else 'I' || cast(case when o_orderkey % 4 = 3 then 90000000 + o_orderkey else o_orderkey end
+ as string) end as item_id,
+ 'C' || cast(case when o_orderkey % 73 = 1 then 90000000 else o_custkey end as string) as customer_id, l_linenumber as line_no,
+ case when o_orderkey % 83 = 1 and l_linenumber = 1 then p_brand when o_orderkey % 83 = 2 and l_linenumber = 1 then null
+ else p_name end as item_name,
+ case when o_orderkey % 59 = 1 and l_linenumber = 2 then 0 when o_orderkey % 59 = 2 and l_linenumber = 1 then null
+ when o_orderkey % 61 = 3 and l_linenumber = 1 then 2147483647 else cast(l_quantity as int) end as quantity,
+ case when o_orderkey % 79 = 1 then 'Barter' when o_orderkey % 79 = 2 then null when o_orderpriority = '1-URGENT' then 'Credit Card'
+ when o_orderpriority = '2-HIGH' then 'Debit Card' when o_orderpriority = '3-MEDIUM' then 'UPI' else 'Cash' end as payment_method
+from {orders} left join {lineitem} on l_orderkey = o_orderkey and o_orderkey % 53 <> 1 left join {part} on p_partkey = l_partkey""",
+    # Cart lines as a page stores them: texts, some of them unusable.
+    "text_lines": """select l_orderkey as request_seq, l_linenumber as line_no,
+ case when l_orderkey % 101 = 1 then null when l_orderkey % 101 = 2 then '  ' else p_name end as item_name,
+ case when l_orderkey % 103 = 1 then 'free' when l_orderkey % 103 = 2 then null else cast(p_retailprice as string) end as price,
+ case when l_orderkey % 107 = 1 then 'many' when l_orderkey % 107 = 2 then null else cast(cast(l_quantity as int) as string) end as quantity
+from {lineitem} join {part} on p_partkey = l_partkey""",
+    # Newcomers: customers without orders (some with feedback), items never ordered, couriers without a courier row.
+    "new_customer": """select 'C' || cast(5000000 + s_suppkey as string) as customer_id, s_name as name,
+ lower(replace(s_name, '#', '.')) || '@example.com' as email, cast(7900000000 + s_suppkey as string) as phone_number,
+ 'New street' as address from {supplier}""",
+    "new_feedback": """select 'F' || cast(90000000 + s_suppkey as string) as rating_id, 'O' || cast(90000000 + s_suppkey as string) as order_id,
+ 'C' || cast(5000000 + s_suppkey as string) as customer_id, cast(4 as decimal(2,1)) as rating_score, s_name as feedback_text
+from {supplier} where s_suppkey % 5 = 0""",
+    "new_menu": """select 'M' || cast(5000000 + s_suppkey as string) as menu_id, s_name as item_name, 'Drinks' as category,
+ cast(10 as decimal(10,2)) as price, s_name as description, 'Available' as availability_status, s_name as image_link from {supplier}""",
+    "new_employee": """select 'E' || cast(5000000 + s_suppkey as string) as employee_id, s_name as name, 'Delivery' as role,
+ cast(6900000000 + s_suppkey as decimal(10,0)) as phone_number, cast(20000 as decimal(18,2)) as salary from {supplier}""",
+}
+
+
+def _names(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+
+def request_sql(name: str) -> str:
+    """The text for the cross-checks, over the raw tables (and ``r_deliveries``)."""
+    text = REQUEST_SQL[name]
+    return text.format(**{n: "r_deliveries" if n == "deliveries" else n for n in _names(text)})
+
+
+def request_frame(spark: SparkSession, sf_dir: str, name: str, **frames: DataFrame) -> DataFrame:
+    """The rows of one of ``REQUEST_SQL``."""
+    text = REQUEST_SQL[name]
+    return spark.sql(text, **{n: frames[n] if n in frames else _raw(spark, sf_dir, n) for n in _names(text)})
+
+
+def with_newcomers(spark: SparkSession, sf_dir: str, t: dict) -> dict:
+    """The tables and newcomers that nothing refers to yet (of each supplier one)."""
+    return t | {n: t[n].unionByName(request_frame(spark, sf_dir, f"new_{n}")) for n in ("customer", "feedback", "menu", "employee")}
+
+
+def faulty_carts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Carts of ``faulty_lines``: ``request_seq, item_id, customer_id, items, payment_method``; a
+    cart whose order has no lines there is empty."""
+    lines = request_frame(spark, sf_dir, "faulty_lines")
+    line = F.when(F.col("line_no").isNotNull(), F.struct("line_no", "item_name", "quantity"))
+    return (lines.groupBy("cart", "request_seq", "item_id", "customer_id", "payment_method")
+            .agg(F.array_sort(F.collect_list(line)).alias("_l"))
+            .select("request_seq", "item_id", "customer_id",
+                    F.transform("_l", lambda x: F.struct(x["item_name"].alias("item_name"), x["quantity"].alias("quantity"))).alias("items"),
+                    "payment_method"))

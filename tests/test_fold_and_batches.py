@@ -262,20 +262,17 @@ def test_verdicts_cover_every_request(spark):
     from tavola.sources import requests as Q
     from tavola.sources.tables import star_tables
     t = star_tables(spark, SF001)
-    cases = [
-        (C.apply_order_status(t, Q.status_requests(spark, SF001)).verdicts, Q.status_requests(spark, SF001)),
-        (C.apply_assignments(t, Q.assignment_requests(spark, SF001)).verdicts, Q.assignment_requests(spark, SF001)),
-        (C.apply_registrations(t, Q.registration_requests(spark, SF001)).verdicts,
-         Q.registration_requests(spark, SF001)),
-        (C.apply_profile_updates(t, Q.profile_requests(spark, SF001)).verdicts, Q.profile_requests(spark, SF001)),
-        (C.apply_feedback(t, Q.feedback_requests(spark, SF001)).verdicts, Q.feedback_requests(spark, SF001)),
-        (C.apply_menu_updates(t, Q.menu_update_requests(spark, SF001)).verdicts, Q.menu_update_requests(spark, SF001)),
-        (C.apply_employee_changes(t, Q.employee_requests(spark, SF001)).verdicts, Q.employee_requests(spark, SF001)),
-        (C.place_orders(t, Q.carts(spark, SF001)).verdicts, Q.carts(spark, SF001)),
-    ]
+    def ask(name):
+        return Q.request_frame(spark, SF001, name)
+    cases = [(apply(t, ask(name)).verdicts, ask(name)) for apply, name in (
+        (C.apply_order_status, "statuses"), (C.apply_assignments, "assignments"), (C.apply_registrations, "registrations"),
+        (C.apply_profile_updates, "profiles"), (C.apply_feedback, "feedbacks"), (C.apply_menu_updates, "menu_updates"),
+        (C.apply_menu_deletes, "menu_deletes"), (C.apply_customer_deletes, "customer_deletes"), (C.apply_employee_changes, "employees"))]
+    carts = Q.faulty_carts(spark, SF001)
+    cases += [(C.place_orders(t, carts).verdicts, carts), (C.apply_basket_lines(t, carts).verdicts, carts)]
     for verdicts, reqs in cases:
         seqs = [r.request_seq for r in verdicts.select("request_seq").collect()]
-        assert sorted(seqs) == sorted(r.request_seq for r in reqs.select("request_seq").collect())
+        assert sorted(seqs, key=str) == sorted((r.request_seq for r in reqs.select("request_seq").collect()), key=str)
         assert verdicts.filter("accepted and reason is not null or not accepted and reason is null").count() == 0
 
 
