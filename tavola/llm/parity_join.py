@@ -19,8 +19,9 @@ from tavola.llm.common import map_rows, small_batches, stored, table, text_or_em
 from tavola.llm.components import components
 
 PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
-SPARE = 0.2                    # share of a set's parts that it may leave out
-PARTNERS, LARGE = 8, 64         # classes that a class is compared with in the first turn; large buckets
+SPARE = 0.4                    # parts that a set may leave out, as a share of the rest
+PARTNERS = 8                   # classes that a class is compared with in the first turn
+SMALL, PIECE = 16, 512         # classes of a small bucket; of a piece of a larger one
 FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
 U = np.uint64
@@ -85,15 +86,16 @@ def band_shape(j: int, t: int) -> tuple[int, int, int]:
 
     ``D`` is the largest symmetric difference of a linked pair of the band. Up
     to ``D = 3`` there are so few parts that one of them differs in one bit at
-    most. Beyond, ``parts = D + 1 + 2 * skipped``: at least ``2 * skipped + 1``
-    parts agree, so both sets may leave out any ``skipped`` of their parts (those
-    that most other sets have too, which say least) and still share one.
+    most. Beyond, ``parts = D + 1 + skipped``: at least ``skipped + 1`` parts agree.
+    All sets leave out the first ``skipped`` of their parts in one and the same order
+    (those that most sets have come first, as they say least). The last of the agreeing
+    parts has ``skipped`` others before it in both sets, so neither leaves it out.
     """
     if (j, t) not in SHAPES:
         largest = band_starts(t)[j + 1] - 1
         d = (100 - t) * 2 * largest // (100 + t)
-        skipped = max(1, round(SPARE * (d + 1))) if d > 3 else 0
-        SHAPES[j, t] = d, d + 1 + 2 * skipped if d > 3 else (d + 2) // 2, skipped
+        skipped = max(2, round(SPARE * (d + 1))) if d > 3 else 0
+        SHAPES[j, t] = d, d + 1 + skipped if d > 3 else (d + 2) // 2, skipped
     return SHAPES[j, t]
 
 
@@ -135,6 +137,57 @@ def folded(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def block_pairs(members: DataFrame, t: int) -> DataFrame:
+    """``a, b``: classes of a bucket, one there as a whole part, in different components,
+    whose sizes and sketches allow a link; from ``members(key, sid, whole, c, size, n, sketch)``.
+
+    The classes of a bucket are dealt into pieces of about ``PIECE``. Every two pieces meet
+    in one run of a sorted partition, as two blocks of sketches in memory."""
+    pieces = F.ceil(F.col("size") / PIECE)
+    every = F.sequence(F.lit(0).cast("long"), pieces - 1)
+    own = F.pmod(F.hash("sid"), pieces)
+    rows = members.select("key", "sid", "whole", "c", "n", "sketch", own.alias("own"), F.explode(every).alias("other"))
+    left = rows.filter("whole").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "sid", "c", "n", "sketch")
+    right = rows.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "sid", "c", "n", "sketch")
+    runs = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+
+    def run(batches):
+        import pyarrow as pa
+
+        def meet(parts):
+            side, sid, c, n, sketch = (np.concatenate(p) for p in zip(*parts, strict=True))
+            x, y = side == 0, side == 1
+            for at in range(0, int(x.sum()), 64):
+                rows = np.flatnonzero(x)[at: at + 64]
+                apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[y][None, :, :]).sum(axis=2, dtype=np.int64)
+                na, nb = n[rows][:, None], n[y][None, :]
+                ok = ((np.minimum(na, nb) * 100 >= np.maximum(na, nb) * t) & (apart * (100 + t) <= (100 - t) * (na + nb))
+                      & (c[rows][:, None] != c[y][None, :]))
+                i, j = np.nonzero(ok)
+                if len(i):
+                    a, b = sid[rows][i], sid[y][j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held, name = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, side, sid, c, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
+            starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
+                this = key[lo], i[lo], j[lo]
+                if this != name and held:
+                    yield from meet(held)
+                    held = []
+                name = this
+                held.append(tuple(v[lo: hi] for v in (side, sid, c, n, sketch)))
+        if held:
+            yield from meet(held)
+
+    return runs.mapInArrow(run, "a long, b long")
+
+
 def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: ``id, n_shingles, th`` (hash of the text),
     ``sid`` (class of equal sets, null without words) and ``comp`` (component of
@@ -200,16 +253,16 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
     bucket = stored(bucket, "parity-buckets")
 
     narrow = classes.select("sid", "n", "sketch")
+    apart = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(FOLD)), F.lit(0))
+    # Sizes and whole sketches that allow a link.
+    may_link = ((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t)
+                & (apart * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))))
 
     def close(pairs: DataFrame) -> DataFrame:
         """Pairs ``a, b`` whose sizes and whole sketches allow a link."""
         x = narrow.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("xa"))
         y = narrow.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("xb"))
-        apart = sum((F.bit_count(F.col("xa")[i].bitwiseXOR(F.col("xb")[i])) for i in range(FOLD)), F.lit(0))
-        p = pairs.join(x, "a").join(y, "b")
-        p = p.filter((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * t)
-                     & (apart * (100 + t) <= (100 - t) * (F.col("na") + F.col("nb"))))
-        return p.select("a", "b")
+        return pairs.join(x, "a").join(y, "b").filter(may_link).select("a", "b")
 
     def exact_sets(pairs: DataFrame) -> DataFrame:
         """``sid, bytes`` of the classes in ``pairs``, from one text of each."""
@@ -231,9 +284,8 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
                        "sid long, bytes binary", sets_of)
         return stored(out.dropDuplicates(["sid"]), "parity-sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs whose exact sets are linked."""
-        p = stored(close(pairs), "parity-close")
+    def verified(p: DataFrame) -> DataFrame:
+        """Those of the (stored) pairs whose exact sets are linked."""
         sets = exact_sets(p)
         p = p.join(sets.select(F.col("sid").alias("a"), F.col("bytes").alias("sa")), "a")
         p = p.join(sets.select(F.col("sid").alias("b"), F.col("bytes").alias("sb")), "b")
@@ -255,33 +307,36 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
     # First turn: in each bucket a class meets the hub (the class that shares most
     # over all its buckets: of a group of near copies the one changed least), the
     # head, and its neighbour in an order drawn for the bucket. It is compared
-    # with the ``PARTNERS`` classes it meets most often and, from buckets of at
-    # least ``LARGE`` classes, with all it meets: a number of pairs linear in the
-    # entries. Then only classes of a bucket that are still in different
-    # components are compared.
+    # with the ``PARTNERS`` classes it meets most often: a number of pairs linear in the classes.
     central = bucket.groupBy(F.col("sid").alias("c_sid")).agg(F.sum("size").alias("central"))
     hubs = bucket.join(central, F.col("sid") == F.col("c_sid")).withColumn("hub", F.max(
-        F.when(F.col("whole"), F.struct("central", "sid"))).over(by_key)["sid"]).select("sid", F.col("hub").alias("other"), "size")
+        F.when(F.col("whole"), F.struct("central", "sid"))).over(by_key)["sid"]).select("sid", F.col("hub").alias("other"))
     drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "sid"), "whole")
     met = bucket.withColumn("near", F.lag("sid").over(drawn)).withColumn("near_whole", F.lag("whole").over(drawn))
-    met = (met.select("sid", F.col("head").alias("other"), "size").unionByName(hubs)
-           .unionByName(met.filter("whole OR near_whole").select("sid", F.col("near").alias("other"), "size"))
+    met = (met.select("sid", F.col("head").alias("other")).unionByName(hubs)
+           .unionByName(met.filter("whole OR near_whole").select("sid", F.col("near").alias("other")))
            .filter("sid <> other"))
-    votes = met.groupBy("sid", "other").agg(F.count(F.lit(1)).alias("count"), F.max("size").alias("size"))
+    votes = met.groupBy("sid", "other").agg(F.count(F.lit(1)).alias("count"))
     most = Window.partitionBy("sid").orderBy(F.desc("count"), F.xxhash64("sid", "other"))
-    best = votes.withColumn("place", F.row_number().over(most)).filter((F.col("place") <= PARTNERS) | (F.col("size") >= LARGE))
+    best = votes.withColumn("place", F.row_number().over(most)).filter(F.col("place") <= PARTNERS)
     best = best.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-    first = stored(verified(best), "parity-first")
+    first = stored(verified(stored(close(best), "parity-close")), "parity-first")
     comp = components(first)
-    named = bucket.drop("size").join(comp, bucket["sid"] == comp["v"], "left").select(
+
+    # Second turn: classes of a bucket that are still in different components, all with
+    # all in small buckets. The classes of a larger one are dealt out in pieces, and
+    # two pieces meet as blocks of sketches, of which only pairs that may link come out.
+    named = bucket.drop("size", "head").join(comp, bucket["sid"] == comp["v"], "left").select(
         "key", "sid", "whole", F.coalesce("c", "sid").alias("c"))
     spread = named.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
-    left = stored(spread.filter("low <> high").select("key", "sid", "whole", "c"), "parity-left")
-    x = left.filter("whole").select("key", F.col("sid").alias("a"), F.col("c").alias("ca"))
-    y = left.select("key", F.col("sid").alias("b"), F.col("c").alias("cb"))
-    pairs = (x.join(y, "key").filter("ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-             .distinct())
-    second = stored(verified(pairs), "parity-second")
+    spread = spread.filter("low <> high").withColumn("size", F.count(F.lit(1)).over(by_key))
+    left = stored(spread.select("key", "sid", "whole", "c", "size"), "parity-left")
+    small = left.filter(F.col("size") <= SMALL)
+    x = small.filter("whole").select("key", F.col("sid").alias("a"), F.col("c").alias("ca"))
+    y = small.select("key", F.col("sid").alias("b"), F.col("c").alias("cb"), F.col("whole").alias("wb"))
+    pairs = x.join(y, "key").filter("ca <> cb AND (a < b OR NOT wb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = close(pairs).unionByName(block_pairs(left.filter(F.col("size") > SMALL).join(narrow, "sid"), t)).distinct()
+    second = stored(verified(stored(pairs, "parity-close")), "parity-second")
     comp = components(first.unionByName(second))
     out = known.join(comp, known["sid"] == comp["v"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), "th", "sid", F.coalesce("c", "sid").alias("comp"))

@@ -9,6 +9,7 @@ from tavola.llm import disclosure, line_spread, parity_join
 from tavola.llm.components import components
 from tavola.llm.disclosure import KINDS, base_spans, luhn, sanitise
 from tavola.llm.line_spread import remove_spread_lines, without_boilerplate
+from tavola.llm import parity_join
 from tavola.llm.parity_join import band_keys, band_of, band_shape, band_starts, jaccard_components, one_of_each, shingles
 
 SCHEMA = "doc_id long, text string, source string, n_chars int, lang string, n_lines int, th long, head string"
@@ -230,6 +231,33 @@ def test_components_equal_brute_force(spark, k, t):
     assert sorted(got, key=str) == sorted(brute_components(rows, k, t), key=str)
 
 
+@pytest.mark.parametrize("small,piece,partners", [(1, 3, 1), (0, 512, 0)])
+def test_second_turn_in_blocks(spark, monkeypatch, small, piece, partners):
+    """Hardly a first turn, every bucket met in blocks."""
+    for name, v in (("SMALL", small), ("PIECE", piece), ("PARTNERS", partners)):
+        monkeypatch.setattr(parity_join, name, v)
+    test_components_equal_brute_force(spark, 4, 85)
+
+
+def test_blocks_emit_what_the_join_emits(spark):
+    """Sketches with the highest bits set, sizes and components that forbid a link."""
+    rng = random.Random(3)
+    base = [rng.getrandbits(64) for _ in range(parity_join.FOLD)]
+    members = []
+    for sid in range(0, 120, 2):
+        x = [v ^ (1 << rng.randrange(64) if rng.random() < rng.choice([0.1, 0.9]) else 0) for v in base]
+        members.append((1, sid, rng.random() < 0.7, sid % 10, 60, rng.choice([100, 110, 140]), x))
+    signed = [(*m[:6], [parity_join.signed(v) for v in m[6]]) for m in members]
+    df = spark.createDataFrame(signed, "key long, sid long, whole boolean, c long, size long, n long, sketch array<long>")
+    want = set()
+    for a in members:
+        for b in members:
+            apart = sum(bin(p ^ q).count("1") for p, q in zip(a[6], b[6]))
+            if a[2] and a[3] != b[3] and min(a[5], b[5]) * 100 >= max(a[5], b[5]) * 85 and apart * 185 <= 15 * (a[5] + b[5]):
+                want.add((min(a[1], b[1]), max(a[1], b[1])))
+    assert {tuple(r) for r in parity_join.block_pairs(df, 85).collect()} == want and want
+
+
 def test_every_linked_pair_shares_a_key():
     rng = random.Random(5)
     pairs = 0
