@@ -75,27 +75,25 @@ def case_insensitive_match(col, term: str, literal: bool = False) -> Column:
 
 
 def plan_size_bytes(df: DataFrame) -> int | None:
-    """An upper bound of the size of ``df``, or None when there is none.
+    """An upper bound of the size of ``df`` in memory, or None when there is none.
 
-    Only plans of stored tables, local rows, ranges, filters and projections have one
-    (the leaf sizes; a stored table counts eight times its file size, for
-    compression). Anything that can make rows (joins, generators, unions) or
-    whose size is only guessed gives None. No job is run.
+    Only local rows and ranges, filtered or projected to fewer of their columns,
+    have a bound. The size of a file is none: constant columns take nothing there and
+    may be any length in memory. No job is run.
     """
     plan = df._jdf.queryExecution().optimizedPlan()
     while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
-        generators = [e for e in ("explode", "posexplode", "inline", "stack") if f"{e}(" in plan.simpleString(25).lower()]
-        if generators:
-            return None
+        if plan.nodeName() == "Project":
+            made = plan.projectList()
+            for i in range(made.size()):
+                e = made.apply(i)
+                e = e.child() if e.nodeName() == "Alias" else e
+                if e.nodeName() != "AttributeReference":
+                    return None  # computed columns may be longer than what they are made of
         plan = plan.children().apply(0)
-    name = plan.nodeName()
-    if name in ("LocalRelation", "Range"):
-        factor = 1
-    elif name == "LogicalRelation" or name.startswith("Relation"):
-        factor = 8
-    else:
+    if plan.nodeName() not in ("LocalRelation", "Range"):
         return None
-    return factor * int(str(plan.stats().sizeInBytes()))
+    return int(str(plan.stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 * 1024 * 1024) -> DataFrame:

@@ -756,16 +756,44 @@ def route_new_employees(new_employees: DataFrame) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------------------
 # C16 / C17
 
+DIGESTS = 1 << 14    # buckets of a snapshot's digest: the rows that are compared first
+
+
+def differing_buckets(old: DataFrame, new: DataFrame, key: str, col: str) -> DataFrame:
+    """Numbers of the hash buckets of ``key`` in which the snapshots differ (at most ``DIGESTS``).
+
+    A bucket's digest is its row count and the sums of two hashes of (key, value):
+    equal rows give equal digests in any order, and each side is reduced to one row a bucket
+    before anything is shuffled."""
+    def digest(df: DataFrame, side: str) -> DataFrame:
+        parts = [F.xxhash64(key, col), F.xxhash64(F.lit(1), col, key)]
+        return df.groupBy(_bucket(key).alias("bucket")).agg(F.struct(
+            F.count(F.lit(1)).alias("n"), *[F.sum(p.cast("decimal(20,0)")).alias(f"h{i}") for i, p in enumerate(parts)]).alias(side))
+
+    both = digest(old, "a").join(digest(new, "b"), "bucket", "full_outer")
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select("bucket")
+
+
+def _bucket(key: str) -> Column:
+    return F.xxhash64(key).bitwiseAND(F.lit(DIGESTS - 1)).cast("int")
+
+
 def change_audit(old: DataFrame, new: DataFrame, key: str, col: str, as_of=None,
                  min_length: int | None = None) -> DataFrame:
     """One log row per key whose ``col`` really changed (NULL-safe).
 
-    With ``min_length`` a change to a shorter value is flagged ``too_short``
+    Digests of hash buckets of both snapshots are compared first; only rows of buckets that
+    differ are joined, so the join grows with the changes and not with the table. With
+    ``min_length`` a change to a shorter value is flagged ``too_short``
     (the source refuses it). Re-aimed from the password log: the caller
     chooses a non-secret column.
     """
-    o = old.select(key, F.col(col).alias("old_value"))
-    n = new.select(key, F.col(col).alias("new_value"))
+    changed = F.broadcast(written(differing_buckets(old, new, key, col), "digests"))  # at most DIGESTS ints
+    def touched(df: DataFrame) -> DataFrame:
+        return df.withColumn("_bucket", _bucket(key)).join(changed, F.col("_bucket") == F.col("bucket"), "left_semi")
+
+    o = touched(old).select(key, F.col(col).alias("old_value"))
+    n = touched(new).select(key, F.col(col).alias("new_value"))
     j = o.join(n, key, "inner").filter(~F.col("old_value").eqNullSafe(F.col("new_value")))
     too_short = (F.length("new_value") < min_length) if min_length else F.lit(False)
     return j.select(key, _as_of(as_of).alias("change_date"), F.lit(col).alias("column_name"),

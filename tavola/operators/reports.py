@@ -26,6 +26,7 @@ from tavola.functions.exprs import (broadcast_if_small, case_insensitive_match,
                                     js_or, money_text, status_class)
 from tavola.functions.keys import key_number, key_suffix_number, with_row_number
 from tavola.schema import PRIMARY_KEYS
+from tavola.operators.search import rows_matching
 from tavola.sources.tables import Tables
 
 ASC = "asc"
@@ -92,19 +93,12 @@ def menu_search(t: Tables, term: str, literal: bool = False) -> DataFrame:
 
 
 def menu_search_terms(t: Tables, terms: DataFrame) -> DataFrame:
-    """P3, batch form: ``terms(term_id, term)`` against the menu.
-
-    A regex predicate has no equi key, so this is a nested-loop join; the term
-    batch is broadcast only when its size estimate is small.
-    """
+    """P3, batch form: ``terms(term_id, term)`` against the menu, by posting lists of the
+    different names, categories and descriptions (``matching_texts``)."""
     m = t["menu"].filter(F.col("availability_status") == "Available")
-    pat = F.concat(F.lit("(?iu)"), F.col("term"))
-    cond = (F.regexp_like(F.col("item_name"), pat) | F.regexp_like(F.col("category"), pat)
-            | F.regexp_like(F.col("description"), pat))
-    return (m.join(broadcast_if_small(terms.select("term_id", "term")), cond, "inner")
-            .select("term_id", "term", *[c.alias(n) for c, n in zip(
-                [F.col("menu_id"), F.col("item_name"), F.col("category"), F.col("price"), F.col("description"),
-                 F.col("availability_status"), F.col("image_link")], MENU_PUBLIC)]))
+    out = rows_matching(m, "menu_id", [F.col("item_name"), F.col("category"), F.col("description")], terms)
+    return out.select("term_id", "term", *[F.col(c).alias(n) for c, n in zip(
+        ["menu_id", "item_name", "category", "price", "description", "availability_status", "image_link"], MENU_PUBLIC)])
 
 
 def lookup(t: Tables, name: str, keys: DataFrame) -> DataFrame:
@@ -141,6 +135,11 @@ def orders_text_search(df: DataFrame, term: str) -> DataFrame:
     return df.filter(_orders_shown_text().contains(F.lower(F.lit(term or ""))))
 
 
+def orders_text_search_terms(df: DataFrame, terms: DataFrame) -> DataFrame:
+    """P5, batch form: the rows of the admin order list that show each of ``terms(term_id, term)``."""
+    return rows_matching(df, "order_id", [_orders_shown_text()], terms, literal=True)
+
+
 def customers_text_search(t: Tables, term: str) -> DataFrame:
     """Numbered customer list rows whose shown text contains ``term``
     (the shown row number counts too)."""

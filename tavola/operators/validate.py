@@ -196,7 +196,9 @@ def key_violations(suspects: DataFrame) -> DataFrame:
         F.when(F.col("open") > 1, F.lit("double_assignment"))))
     named = suspects.select(F.explode(found).alias("rule"), "space", "key", "key2", "own")
     owner = F.when(F.col("rule") == "double_assignment", F.lit("orders")).otherwise(table[F.col("space")])
-    return named.select(owner.alias("table_name"), F.concat_ws("/", "key", "key2").alias("row_key"), "rule")
+    # Lines without a basket id are an orphan basket without a name.
+    name = F.when(F.col("rule") == "orphan_basket", F.col("key")).otherwise(F.concat_ws("/", "key", "key2"))
+    return named.select(owner.alias("table_name"), name.alias("row_key"), "rule")
 
 
 def _differs(value: Column, low: Column, high: Column, gap: Column) -> Column:

@@ -101,6 +101,15 @@ def q_orders_text_search(spark, d):
     return R.orders_text_search(R.order_headers(tables(spark, d)), "#O1")
 
 
+@register("orders_text_search_terms", f""", terms AS ({Q.request_sql("order_terms")})
+select t.term_id, t.term, h.* from """ + ORDER_HEADERS_SQL + """ h join terms t on contains(lower(concat_ws(' ',
+ '#'||order_id, customer_name, '₹'||regexp_replace(cast(total_price as varchar), '\\.?0+$', ''), order_status,
+ strftime(order_date, '%-m/%-d/%Y'), 'Update Status')), lower(t.term))""")
+def q_orders_text_search_terms(spark, d):
+    """P5 batch: order ids and customer numbers as search terms."""
+    return R.orders_text_search_terms(R.order_headers(tables(spark, d)), Q.request_frame(spark, d, "order_terms"))
+
+
 @register("customers_text_search", "select * from (select c.customer_id, c.name, c.email, c.phone_number, c.address, "
           "coalesce(o.order_count,0) as order_count, row_number() over (order by c.name, c.customer_id) as row_no "
           "from r_customer c left join " + ORDERS_PER_CUSTOMER_SQL + " o on c.customer_id=o.customer_id) x "
@@ -475,14 +484,11 @@ def q_courier_profile_role(spark, d):
     return R.courier_profile(tables(spark, d), require_role=True)
 
 
-@register("menu_search_terms", """, terms AS (select distinct lower(p_type) as term_id, lower(p_type) as term from part)
+@register("menu_search_terms", f""", terms AS ({Q.request_sql("menu_terms")})
 select t.term_id, t.term, m.menu_id as id, m.item_name as name, m.category, m.price, m.description,
  m.availability_status, m.image_link as image from r_menu m join terms t on m.availability_status='Available'
  and (regexp_matches(m.item_name, t.term, 'i') or regexp_matches(m.category, t.term, 'i')
  or regexp_matches(m.description, t.term, 'i'))""")
 def q_menu_search_terms(spark, d):
-    """P3 batch: every distinct part type (lower case) as a search term."""
-    from pyspark.sql import functions as F
-    p = spark.read.parquet(f"{d.rstrip('/')}/part.parquet")
-    terms = p.select(F.lower("p_type").alias("term")).distinct().select(F.col("term"), F.col("term").alias("term_id"))
-    return R.menu_search_terms(tables(spark, d), terms)
+    """P3 batch: words, parts and patterns of the menu as search terms."""
+    return R.menu_search_terms(tables(spark, d), Q.request_frame(spark, d, "menu_terms"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from tavola.operators import derive as D
 from tavola.operators import validate as V
-from tavola.plans.catalog import CART_LINES_SQL, register, tables
+from tavola.plans.catalog import register, tables
 from tavola.schema import PRIMARY_KEYS
 from tavola.sources import requests as Q
 
@@ -91,24 +93,28 @@ def _violations_sql() -> str:
     parts += [
         "select 'items', item_id, 'orphan_basket' from (select distinct item_id from r_items) i "
         "where not exists (select 1 from r_orders o where o.item_id=i.item_id)",
-        "select 'orders', order_id, 'order_without_basket' from r_orders o "
+        "select 'orders', concat_ws('/', order_id), 'order_without_basket' from r_orders o "
         "where not exists (select 1 from r_items i where i.item_id=o.item_id)",
-        "select 'items', concat_ws('/', i.item_id, i.menu_id), 'line_price_changed' from r_items i join r_menu m "
-        "on i.menu_id=m.menu_id where i.price is distinct from cast(m.price*i.quantity as decimal(18,2))",
-        "select 'orders', o.order_id, 'total_mismatch' from r_orders o left join (select item_id, "
+        # A row is compared with every owner of its key, and reported once.
+        "select 'items', concat_ws('/', i.item_id, i.menu_id), 'line_price_changed' from r_items i where exists (select 1 from "
+        "r_menu m where i.menu_id=m.menu_id and i.price is distinct from cast(m.price*i.quantity as decimal(18,2)))",
+        "select 'orders', concat_ws('/', o.order_id), 'total_mismatch' from r_orders o left join (select item_id, "
         "cast(sum(price) as decimal(18,2)) s from r_items group by item_id) b on o.item_id=b.item_id "
         "where o.total_price is distinct from b.s",
-        "select 'payment', p.payment_id, 'amount_mismatch' from r_payment p left join r_orders o "
-        "on p.order_id=o.order_id where p.amount is distinct from cast(o.total_price as decimal(18,2))",
-        "select 'orders', o.order_id||'/'||i.menu_id, 'item_unavailable' from r_orders o join r_items i "
+        "select 'payment', concat_ws('/', p.payment_id), 'amount_mismatch' from r_payment p where exists (select 1 from r_orders o "
+        "where p.order_id=o.order_id and p.amount is distinct from cast(o.total_price as decimal(18,2))) or (p.amount is not null "
+        "and not exists (select 1 from r_orders o where p.order_id=o.order_id))",
+        "select 'orders', order_id, 'double_assignment' from r_deliveries where delivery_status='Out for Delivery' "
+        "and order_id is not null group by order_id having count(*) > 1",
+        "select 'orders', concat_ws('/', o.order_id, i.menu_id), 'item_unavailable' from r_orders o join r_items i "
         "on o.item_id=i.item_id join r_menu m on i.menu_id=m.menu_id where o.order_status='Pending' "
         "and m.availability_status <> 'Available'",
-        "select 'orders', o.customer_id||'/'||i.menu_id, 'duplicate_pending' from r_orders o join r_items i "
+        "select 'orders', concat_ws('/', o.customer_id, i.menu_id), 'duplicate_pending' from r_orders o join r_items i "
         "on o.item_id=i.item_id where o.order_status='Pending' group by o.customer_id, i.menu_id having count(*) > 1",
-        "select 'deliveries', d.delivery_id, 'state_mismatch' from r_deliveries d join r_orders o "
-        "on d.order_id=o.order_id where (o.order_status='Completed' and d.delivery_status<>'Delivered') or "
+        "select 'deliveries', concat_ws('/', d.delivery_id), 'state_mismatch' from r_deliveries d where exists (select 1 from r_orders o "
+        "where d.order_id=o.order_id and ((o.order_status='Completed' and d.delivery_status<>'Delivered') or "
         "(d.delivery_status='Delivered' and o.order_status<>'Completed') or (o.order_status='Cancelled' and "
-        "d.delivery_status<>'Cancelled') or (d.delivery_status='Cancelled' and o.order_status<>'Cancelled')",
+        "d.delivery_status<>'Cancelled') or (d.delivery_status='Cancelled' and o.order_status<>'Cancelled')))",
     ]
     return "\nunion all\n".join(parts)
 
@@ -127,10 +133,26 @@ def q_violation_counts(spark, d):
     return V.violation_counts(tables(spark, d))
 
 
-@register("cart_line_checks", ", " + CART_LINES_SQL + """, chk AS (select request_seq, line_no, unnest([
+def _faulty_sql() -> str:
+    """The same rules over tables with faults of every kind (``requests.FAULTS``)."""
+    from tavola.schema import SCHEMAS
+    ctes = "".join(f", f_{t} AS ({Q.faulty_sql(t, 'r_' + t, SCHEMAS[t].names)})\n" for t in PRIMARY_KEYS)
+    rules = VIOLATIONS_SQL
+    for t in PRIMARY_KEYS:
+        rules = re.sub(rf"\br_{t}\b", f"f_{t}", rules)
+    return ctes + rules
+
+
+@register("violations_of_faulty_tables", _faulty_sql())
+def q_violations_of_faulty_tables(spark, d):
+    """V1-V12 and V14 where every rule is broken by some rows, keys with two owners included."""
+    return V.validate(Q.faulty_tables(tables(spark, d)))
+
+
+@register("cart_line_checks", f", lines AS ({Q.request_sql('text_lines')})" + """, chk AS (select request_seq, line_no, unnest([
  case when item_name is null or trim(item_name)='' then 'missing_name' end,
- case when try_cast(cast(price as varchar) as double) is null then 'bad_price' end,
- case when try_cast(cast(quantity as varchar) as int) is null then 'bad_quantity' end]) as rule from cart_lines)
+ case when try_cast(price as double) is null then 'bad_price' end,
+ case when try_cast(quantity as int) is null then 'bad_quantity' end]) as rule from lines)
 select request_seq, line_no, rule from chk where rule is not null""")
 def q_cart_line_checks(spark, d):
-    return V.validate_cart_lines(Q.cart_lines(spark, d))
+    return V.validate_cart_lines(Q.request_frame(spark, d, "text_lines"))

@@ -25,6 +25,8 @@ DEFAULT_CONF = {
     # Delete checkpoint files once their frames are garbage collected.
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Streaming state on disk: the ids that T2 remembers may exceed an executor's memory.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -186,6 +186,14 @@ from {orders} left join {lineitem} on l_orderkey = o_orderkey and o_orderkey % 5
  case when l_orderkey % 103 = 1 then 'free' when l_orderkey % 103 = 2 then null else cast(p_retailprice as string) end as price,
  case when l_orderkey % 107 = 1 then 'many' when l_orderkey % 107 = 2 then null else cast(cast(l_quantity as int) as string) end as quantity
 from {lineitem} join {part} on p_partkey = l_partkey""",
+    # Search terms from the menu's own words: whole ones, parts, beginnings, single digits, choices.
+    "menu_terms": """select distinct term as term_id, term from (
+ select lower(p_type) as term from {part} union all select split_part(p_name, ' ', 2) from {part}
+ union all select '^' || split_part(p_name, ' ', 1) from {part} union all select substr(p_brand, 7) from {part}
+ union all select substr(p_type, 2, 2) || '.*' || substr(p_type, 5, 1) from {part}
+ union all select split_part(p_name, ' ', 2) || '$|^' || split_part(p_name, ' ', 1) from {part}) x""",
+    "order_terms": """select 'S' || cast(s_suppkey as string) as term_id, '#O' || cast(s_suppkey as string) || ' ' as term from {supplier}
+union all select 'C' || cast(s_suppkey as string), lpad(cast(s_suppkey as string), 9, '0') from {supplier}""",
     # Newcomers: customers without orders (some with feedback), items never ordered, couriers without a courier row.
     "new_customer": """select 'C' || cast(5000000 + s_suppkey as string) as customer_id, s_name as name,
  lower(replace(s_name, '#', '.')) || '@example.com' as email, cast(7900000000 + s_suppkey as string) as phone_number,
@@ -231,3 +239,68 @@ def faulty_carts(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("request_seq", "item_id", "customer_id",
                     F.transform("_l", lambda x: F.struct(x["item_name"].alias("item_name"), x["quantity"].alias("quantity"))).alias("items"),
                     "payment_method"))
+
+
+# Faults by the number ``n`` in a row's key: what to put into a column instead. Every
+# rule of the schema and of the tables' agreement is broken by some rows.
+FAULTS: dict[str, dict[str, str]] = {
+    "customer": {"customer_id": "case when n % 113 = 1 then customer_id || '0000000' else customer_id end",
+             "name": "case when n % 97 = 1 then null when n % 97 = 2 then repeat('x', 60) else name end",
+                 "email": "case when n % 89 = 3 then 'no at sign' when n % 89 = 4 then repeat('e', 120) || '@x.com' "
+                          "when n % 89 = 5 then null else email end",
+                 "phone_number": "case when n % 83 = 5 then '12' when n % 83 = 6 then '123456789012' when n % 83 = 7 then null "
+                                 "else phone_number end",
+                 "address": "case when n % 79 = 1 then null when n % 79 = 2 then repeat('y', 240) else address end"},
+    "menu": {"menu_id": "case when n % 113 = 1 then menu_id || '0000000' else menu_id end",
+             "item_name": "case when n % 61 = 1 then null when n % 61 = 2 then repeat('m', 150) else item_name end",
+             "category": "case when n % 73 = 1 then 'Snacks' when n % 73 = 2 then null when n % 73 = 3 then repeat('c', 60) else category end",
+             "price": "cast(case when n % 71 = 1 then 0 when n % 71 = 2 then null else price end as decimal(10,2))",
+             "description": "case when n % 59 = 1 then repeat('d', 600) else description end",
+             "availability_status": "case when n % 67 = 1 then 'Sold out' when n % 67 = 2 then repeat('a', 30) else availability_status end",
+             "image_link": "case when n % 53 = 1 then repeat('i', 240) else image_link end"},
+    "items": {"menu_id": "case when n % 43 = 1 then 'M0000000' else menu_id end",
+              "quantity": "cast(case when n % 53 = 1 then 0 when n % 53 = 2 then 120 when n % 53 = 3 then null else quantity end as int)",
+              "price": "cast(case when n % 47 = 1 then null when n % 47 = 2 then price + 1 else price end as decimal(18,2))"},
+    "employee": {"employee_id": "case when n % 47 = 1 then employee_id || '0000000' else employee_id end",
+             "name": "case when n % 13 = 1 then null when n % 13 = 2 then repeat('s', 40) else name end",
+                 "role": "case when n % 7 = 1 then 'Waiter' when n % 7 = 2 then 'Head of all waiters' else role end",
+                 "phone_number": "cast(case when n % 11 = 3 then null when n % 11 = 4 then 6000000001 else phone_number end as decimal(10,0))",
+                 "salary": "cast(case when n % 5 = 2 then -1 else salary end as decimal(18,2))"},
+    "orders": {"order_id": "case when n % 127 = 1 then order_id || '0000000' else order_id end",
+             "customer_id": "case when n % 107 = 1 then 'C0000000' else customer_id end",
+               "item_id": "case when n % 109 = 1 then 'I0000000' when n % 109 = 2 then null else item_id end",
+               "total_price": "cast(case when n % 103 = 1 then 0 when n % 103 = 2 then null else total_price end as decimal(18,2))",
+               "order_status": "case when n % 101 = 1 then 'Lost' when n % 101 = 2 then repeat('l', 30) when n % 101 = 3 then null "
+                               "else order_status end"},
+    "delivery": {"delivery_id": "case when n % 33 = 0 then delivery_id || '0000000' else delivery_id end",
+             "employee_id": "case when n % 9 = 0 then 'E0000000' when n % 15 = 0 then null else employee_id end",
+                 "rating": "cast(case when n % 6 = 0 then 9.9 else rating end as decimal(2,1))"},
+    "deliveries": {"order_id": "case when n % 41 = 1 then 'O0000000' when n % 29 = 1 then 'O' || cast(n - n % 10 as string) else order_id end",
+                   "delivery_person_id": "case when n % 31 = 1 then 'D0000000' else delivery_person_id end",
+                   "delivery_status": "case when n % 37 = 1 then 'Lost' when n % 37 = 2 then 'Cancelled' when n % 37 = 3 then repeat('o', 30) "
+                                      "when n % 29 = 1 or n % 10 = 0 then 'Out for Delivery' else delivery_status end"},
+    "payment": {"order_id": "case when n % 27 = 1 then 'O0000000' when n % 27 = 2 then null else order_id end",
+                "amount": "cast(case when n % 23 = 1 then null when n % 23 = 2 then amount + 1 else amount end as decimal(18,2))",
+                "payment_status": "case when n % 19 = 1 then 'Lost' when n % 19 = 2 then repeat('p', 30) else payment_status end",
+                "payment_method": "case when n % 17 = 1 then 'Barter' when n % 17 = 2 then repeat('b', 30) else payment_method end",
+                "transaction_date": "case when n % 33 = 1 then null else transaction_date end"},
+    "feedback": {"order_id": "case when n % 11 = 1 then 'O0000000' when n % 11 = 2 then null else order_id end",
+                 "customer_id": "case when n % 13 = 1 then 'C0000000' when n % 13 = 2 then null else customer_id end",
+                 "rating_score": "cast(case when n % 7 = 1 then 0.5 when n % 7 = 2 then 6.0 else rating_score end as decimal(2,1))",
+                 "feedback_text": "case when n % 17 = 1 then repeat('z', 600) else feedback_text end"},
+}
+# Rows that are there twice, by the same number: duplicate keys, and owners of a key that differ.
+TWICE = 51
+
+
+def faulty_sql(table: str, source: str, columns: list[str]) -> str:
+    """The rows of ``source`` with the faults of ``table``; some come twice, the second as it was."""
+    changed = ", ".join(f"{FAULTS[table][c]} as {c}" if c in FAULTS[table] else c for c in columns)
+    numbered = f"(select *, cast(substr({columns[0]}, 2) as bigint) as n from {source}) x"
+    plain = ", ".join(columns)
+    return f"select {changed} from {numbered} union all select {plain} from {numbered} where n % {TWICE} = 0"
+
+
+def faulty_tables(t: dict) -> dict:
+    """The tables with every kind of fault."""
+    return {n: t[n].sparkSession.sql(faulty_sql(n, "{source}", t[n].columns), source=t[n]) for n in FAULTS}

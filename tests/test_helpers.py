@@ -97,13 +97,24 @@ def test_no_bound_for_plans_that_make_rows(spark, tmp_path):
     small = spark.createDataFrame([(1,)], "k int").coalesce(1)
     small.write.parquet(str(tmp_path / "t"))
     stored = spark.read.parquet(str(tmp_path / "t"))
-    assert plan_size_bytes(stored.select("k").filter("k > 0")) is not None
+    assert plan_size_bytes(stored.select("k").filter("k > 0")) is None  # see the test below
+    assert plan_size_bytes(spark.range(3).filter("id > 0").select(F.col("id").alias("k"))) is not None
+    assert plan_size_bytes(spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("k"))) is None
     many = F.explode(F.sequence(F.lit(1), F.lit(100000)))
     assert plan_size_bytes(stored.select(many.alias("k"))) is None
     assert plan_size_bytes(spark.range(3).select(many.alias("k"))) is None
     assert plan_size_bytes(stored.join(stored.withColumnRenamed("k", "j"))) is None
 
 
+def test_a_small_file_is_no_bound(spark, tmp_path):
+    """Constant texts take next to nothing in a file, whatever they take in memory."""
+    from tavola.functions.exprs import broadcast_if_small
+    path = str(tmp_path / "t")
+    spark.range(200_000).select("id", F.repeat(F.lit("x"), 2000).alias("text")).coalesce(1).write.parquet(path)
+    stored = spark.read.parquet(path)
+    assert "broadcast" not in broadcast_if_small(stored)._jdf.queryExecution().analyzed().toString().lower()
+
+
 def test_search_folds_letters_beyond_ascii(spark):
     from tavola.functions.exprs import case_insensitive_match
     df = spark.createDataFrame([("CRÈME",), ("Brûlée",), ("tea",)], "name string")
