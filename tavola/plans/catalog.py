@@ -478,6 +478,49 @@ def q_customer_orders_nested(spark, d):
     return R.customer_orders_nested(tables(spark, d))
 
 
+def _lines_text(df, fields: list[str]):
+    """A nested reply with its lines as one text (``field|field;field|field``) and their number."""
+    from pyspark.sql import functions as F
+    text = F.transform("items", lambda x: F.concat_ws("|", *[x[f].cast("string") for f in fields]))
+    return df.withColumn("n_lines", F.size("items")).withColumn("lines", F.array_join(text, ";")).drop("items")
+
+
+def _agg_lines(fields: list[str], real: str = "true") -> str:
+    row = "concat_ws('|', " + ", ".join(f"cast({f} as varchar)" for f in fields) + ")"
+    return (f"cast(count(*) filter ({real}) as int) as n_lines, coalesce(string_agg({row}, ';' order by {', '.join(fields)}) "
+            f"filter ({real}), '') as lines")
+
+
+@register("order_details_nested_text", "select o.order_id, o.customer_id, c.name as customer_name, c.email as customer_email, "
+          "c.phone_number, c.address, o.total_price, o.order_status, o.order_date, "
+          + _agg_lines(["m.item_name", "i.item_id", "i.quantity", "m.price", "m.description"])
+          + " from r_menu m, r_items i, r_customer c, r_orders o where o.item_id=i.item_id and i.menu_id=m.menu_id "
+            "and c.customer_id=o.customer_id group by all")
+def q_order_details_nested_text(spark, d):
+    """J1 nested, lines as text."""
+    return _lines_text(R.order_details_nested(tables(spark, d)), ["item_name", "item_id", "quantity", "price", "description"])
+
+
+@register("all_orders_nested_text", "select o.order_id, o.customer_id, c.name as customer_name, c.email as customer_email, o.total_price, "
+          "o.order_status, o.order_date, " + _agg_lines(["m.menu_id", "m.item_name", "m.category", "i.quantity", "i.price", "m.description"],
+                                                        "m.menu_id is not null and m.item_name is not null")
+          + " from r_orders o left join r_customer c on c.customer_id=o.customer_id left join r_items i on i.item_id=o.item_id "
+            "left join r_menu m on m.menu_id=i.menu_id group by all")
+def q_all_orders_nested_text(spark, d):
+    """J2 nested, lines as text."""
+    return _lines_text(R.all_orders_nested(tables(spark, d)), ["menu_id", "item_name", "category", "quantity", "price", "description"])
+
+
+@register("customer_orders_nested_text", "select o.order_id, o.customer_id, o.order_date, o.order_status, o.total_price, "
+          "coalesce(nullif(p.payment_method,''),'Not specified') as payment_method, coalesce(nullif(p.payment_status,''),'Pending') "
+          "as payment_status, " + _agg_lines(["m.item_name", "i.quantity", "i.price"])
+          + " from r_menu m, r_items i, r_orders o left join " + FIRST_PAYMENT_SQL + " p on p.order_id=o.order_id "
+            "where o.item_id=i.item_id and i.menu_id=m.menu_id group by all")
+def q_customer_orders_nested_text(spark, d):
+    """J3 nested, lines as text."""
+    return _lines_text(R.customer_orders_nested(tables(spark, d)), ["item_name", "quantity", "price"])
+
+
 @register("courier_profile_role", """select e.name, e.phone_number, d.delivery_id, e.employee_id
  from r_delivery d join r_employee e on e.employee_id=d.employee_id where e.role='Delivery'""")
 def q_courier_profile_role(spark, d):

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from tavola.operators import reports as R
 from tavola.plans.catalog import CART_LINES_SQL, FIRST_PAYMENT_SQL, register, tables
+from tavola.schema import PRIMARY_KEYS, SCHEMAS
 from tavola.session import scratch_path
 from tavola.sources import requests as Q
 from tavola.sources import sinks as S
+from tavola.sources.tables import table_dump
 from tavola.streaming import views as T
 
 
@@ -91,6 +93,75 @@ def q_load_customers(spark, d):
     return load_tables(spark, out, ["customer"])["customer"]
 
 
+# All nine tables: a row each with the row count and a digest of the rows (the sum of the
+# first 48 bits of each row's md5, the same in any order and any engine).
+def _digests(frames):
+    out = None
+    for name, df in frames.items():
+        row = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns]))
+        part = df.agg(F.count(F.lit(1)).alias("n_rows"),
+                      F.sum(F.conv(F.substring(row, 1, 12), 16, 10).cast("decimal(20,0)")).cast("string").alias("digest"))
+        part = part.select(F.lit(name).alias("table_name"), "n_rows", "digest")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _digests_sql(sources: dict[str, str] | None = None, extra: tuple[str, ...] = ()) -> str:
+    parts = []
+    for name, schema in SCHEMAS.items():
+        row = "concat_ws('|', " + ", ".join(f"coalesce(cast({c} as varchar), '~')" for c in [*schema.names, *extra]) + ")"
+        parts.append(f"select '{name}' as table_name, count(*) as n_rows, "
+                     f"cast(sum(('0x' || substr(md5({row}), 1, 12))::bigint) as varchar) as digest from {(sources or {}).get(name, 'r_' + name)}")
+    return "\nunion all ".join(parts)
+
+
+@register("load_tables_digest", _digests_sql({"customer": "(select * replace (case when customer_id like '%7' then null else address end "
+                                              "as address) from r_customer) c"}))
+def q_load_tables_digest(spark, d):
+    """All tables stored (some addresses as empty texts) and loaded again."""
+    from tavola.sources.tables import load_tables
+    out = scratch_path(spark, f"loads/all-{uuid.uuid4().hex}")
+    for name, df in dict(tables(spark, d).items()).items():
+        if name == "customer":
+            df = df.withColumn("address", F.when(F.col("customer_id").endswith("7"), F.lit("")).otherwise(F.col("address")))
+        df.write.parquet(f"{out}/{name}.parquet")
+    return _digests(load_tables(spark, out))
+
+
+@register("snapshot_tables_digest", _digests_sql())
+def q_snapshot_tables_digest(spark, d):
+    """A committed version of all tables, read back."""
+    out = scratch_path(spark, f"snapshots/all-{uuid.uuid4().hex}")
+    S.write_snapshot(tables(spark, d), out, 1)
+    return _digests(S.read_snapshot(spark, out, 1))
+
+
+@register("dump_tables_digest", _digests_sql())
+def q_dump_tables_digest(spark, d):
+    """Every table dumped in key order."""
+    t = tables(spark, d)
+    return _digests({n: table_dump(t, n) for n in SCHEMAS})
+
+
+def _looked_up(name: str) -> str:
+    key = ", ".join(f"coalesce(t.{k}, q.{k}) as {k}" for k in PRIMARY_KEYS[name])
+    rest = ", ".join(f"t.{c}" for c in SCHEMAS[name].names if c not in PRIMARY_KEYS[name])
+    on = " and ".join(f"t.{k}=q.{k}" for k in PRIMARY_KEYS[name])
+    ask = ", ".join(f"{k} || case when length({k}) % 2 = 0 then '' else 'x' end as {k}" for k in PRIMARY_KEYS[name])
+    return (f"(select {key}, {rest}, case when t.{PRIMARY_KEYS[name][0]} is null then 'false' else 'true' end as found "
+            f"from (select distinct {ask} from r_{name}) q left join r_{name} t on {on}) x")
+
+
+@register("lookup_tables_digest", _digests_sql({n: _looked_up(n) for n in SCHEMAS}, ("found",)))
+def q_lookup_tables_digest(spark, d):
+    """Keys of every table looked up, those of odd length spoilt so that they are not found."""
+    t, out = tables(spark, d), {}
+    for n in SCHEMAS:
+        ask = t[n].select(*[F.concat(k, F.when(F.length(k) % 2 == 0, "").otherwise("x")).alias(k) for k in PRIMARY_KEYS[n]])
+        out[n] = R.lookup(t, n, ask).select(*SCHEMAS[n].names, "found")
+    return _digests(out)
+
+
 @register("snapshot_roundtrip", "select order_id, customer_id, item_id, total_price, order_status, order_date from r_orders")
 def q_snapshot_roundtrip(spark, d):
     """All tables written as a committed snapshot version, orders read back."""
