@@ -461,32 +461,31 @@ def sales_by_status(t: Tables) -> DataFrame:
                                                    _sum_money("total_price").alias("total"))
 
 
+def _top_items(t: Tables, value: str, k: int) -> DataFrame:
+    """Lines meet their orders on the basket id, are summed for each menu id, and only
+    these sums meet the menu and its names (a name may belong to several items)."""
+    i = t["items"].select("item_id", "menu_id", "quantity", "price")
+    o = t["orders"].select("item_id", "order_id", "total_price")
+    sold = (i.join(o, "item_id").groupBy("menu_id")
+            .agg(F.count("order_id").alias("_orders"), F.sum("quantity").alias("_quantity"), _sum_money(value).alias("_value")))
+    return (sold.join(t["menu"].select("menu_id", "item_name"), "menu_id").groupBy("item_name")
+            .agg(F.sum("_orders").alias("order_count"), F.sum("_quantity").cast("long").alias("total_quantity"),
+                 _sum_money("_value").alias("total_revenue"))
+            .orderBy(_o("total_revenue", DESC), _o("item_name")).limit(k))
+
+
 def top_items(t: Tables, k: int = 5) -> DataFrame:
     """A4: best-selling item names by revenue, top ``k``.
 
     As in the source, revenue sums the *whole order total* once per basket
     line (join fan-out); ``top_items_by_line`` gives the line-price form.
     """
-    m = t["menu"].select("menu_id", "item_name")
-    i = t["items"].select("item_id", "menu_id", "quantity")
-    o = t["orders"].select("item_id", "order_id", "total_price")
-    j = i.join(m, "menu_id").join(o, "item_id")
-    return (j.groupBy("item_name")
-            .agg(F.count("order_id").alias("order_count"), F.sum("quantity").cast("long").alias("total_quantity"),
-                 _sum_money("total_price").alias("total_revenue"))
-            .orderBy(_o("total_revenue", DESC), _o("item_name")).limit(k))
+    return _top_items(t, "total_price", k)
 
 
 def top_items_by_line(t: Tables, k: int = 5) -> DataFrame:
     """A4 (corrected): revenue as the sum of line prices."""
-    m = t["menu"].select("menu_id", "item_name")
-    i = t["items"].select("item_id", "menu_id", "quantity", "price")
-    o = t["orders"].select("item_id", "order_id")
-    j = i.join(m, "menu_id").join(o, "item_id")
-    return (j.groupBy("item_name")
-            .agg(F.count("order_id").alias("order_count"), F.sum("quantity").cast("long").alias("total_quantity"),
-                 _sum_money("price").alias("total_revenue"))
-            .orderBy(_o("total_revenue", DESC), _o("item_name")).limit(k))
+    return _top_items(t, "price", k)
 
 
 def category_distribution(t: Tables) -> DataFrame:

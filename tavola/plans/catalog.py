@@ -171,10 +171,14 @@ def q_employees_list(spark, d):
 
 
 # J: joins -----------------------------------------------------------------------
-@register("order_details", """select o.order_id, o.customer_id, c.name as customer_name, c.email as customer_email, c.phone_number,
- c.address, o.total_price, o.order_status, o.order_date, i.item_id, i.quantity, m.item_name, m.price, m.description
- from r_orders o join r_customer c on o.customer_id=c.customer_id join r_items i on o.item_id=i.item_id
- join r_menu m on i.menu_id=m.menu_id""")
+@register("order_details", BASKETS_SQL + f""", spread AS (select o.*, unnest((select any_value(b.l) from baskets b
+ where b.item_id = o.item_id)) as x from r_orders o), line AS (select spread.*, x.menu_id as menu_id from spread)
+select order_id, customer_id, total_price, order_status, order_date, item_id, x.quantity as quantity,
+ {CUSTOMER_OF.format("name", "line")} as customer_name, {CUSTOMER_OF.format("email", "line")} as customer_email,
+ {CUSTOMER_OF.format("phone_number", "line")} as phone_number, {CUSTOMER_OF.format("address", "line")} as address,
+ {ITEM_OF.format("item_name", "line")} as item_name, {ITEM_OF.format("price", "line")} as price,
+ {ITEM_OF.format("description", "line")} as description
+from line where customer_id in (select customer_id from r_customer) and menu_id in (select menu_id from r_menu)""")
 def q_order_details(spark, d):
     return R.order_details(tables(spark, d))
 
@@ -204,7 +208,7 @@ def q_customer_orders(spark, d):
 
 @register("active_deliveries", f""", out AS (select d.*, (select any_value(o) from r_orders o where o.order_id = d.order_id) as o,
  (select max(employee_id) from r_delivery c where c.delivery_id = d.delivery_person_id) as employee_id
- from r_deliveries d where delivery_status in ('Out for Delivery'))
+ from r_deliveries d where delivery_status = 'Out for Delivery')
 select delivery_id, order_id, delivery_person_id, delivery_status, delivery_time, o.customer_id as customer_id,
  o.total_price as total_price, o.order_status as order_status, {CUSTOMER_OF.format("name", "out.o")} as customer_name,
  {CUSTOMER_OF.format("address", "out.o")} as address, {CUSTOMER_OF.format("phone_number", "out.o")} as phone_number,
@@ -248,15 +252,17 @@ def q_available_couriers(spark, d):
     return R.available_couriers(tables(spark, d))
 
 
-@register("feedback_list", """select f.rating_id, f.order_id, f.customer_id, f.rating_score, f.feedback_text,
- c.name as customer_name, cast(least(5, greatest(0, ceil(f.rating_score))) as int) as full_stars
- from r_feedback f join r_customer c on f.customer_id=c.customer_id""")
+@register("feedback_list", f"""select f.*, {CUSTOMER_OF.format("name", "f")} as customer_name,
+ cast(least(5, greatest(0, ceil(f.rating_score))) as int) as full_stars
+from r_feedback f where f.customer_id in (select customer_id from r_customer)""")
 def q_feedback_list(spark, d):
     return R.feedback_list(tables(spark, d))
 
 
-@register("courier_profile", """select e.name, e.phone_number, d.delivery_id, e.employee_id
- from r_delivery d join r_employee e on e.employee_id=d.employee_id""")
+@register("courier_profile", """, staff AS (select map(list(employee_id), list({'name': name, 'phone_number': phone_number})) as by_id
+ from r_employee)
+select by_id[employee_id].name as name, by_id[employee_id].phone_number as phone_number, delivery_id, employee_id
+ from r_delivery, staff where map_contains(by_id, employee_id)""")
 def q_courier_profile(spark, d):
     return R.courier_profile(tables(spark, d))
 
@@ -521,8 +527,10 @@ def q_customer_orders_nested_text(spark, d):
     return _lines_text(R.customer_orders_nested(tables(spark, d)), ["item_name", "quantity", "price"])
 
 
-@register("courier_profile_role", """select e.name, e.phone_number, d.delivery_id, e.employee_id
- from r_delivery d join r_employee e on e.employee_id=d.employee_id where e.role='Delivery'""")
+@register("courier_profile_role", """, staff AS (select map(list(employee_id), list({'name': name, 'phone_number': phone_number})) as by_id
+ from r_employee where role='Delivery')
+select by_id[employee_id].name as name, by_id[employee_id].phone_number as phone_number, delivery_id, employee_id
+ from r_delivery, staff where map_contains(by_id, employee_id)""")
 def q_courier_profile_role(spark, d):
     return R.courier_profile(tables(spark, d), require_role=True)
 
