@@ -8,13 +8,13 @@ same mapping as a ``WITH`` prefix for SQL engines.
 
 from __future__ import annotations
 
-import datetime as dt
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tavola.functions.exprs import city_pin
+from tavola.functions.exprs import city_pin, db_timestamp
 from tavola.schema import SCHEMAS, PRIMARY_KEYS
 
 Tables = dict[str, DataFrame]
@@ -321,30 +321,35 @@ SEED_FEEDBACK = [
 ]
 
 
-def _ts(s):
-    if s is None:
-        return None
-    fmt = "%Y-%m-%d %H:%M:%S" if " " in s else "%Y-%m-%d"
-    return dt.datetime.strptime(s, fmt)
-
-
 def raw_seed_rows() -> dict[str, list[tuple]]:
-    """Seed rows in table column order, derived columns left NULL."""
+    """Seed rows in table column order, derived columns left NULL, dates and times as texts."""
     return {
         "employee": [(e, n, r, Decimal(p), Decimal(s)) for e, n, r, p, s in SEED_EMPLOYEE],
         "customer": list(SEED_CUSTOMER),
         "menu": [(m, n, c, Decimal(p), d, a, i) for m, n, c, p, d, a, i in SEED_MENU],
         "items": [(i, m, q, None) for i, m, q in SEED_ITEMS],
-        "orders": [(o, c, i, None, s, _ts(d)) for o, c, i, s, d in SEED_ORDERS],
+        "orders": [(o, c, i, None, s, d) for o, c, i, s, d in SEED_ORDERS],
         "delivery": [(d, e, Decimal(r)) for d, e, r in SEED_DELIVERY],
-        "deliveries": [(d, o, p, s, _ts(t)) for d, o, p, s, t in SEED_DELIVERIES],
-        "payment": [(p, o, None, s, m, _ts(t)) for p, o, s, m, t in SEED_PAYMENT],
+        "deliveries": [(d, o, p, s, t) for d, o, p, s, t in SEED_DELIVERIES],
+        "payment": [(p, o, None, s, m, t) for p, o, s, m, t in SEED_PAYMENT],
         "feedback": [(r, o, c, Decimal(s), txt) for r, o, c, s, txt in SEED_FEEDBACK],
     }
 
 
 def tables_from_rows(spark: SparkSession, rows: dict[str, list[tuple]]) -> Tables:
-    return {n: spark.createDataFrame(rows.get(n, []), SCHEMAS[n]) for n in SCHEMAS}
+    """Tables of rows in column order. Dates and times may be texts, as in the source's inserts
+    (``TO_DATE``, ``TO_TIMESTAMP``: F12)."""
+    out = {}
+    for name, schema in SCHEMAS.items():
+        texts = [i for i, f in enumerate(schema) if f.dataType.typeName() == "timestamp_ntz"
+                 and any(isinstance(r[i], str) for r in rows.get(name, []))]
+        given = StructType([StructField(f.name, StringType() if i in texts else f.dataType) for i, f in enumerate(schema)])
+        df = spark.createDataFrame(rows.get(name, []), given)
+        for i in texts:
+            c = schema[i].name
+            df = df.withColumn(c, F.coalesce(db_timestamp(c), db_timestamp(c, "yyyy-MM-dd")))
+        out[name] = df
+    return out
 
 
 def seed_tables(spark: SparkSession, derive: bool = True) -> Tables:
