@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from tavola.functions.keys import random_order_code
 from tavola.operators import changes as C
+from tavola.operators.validate import ROW_RULES, UNIQUE_KEYS, rule_name, validate
 from tavola.plans.catalog import register, tables
+from tavola.plans.catalog_checks import violations_sql
 from tavola.schema import (AVAILABILITY, CATEGORIES, DELIVERY_STATUSES, EMAIL_PATTERN, PAYMENT_METHODS, PHONE_PATTERN, ROLES,
                            SCHEMAS)
 from tavola.sources import requests as Q
@@ -578,6 +580,48 @@ def q_new_employee_routes(spark, d):
         routed["chef"].select(F.lit("chef").alias("target"), "employee_id", F.col("employee_id").alias("new_id")))
 
 
+# What the batches publish keeps the rules ----------------------------------------------------
+def _after(batch: str, table: str, published: str, recursive: bool, result):
+    """Register how many rows of a published table break each of its rules (all of them 0
+    but for the lengths of the adapter's keys)."""
+    rules = ([rule_name(k, c) for tb, k, c, _ in ROW_RULES if tb == table] + ["duplicate_key"]
+             + [rule_name("duplicate_unique", c) for tb, c in UNIQUE_KEYS if tb == table])
+
+    def query(spark, d):
+        t = tables(spark, d)
+        found = validate({**dict(t.items()), table: result(spark, d).tables[table]}).filter(F.col("table_name") == table)
+        every = spark.createDataFrame([(r,) for r in rules], "rule string")
+        return every.join(found.groupBy("rule").agg(F.count(F.lit(1)).alias("n")), "rule", "left").select(
+            "rule", F.coalesce("n", F.lit(0).cast("long")).alias("violations"))
+
+    register(f"{batch}_after_violations", published + "select rule, count(v.r) as violations from (VALUES "
+             + ", ".join(f"('{r}')" for r in rules) + ") x(rule) left join (select rule as r from ("
+             + violations_sql(table, f"p_{table}") + ") y(t, k, rule)) v on v.r=x.rule group by rule", recursive=recursive)(query)
+
+
+_after("registrations", "customer", REG_SQL + """, mx AS (select coalesce(max(try_cast(substr(customer_id, 2) as bigint)), 10)
+ as m from r_customer), acc AS (select *, row_number() over (order by request_seq) as pos from fin where reason is null),
+p_customer AS (select * from r_customer union all select """ + _pad("C", "mx.m + acc.pos") + """, name, email, phone_number, address from acc, mx)
+""", True, _registrations)
+_after("profiles", "customer", PROFILE_SQL + """, p_customer AS (select c.customer_id, coalesce(l.n, c.name) as name, coalesce(l.e, c.email)
+ as email, coalesce(l.p, c.phone_number) as phone_number, coalesce(l.a, c.address) as address
+ from r_customer c left join last l on l.customer_id=c.customer_id)
+""", True, _profiles)
+_after("menu_updates", "menu", MENU_UPD_SQL + """, p_menu AS (select m.menu_id, coalesce(l.name, m.item_name) as item_name,
+ coalesce(l.category, m.category) as category, coalesce(l.price, m.price) as price, coalesce(l.description, m.description) as description,
+ case when l.menu_id is null then m.availability_status else l.availability_status end as availability_status, m.image_link
+ from r_menu m left join (select * from fin f where reason is null and request_seq = (select max(request_seq) from fin g
+ where g.menu_id=f.menu_id and g.reason is null)) l on l.menu_id=m.menu_id)
+""", False, _menu_updates)
+_after("employees", "employee", EMP_SQL + """, last AS (select employee_id, arg_max(name, request_seq) as n, arg_max(role, request_seq) as r,
+ arg_max(phone_number, request_seq) as p, arg_max(salary, request_seq) as s from fin where op='update' and reason is null group by employee_id),
+p_employee AS (select e.employee_id, coalesce(l.n, e.name) as name, coalesce(l.r, e.role) as role, coalesce(l.p, e.phone_number)
+ as phone_number, coalesce(l.s, e.salary) as salary from r_employee e left join last l on l.employee_id=e.employee_id
+ where e.employee_id not in (select employee_id from fin where op='delete' and reason is null)
+union all select """ + _pad("E", "n") + """, name, role, phone_number, salary from ins)
+""", True, _employees)
+
+
 # C17 / K2 ------------------------------------------------------------------------------
 def _draw(seed: int, n: str, key: str) -> str:
     return f"(('0x' || substr(md5('{seed}|' || coalesce({key}, '')), 1, 12))::bigint % {n})"

@@ -78,7 +78,7 @@ def _sql_key(table: str, alias: str = "") -> str:
     return "concat_ws('/', " + ", ".join(f"cast({a}{k} as varchar)" for k in PRIMARY_KEYS[table]) + ")"
 
 
-def _violations_sql() -> str:
+def _violation_parts() -> list[str]:
     parts = [f"select '{tb}' as table_name, {_sql_key(tb)} as row_key, '{V.rule_name(k, c)}' as rule from r_{tb} "
              f"where {_sql_cond(k, c, a)}" for tb, k, c, a in V.ROW_RULES]
     for tb, pk in PRIMARY_KEYS.items():
@@ -116,10 +116,17 @@ def _violations_sql() -> str:
         "(d.delivery_status='Delivered' and o.order_status<>'Completed') or (o.order_status='Cancelled' and "
         "d.delivery_status<>'Cancelled') or (d.delivery_status='Cancelled' and o.order_status<>'Cancelled')))",
     ]
-    return "\nunion all\n".join(parts)
+    return parts
 
 
-VIOLATIONS_SQL = _violations_sql()
+def violations_sql(table: str | None = None, name: str | None = None) -> str:
+    """All rules, or those of one table under another name."""
+    parts = [p for p in _violation_parts() if table is None or p.startswith(f"select '{table}'")]
+    text = "\nunion all\n".join(parts)
+    return text if name is None else re.sub(rf"\br_{table}\b", name, text)
+
+
+VIOLATIONS_SQL = violations_sql()
 
 
 @register("violations", VIOLATIONS_SQL)
