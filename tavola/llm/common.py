@@ -29,12 +29,13 @@ def stored(df: DataFrame, name: str, **write) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if "partition_by" not in write else spark.read.parquet(path)
 
 
-def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], Iterator[dict]]]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]], Iterator[dict]]],
+             rows: int | None = None) -> DataFrame:
     """``mapInArrow`` over Python columns.
 
     ``make`` runs once per task (to load vocabularies and open caches); the
-    function it returns gets the columns of one Arrow batch as lists and
-    yields dicts of output columns (any number of rows).
+    function it returns gets the columns of one Arrow batch as lists (at most
+    ``rows`` rows, if given) and yields dicts of output columns (any number of rows).
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -44,8 +45,8 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for batch in pieces_of(whole, rows or whole.num_rows):
                 for out in each([c.to_pylist() for c in batch.columns]):
                     yield pa.RecordBatch.from_arrays([
                         out[f.name].cast(f.type) if isinstance(out[f.name], pa.Array) else
@@ -54,6 +55,37 @@ def map_rows(df: DataFrame, schema: str, make: Callable[[], Callable[[list[list]
     return df.mapInArrow(run, types)
 
 
+def pieces_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``rows`` rows, so few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, max(rows, 1)):
+        yield batch.slice(at, rows)
+
+
+class Cache:
+    """Results of short texts, bounded by bytes: two generations, of which the older goes
+    when the younger has grown to half of ``limit``; what is asked for again stays."""
+
+    ENTRY = 170  # bytes of an entry of a dict of short ``str`` and ``bytes``, without their characters
+
+    def __init__(self, limit: int):
+        self.limit, self.bytes = limit, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def again(self, key: str) -> bytes | None:
+        """The result of a text that is not in ``young``."""
+        x = self.old.pop(key, None)
+        if x is not None:
+            self.add({key: x})
+        return x
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.young.update(found)
+        self.bytes += sum(self.ENTRY + len(k) + len(v) for k, v in found.items())
+        if self.bytes > self.limit // 2:
+            self.young, self.old, self.bytes = {}, self.young, 0
+
+
 def per_worker(key: tuple, make: Callable):
     """An object (vocabulary, bounded cache) that a Python worker keeps from task
     to task; a worker holds one, a new key replaces it."""
@@ -66,6 +98,13 @@ def per_worker(key: tuple, make: Callable):
     return held[key]
 
 
+def forget() -> None:
+    """Give up what ``per_worker`` keeps in this worker."""
+    import sys
+
+    sys.__dict__.get("_tavola_worker", {}).clear()
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows per Arrow batch for whole texts: texts may be long, so a batch is
     kept to few rows (a batch also ends at Spark's byte limit)."""

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tavola.llm.common import map_rows, per_worker, small_batches, stored, table, text_or_empty
+from tavola.llm.common import Cache, forget, map_rows, per_worker, pieces_of, stored, table, text_or_empty
 
 BLOCK, LANES, PERCENTILE = 128, 2, 0.9
 MAGIC = b"PFR1"
@@ -136,7 +136,11 @@ STRETCH = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 # Nothing but single blanks and line ends between stretches: plain splitting will do.
 UNEVEN = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x00]")
-CACHE_ROWS, LONGEST = 1_400_000, 48
+# A stretch with at most one blank in front: between line ends it has the ids it has alone.
+PLAIN = re.compile(r" ?[^ \t\n\r\x0b\x0c]+\Z")
+LINES = 256                             # stretches that the library gets as one text
+CACHE_BYTES, LONGEST = 256 << 20, 48    # of a worker that encodes; texts of at most so many characters
+ROWS = 500                              # texts that are handled at once
 
 
 class TextIds:
@@ -154,7 +158,8 @@ class TextIds:
         with open(vocabulary, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.seen: dict[str, bytes] = {}
+        self.seen = Cache(CACHE_BYTES)
+        self.line_end, = self.lib.encode("\n", add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
@@ -164,6 +169,20 @@ class TextIds:
         ends = list(accumulate(map(len, ids)))
         return [data[4 * a: 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def apart(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch. Plain ones go to the library together, a line end between any
+        two: none of them holds one, and no token goes over it, so its id parts theirs."""
+        plain = [p for p in stretches if PLAIN.match(p)]
+        lines = [plain[at: at + LINES] for at in range(0, len(plain), LINES)]
+        found = {}
+        for line, data in zip(lines, self.encode(["\n".join(x) for x in lines]), strict=True):
+            ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.line_end).tolist()
+            starts, ends = [0, *[e + 1 for e in ends]], [*ends, len(data) // 4]
+            found.update((p, data[4 * a: 4 * b]) for p, a, b in zip(line, starts, ends, strict=True))
+        other = [p for p in stretches if p not in found]
+        found.update(zip(other, self.encode(other), strict=True))
+        return [found[p] for p in stretches]
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         if UNEVEN.search(text):
@@ -172,8 +191,6 @@ class TextIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         seen, out, split, whole = self.seen, [b""] * len(texts), [], []
-        if len(seen) > CACHE_ROWS:
-            seen.clear()
         for i, t in enumerate(texts):
             if OTHER_SPACE.search(t) or self.special and self.special.search(t):
                 whole.append(i)
@@ -182,18 +199,21 @@ class TextIds:
         for i, x in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = x
         # One look-up for each stretch; only texts with unknown ones are looked at again.
-        get, open_ = seen.get, []
+        get, open_ = seen.young.get, []
         for i, ps in split:
             xs = list(map(get, ps))
             if None in xs:
                 open_.append((i, ps, xs))
             else:
                 out[i] = b"".join(xs)
-        new = list({p for _, ps, xs in open_ for p, x in zip(ps, xs, strict=True) if x is None})
-        made = dict(zip(new, self.encode(new), strict=True))
+        missing = {p for _, ps, xs in open_ for p, x in zip(ps, xs, strict=True) if x is None}
+        made = {p: x for p in missing if (x := seen.again(p)) is not None}
+        new = [p for p in missing if p not in made]
+        fresh = dict(zip(new, self.apart(new), strict=True))
+        made |= fresh
         for i, ps, xs in open_:
             out[i] = b"".join([made[p] if x is None else x for p, x in zip(ps, xs, strict=True)])
-        seen.update((p, x) for p, x in made.items() if len(p) <= LONGEST)
+        seen.add({p: x for p, x in fresh.items() if len(p) <= LONGEST})
         return out
 
 
@@ -210,7 +230,6 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
     (its only id is ``end_id``). A segment closes after ``SEGMENT_IDS`` ids or
     4,096 documents, so a task holds one segment and one batch of texts.
     """
-    small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
     src = (df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
            .withColumn("tie", F.xxhash64("text")))
@@ -232,7 +251,7 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
             row = [part, segment, before, held, ids, lengths, pack(np.frombuffer(b"".join(parts), "<u4"))]
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces_of(whole, ROWS)):
             cols = [c.to_pylist() for c in batch.columns]
             for doc, x in zip(cols[0], encode(cols[1]), strict=True):
                 ids.append(doc)
@@ -249,19 +268,25 @@ def write_token_files(df: DataFrame, vocabulary: str, end_id: int = 0, id_col: s
     return stored(src.mapInArrow(run, schema), "token-files", compression="none")
 
 
-def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents read back from written files: id, ``start`` (ids of all
-    documents before it), ``n_tokens`` and the unsigned crc32 of its ids."""
+def _placed(files: DataFrame) -> DataFrame:
+    """Segments with ``first``, the number of ids before them."""
     # One row for each written partition, so the unpartitioned window and the
     # broadcast are bounded by the number of partitions.
     totals = files.groupBy("part").agg(F.sum("n_ids").alias("total"))
     offsets = totals.select("part", F.coalesce(
         F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    rows = (files.join(F.broadcast(offsets), "part")
-            .select((F.col("offset") + F.col("before")).alias("first"), "doc_ids", "lengths", "payload"))
+    return files.join(F.broadcast(offsets), "part").withColumn("first", F.col("offset") + F.col("before"))
+
+
+def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents read back from written files: id, ``start`` (ids of all
+    documents before it), ``n_tokens`` and the unsigned crc32 of its ids."""
+    rows = _placed(files).select("first", "doc_ids", "lengths", "payload")
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def make():
+        forget()  # what the writers' cache takes is needed elsewhere now
+
         def each(cols):
             for first, ids, lengths, payload in zip(*cols, strict=True):
                 data = memoryview(Payload(payload).all().astype("<u4").tobytes())
@@ -271,9 +296,25 @@ def read_token_files(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
                        "ids_crc32": crc}
         return each
 
-    spark = files.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # segments are large rows
-    return map_rows(rows, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long", make)
+    return map_rows(rows, f"`{id_col}` {kind}, start long, n_tokens long, ids_crc32 long", make, rows=16)
+
+
+def read_ids(files: DataFrame, start: int, stop: int) -> DataFrame:
+    """``position, token``: the ids at positions ``start`` to ``stop`` (exclusive) of all ids in
+    order. Of the segments that overlap only the blocks that do are unpacked, found
+    through their table of starts."""
+    rows = _placed(files).select("first", "n_ids", "payload").filter((F.col("first") < stop) & (F.col("first") + F.col("n_ids") > start))
+
+    def make():
+        def each(cols):
+            for first, n, payload in zip(*cols, strict=True):
+                data, low, high = Payload(payload), max(start - first, 0), min(stop - first, n)
+                blocks = np.arange(low // BLOCK, -(-high // BLOCK))
+                ids = data.read(blocks).reshape(-1)[low - blocks[0] * BLOCK: high - blocks[0] * BLOCK]
+                yield {"position": np.arange(first + low, first + high).tolist(), "token": ids.tolist()}
+        return each
+
+    return map_rows(rows, "position long, token long", make, rows=16)
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ import public_tokenizers as P  # noqa: E402
 
 from tavola.llm.piece_viterbi import PieceModel, encode  # noqa: E402
 from tavola.llm.token_counts import TextCounter, count_tokens  # noqa: E402
-from tavola.llm.token_files import TextIds, pack, Payload, read_token_files, write_token_files  # noqa: E402
+from tavola.llm.common import Cache  # noqa: E402
+from tavola.llm.token_files import TextIds, pack, Payload, read_ids, read_token_files, write_token_files  # noqa: E402
 
 WORDS, BYTES, PIECES = (P.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 TEXTS = [
@@ -93,6 +94,40 @@ def test_files_in_id_order(spark, docs):
         at += n
 
 
+def test_any_range_of_ids(spark, docs, monkeypatch):
+    from tavola.llm import token_files
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 300)
+    files = write_token_files(docs, BYTES)
+    total = files.agg({"n_ids": "sum"}).first()[0]
+    every = {r["position"]: r["token"] for r in read_ids(files, 0, total).collect()}
+    assert sorted(every) == list(range(total)) and files.count() > 1
+    for start, stop in ((0, 1), (5, 5), (127, 130), (290, 700), (total - 3, total + 9)):
+        got = {r["position"]: r["token"] for r in read_ids(files, start, stop).collect()}
+        assert got == {i: every[i] for i in range(start, min(stop, total))}
+
+
+def test_cache_is_bounded_by_bytes():
+    cache = Cache(100_000)
+    made = {f"word{i}": bytes(1 + i % 40) for i in range(5000)}
+    for k, v in made.items():
+        if cache.young.get(k) is None and cache.again(k) is None:
+            cache.add({k: v})
+        cache.young.get("word0") or cache.again("word0") or cache.add({"word0": made["word0"]})  # asked for all the time
+        held = cache.young | cache.old
+        assert sum(Cache.ENTRY + len(a) + len(b) for a, b in held.items()) <= 100_000 + 300
+        assert all(made[a] == b for a, b in held.items())
+    assert "word0" in cache.young | cache.old and len(cache.young | cache.old) > 150
+
+
+@pytest.mark.parametrize("limit", [0, 2000])
+def test_a_small_cache_changes_nothing(spark, docs, limit):
+    ids = TextIds(BYTES)
+    want = ids([t or "" for _, t, _, _ in ROWS])
+    ids.seen = Cache(limit)
+    for _ in range(2):
+        assert [ids([t or ""])[0] for _, t, _, _ in ROWS] == want
+
+
 def test_codec_equals_the_library(spark, docs):
     import sentencepiece
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
