@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
+from tavola.llm.common import forget, map_rows, small_batches, stored, table, text_or_empty
 from tavola.llm.components import components
 
 PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
@@ -198,6 +198,8 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def describe():
+        forget()  # the caches of other operators: memory is needed for sorting from here on
+
         def each(cols):
             sets = [shingles(x, words) for x in cols[1]]
             yield {"id": cols[0], "th": cols[2], "n": [len(s) for s in sets],
