@@ -1,5 +1,6 @@
 """Line spread, personal data, near-duplicates and components against brute force."""
 
+import math
 import random
 import re
 
@@ -172,11 +173,44 @@ def test_terms_far_from_the_entity_and_in_other_documents(spark):
 def test_bounds_of_workers_change_nothing(spark, monkeypatch):
     rows = rare_case()
     want = sorted(map(str, sanitise(frame(spark, rows), everywhere=True).collect()))
-    for name in ("HELD", "ROUND", "COPIED", "BROADCAST_ROWS"):
-        monkeypatch.setattr(disclosure, name, 1)
+    for name, v in (("HELD", 1), ("COPIED", 1), ("BROADCAST_ROWS", 1), ("FILTER_BITS", 64), ("KNOWN_BYTES", 0)):
+        monkeypatch.setattr(disclosure, name, v)
     assert sorted(map(str, sanitise(frame(spark, rows), everywhere=True).collect())) == want
 
 
+def test_the_filter_denies_no_term(spark):
+    terms = [f"t{i}" for i in range(3000)] + ["É", "漢字", ""]
+    words = disclosure.term_filter(spark.createDataFrame([(t,) for t in terms], "term string"))
+    test = disclosure.may_hold(words)
+    assert all(map(test, terms))
+    assert sum(test(f"other{i}") for i in range(3000)) < 30
+    assert not any(map(disclosure.may_hold(disclosure.term_filter(spark.createDataFrame([], "term string"))), terms))
+
+
+def test_statistics_equal_brute_force(spark):
+    """Shares of information, counted over different texts from their definition."""
+    rows = rare_case()
+    base = disclosure.found(frame(spark, rows), "doc_id", "text")
+    holders = base.filter("size(entities) > 0").dropDuplicates(["th"])
+    texts = {r["th"]: r for r in base.collect()}
+    frequency = disclosure.document_frequency(frame(spark, rows), holders.selectExpr("explode(terms.term) AS term").distinct(), "text")
+    df = {r["term"]: r["df"] for r in frequency.collect()}
+    got = {(r["entity"], r["term"]): r["share"] for r in disclosure.disclosing(holders, frequency, len(texts)).collect()}
+    of, together = {}, {}
+    for r in texts.values():
+        for e in r["entities"]:
+            of.setdefault(e, set()).add(r["th"])
+            for t in {x["term"] for x in r["terms"]}:
+                together.setdefault((e, t), set()).add(r["th"])
+    n = len(texts)
+    for (e, t), share in got.items():
+        n_e, n_te = len(of[e]), len(together[e, t])
+        f = max(df[t], n_te)
+        assert n_te >= min(disclosure.SUPPORT, n_e)
+        assert abs(share - math.log2(n * n_te / (n_e * f)) / math.log2(n / n_e)) < 1e-9 and share >= disclosure.GENERALISE
+    assert got
+
+
 # ---- near-duplicates
 
 def grams(text, k):
