@@ -12,19 +12,17 @@ from __future__ import annotations
 import math
 import re
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tavola.llm.common import Cache, map_rows, small_batches, stored, table, text_or_empty
+from tavola.llm.common import map_rows, small_batches, stored, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SUPPORT = 3           # texts in which term and entity stand together (all of them, if the entity has fewer)
 CHANCE = 0.05         # most that may be expected, for each entity, of terms that stand with it by accident
 COPIED = 2_000_000                # most hashes of copied texts sent to every executor
 HELD = 200_000                    # most frequent terms, and entities, that a worker knows while it lists pairs
-FILTER_BITS = 1 << 25             # of the filter of disclosing terms that every executor gets (4 MB)
-KNOWN_BYTES = 32 << 20            # words that a worker remembers to have looked up there
+ROUND = 500_000                   # most disclosing terms that a worker looks for in one pass over all texts
 BROADCAST_ROWS = 500_000          # most wanted terms (64 characters each at most) sent to every executor
 GENERALISE, REMOVE = 0.75, 0.95   # share of the entity's information that the term gives
 
@@ -250,70 +248,34 @@ def disclosing(holders: DataFrame, frequency: DataFrame, n_texts: int) -> DataFr
             .select("entity", "term", (pmi / content).alias("share")).filter(F.col("share") >= GENERALISE))
 
 
-def term_filter(terms: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``terms(term)``: ``FILTER_BITS`` bits, two of them set by each term.
-
-    Its words are put together by Spark; the driver gets at most that many bits, however
-    many terms there are."""
-    h = F.xxhash64("term")
-    slots = F.array(h.bitwiseAND(F.lit(FILTER_BITS - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(FILTER_BITS - 1)))
-    words = (terms.select(F.explode(slots).alias("slot"))
-             .groupBy(F.shiftright("slot", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")))
-    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
-    return out.view(np.uint64)
-
-
-def may_hold(words: np.ndarray):
-    """Whether a term may be in the filter ``words`` (no term that is in it is denied)."""
-    import xxhash
-
-    def test(term: str) -> bool:
-        h = xxhash.xxh64_intdigest(term.encode("utf-8", "surrogatepass"), seed=42)  # as Spark's xxhash64
-        a, b = h & FILTER_BITS - 1, h >> 32 & FILTER_BITS - 1
-        return bool(int(words[a >> 6]) >> (a & 63) & 1 and int(words[b >> 6]) >> (b & 63) & 1)
-    return test
-
-
 def elsewhere(docs: DataFrame, strong: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, th, at, gone``: where terms of ``strong`` (``term, gone``) stand in texts
-    without base matches.
-
-    One pass over all texts: terms that pass a Bloom filter come out with their places and
-    meet the strong ones in a join, so nothing that grows with the corpus goes to
-    every executor."""
+    without base matches. One pass over all texts for each ``ROUND`` terms."""
+    small_batches(docs.sparkSession, 2000)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_or_empty(text_col)).alias("th"), text_or_empty(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(term_filter(strong.select("term")))
-
-    def scan():
-        known = Cache(KNOWN_BYTES)  # words: whether their lower-case form passes
-        test = may_hold(held.value)
-
-        def passes(word: str) -> bytes:
-            x = known.young.get(word)
-            if x is None:
-                x = known.again(word)
-                if x is None:
-                    x = b"1" if test(word.lower()) else b""
-                    known.add({word: x})
-            return x
-
-        def each(cols):
-            out = {c: [] for c in ("id", "th", "term", "at")}
-            for doc, th, text in zip(*cols, strict=True):
-                if not any(map(passes, set(WORD.findall(text)))) or base_spans(text):
-                    continue
-                for t, at in terms_of(text, ()).items():
-                    if passes(t):
-                        for c, x in zip(out, (doc, th, t, at), strict=True):
-                            out[c].append(x)
-            yield out
-        return each
-
-    schema = f"id {docs.schema[id_col].dataType.simpleString()}, th long, term string, at array<int>"
-    return map_rows(rows, schema, scan, rows=2000).join(strong, "term").select("id", "th", "at", "gone")
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, th long, at array<int>, gone boolean"
+    rounds = -(-strong.count() // ROUND)
+    out = docs.sparkSession.createDataFrame([], schema)
+    for k in range(rounds):
+        part = strong.filter(F.pmod(F.xxhash64("term"), F.lit(rounds)) == k)
+        held = docs.sparkSession.sparkContext.broadcast({r["term"]: r["gone"] for r in part.collect()})
+
+        def scan(held=held):
+            gone = held.value
+
+            def each(cols):
+                out = {c: [] for c in ("id", "th", "at", "gone")}
+                for doc, th, text in zip(*cols, strict=True):
+                    if not any(w.lower() in gone for w in set(WORD.findall(text))) or base_spans(text):
+                        continue
+                    for t, at in terms_of(text, ()).items():
+                        if t in gone:
+                            for c, x in zip(out, (doc, th, at, gone[t]), strict=True):
+                                out[c].append(x)
+                yield out
+            return each
+        out = out.unionByName(map_rows(rows, schema, scan))
+    return out
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False,
