@@ -1,10 +1,13 @@
 """Batches of search terms against texts, by posting lists.
 
 A pattern can only match a text that holds the literal characters the pattern needs, so
-short pieces of these (three characters where there are that many) find candidates by an
-equi-join with the pieces of the texts; the pattern itself then decides. A term is
-looked up by its rarest piece. Each different text is taken apart and tested once,
-however many rows show it.
+pieces of these find candidates by an equi-join with the pieces of the texts; the pattern
+itself then decides. A term is looked up by its rarest piece, of the greatest of
+``LENGTHS`` that its literal characters allow: the longer a piece, the fewer texts hold
+it, so candidates grow with the matches and not with terms times texts. Texts give
+pieces of the lengths that some term asks for, and only those that may be asked for: a
+bit set of fixed size that every task gets drops the others before any shuffle. Each
+different text is taken apart and tested once, however many rows show it.
 
 A term that needs no literal character has to be tested on every text: such terms
 meet the texts under ``SALTS`` numbers, so that no task gets all texts.
@@ -15,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PIECE, SALTS = 3, 64
+from tavola.session import written
+
+LENGTHS, SALTS = (1, 2, 3, 4, 6, 8, 12, 16), 64
+SLOT_BITS = 24      # 2**24 bits of asked pieces, as at most 2**18 words, go to every task
 GAP = "\u0001"      # stands for whatever is not a literal character
 # Letters that match an ASCII letter when case is ignored, and those letters.
 FOLDED, PLAIN = "\u017f\u212a\u0130\u0131", "skii"
@@ -43,14 +49,16 @@ def literal_runs(pattern: Column) -> Column:
     return F.when(odd, F.array().cast("array<string>")).otherwise(runs)
 
 
-def _pieces(text: Column, n: int) -> Column:
+def _pieces(text: Column, n: Column) -> Column:
     """All pieces of ``n`` characters."""
-    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
                   ).otherwise(F.array().cast("array<string>"))
 
 
-def _cut_to(n: int):
-    return lambda run: _pieces(run, n)
+def _slot(piece: str) -> tuple[Column, Column]:
+    """Word and bit of a piece in the set of asked ones."""
+    h = F.xxhash64(piece).bitwiseAND(F.lit((1 << SLOT_BITS) - 1))
+    return F.shiftright(h, 6), h.bitwiseAND(F.lit(63)).cast("int")
 
 
 def _all_texts(salt: Column) -> Column:
@@ -70,20 +78,30 @@ def matching_texts(texts: DataFrame, terms: DataFrame, literal: bool = False) ->
     else:
         runs = literal_runs(F.col("term"))
     t = terms.withColumn("_runs", runs)
-    # Pieces of one length: the longest that some run has.
-    longest = F.coalesce(F.array_max(F.transform("_runs", lambda r: F.least(F.length(r), F.lit(PIECE)))), F.lit(0))
-    found = F.when(longest == 0, F.array().cast("array<string>"))
-    for n in range(1, PIECE + 1):
-        found = found.when(longest == n, F.flatten(F.transform("_runs", _cut_to(n))))
-    t = t.withColumn("_pieces", F.array_distinct(found)).drop("_runs")
-    asked = t.select("term_id", "term", F.explode("_pieces").alias("piece"))
+    # Pieces of one length: the longest that some run has (0: none, found under the salts).
+    longest = F.coalesce(F.array_max(F.transform("_runs", lambda r: F.length(r))), F.lit(0))
+    n = F.lit(0)
+    for k in LENGTHS:
+        n = F.when(longest >= k, F.lit(k)).otherwise(n)
+    t = t.withColumn("_n", n)
+    t = t.withColumn("_pieces", F.when(F.col("_n") > 0, F.array_distinct(F.flatten(F.transform("_runs", lambda r: _pieces(r, F.col("_n")))))))
+    asked = t.filter("_n > 0").select("term_id", "term", F.explode("_pieces").alias("piece"))
     every = F.transform(F.sequence(F.lit(0), F.lit(SALTS - 1)), _all_texts)
-    anywhere = t.filter(F.size("_pieces") == 0).select("term_id", "term", F.explode(every).alias("piece"))
-
-    plain = folded(F.col("text"))
-    own = F.concat(*[_pieces(plain, n) for n in range(1, PIECE + 1)], F.array(_all_texts(F.pmod(F.xxhash64("text"), F.lit(SALTS)))))
-    postings = texts.select("text", F.explode(F.array_distinct(own)).alias("piece"))
-    postings = postings.join(asked.select("piece").unionByName(anywhere.select("piece")).distinct(), "piece", "left_semi")
+    anywhere = t.filter("_n = 0").select("term_id", "term", F.explode(every).alias("piece"))
+
+    # Two bounded frames: the lengths asked for, and the words of the bit set.
+    lengths = t.select("_n").distinct()
+    word, bit = _slot("piece")
+    words = (asked.select("piece").unionByName(anywhere.select("piece")).select(word.alias("_word"), bit.alias("_bit"))
+             .groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")))
+    n = F.col("_n")
+    last = F.when(n == 0, F.lit(1)).otherwise(F.length("_plain") - n + 1)
+    piece = F.when(n == 0, _all_texts(F.pmod(F.xxhash64("text"), F.lit(SALTS)))).otherwise(F.substring("_plain", F.col("_i"), n))
+    postings = (texts.withColumn("_plain", folded(F.col("text"))).join(F.broadcast(lengths)).filter(last > 0)
+                .withColumn("_i", F.explode(F.sequence(F.lit(1), last))).select("text", piece.alias("piece"))
+                .withColumn("_word", word).join(F.broadcast(words), "_word").filter(F.getbit("_bits", bit) == 1)
+                .select("text", "piece").distinct())
+    postings = written(postings, "postings")    # counted and joined: taken apart once
     # The rarest piece of each term. A piece that no text holds settles the term.
     count = postings.groupBy("piece").agg(F.count(F.lit(1)).alias("_n"))
     rarest = (asked.join(count, "piece", "left").groupBy("term_id", "term")

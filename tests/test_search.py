@@ -64,3 +64,16 @@ def test_no_nested_loop(spark, seed):
     from tavola.operators.reports import menu_search_terms
     plan = menu_search_terms(seed, spark.createDataFrame([(1, "a"), (2, ".")], "term_id int, term string"))
     assert "NestedLoop" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_postings_grow_with_matches(spark, monkeypatch):
+    """Numbers as terms: every text shares short pieces with every term, hardly any a long one."""
+    from tavola.operators import search
+    kept = []
+    monkeypatch.setattr(search, "written", lambda df, name: kept.append(df) or df)
+    texts = spark.range(2000).select(F.format_string("#o%d customer#%09d pending", "id", F.col("id") % 500).alias("text"))
+    terms = spark.range(400).select(F.col("id").alias("term_id"), F.when(F.col("id") % 2 == 0, F.format_string("#O%d ", "id")).otherwise(
+        F.format_string("%09d", "id")).alias("term"))
+    got = sorted((r.term_id, int(r.text[2:r.text.index(" ")])) for r in matching_texts(texts, terms, literal=True).collect())
+    assert got == sorted([(i, i) for i in range(0, 400, 2)] + [(i, j) for i in range(1, 400, 2) for j in range(i, 2000, 500)])
+    assert kept[0].count() < 20 * len(got)     # terms times texts: 800000
