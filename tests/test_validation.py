@@ -58,3 +58,18 @@ def test_random_tables_equal_the_rules(spark, seed):
             con.executemany(f"insert into r_{t} values ({', '.join('?' * len(schema))})", rows[t])
     want = sorted(map(str, con.execute(VIOLATIONS_SQL).fetchall()))
     assert sorted(str(tuple(r)) for r in V.validate(tables_from_rows(spark, rows)).collect()) == want
+
+
+def test_one_table_only(spark):
+    """The rules of one table read what that table needs, with the rows that all tables' rules give for it."""
+    t = tables_from_rows(spark, random_tables(3))
+    every = [tuple(r) for r in V.validate(t).collect()]
+    for table in ("customer", "orders", "items"):
+        got = V.validate(t, only=(table,))
+        assert sorted(map(str, map(tuple, got.collect()))) == sorted(str(r) for r in every if r[0] == table), table
+    assert not [r for r in V.suspect_keys(t, ("customer",)).collect() if r.space not in ("customer", "customer.email")]
+
+
+def test_lines_send_two_keys(spark):
+    """A line's menu item is looked up once, beside the line's own key and its basket."""
+    assert len(V._tags("items", tuple(SCHEMAS))) == 2
