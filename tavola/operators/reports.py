@@ -237,21 +237,23 @@ def all_orders(t: Tables) -> DataFrame:
     return _all_order_rows(t).orderBy(_o("order_date", DESC), _o("order_id"), _o("menu_id"))
 
 
-def _all_order_rows(t: Tables) -> DataFrame:
+def _all_order_rows(t: Tables, by_order: bool = False) -> DataFrame:
+    """Lines meet the menu before the orders, while they are narrow. ``by_order`` keeps
+    an order's rows together, so that grouping them needs no further exchange."""
     c = t["customer"].select("customer_id", F.col("name").alias("customer_name"),
                              F.col("email").alias("customer_email"))
     i = t["items"].select("item_id", "menu_id", "quantity", F.col("price").alias("item_price"))
     m = t["menu"].select("menu_id", "item_name", "description", "category")
-    return (t["orders"].join(c, "customer_id", "left").join(i, "item_id", "left").join(m, "menu_id", "left")
+    rows = (t["orders"].join(c, "customer_id", "left").join(i.join(m, "menu_id", "left"), "item_id", "left")
             .select("order_id", "customer_id", "total_price", "order_status", "order_date", "customer_name",
-                    "customer_email", "menu_id", "quantity", "item_price", "item_name", "description", "category")
-            .dropDuplicates())
+                    "customer_email", "menu_id", "quantity", "item_price", "item_name", "description", "category"))
+    return (rows.repartition("order_id") if by_order else rows).dropDuplicates()
 
 
 def all_orders_nested(t: Tables) -> DataFrame:
     """J2 (nested): lines with both a menu id and a name are collected; an order
     without such lines has an empty array."""
-    flat = _all_order_rows(t)
+    flat = _all_order_rows(t, by_order=True)
     line = F.when(F.col("menu_id").isNotNull() & F.col("item_name").isNotNull(),
                   F.struct("menu_id", "item_name", "category", "quantity", F.col("item_price").alias("price"),
                            "description"))

@@ -24,3 +24,16 @@ def test_parts_of_cart_lines_follow_their_number(spark, tmp_path, monkeypatch):
     assert lines.count() == 40
     got = {r.request_seq: (r.item_count, r.distinct_items) for r in R.cart_summary(lines).collect()}
     assert got == {i: (8, 4) for i in range(10)}
+
+
+def test_nested_orders_take_one_exchange_of_full_rows(spark):
+    plan = _plan(R.all_orders_nested(tables_from_rows(spark, raw_seed_rows())))
+    # Exchanges whose keys include the order id: the rows of an order come together once.
+    assert len(re.findall(r"Exchange hashpartitioning\([^)]*\border_id#", plan)) == 1
+
+
+def test_orders_meet_lines_with_their_menu_items(spark):
+    """The menu id is no key of a join once the order's columns are there."""
+    tree = R._all_order_rows(tables_from_rows(spark, raw_seed_rows()))._jdf.queryExecution().optimizedPlan().toString()
+    joins = re.findall(r"Join LeftOuter, \((\w+)#", tree)
+    assert joins[0] == "item_id" and joins.index("item_id") < joins.index("menu_id")
