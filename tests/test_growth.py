@@ -37,3 +37,18 @@ def test_orders_meet_lines_with_their_menu_items(spark):
     tree = R._all_order_rows(tables_from_rows(spark, raw_seed_rows()))._jdf.queryExecution().optimizedPlan().toString()
     joins = re.findall(r"Join LeftOuter, \((\w+)#", tree)
     assert joins[0] == "item_id" and joins.index("item_id") < joins.index("menu_id")
+
+
+def test_basket_lines_read_once(spark, monkeypatch):
+    """The accepted lines and the stored ones are written before the steps that read them again."""
+    from tavola.operators import changes as C
+    kept = []
+    plain = C.written
+    monkeypatch.setattr(C, "written", lambda df, name: kept.append(name) or plain(df, name))
+    t = tables_from_rows(spark, raw_seed_rows())
+    ask = spark.createDataFrame([(1, "I001", [("Veggie Delight Pizza", 2)]), (2, "I002", [("Nothing", 1)])],
+                                "request_seq long, item_id string, items array<struct<item_name string, quantity int>>")
+    res = C.apply_basket_lines(t, ask)
+    assert sorted((r.request_seq, r.reason) for r in res.verdicts.collect()) == [(1, None), (2, "unknown_item")]
+    assert {(r.item_id, r.quantity) for r in res.tables["items"].collect() if r.item_id < "I003"} == {("I001", 4), ("I002", 1)}
+    assert kept.count("basket-whole") == 1 and kept.count("stored-lines") == 1
