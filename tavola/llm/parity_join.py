@@ -21,7 +21,8 @@ from tavola.llm.components import components
 PART_BITS = 1 << 24            # bits of a part; few are odd and none is stored, so width costs nothing
 SPARE = 0.4                    # parts that a set may leave out, as a share of the rest
 PARTNERS = 8                   # classes that a class is compared with in the first turn
-SMALL, PIECE = 16, 512         # classes of a small bucket; of a piece of a larger one
+SMALL, PIECE = 16, 2048        # classes of a small bucket; most classes of a piece of a larger one
+SHARE, DEAL = 128, 16          # a piece has so many classes until there are so many pieces, then it grows to ``PIECE``
 FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
 U = np.uint64
@@ -137,32 +138,79 @@ def folded(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A stored side of a join, sent to every executor if it is bounded."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def meeting(left: DataFrame) -> DataFrame:
+    """``key, sid, whole, c, size``: the buckets in which classes of the larger buckets
+    ``left(key, hub, sid, whole, c, size)`` meet.
+
+    Near copies of one text are together in most of its buckets. The buckets with one hub
+    become one, in which two classes meet once, unless that makes more pairs than the
+    buckets had (few classes are in two of them)."""
+    own = stored(left.groupBy("hub", "sid").agg(F.max("whole").alias("whole"), F.min("c").alias("c"), F.sum("size").alias("met")),
+                 "parity-hubs")
+    hubs = own.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.sum("met").alias("met"))
+    hubs = few(stored(hubs.filter(F.col("size").cast("double") * F.col("size") <= F.col("met")).select("hub", "size"), "parity-one"))
+    one = own.join(hubs, "hub").select(F.col("hub").alias("key"), "sid", "whole", "c", "size")
+    return one.unionByName(left.join(hubs, "hub", "left_anti").select("key", "sid", "whole", "c", "size"))
+
+
+def dealt(members: DataFrame) -> DataFrame:
+    """``key, i, j, side, sid, c, n, whole, main, sketch``: the runs ``i, j`` of a bucket in
+    which a class is, as one of the rest (side 0) and as one of all (side 1); ``main`` says
+    that it is of the component that most classes of the bucket are in."""
+    members = stored(members, "parity-members")
+    most = members.groupBy("key", "c").agg(F.count(F.lit(1)).alias("most")).groupBy("key").agg(
+        F.max(F.struct("most", "c")).alias("m"), F.sum("most").alias("all"))
+    most = few(stored(most.select("key", "m.most", F.col("m.c").alias("main"), "all").filter(F.col("most") < F.col("all")), "parity-main"))
+
+    def pieces(count):
+        return F.greatest(F.least(F.lit(DEAL).cast("long"), F.ceil(count / SHARE)), F.ceil(count / PIECE))
+
+    def own(count):
+        return F.pmod(F.hash("sid"), pieces(count)).cast("long")
+
+    def every(count):
+        return F.sequence(F.lit(0).cast("long"), pieces(count) - 1)
+
+    def run(side, i, j):
+        return F.struct(F.lit(side).alias("side"), i.alias("i"), j.alias("j"))
+
+    rest, all_ = F.col("all") - F.col("most"), F.col("all")
+    rows = members.join(most, "key").withColumn("main", F.col("c") == F.col("main"))
+    right = F.transform(every(rest), lambda i: run(1, i, own(all_)))
+    both = F.concat(F.transform(every(all_), lambda j: run(0, own(rest), j)), right)
+    rows = rows.withColumn("to", F.explode(F.when(F.col("main"), right).otherwise(both)))
+    return rows.select("key", "to.i", "to.j", "to.side", "sid", "c", "n", "whole", "main", "sketch")
+
+
 def block_pairs(members: DataFrame, t: int) -> DataFrame:
     """``a, b``: classes of a bucket, one there as a whole part, in different components,
     whose sizes and sketches allow a link; from ``members(key, sid, whole, c, size, n, sketch)``.
 
-    The classes of a bucket are dealt into pieces of about ``PIECE``. Every two pieces meet
-    in one run of a sorted partition, as two blocks of sketches in memory."""
-    pieces = F.ceil(F.col("size") / PIECE)
-    every = F.sequence(F.lit(0).cast("long"), pieces - 1)
-    own = F.pmod(F.hash("sid"), pieces)
-    rows = members.select("key", "sid", "whole", "c", "n", "sketch", own.alias("own"), F.explode(every).alias("other"))
-    left = rows.filter("whole").select("key", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "sid", "c", "n", "sketch")
-    right = rows.select("key", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "sid", "c", "n", "sketch")
-    runs = left.unionByName(right).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
+    Classes of the component that most of a bucket's classes are in need not meet each
+    other: the rest meet all. Both are dealt into pieces, and every piece of the rest meets
+    every piece of all in one run of a sorted partition, as two blocks of sketches in
+    memory. Up to ``DEAL`` pieces of ``PIECE`` classes a class goes to ``DEAL`` runs at most,
+    however large its bucket."""
+    runs = dealt(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches):
         import pyarrow as pa
 
         def meet(parts):
-            side, sid, c, n, sketch = (np.concatenate(p) for p in zip(*parts, strict=True))
+            side, sid, c, n, whole, main, sketch = (np.concatenate(p) for p in zip(*parts, strict=True))
             x, y = side == 0, side == 1
-            for at in range(0, int(x.sum()), 64):
-                rows = np.flatnonzero(x)[at: at + 64]
+            for at in range(0, int(x.sum()), 32):
+                rows = np.flatnonzero(x)[at: at + 32]
                 apart = np.bitwise_count(sketch[rows][:, None, :] ^ sketch[y][None, :, :]).sum(axis=2, dtype=np.int64)
                 na, nb = n[rows][:, None], n[y][None, :]
                 ok = ((np.minimum(na, nb) * 100 >= np.maximum(na, nb) * t) & (apart * (100 + t) <= (100 - t) * (na + nb))
-                      & (c[rows][:, None] != c[y][None, :]))
+                      & (c[rows][:, None] != c[y][None, :]) & (whole[rows][:, None] | whole[y][None, :])
+                      & (main[y][None, :] | (sid[rows][:, None] < sid[y][None, :])))
                 i, j = np.nonzero(ok)
                 if len(i):
                     a, b = sid[rows][i], sid[y][j]
@@ -172,8 +220,8 @@ def block_pairs(members: DataFrame, t: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, i, j, side, sid, c, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            sketch = batch.column(7).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
+            key, i, j, side, sid, c, n, whole, main = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(9))
+            sketch = batch.column(9).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(key), -1)
             starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             for lo, hi in zip(starts, [*starts[1:], len(key)], strict=True):
                 this = key[lo], i[lo], j[lo]
@@ -181,7 +229,7 @@ def block_pairs(members: DataFrame, t: int) -> DataFrame:
                     yield from meet(held)
                     held = []
                 name = this
-                held.append(tuple(v[lo: hi] for v in (side, sid, c, n, sketch)))
+                held.append(tuple(v[lo: hi] for v in (side, sid, c, n, whole, main, sketch)))
         if held:
             yield from meet(held)
 
@@ -270,7 +318,7 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
         """``sid, bytes`` of the classes in ``pairs``, from one text of each."""
         sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
         wanted = stored(classes.join(sids, "sid").select("th", F.col("sid").alias("want")), "parity-wanted")
-        side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+        side = few(wanted)
 
         def sets_of():
             done = set()  # copies: one set a task
@@ -326,18 +374,19 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
     comp = components(first)
 
     # Second turn: classes of a bucket that are still in different components, all with
-    # all in small buckets. The classes of a larger one are dealt out in pieces, and
-    # two pieces meet as blocks of sketches, of which only pairs that may link come out.
-    named = bucket.drop("size", "head").join(comp, bucket["sid"] == comp["v"], "left").select(
-        "key", "sid", "whole", F.coalesce("c", "sid").alias("c"))
+    # all in small buckets. Larger ones with one hub are taken together and their classes
+    # dealt out in pieces; two pieces meet as blocks of sketches, of which only pairs that
+    # may link come out.
+    named = bucket.drop("size", "head").join(comp, bucket["sid"] == comp["v"], "left").join(
+        central, F.col("sid") == F.col("c_sid")).select("key", "sid", "whole", F.coalesce("c", "sid").alias("c"), "central")
     spread = named.withColumn("low", F.min("c").over(by_key)).withColumn("high", F.max("c").over(by_key))
-    spread = spread.filter("low <> high").withColumn("size", F.count(F.lit(1)).over(by_key))
-    left = stored(spread.select("key", "sid", "whole", "c", "size"), "parity-left")
+    spread = spread.withColumn("hub", F.max(F.struct("central", "sid")).over(by_key)["sid"]).filter("low <> high")
+    left = stored(spread.withColumn("size", F.count(F.lit(1)).over(by_key)).drop("low", "high", "central"), "parity-left")
     small = left.filter(F.col("size") <= SMALL)
     x = small.filter("whole").select("key", F.col("sid").alias("a"), F.col("c").alias("ca"))
     y = small.select("key", F.col("sid").alias("b"), F.col("c").alias("cb"), F.col("whole").alias("wb"))
     pairs = x.join(y, "key").filter("ca <> cb AND (a < b OR NOT wb)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = close(pairs).unionByName(block_pairs(left.filter(F.col("size") > SMALL).join(narrow, "sid"), t)).distinct()
+    pairs = close(pairs).unionByName(block_pairs(meeting(left.filter(F.col("size") > SMALL)).join(narrow, "sid"), t)).distinct()
     second = stored(verified(stored(pairs, "parity-close")), "parity-second")
     comp = components(first.unionByName(second))
     out = known.join(comp, known["sid"] == comp["v"], "left")

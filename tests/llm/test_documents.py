@@ -347,3 +347,33 @@ def test_components_of_chains_stars_and_noise(spark):
 def test_shuffle_join_in_place_of_broadcast(spark, monkeypatch):
     monkeypatch.setattr(parity_join, "BROADCAST_ROWS", 0)
     test_components_equal_brute_force(spark, 4, 85)
+
+
+def test_large_buckets_of_one_hub_meet_once(spark, monkeypatch):
+    """Near copies that are together in many buckets meet in one, the classes of its main
+    component not among themselves; twice the classes make about twice the rows."""
+    rng, rows = random.Random(8), []
+    base = [f"b{i}" for i in range(150)]
+    for n in range(120):
+        x = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 4, 5, 6])):
+            x[at] = f"n{n}x{at}"
+        rows.append((n, " ".join(x), "s"))
+    given, blocks = [], parity_join.block_pairs
+    monkeypatch.setattr(parity_join, "block_pairs", lambda m, t: (given.append(m), blocks(m, t))[1])
+    got = [tuple(r) for r in jaccard_components(frame(spark, rows), 4, 85).collect()]
+    assert sorted(got) == sorted(brute_components(rows, 4, 85))
+    members = given[0].collect()
+    assert members and len(members) < 2 * len({r["sid"] for r in members})
+
+    def runs(n):
+        m = [(1, 2 * i, True, 0 if i % 3 else 2 * i, n, 100, [0] * parity_join.FOLD) for i in range(n)]
+        return parity_join.dealt(spark.createDataFrame(
+            m, "key long, sid long, whole boolean, c long, size long, n long, sketch array<long>")).count()
+    assert runs(14000) <= 2.2 * runs(7000)
+
+
+def test_buckets_of_one_hub_with_other_classes_stay_apart(spark):
+    left = [(key, 0, sid, True, sid, 40) for key in (1, 2, 3) for sid in [0, *range(100 * key, 100 * key + 39)]]
+    df = spark.createDataFrame(left, "key long, hub long, sid long, whole boolean, c long, size long")
+    assert {(r["key"], r["sid"]) for r in parity_join.meeting(df).collect()} == {(x[0], x[2]) for x in left}
