@@ -377,3 +377,17 @@ def test_buckets_of_one_hub_with_other_classes_stay_apart(spark):
     left = [(key, 0, sid, True, sid, 40) for key in (1, 2, 3) for sid in [0, *range(100 * key, 100 * key + 39)]]
     df = spark.createDataFrame(left, "key long, hub long, sid long, whole boolean, c long, size long")
     assert {(r["key"], r["sid"]) for r in parity_join.meeting(df).collect()} == {(x[0], x[2]) for x in left}
+
+
+def test_terms_sought_elsewhere_equal_all_terms(monkeypatch):
+    """Without listing the terms of a text that nothing wanted stands in, or those not wanted."""
+    long = "z" * 64
+    texts = ["", "One two one-two ONE", "one", f"{long} {long}z {long.upper()}", "a_b a b\x1fa\x00A a\tb", "Été été İi one ſ K ½ one",
+             "x" * 70 + " two", " ".join(f"w{i % 30}" for i in range(90))]
+    wanted = {"one": 1, "two": 1, long: 1, "a": 1, "a_b": 1, "été": 1, "i̇i": 1, **{f"w{i}": 1 for i in range(25)}}
+    for text in texts:
+        every = disclosure.terms_of(text, ())
+        assert disclosure.text_terms(text) == set(every)
+        assert disclosure.places_of(text, wanted) == {t: at for t, at in every.items() if t in wanted}
+    monkeypatch.setattr(disclosure, "terms_of", None)
+    assert disclosure.places_of("One two", wanted) == {"one": [0, 3], "two": [4, 7]}
