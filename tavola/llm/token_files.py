@@ -14,6 +14,7 @@ exception; then the packed words, the exception positions (u8) and differences
 
 from __future__ import annotations
 
+import gc
 import re
 import struct
 import zlib
@@ -138,11 +139,23 @@ OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 UNEVEN = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x00]")
 # A stretch with at most one blank in front: between line ends it has the ids it has alone.
 PLAIN = re.compile(r" ?[^ \t\n\r\x0b\x0c]+\Z")
+# A stretch of one word of Latin letters and the marks after it: the byte-level pattern
+# parts it there and nowhere else.
+WORDS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?()\"-]*)\Z")
 LINES = 256                             # stretches that the library gets as one text
 CACHE_BYTES, LONGEST = 256 << 20, 48    # of a worker that encodes; texts of at most so many characters
 ROWS = 500                              # texts that are handled at once
 
 
+def byte_level() -> dict[int, str]:
+    """The printable characters that stand for bytes in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
+
+
+BYTE_LEVEL = byte_level()
+
+
 class TextIds:
     """Ids (little-endian u32 bytes) of whole texts from the tokenizers library,
     asked once for each different stretch that the bounded cache still holds."""
@@ -156,11 +169,26 @@ class TextIds:
 
         self.lib = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as f:
-            special = [t["content"] for t in json.load(f)["added_tokens"]]
+            told = json.load(f)
+        special = [t["content"] for t in told["added_tokens"]]
+        self.parted = self.parts(told)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.seen = Cache(CACHE_BYTES)
         self.line_end, = self.lib.encode("\n", add_special_tokens=False).ids
 
+    @staticmethod
+    def parts(told: dict) -> tuple[int, int] | None:
+        """Ids of two bytes that no text holds and no longer token does, if the vocabulary
+        is plain byte-level BPE: between them the library's model sees words apart."""
+        model, split, vocab = told["model"], told["pre_tokenizer"] or {}, told["model"]["vocab"]
+        plain = (model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+                 and not split.get("add_prefix_space") and not told["normalizer"] and not told["post_processor"]
+                 and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                                                    "byte_fallback", "ignore_merges")))
+        if not plain or "þ" not in vocab or "ÿ" not in vocab or any(len(t) > 1 and ("þ" in t or "ÿ" in t) for t in vocab):
+            return None
+        return vocab["ÿ"], vocab["þ"]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
@@ -172,9 +200,9 @@ class TextIds:
     def apart(self, stretches: list[str]) -> list[bytes]:
         """Ids of each stretch. Plain ones go to the library together, a line end between any
         two: none of them holds one, and no token goes over it, so its id parts theirs."""
-        plain = [p for p in stretches if PLAIN.match(p)]
+        found, stretches_ = self.words(stretches) if self.parted else ({}, stretches)
+        plain = [p for p in stretches_ if PLAIN.match(p)]
         lines = [plain[at: at + LINES] for at in range(0, len(plain), LINES)]
-        found = {}
         for line, data in zip(lines, self.encode(["\n".join(x) for x in lines]), strict=True):
             ends = np.flatnonzero(np.frombuffer(data, "<u4") == self.line_end).tolist()
             starts, ends = [0, *[e + 1 for e in ends]], [*ends, len(data) // 4]
@@ -183,6 +211,28 @@ class TextIds:
         found.update(zip(other, self.encode(other), strict=True))
         return [found[p] for p in stretches]
 
+    def words(self, stretches: list[str]) -> tuple[dict[str, bytes], list[str]]:
+        """Ids of the stretches that are one word and the marks after it, and the other
+        stretches. The model gets many at once, parted by bytes that it joins with nothing,
+        so the library need not look for words in them."""
+        found, other, some = {}, [], []
+        for p in stretches:
+            if m := WORDS.match(p):
+                some.append((p, m[1].encode() + b"\xfe" + m[2].encode() if m[2] else p.encode()))
+            else:
+                other.append(p)
+        stretch_end, word_end = self.parted
+        for at in range(0, len(some), LINES):
+            line = some[at: at + LINES]
+            text = b"\xff".join([x for _, x in line]).decode("latin-1").translate(BYTE_LEVEL)
+            ids = np.array([t.id for t in self.lib.model.tokenize(text)], dtype="<u4")
+            ids = ids[ids != word_end]
+            ends = np.flatnonzero(ids == stretch_end).tolist()
+            data = ids.tobytes()
+            for (p, _), a, b in zip(line, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
+                found[p] = data[4 * a: 4 * b]
+        return found, other
+
     @staticmethod
     def stretches(text: str) -> list[str]:
         if UNEVEN.search(text):
@@ -190,6 +240,16 @@ class TextIds:
         return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        # Nothing here makes cycles, and the collector would look through all stretches each time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self.ids(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def ids(self, texts: list[str]) -> list[bytes]:
         seen, out, split, whole = self.seen, [b""] * len(texts), [], []
         for i, t in enumerate(texts):
             if OTHER_SPACE.search(t) or self.special and self.special.search(t):
@@ -198,21 +258,16 @@ class TextIds:
                 split.append((i, self.stretches(t)))
         for i, x in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = x
-        # One look-up for each stretch; only texts with unknown ones are looked at again.
-        get, open_ = seen.young.get, []
-        for i, ps in split:
-            xs = list(map(get, ps))
-            if None in xs:
-                open_.append((i, ps, xs))
-            else:
-                out[i] = b"".join(xs)
-        missing = {p for _, ps, xs in open_ for p, x in zip(ps, xs, strict=True) if x is None}
-        made = {p: x for p in missing if (x := seen.again(p)) is not None}
-        new = [p for p in missing if p not in made]
+        # The different stretches of all these texts are looked up, then each stands where it is.
+        get = seen.young.get
+        made = {p: get(p) for p in set(chain.from_iterable([ps for _, ps in split]))}
+        missing = [p for p, x in made.items() if x is None]
+        made.update((p, seen.again(p)) for p in missing)
+        new = [p for p in missing if made[p] is None]
         fresh = dict(zip(new, self.apart(new), strict=True))
-        made |= fresh
-        for i, ps, xs in open_:
-            out[i] = b"".join([made[p] if x is None else x for p, x in zip(ps, xs, strict=True)])
+        made.update(fresh)
+        for i, ps in split:
+            out[i] = b"".join(map(made.__getitem__, ps))
         seen.add({p: x for p, x in fresh.items() if len(p) <= LONGEST})
         return out
 

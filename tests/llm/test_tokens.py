@@ -156,3 +156,23 @@ def test_empty_tables(spark):
     assert count_tokens(none, WORDS).count() == 0
     assert read_token_files(write_token_files(none, BYTES)).count() == 0
     assert encode(none, PIECES).count() == 0
+
+
+def test_words_reach_the_model_apart(monkeypatch):
+    """Words and marks after them are not looked for again by the library; all ids equal its own."""
+    encode = TextIds(BYTES)
+    texts = ["Straße, naïve. Ça va?! (el) niño; é É Ŷ 'tis don't it's \"so\" a-b x_y 12, a1 ªb µ. ٣ 中文, ǅ ȷ þ ÿ þÿ.", "Wort", "",
+             "plain words only, and marks.) after --them;\n next\n\nline. end"]
+    asked, library = [], encode.encode
+    monkeypatch.setattr(encode, "encode", lambda x: (asked.extend(x), library(x))[1])
+    got = encode(texts)
+    from tokenizers import Tokenizer
+
+    want = [Tokenizer.from_file(BYTES).encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert "plain" not in " ".join(asked) and "Straße" not in " ".join(asked)
+    monkeypatch.setattr(encode, "parted", None)
+    encode.seen = Cache(1 << 20)
+    assert encode(texts) == got
+    import gc
+    assert gc.isenabled()
