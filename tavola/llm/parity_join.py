@@ -11,7 +11,11 @@ Agreeing parts give candidates, whole sketches reject, exact sets verify.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +29,7 @@ SMALL, PIECE = 16, 2048        # classes of a small bucket; most classes of a pi
 SHARE, DEAL = 128, 16          # a piece has so many classes until there are so many pieces, then it grows to ``PIECE``
 FOLD = 32                      # longs of the whole (folded) sketch
 BROADCAST_ROWS = 2_000_000     # most class ids (16 bytes each) that are sent to every executor
+CHARS = 1 << 20                # of texts whose sets are made at once (a longer text alone)
 U = np.uint64
 
 
@@ -46,19 +51,64 @@ def factors(words: int) -> np.ndarray:
 def shingles(text: str, words: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams of a text (A-Z lower-cased,
     words end at ASCII white space); a shorter text is one n-gram."""
+    return shingle_sets([text], words)[0]
+
+
+def shingle_sets(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """``shingles`` of many texts: their sets one after another, and the size of each."""
     import xxhash
 
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    one = xxhash.xxh64_intdigest
-    h = np.array([one(w) for w in parts], dtype=np.uint64)
-    k, f = min(words, len(h)), factors(words)
-    n = len(h) - k + 1
-    s = np.full(n, U(k), dtype=np.uint64)
-    for j in range(k):
-        s += mix(h[j: j + n] + f[j]) * f[j]
-    return np.unique(mix(s))
+    parts = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+    count = np.fromiter(map(len, parts), np.int64, len(parts))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(parts)), np.uint64, int(count.sum()))
+    # Every n-gram has a length of its own; a text with fewer words is as long as that.
+    k = np.minimum(count, words)
+    sets = [np.zeros(0, np.uint64)]
+    sizes = np.zeros(len(parts), np.int64)
+    f = factors(words)
+    first = np.cumsum(count) - count
+    for length in np.unique(k[k > 0]):
+        docs = np.flatnonzero(k == length)
+        runs = count[docs] - length + 1
+        at, doc = ranges(first[docs], runs)
+        s = np.full(len(at), U(length), dtype=np.uint64)
+        for j in range(int(length)):
+            s += mix(h[at + j] + f[j]) * f[j]
+        s = mix(s)
+        ends = np.cumsum(runs).tolist()
+        for lo, hi in zip([0, *ends], ends, strict=False):
+            s[lo: hi].sort()
+        new = np.concatenate(([True], (s[1:] != s[:-1]) | (doc[1:] != doc[:-1])))
+        sizes[docs] = np.bincount(doc[new], minlength=len(docs))
+        sets.append(s[new])
+        k[docs] = -len(sets) + 1  # where these sets are
+    if len(sets) <= 2:
+        return sets[-1], sizes
+    # Sets of several lengths go back to the order of the texts.
+    out = np.zeros(int(sizes.sum()), np.uint64)
+    start = np.cumsum(sizes) - sizes
+    for i in range(1, len(sets)):
+        docs = np.flatnonzero(k == -i)
+        out[ranges(start[docs], sizes[docs])[0]] = sets[i]
+    return out, sizes
+
+
+def portions(texts: list[str]) -> Iterator[slice]:
+    """Runs of texts with ``CHARS`` characters at most, or one text."""
+    at, held = 0, 0
+    for i, x in enumerate(texts):
+        if held and held + len(x) > CHARS:
+            yield slice(at, i)
+            at, held = i, 0
+        held += len(x)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers ``start[i]`` to ``start[i] + size[i]`` (exclusive) of all ``i``, and each one's ``i``."""
+    i = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(i)) + np.repeat(start - (np.cumsum(size) - size), size), i
 
 
 STARTS: dict[int, list[int]] = {}
@@ -103,39 +153,59 @@ def band_shape(j: int, t: int) -> tuple[int, int, int]:
 def band_keys(s: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of one set in band ``j``, and whether each is of a whole part (else
     of a part with one bit flipped)."""
+    key, whole, _ = keys_of_sets(s, np.array([len(s)]), j, t)
+    return key, whole
+
+
+def keys_of_sets(s: np.ndarray, sizes: np.ndarray, j: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``band_keys`` of many sets, one after another in ``s``, and each key's set."""
     d, parts, _ = band_shape(j, t)
-    if d == 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)  # equal sets only: they are one class already
+    if d == 0:  # equal sets only: they are one class already
+        return np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0, np.int64)
     h = mix(s ^ U(j + 1))
     part = ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
     bit = (h & U(PART_BITS - 1)) + part.astype(np.uint64) * U(PART_BITS)
     z = mix(bit + times(j + 1, 0xD6E8FEB86659FD93))
-    order = np.argsort(part, kind="stable")
-    count = np.bincount(part, minlength=parts)
-    xor = np.zeros(parts, dtype=np.uint64)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    place = of * parts + part
+    order = np.argsort(place)
+    count = np.bincount(place, minlength=parts * len(sizes))
+    xor = np.zeros(parts * len(sizes), dtype=np.uint64)
     some = np.flatnonzero(count)
-    xor[some] = np.bitwise_xor.reduceat(z[order], (np.cumsum(count) - count)[some])
+    if len(some):
+        xor[some] = np.bitwise_xor.reduceat(z[order], (np.cumsum(count) - count)[some])
     salt = mix(np.arange(parts, dtype=np.uint64) + times(j + 1, 0xA0761D6478BD642F))
+    key, owner = mix(xor + np.tile(salt, len(sizes))), np.repeat(np.arange(len(sizes)), parts)
     if d <= 3:
-        flipped = mix((xor[part] ^ z) + salt[part])
-        return np.concatenate((mix(xor + salt), flipped)), np.arange(parts + len(s)) < parts
-    return mix(xor + salt), np.ones(parts, dtype=bool)
+        flipped = mix((xor[place] ^ z) + salt[part])
+        whole = np.arange(len(key) + len(flipped)) < len(key)
+        return np.concatenate((key, flipped)), whole, np.concatenate((owner, of))
+    return key, np.ones(len(key), dtype=bool), owner
 
 
-def set_id(s: np.ndarray) -> int:
-    """63 bits (even number) for a set: equal sets are one class."""
-    h = int(mix(np.array([np.bitwise_xor.reduce(mix(s + U(0x5851F42D4C957F2D)))], dtype=np.uint64) + U(len(s)))[0])
-    return signed(h & ~1)
+def set_ids(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """63 bits (even number) for each set, none empty: equal sets are one class."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    each = np.bitwise_xor.reduceat(mix(s + U(0x5851F42D4C957F2D)), np.cumsum(sizes) - sizes)
+    return (mix(each + sizes.astype(np.uint64)) & ~U(1)).view(np.int64)
 
 
 def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def folded(s: np.ndarray) -> np.ndarray:
-    """The whole sketch, folded to ``FOLD`` longs."""
-    odd = np.bincount((s % U(64 * FOLD)).astype(np.int64), minlength=64 * FOLD) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def folded(s: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The whole sketch of each set, folded to ``FOLD`` longs."""
+    out = np.zeros((len(sizes), FOLD), np.int64)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    for at in range(0, len(sizes), 64):
+        some = sizes[at: at + 64]
+        bit = (s[ends[at]: ends[at + len(some)]] % U(64 * FOLD)).astype(np.int64)
+        bit += np.repeat(np.arange(len(some)) * (64 * FOLD), some)
+        odd = np.bincount(bit, minlength=64 * FOLD * len(some)) & 1
+        out[at: at + 64] = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, FOLD)
+    return out
 
 
 def few(df: DataFrame) -> DataFrame:
@@ -199,8 +269,6 @@ def block_pairs(members: DataFrame, t: int) -> DataFrame:
     runs = dealt(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
 
     def run(batches):
-        import pyarrow as pa
-
         def meet(parts):
             side, sid, c, n, whole, main, sketch = (np.concatenate(p) for p in zip(*parts, strict=True))
             x, y = side == 0, side == 1
@@ -249,10 +317,16 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
         forget()  # the caches of other operators: memory is needed for sorting from here on
 
         def each(cols):
-            sets = [shingles(x, words) for x in cols[1]]
-            yield {"id": cols[0], "th": cols[2], "n": [len(s) for s in sets],
-                   "sid": [set_id(s) if len(s) else None for s in sets],
-                   "sketch": [folded(s).tolist() if len(s) else None for s in sets]}
+            for some in portions(cols[1]):
+                s, sizes = shingle_sets(cols[1][some], words)
+                none = sizes == 0
+                sid = np.zeros(len(sizes), np.int64)
+                sid[~none] = set_ids(s, sizes[~none])
+                starts = np.concatenate(([0], np.cumsum(np.where(none, 0, FOLD))))
+                sketch = pa.ListArray.from_arrays(pa.array(starts, pa.int32(), mask=np.append(none, False)),
+                                                  pa.array(folded(s, sizes[~none]).reshape(-1)))
+                yield {"id": cols[0][some], "th": cols[2][some], "n": pa.array(sizes), "sid": pa.array(sid, mask=none),
+                       "sketch": sketch}
         return each
 
     known = stored(map_rows(rows.withColumn("th", F.xxhash64("text")),
@@ -264,20 +338,23 @@ def jaccard_classes(docs: DataFrame, words: int, t: int, id_col: str = "doc_id",
         seen = set()  # classes that this task has had: copies emit their keys once a task
 
         def each(cols):
-            for text in cols[0]:
-                s = shingles(text, words)
-                if not len(s):
-                    continue
-                sid = set_id(s)
-                if sid in seen:
-                    continue
-                seen.add(sid)
-                j = band_of(len(s), t)
-                for band in (j, j + 1):
-                    k, whole = band_keys(s, band, t)
+            for some in portions(cols[0]):
+                s, sizes = shingle_sets(cols[0][some], words)
+                full = np.flatnonzero(sizes)
+                sids, starts = set_ids(s, sizes[full]), (np.cumsum(sizes) - sizes)[full]
+                new = []
+                for i, sid in enumerate(sids.tolist()):
+                    if sid not in seen:
+                        seen.add(sid)
+                        new.append(i)
+                sids, starts, sizes = sids[new], starts[new], sizes[full][new]
+                own = np.array([band_of(n, t) for n in sizes.tolist()], dtype=np.int64)
+                for band in np.unique(np.concatenate((own, own + 1))).tolist():
+                    here = np.flatnonzero((own == band) | (own == band - 1))
+                    k, whole, of = keys_of_sets(s[ranges(starts[here], sizes[here])[0]], sizes[here], band, t)
                     if len(k):
-                        yield {"key": k.view(np.int64), "v": np.int64(sid) | whole.astype(np.int64),
-                               "slot": np.full(len(k), band << 24 | band_shape(band, t)[2], dtype=np.int64)}
+                        yield {"key": pa.array(k.view(np.int64)), "v": pa.array(sids[here][of] | whole.astype(np.int64)),
+                               "slot": pa.array(np.full(len(k), band << 24 | band_shape(band, t)[2], dtype=np.int64))}
         return each
 
     entries = map_rows(rows.select("text"), "key long, v long, slot long", keys)

@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tavola.llm import disclosure, line_spread, parity_join
@@ -391,3 +392,50 @@ def test_terms_sought_elsewhere_equal_all_terms(monkeypatch):
         assert disclosure.places_of(text, wanted) == {t: at for t, at in every.items() if t in wanted}
     monkeypatch.setattr(disclosure, "terms_of", None)
     assert disclosure.places_of("One two", wanted) == {"one": [0, 3], "two": [4, 7]}
+
+
+def test_sets_and_keys_of_many_texts_at_once(monkeypatch):
+    """Texts described together have the sets, ids, sketches and keys that each has alone."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(60)]
+    texts += ["", " \x0b\x0c ", "A a\x1cb", "É é e", "one", "one two three four", "ONE Two three\tfour", "\ud800 a b c d"]
+    rng.shuffle(texts)
+    for words in (1, 4):
+        s, sizes = parity_join.shingle_sets(texts, words)
+        parts = [x.encode("utf-8", "surrogatepass").lower().split() for x in texts]
+        grams = [{tuple(p[i: i + words]) for i in range(max(len(p) - words + 1, 1))} if p else set() for p in parts]
+        assert sizes.tolist() == [len(g) for g in grams]
+        ends = np.cumsum(sizes).tolist()
+        sets = [s[a:b] for a, b in zip([0, *ends], ends)]
+        for x, one in zip(texts, sets, strict=True):
+            assert (parity_join.shingles(x, words) == one).all() and (np.diff(one.astype(object)) > 0).all()
+        same = {(tuple(sorted(a)), tuple(sorted(b))) for a, x in zip(grams, sets) for b, y in zip(grams, sets) if np.array_equal(x, y)}
+        assert all(a == b for a, b in same)
+        full = [x for x in sets if len(x)]
+        ids, sketches = parity_join.set_ids(s, sizes[sizes > 0]), parity_join.folded(s, sizes[sizes > 0])
+        for x, sid, sketch in zip(full, ids, sketches, strict=True):
+            n = np.array([len(x)])
+            assert parity_join.set_ids(x, n) == [sid] and sid % 2 == 0 and (parity_join.folded(x, n) == sketch).all()
+        for band in (2, 5, 20):
+            key, whole, of = parity_join.keys_of_sets(s, sizes[sizes > 0], band, 85)
+            for i, x in enumerate(full):
+                k, w = band_keys(x, band, 85)
+                assert sorted(zip(k.tolist(), w.tolist())) == sorted(zip(key[of == i].tolist(), whole[of == i].tolist()))
+    monkeypatch.setattr(parity_join, "CHARS", 50)
+    runs = list(parity_join.portions(texts))
+    assert [x for r in runs for x in texts[r]] == texts and len(runs) > 5
+    assert all(r.stop - r.start == 1 or sum(map(len, texts[r])) <= 50 for r in runs) and not list(parity_join.portions([]))
+
+
+def test_keys_leave_in_few_batches(spark, monkeypatch):
+    """Keys of many documents leave a task together, not as one batch for each document and band."""
+    given, map_rows = {}, parity_join.map_rows
+
+    def watched(df, schema, make, rows=None):
+        if schema.startswith("key long"):
+            given["batches"] = len(list(make()([[" ".join(f"w{i}_{k}" for k in range(50)) for i in range(300)]])))
+        return map_rows(df, schema, make, rows)
+    monkeypatch.setattr(parity_join, "map_rows", watched)
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard_components(docs, 4, 85).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 0, 3)] and given["batches"] <= 2
