@@ -19,10 +19,11 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate, chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,12 +137,13 @@ class Payload:
 STRETCH = re.compile("[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]")
 # Nothing but single blanks and line ends between stretches: plain splitting will do.
-UNEVEN = re.compile("[ \n]{2}|[\t\r\x0b\x0c\x00]")
+UNEVEN = r"[ \n]{2}|[\t\r\x0b\x0c\x00]"
 # A stretch with at most one blank in front: between line ends it has the ids it has alone.
 PLAIN = re.compile(r" ?[^ \t\n\r\x0b\x0c]+\Z")
 # A stretch of one word of Latin letters and the marks after it: the byte-level pattern
 # parts it there and nowhere else.
-WORDS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([.,;:!?()\"-]*)\Z")
+WORDS = r"\A ?[A-Za-zÀ-ÖØ-öø-ɏ]+[.,;:!?()\"-]*\z"
+MARKS = re.compile(r"[.,;:!?()\"-]+")
 LINES = 256                             # stretches that the library gets as one text
 CACHE_BYTES, LONGEST = 256 << 20, 48    # of a worker that encodes; texts of at most so many characters
 ROWS = 500                              # texts that are handled at once
@@ -153,7 +155,7 @@ def byte_level() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in own)}
 
 
-BYTE_LEVEL = byte_level()
+BYTE_LEVEL = np.array([ord(c) for _, c in sorted(byte_level().items())], dtype="<u2")
 
 
 class TextIds:
@@ -168,6 +170,7 @@ class TextIds:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(vocabulary)
+        self.model = Tokenizer(self.lib.model)  # the library's model without a look for words
         with open(vocabulary, encoding="utf-8") as f:
             told = json.load(f)
         special = [t["content"] for t in told["added_tokens"]]
@@ -215,29 +218,40 @@ class TextIds:
         """Ids of the stretches that are one word and the marks after it, and the other
         stretches. The model gets many at once, parted by bytes that it joins with nothing,
         so the library need not look for words in them."""
-        found, other, some = {}, [], []
-        for p in stretches:
-            if m := WORDS.match(p):
-                some.append((p, m[1].encode() + b"\xfe" + m[2].encode() if m[2] else p.encode()))
-            else:
-                other.append(p)
+        is_word = pc.match_substring_regex(pa.array(stretches, pa.large_string()), WORDS).to_numpy(zero_copy_only=False)
+        some, other = list(compress(stretches, is_word)), list(compress(stretches, ~is_word))
         stretch_end, word_end = self.parted
-        for at in range(0, len(some), LINES):
-            line = some[at: at + LINES]
-            text = b"\xff".join([x for _, x in line]).decode("latin-1").translate(BYTE_LEVEL)
-            ids = np.array([t.id for t in self.lib.model.tokenize(text)], dtype="<u4")
-            ids = ids[ids != word_end]
-            ends = np.flatnonzero(ids == stretch_end).tolist()
-            data = ids.tobytes()
-            for (p, _), a, b in zip(line, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
-                found[p] = data[4 * a: 4 * b]
+        lines = [MARKS.sub("\ue000\\g<0>", "\ue001".join(some[at: at + LINES])).encode()
+                 .replace(b"\xee\x80\x80", b"\xfe").replace(b"\xee\x80\x81", b"\xff") for at in range(0, len(some), LINES)]
+        lines = [BYTE_LEVEL[np.frombuffer(x, np.uint8)].tobytes().decode("utf-16-le") for x in lines]
+        ids = [[*e.ids, stretch_end] for e in self.model.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.fromiter(chain.from_iterable(ids), "<u4")
+        ids = ids[ids != word_end]
+        ends = np.flatnonzero(ids == stretch_end).tolist()
+        data = ids.tobytes()
+        found = {p: data[4 * a: 4 * b] for p, a, b in zip(some, [0, *[e + 1 for e in ends]], ends, strict=False)}
+        if not len(found) == len(some) == len(ends):
+            raise ValueError("the model joined words with the bytes between them")
         return found, other
 
     @staticmethod
-    def stretches(text: str) -> list[str]:
-        if UNEVEN.search(text):
-            return STRETCH.findall(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    def stretches(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The stretches of all texts one after another, and how many each text has."""
+        count = np.zeros(len(texts), np.int64)
+        even = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(even, UNEVEN).to_numpy(zero_copy_only=False)
+        even = even.filter(pa.array(~uneven))
+        even = pc.replace_substring(pc.replace_substring(even, " ", "\0 "), "\n", "\0\n\0")
+        even = pc.split_pattern(even, "\0")
+        odd = [STRETCH.findall(t) for t in compress(texts, uneven)]
+        count[~uneven], count[uneven] = pc.list_value_length(even).to_numpy(), list(map(len, odd))
+        if not odd:
+            return even.flatten(), count
+        # They stand in the order of the texts.
+        parts = pa.concat_arrays([even.flatten(), pa.array(list(chain.from_iterable(odd)), pa.large_string())])
+        order = np.argsort(np.repeat(np.concatenate((np.flatnonzero(~uneven), np.flatnonzero(uneven))),
+                                     np.concatenate((count[~uneven], count[uneven]))), kind="stable")
+        return parts.take(pa.array(order)), count
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         # Nothing here makes cycles, and the collector would look through all stretches each time.
@@ -252,23 +266,38 @@ class TextIds:
     def ids(self, texts: list[str]) -> list[bytes]:
         seen, out, split, whole = self.seen, [b""] * len(texts), [], []
         for i, t in enumerate(texts):
-            if OTHER_SPACE.search(t) or self.special and self.special.search(t):
-                whole.append(i)
-            else:
-                split.append((i, self.stretches(t)))
+            (whole if OTHER_SPACE.search(t) or self.special and self.special.search(t) else split).append(i)
         for i, x in zip(whole, self.encode([texts[i] for i in whole]), strict=True):
             out[i] = x
+        if not split:
+            return out
         # The different stretches of all these texts are looked up, then each stands where it is.
-        get = seen.young.get
-        made = {p: get(p) for p in set(chain.from_iterable([ps for _, ps in split]))}
-        missing = [p for p, x in made.items() if x is None]
-        made.update((p, seen.again(p)) for p in missing)
-        new = [p for p in missing if made[p] is None]
-        fresh = dict(zip(new, self.apart(new), strict=True))
-        made.update(fresh)
-        for i, ps in split:
-            out[i] = b"".join(map(made.__getitem__, ps))
-        seen.add({p: x for p, x in fresh.items() if len(p) <= LONGEST})
+        stretches, count = self.stretches([texts[i] for i in split])
+        coded = stretches.dictionary_encode()
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(seen.young.get, names))
+        missing = [i for i, x in enumerate(made) if x is None]
+        back = {}
+        for i in missing:
+            x = made[i] = seen.old.pop(names[i], None)
+            if x is not None:
+                back[names[i]] = x
+        seen.add(back)
+        new = [i for i in missing if made[i] is None]
+        asked = [names[i] for i in new]
+        fresh = self.apart(asked)
+        for i, x in zip(new, fresh, strict=True):
+            made[i] = x
+        ids = np.frombuffer(b"".join(made), "<u4")
+        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        at = coded.indices.to_numpy()
+        size = length[at]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        data = ids[np.arange(ends[-1]) + np.repeat((np.cumsum(length) - length)[at] - ends[:-1], size)].tobytes()
+        ends = (4 * ends[np.concatenate(([0], np.cumsum(count)))]).tolist()
+        for i, a, b in zip(split, ends, ends[1:], strict=False):
+            out[i] = data[a: b]
+        seen.add({p: x for p, x in zip(asked, fresh, strict=True) if len(p) <= LONGEST})
         return out
 
 

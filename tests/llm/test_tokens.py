@@ -176,3 +176,20 @@ def test_words_reach_the_model_apart(monkeypatch):
     assert encode(texts) == got
     import gc
     assert gc.isenabled()
+
+
+def test_stretches_of_many_texts_are_coded_together(monkeypatch):
+    """Even, uneven and special texts of one batch keep their order, each different stretch is
+    looked up once a batch, and all ids equal the library's own."""
+    from tokenizers import Tokenizer
+
+    encode, lib = TextIds(BYTES), Tokenizer.from_file(BYTES)
+    texts = [x for t in TEXTS for x in (t, "one two one", "even words, one\nline (two).", "tab\tand  blanks one", "", "two ")]
+    asked, words = [], encode.words
+    monkeypatch.setattr(encode, "words", lambda x: (asked.extend(x), words(x))[1])
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
+    assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert len(asked) == len(set(asked)) and " one" in asked
+    stretches, count = encode.stretches(["a b", "c  d", "", "e\nf", "\t"])
+    assert stretches.to_pylist() == ["a", " b", "c", "  d", "", "e", "\n", "f", "\t"] and count.tolist() == [2, 2, 1, 3, 1]
+    assert encode([]) == [] and encode(["<|endoftext|>"]) == [np.array(lib.encode("<|endoftext|>").ids, "<u4").tobytes()]
