@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from tavola.session import written
 
 LENGTHS, SALTS = (1, 2, 3, 4, 6, 8, 12, 16), 64
+ROWS_A_TASK = 20_000
+AGAIN_BITS = 20     # a set of at most 2**20 numbers of 4 bytes goes to every task
 SLOT_BITS = 24      # 2**24 bits of asked pieces, as at most 2**18 words, go to every task
 GAP = "\u0001"      # stands for whatever is not a literal character
 # Letters that match an ASCII letter when case is ignored, and those letters.
@@ -117,8 +119,35 @@ def matching_texts(texts: DataFrame, terms: DataFrame, literal: bool = False) ->
 def rows_matching(rows: DataFrame, key: str, columns: list[Column], terms: DataFrame, literal: bool = False) -> DataFrame:
     """``term_id, term`` and the columns of ``rows``, once for each term that matches one of its
     ``columns`` (texts). ``key`` is the rows' primary key; rows that share it count as one."""
-    shown = rows.withColumn("_text", F.explode(F.array_distinct(F.array(*columns)))).filter("_text IS NOT NULL")
+    # Written: conditions on a term's pieces would else be tested for every row that the term comes from.
+    terms = written(terms.select("term_id", "term").filter("term IS NOT NULL").distinct(), "search-terms")
+    if len(columns) > 1:
+        return _rows_matching_sets(rows, key, columns, terms, literal)
+    shown = rows.withColumn("_text", columns[0]).filter("_text IS NOT NULL")
     hits = matching_texts(shown.select(F.col("_text").alias("text")), terms, literal)
     hits = hits.select(F.col("term_id").alias("_id"), F.col("term").alias("_term"), F.col("text").alias("_hit"))
     out = shown.join(hits, F.col("_text") == F.col("_hit")).dropDuplicates([key, "_id", "_term"])
     return out.select(F.col("_id").alias("term_id"), F.col("_term").alias("term"), *rows.columns)
+
+
+def _rows_matching_sets(rows: DataFrame, key: str, columns: list[Column], terms: DataFrame, literal: bool) -> DataFrame:
+    """``rows_matching`` for rows of several texts. A term that several texts of a row match is
+    counted once for each different set of texts, so the rows, with all their columns, only meet
+    the terms of their set. Only rows whose key may be there again are compared after that:
+    hashes of these keys, cut to ``AGAIN_BITS`` bits, are a set of bounded size."""
+    shown = rows.withColumn("_texts", F.array_sort(F.array_distinct(F.array_compact(F.array(*columns)))))
+    sets = written(shown.select("_texts").distinct(), "text-sets")
+    each = sets.withColumn("_text", F.explode("_texts"))
+    hits = matching_texts(each.select(F.col("_text").alias("text")), terms, literal)
+    hits = hits.select(F.col("term_id").alias("_id"), F.col("term").alias("_term"), F.col("text").alias("_text"))
+    hits = written(each.join(hits, "_text").select("_texts", "_id", "_term").distinct(), "text-hits")   # read by both kinds of rows
+
+    def slot() -> Column:
+        return F.xxhash64(key).bitwiseAND(F.lit((1 << AGAIN_BITS) - 1)).cast("int")
+
+    again = F.broadcast(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(slot().alias("_slot")).distinct())
+    out = (F.col("_id").alias("term_id"), F.col("_term").alias("term"), *rows.columns)
+    # One row may match many terms: rows are dealt out by their number, however few bytes they take.
+    once = shown.join(again, slot() == F.col("_slot"), "left_anti").repartition(max(1, -(-rows.count() // ROWS_A_TASK)))
+    twice = shown.join(again, slot() == F.col("_slot"), "left_semi").join(hits, "_texts").dropDuplicates([key, "_id", "_term"])
+    return once.join(hits, "_texts").select(*out).unionByName(twice.select(*out))

@@ -77,3 +77,19 @@ def test_postings_grow_with_matches(spark, monkeypatch):
     got = sorted((r.term_id, int(r.text[2:r.text.index(" ")])) for r in matching_texts(texts, terms, literal=True).collect())
     assert got == sorted([(i, i) for i in range(0, 400, 2)] + [(i, j) for i in range(1, 400, 2) for j in range(i, 2000, 500)])
     assert kept[0].count() < 20 * len(got)     # terms times texts: 800000
+
+
+def test_terms_are_written_and_rows_meet_sets_of_texts(spark, monkeypatch):
+    """Terms are taken apart once each, not once for every row they come from; rows that share a key count as one."""
+    from tavola.operators import search
+    kept = {}
+    plain = search.written
+    monkeypatch.setattr(search, "written", lambda df, name: kept.setdefault(name, plain(df, name)))
+    df = spark.createDataFrame([("a", "red ring", "ring of red"), ("a", "ring", None), ("b", "red ring", "ring of red"), ("c", None, None),
+                                (None, "bolt", "red"), (None, "bolt", "bolt"), ("d", "of", "x")], "key string, one string, two string")
+    terms = spark.range(3000).selectExpr("id % 3 as term_id", "element_at(array('ring', 'red|of', 'bolt'), cast(id % 3 + 1 as int)) as term")
+    got = rows_matching(df, "key", [F.col("one"), F.col("two")], terms)
+    assert sorted((r.term_id, r.key or "-") for r in got.collect()) == [(0, "a"), (0, "b"), (1, "-"), (1, "a"), (1, "b"), (1, "d"), (2, "-")]
+    assert got.columns == ["term_id", "term", "key", "one", "two"]
+    assert kept["search-terms"].count() == 3
+    assert kept["text-sets"].count() == 6 and kept["text-hits"].count() == 7
