@@ -27,6 +27,7 @@ from tavola.functions.exprs import (broadcast_if_small, case_insensitive_match,
 from tavola.functions.keys import key_number, key_suffix_number, with_row_number
 from tavola.schema import PRIMARY_KEYS
 from tavola.operators.search import rows_matching
+from tavola.session import written
 from tavola.sources.tables import Tables
 
 ASC = "asc"
@@ -233,21 +234,32 @@ def _nest(flat: DataFrame, head: list[str], line: Column) -> DataFrame:
 
 def all_orders(t: Tables) -> DataFrame:
     """J2 (flat): orders left-joined to customer, basket lines and menu, DISTINCT,
-    newest first. Orders with no line keep one row of NULL line columns."""
-    return _all_order_rows(t).orderBy(_o("order_date", DESC), _o("order_id"), _o("menu_id"))
+    newest first. Orders with no line keep one row of NULL line columns.
+
+    Equal rows have equal sort keys, so the exchange of the sort also brings the rows of
+    DISTINCT together. Lines with their menu items, and the joined rows, are written: their
+    columns take a fraction of a shuffle's rows, and the shuffles before them are given back."""
+    order = (_o("order_date", DESC), _o("order_id"), _o("menu_id"))
+    rows = written(_joined_order_rows(t, keep=lambda df: written(df, "order-lines")), "order-rows")
+    return rows.repartitionByRange(*order).dropDuplicates().orderBy(*order)
 
 
 def _all_order_rows(t: Tables, by_order: bool = False) -> DataFrame:
-    """Lines meet the menu before the orders, while they are narrow. ``by_order`` keeps
-    an order's rows together, so that grouping them needs no further exchange."""
+    """The different rows. ``by_order`` keeps an order's rows together, so that grouping them
+    needs no further exchange."""
+    rows = _joined_order_rows(t)
+    return (rows.repartition("order_id") if by_order else rows).dropDuplicates()
+
+
+def _joined_order_rows(t: Tables, keep=lambda df: df) -> DataFrame:
+    """Lines meet the menu before the orders, while they are narrow; ``keep`` gets them then."""
     c = t["customer"].select("customer_id", F.col("name").alias("customer_name"),
                              F.col("email").alias("customer_email"))
     i = t["items"].select("item_id", "menu_id", "quantity", F.col("price").alias("item_price"))
     m = t["menu"].select("menu_id", "item_name", "description", "category")
-    rows = (t["orders"].join(c, "customer_id", "left").join(i.join(m, "menu_id", "left"), "item_id", "left")
+    return (t["orders"].join(c, "customer_id", "left").join(keep(i.join(m, "menu_id", "left")), "item_id", "left")
             .select("order_id", "customer_id", "total_price", "order_status", "order_date", "customer_name",
                     "customer_email", "menu_id", "quantity", "item_price", "item_name", "description", "category"))
-    return (rows.repartition("order_id") if by_order else rows).dropDuplicates()
 
 
 def all_orders_nested(t: Tables) -> DataFrame:

@@ -52,3 +52,34 @@ def test_basket_lines_read_once(spark, monkeypatch):
     assert sorted((r.request_seq, r.reason) for r in res.verdicts.collect()) == [(1, None), (2, "unknown_item")]
     assert {(r.item_id, r.quantity) for r in res.tables["items"].collect() if r.item_id < "I003"} == {("I001", 4), ("I002", 1)}
     assert kept.count("stored-lines") == 1
+
+
+def test_sorted_orders_take_one_exchange_of_full_rows(spark):
+    """The exchange of the sort also serves DISTINCT, on lines and rows that are written before."""
+    from pyspark.sql import functions as F
+    t = tables_from_rows(spark, raw_seed_rows())
+    t["orders"] = t["orders"].unionByName(t["orders"])
+    out = R.all_orders(t)
+    assert re.findall(r"Exchange (\w+)", _plan(out)) == ["rangepartitioning"]
+    got = [(r.order_date, r.order_id, r.menu_id) for r in out.collect()]
+    assert [g[1] for g in got] == [f"O00{i}" for i in range(7, 0, -1)]
+    one = R._all_order_rows(t)
+    assert sorted(out.collect(), key=str) == sorted(one.collect(), key=str) and one.filter(F.col("menu_id").isNull()).count() == 0
+
+
+def test_written_gives_its_shuffles_back(spark):
+    import time
+    from tavola.session import SHUFFLE_CLEANUP, written
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    df = spark.range(1000).groupBy("id").count()
+    out = written(df, "given-back")
+    ends = time.time() + 20
+    while files() - before and time.time() < ends:
+        time.sleep(0.5)
+    assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == was
+    assert out.count() == df.count() == 1000
