@@ -83,3 +83,29 @@ def test_written_gives_its_shuffles_back(spark):
         time.sleep(0.5)
     assert not files() - before and spark.conf.get(SHUFFLE_CLEANUP) == was
     assert out.count() == df.count() == 1000
+
+
+def test_basket_lines_meet_the_full_ones_without_moving(spark):
+    """The lines that exceed their column are written first, so the others need no exchange by line to meet them."""
+    from tavola.operators import changes as C
+    t = tables_from_rows(spark, raw_seed_rows())
+    most = (1 << 31) - 1
+    ask = spark.createDataFrame([(1, "I001", [("Veggie Delight Pizza", 2)]), (2, "I002", [("Tiramisu", most)]), (3, "I002", [("Tiramisu", 1)]),
+                                 (4, "I002", [("Alfredo Pasta", 1)]), (5, "I009", []), (6, None, [("Tiramisu", 1)])],
+                                "request_seq long, item_id string, items array<struct<item_name string, quantity int>>")
+    res = C.apply_basket_lines(t, ask)
+    assert {r.request_seq: r.reason for r in res.verdicts.collect()} == {
+        1: None, 2: "quantity_overflow", 3: "quantity_overflow", 4: None, 5: "empty_basket", 6: "missing_item_id"}
+    assert not re.search(r"Exchange hashpartitioning\([^)]*\bmenu_id#", _plan(res.verdicts))
+
+
+def test_lines_of_faulty_carts_are_joined_before_they_are_grouped(spark, tmp_path):
+    d = str(tmp_path)
+    spark.range(40).selectExpr("id div 4 as l_orderkey", "id % 5 as l_partkey", "cast(id % 4 as int) as l_linenumber",
+                               "cast(2 as double) as l_quantity").write.parquet(f"{d}/lineitem.parquet")
+    spark.range(12).selectExpr("id as o_orderkey", "id as o_custkey", "'1-URGENT' as o_orderpriority").write.parquet(f"{d}/orders.parquet")
+    spark.range(5).selectExpr("id as p_partkey", "concat('p', id) as p_name", "'b' as p_brand").write.parquet(f"{d}/part.parquet")
+    carts = Q.faulty_carts(spark, d)
+    assert "Join" not in _plan(carts)
+    sizes = {r.item_id: len(r["items"]) for r in carts.collect()}     # order 1 has no basket id and is left out of the lines
+    assert sizes == {(None if i == 1 else f"I{90000000 + i if i % 4 == 3 else i}"): 4 if i < 10 and i != 1 else 0 for i in range(12)}
