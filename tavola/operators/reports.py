@@ -1,7 +1,7 @@
 """Reports: projections/filters (P*), joins (J*), aggregates (A*), windows (W*).
 
-Each report is a pure function ``(t, **params) -> DataFrame``: lazy, no action,
-no Python UDF. Ordering follows the source system (NULLs last ascending, first
+Each report is a pure function ``(t, **params) -> DataFrame``: lazy, no action
+(but ``all_orders`` and the batches of search terms write intermediates), no Python UDF. Ordering follows the source system (NULLs last ascending, first
 descending) and every top-k carries a unique tie-break so results are
 deterministic.
 
